@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortal.llm.common import table
 
@@ -15,8 +16,49 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.linededup import dedup_lines
+
+    done = dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_kept", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+every AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM split),
+firsts AS (
+  SELECT line, length(line) AS n, min((doc_id, line_no)) AS place FROM every WHERE trim(line) <> '' GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= 10),
+halves AS (
+  SELECT place, line, n, m, 1 AS side, left(line, (m - 1) // 2) AS half FROM long, unnest([n, n + 1]) AS t(m)
+  UNION ALL
+  SELECT place, line, n, m, 2 AS side, right(line, (m - 1) // 2) AS half FROM long, unnest([n, n + 1]) AS t(m)),
+pairs AS (
+  SELECT DISTINCT b.place, a.line AS x, b.line AS y, greatest(a.n, b.n) AS m
+  FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.place < b.place),
+near AS (
+  SELECT DISTINCT place FROM pairs
+  WHERE len(list_filter(range(m), lambda i: left(x, i) = left(y, i)
+                                  AND right(x, m - 1 - i) = right(y, m - 1 - i))) > 0),
+stay AS (
+  SELECT place.doc_id AS doc_id, place.line_no AS line_no FROM (
+    SELECT {'doc_id': place[1], 'line_no': place[2]} AS place FROM (
+      SELECT place FROM firsts EXCEPT SELECT place FROM near))
+  UNION ALL
+  SELECT doc_id, line_no FROM every WHERE trim(line) = ''),
+joined AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM every JOIN stay USING (doc_id, line_no) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(lines), 0)::INTEGER AS n_lines, coalesce(n_kept, 0)::INTEGER AS n_kept,
+       md5(CASE WHEN lines IS NOT NULL THEN coalesce(j.text, '') END) AS text_md5
+FROM split d LEFT JOIN joined j USING (doc_id)
+""",
+}
