@@ -23,6 +23,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, benchmark).select("row.doc_id", "contaminated", "n_items", "best_overlap")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.langid import held_out, predict, train_on
+
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs.select("doc_id", "text"), train_on(docs))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.linededup import dedup_lines
 
@@ -33,6 +41,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
 }
 
