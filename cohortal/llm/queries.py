@@ -16,6 +16,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.spm import decode, encode_long, encode_short, whole
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    short, long = decode(encode_short(docs)), decode(encode_long(docs))
+    text = F.md5(F.col("text").cast("binary")).alias("decoded_md5")
+    one = short.select("doc_id", F.size("ids").alias("n_ids"), F.lit(1).alias("n_chunks"), F.xxhash64("ids").alias("ids_hash"), F.col("piece").alias("text"))
+    joined = whole(long, "ids", "piece").withColumn("ids", F.flatten("ids"))
+    many = joined.select(
+        "doc_id", F.size("ids").alias("n_ids"), F.size("piece").alias("n_chunks"), F.xxhash64("ids").alias("ids_hash"), F.concat_ws("", "piece").alias("text")
+    )
+    return one.unionByName(many).select("doc_id", "n_ids", "n_chunks", "ids_hash", F.length("text").alias("n_chars"), text)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.decontam import decontaminate
 
@@ -40,6 +54,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
