@@ -52,12 +52,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_kept", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.substring import dedup_sentences
+
+    done = dedup_sentences(table(spark, sf_dir, "documents"))
+    first = F.array_sort(F.coalesce("first_docs", F.array().cast("array<bigint>"))).alias("first_docs")
+    return done.select("doc_id", "n_sentences", "n_removed", first, F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_line_dedup": op9_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
