@@ -16,6 +16,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.chat import RESPOND, as_calls, link
+
+    calls, results = as_calls(table(spark, sf_dir, "conversations"))
+    return link(calls, results, RESPOND)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.spm import decode, encode_long, encode_short, whole
 
@@ -30,6 +37,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(many).select("doc_id", "n_ids", "n_chunks", "ids_hash", F.length("text").alias("n_chars"), text)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a file under its source and its block of ids."""
+    from cohortal.llm.license import scan
+
+    docs = table(spark, sf_dir, "documents")
+    block = F.expr("cast(doc_id div 64 as string)")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), block, F.col("doc_id").cast("string"))
+    return scan(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.decontam import decontaminate
 
@@ -68,7 +85,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat_formatting": op2_chat_formatting,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_document_fingerprints": op8_document_fingerprints,
