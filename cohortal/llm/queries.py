@@ -23,6 +23,15 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(calls, results, RESPOND)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the secret itself hashed; a document's path is its source."""
+    from cohortal.llm.secrets import labelled_findings, scan
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "text")
+    found = scan(docs, labelled_findings(spark))
+    return found.withColumn("value", F.sha2(F.col("value").cast("binary"), 256)).withColumnRenamed("value", "value_sha256")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.spm import decode, encode_long, encode_short, whole
 
@@ -86,6 +95,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
