@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.common import cut
+from cohortal.llm.common import cut, stored
 
 #: Shorter lines are compared for equality only: one edit would change most of a very short line.
 MIN_NEAR_CHARS = 10
@@ -134,7 +134,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     split = _split(docs, id_col, text_col)
-    lines = cut(_distinct(split))
+    lines = stored(_distinct(split))
     gone = near_lines(split, lines).select("place").distinct()
     kept = lines.select("place").join(gone, "place", "left_anti").select("place.*")
     kept = kept.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("kept"))
