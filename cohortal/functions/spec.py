@@ -92,6 +92,7 @@ LINE_ITEMS = {
     "assets": ["Assets"],
     "current_assets": ["AssetsCurrent"],
     "liabilities": ["Liabilities"],
+    "balance_total": ["LiabilitiesAndStockholdersEquity"],
     "current_liabilities": ["LiabilitiesCurrent"],
     "equity": ["StockholdersEquity"],
     "retained": ["RetainedEarningsAccumulatedDeficit"],
@@ -99,10 +100,11 @@ LINE_ITEMS = {
     "preferred": ["PreferredStockValue"],
     "intangibles": ["IntangibleAssetsNetExcludingGoodwill"],
     "goodwill": ["Goodwill"],
-    "debt_total": ["LongTermDebt", "DebtLongtermAndShorttermCombinedAmount"],
-    "debt_noncurrent": ["LongTermDebtNoncurrent"],
-    "debt_current": ["LongTermDebtCurrent", "DebtCurrent"],
-    "short_term": ["ShortTermBorrowings"],
+    "debt_combined": ["DebtLongtermAndShorttermCombinedAmount", "DebtInstrumentCarryingAmount"],
+    "debt_noncurrent": ["LongTermDebtNoncurrent", "LongTermDebtAndCapitalLeaseObligations", "ConvertibleNotesPayableNoncurrent"],
+    "debt_lt_total": ["LongTermDebt", "NotesPayable", "ConvertibleNotesPayable"],
+    "debt_lt_current": ["LongTermDebtCurrent", "DebtCurrent"],
+    "debt_short": ["ShortTermBorrowings", "CommercialPaper"],
     "one_off_charge": ["RestructuringCharges", "GoodwillImpairmentLoss", "AssetImpairmentCharges"],
     "one_off_gain": ["GainLossOnDispositionOfAssets"],
     "nii": ["InterestIncomeExpenseNet"],
@@ -117,10 +119,16 @@ LINE_ITEMS = {
     "compensation": ["LaborAndRelatedExpense"],
     "bought": ["PaymentsForRepurchaseOfCommonStock"],
     "dividends": ["PaymentsOfDividends"],
+    "fund_holdings": ["InvestmentOwnedAtFairValue"],
+    "eps": ["EarningsPerShareDiluted"],
     "issued": ["ProceedsFromIssuanceOfCommonStock"],
 }
 #: Items whose concepts nest: the largest in the newest filing counts, not the first.
-LARGEST_WINS = {"debt_total"}
+LARGEST_WINS = {"debt_combined", "debt_lt_total", "one_off_charge", "one_off_gain"}
+#: Concepts that are a part of debt and may stand in for the whole by mistake.
+DEBT_PARTS = ["ConvertibleNotesPayable", "ConvertibleNotesPayableNoncurrent", "NotesPayable", "DebtInstrumentCarryingAmount"]
+DEBT_ITEMS = ["debt_combined", "debt_noncurrent", "debt_lt_total", "debt_lt_current", "debt_short"]
+DEBT_LIKE, DEBT_NOISE = r"(?i)debt|borrowing|notespayable|loanspayable|creditfacility", r"(?i)securit|repayment|issuance|expense|receivable|fairvalue|gainloss"
 
 
 @dataclass
