@@ -683,3 +683,124 @@ def table_export(spark, d):
     now = screen.top_per_segment(s.customer_month(spark, d, "2001-06"), 5)
     rows = now.withColumn("entity", F.col("entity").cast("string"))
     return sinks.table_text(rows).select(F.lit("2001-06").alias("month"), "segment", "text")
+
+
+@query(f"{_CHANGES} SELECT sector, count(*) AS n FROM changes GROUP BY 1")
+def sector_facets(spark, d):
+    return screen.facet_counts(_changes(spark, d))
+
+
+@query(f"{_CHANGES} SELECT entity, change FROM changes WHERE abs(change) > 0.5")
+def price_review(spark, d):
+    return screen.price_review(_changes(spark, d)).select("entity", "change")
+
+
+@query(f"WITH {_SCORED} SELECT entity, decile FROM scored WHERE decile = 1")
+def top_decile_scope(spark, d):
+    return screen.top_decile(_scored(spark, d)[0]).select("entity", "decile")
+
+
+@query(f"""{_CASCADE} SELECT entity, stage FROM staged WHERE stage IS NOT NULL AND contains(entity::VARCHAR, '13')""")
+def exclusion_search(spark, d):
+    out = _staged(spark, d).where("stage is not null").withColumn("id", F.col("entity")).withColumn("entity", F.col("entity").cast("string"))
+    return screen.exclusion_search(out.withColumn("reason", F.lit("")), "13").select(F.col("id").alias("entity"), "stage")
+
+
+@query("""SELECT c_custkey::VARCHAR AS entity, c_name AS name, 'ranked' AS found FROM customer WHERE c_custkey = 77""")
+def point_lookup(spark, d):
+    c = s.customers(spark, d).select(F.col("entity").cast("string").alias("entity"), "name")
+    return screen.point_lookup(c, c, " 77 ")
+
+
+@query("""WITH w AS (SELECT user_id AS entity, ts AS added_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS removed_at FROM events)
+SELECT entity, min(added_at)::DATE AS day FROM w WHERE removed_at IS NULL GROUP BY 1""")
+def open_holdings(spark, d):
+    return screen.open_holdings(s.watch(spark, d))
+
+
+@query("""WITH w AS (SELECT user_id AS entity, ts AS added_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS removed_at FROM events WHERE user_id % 2 = 0)
+SELECT entity, added_at FROM w UNION ALL
+SELECT c_custkey, TIMESTAMP '2024-02-01' FROM customer WHERE c_custkey <= 200 AND c_custkey NOT IN (SELECT entity FROM w WHERE removed_at IS NULL)""")
+def import_holdings(spark, d):
+    shared = s.customers(spark, d).where("entity <= 200").select("entity", F.lit("2024-02-01").cast("timestamp").alias("added_at"))
+    log = s.watch(spark, d).where("entity % 2 = 0").select("entity", "added_at", "removed_at")
+    return screen.import_holdings(shared, log).select("entity", F.col("added_at").cast("timestamp_ntz").alias("added_at"))
+
+
+@query("SELECT min(ts) AS first_at FROM events")
+def first_watch_event(spark, d):
+    return screen.first_event(s.watch(spark, d))
+
+
+@query(f"""{_EXITS}, a AS (SELECT entity, name, 'insufficient' AS kind, 'too few measures' AS reason FROM now WHERE entity % 5 = 0)
+SELECT entity, kind, reason FROM a UNION ALL SELECT g.entity, kind, reason FROM gone g WHERE g.entity NOT IN (SELECT entity FROM a)""")
+def unranked_record(spark, d):
+    short = s.customer_month(spark, d, "2001-06").where("entity % 5 = 0").select("entity", "name", F.lit("too few measures").alias("reason"))
+    return panel.unranked_record(short, _exits(spark, d)).select("entity", "kind", "reason")
+
+
+@query(f"""WITH {_PANEL}, p AS (SELECT month, entity, price, lead(price, 3) OVER (PARTITION BY entity ORDER BY month) AS later FROM panel)
+SELECT month, entity, {_hu("later / price - 1", 6)} AS fwd FROM p WHERE price > 0 AND later IS NOT NULL""")
+def outcome_pairs(spark, d):
+    return panel.outcome_pairs(s.monthly_scores(spark, d), 3, "price").select("month", "entity", stats.half_up("fwd", 6).alias("fwd"))
+
+
+_QFLOWS = f"""{_QUARTERS}, flows AS (SELECT entity, (last_day(("end" - INTERVAL 3 MONTH)::DATE) + 1)::DATE AS "start", "end", val FROM quarters)"""
+
+
+def _qflows(spark, d):
+    q = s.quarterly(spark, d)
+    return q.select("entity", F.date_add(F.last_day(F.add_months("end", -3)), 1).alias("start"), "end", "val", F.date_add("end", 40).alias("filed"), F.lit(0).alias("seq"))
+
+
+@query(f"""WITH {_QFLOWS}, l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) AS n FROM flows)
+SELECT entity, max("end") AS "end", {_hu("sum(val)", 2)} AS ttm, 'stitched' AS basis FROM l WHERE n <= 4 GROUP BY 1""")
+def ttm_tiling(spark, d):
+    return temporal.ttm(_qflows(spark, d), ["entity"]).select("entity", "end", stats.half_up("val", 2).alias("ttm"), "basis")
+
+
+@query(f"""WITH {_YTD} SELECT entity, "end", {_hu("val", 2)} AS val FROM quarters""")
+def quarterly_series(spark, d):
+    f = _ytd(spark, d).withColumn("seq", F.lit(0))
+    return temporal.quarterly_series(f, ["entity"]).select("entity", "end", stats.half_up("val", 2).alias("val"))
+
+
+@query(f"""WITH {_YTD} SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) - 1 AS k, "end", {_hu("val", 2)} AS val FROM ytd
+WHERE month("end") = 12 QUALIFY k < 6""")
+def annual_series(spark, d):
+    f = _ytd(spark, d).withColumn("seq", F.lit(0))
+    years = temporal.annual_series(f, ["entity"]).select("entity", F.posexplode("years").alias("k", "y"))
+    return years.select("entity", F.col("k").cast("long").alias("k"), "y.end", stats.half_up("y.val", 2).alias("val"))
+
+
+@query(f"""WITH {_QUARTERS}, l AS (SELECT entity, max("end") AS last FROM quarters GROUP BY 1)
+SELECT entity, k::INTEGER AS k, (last - round(k * 365.25)::INTEGER)::DATE AS target FROM l, unnest([0, 1, 2, 3, 4]) AS t(k)""")
+def anniversaries(spark, d):
+    ends = s.quarterly(spark, d).groupBy("entity").agg(F.max("end").alias("last"))
+    return temporal.anniversaries(ends, ["entity"], "last").select("entity", "k", "target")
+
+
+@query(f"""WITH {_FACTS}, l AS (SELECT entity, concept, max("end") AS last_reported FROM facts GROUP BY 1, 2)
+SELECT entity, concept, last_reported FROM l WHERE last_reported < DATE '2001-06-30' - 300""")
+def stale_inputs(spark, d):
+    f = s.facts(spark, d)
+    anchor = f.select("entity").distinct().withColumn("anchor", F.lit("2001-06-30").cast("date"))
+    return temporal.stale_inputs(f, anchor, ["entity", "concept"])
+
+
+@query(f"""WITH {_SCORED} SELECT entity, factor, string_agg(metric, ', ' ORDER BY coalesce(pct, -1) DESC, metric) AS metrics FROM gated GROUP BY 1, 2""")
+def metric_order(spark, d):
+    return score.drivers_text(_grid(spark, d))
+
+
+@query(f"""WITH {_FACTS}
+SELECT entity, bool_or(concept = 'R') AS domestic, count(DISTINCT (concept, seq)) AS n_filings, max("end") AS latest FROM facts
+WHERE concept = 'A' OR (concept = 'R' AND entity NOT IN (SELECT entity FROM facts WHERE concept = 'A')) GROUP BY 1""")
+def structural_signals(spark, d):
+    f = s.facts(spark, d).withColumns({"form": F.col("concept"), "accn": F.col("seq")})
+    return eligibility.structural_signals(f, ["R"], ["A", "R"])
+
+
+@query(f"""{_EXITS} SELECT entity, kind, rank FROM gone WHERE rank <= 20""")
+def exit_order(spark, d):
+    return panel.exit_order(_exits(spark, d).where(F.col("rank") <= 20)).select("entity", "kind", "rank")

@@ -93,6 +93,12 @@ def fresh(day: Column, anchor: Column, max_age: int = MAX_AGE) -> Column:
     return anchor.isNull() | (day >= F.date_sub(anchor, max_age))
 
 
+def stale_inputs(facts: DataFrame, anchor: DataFrame, by: list[str], max_age: int = MAX_AGE) -> DataFrame:
+    """(by, last_reported): the newest date of each concept whose every value is too old."""
+    last = facts.groupBy(*by).agg(F.max("end").alias("last_reported")).join(anchor, "entity")
+    return last.where(~fresh(F.col("last_reported"), F.col("anchor"), max_age)).drop("anchor")
+
+
 def year_ago(series: DataFrame, by: list[str], day: str, value: str, lo: int = 350, hi: int = 380, pick: str = "latest") -> DataFrame:
     """Each point with the value ``lo``..``hi`` days earlier: the latest such, or the first."""
     order = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))

@@ -119,6 +119,13 @@ def forward_returns(panel: DataFrame, horizon: int, price: str = "price_adj") ->
     return met.withColumn("fwd", F.col("_later") / F.col(price) - 1).drop("_later")
 
 
+def outcome_pairs(panel: DataFrame, horizon: int, price: str = "price_adj") -> DataFrame:
+    """Like ``forward_returns``, but counted along each entity's own months, so that a gap in its record counts as none."""
+    later = F.lead(price, horizon).over(Window.partitionBy("entity").orderBy("month"))
+    out = panel.withColumn("_later", later).where((F.col(price) > 0) & F.col("_later").isNotNull())
+    return out.withColumn("fwd", F.col("_later") / F.col(price) - 1).drop("_later")
+
+
 def score_deciles(pairs: DataFrame, key: str = "composite", least: int = NO_DECILE) -> DataFrame:
     """Months of at least ``least`` pairs with ``bucket`` 1..10, the best first."""
     w = Window.partitionBy("month")
@@ -189,3 +196,16 @@ def coverage_totals(grid: DataFrame) -> DataFrame:
     """One row: cells, those resolved, and the share, undefined when empty."""
     out = grid.agg(F.count("*").alias("cells"), F.count("pct").alias("resolved"))
     return out.withColumn("share", F.try_divide("resolved", "cells"))
+
+
+def data_pack(scored: DataFrame, grid: DataFrame, stability: DataFrame, panel: DataFrame, gone: DataFrame, spec: DataFrame) -> dict[str, DataFrame]:
+    """The six long tables of a data pack, by name; specs are joined to the measures."""
+    labels = F.broadcast(spec.select("metric", F.col("factor").alias("_factor")))  # as long as the registry
+    return {
+        "scores": scored,
+        "measures": grid.join(labels, "metric").select("entity", "segment", "metric", F.col("_factor").alias("factor"), "raw", "pct", "basis"),
+        "stability": stability,
+        "history": panel,
+        "exits": gone,
+        "metrics": spec.select("metric", "factor", "higher_better"),
+    }

@@ -59,6 +59,11 @@ def read_id_map(spark: SparkSession, path: str, least: int = 5000) -> DataFrame:
     return out
 
 
+def match_ids(listings: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listings with their id, those without one)."""
+    return listings.join(ids, "entity"), listings.join(ids.select("entity"), "entity", "left_anti")
+
+
 def explode_facts(documents: DataFrame) -> DataFrame:
     """Nested fact documents as a long table (entity, taxonomy, concept, unit, start, end, val, filed, accn, form, seq)."""
     rows = (

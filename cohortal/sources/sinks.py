@@ -74,6 +74,16 @@ def table_text(rows: DataFrame, by: str = "segment") -> DataFrame:
     return rows.groupBy(by).agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("text"))
 
 
+def company_text(scored: DataFrame, grid: DataFrame) -> DataFrame:
+    """(entity, text): a company's scores and, factor by factor, its measures with their percentiles."""
+    known = grid.where("raw is not null")
+    one = F.concat(F.col("metric"), F.lit(" "), F.format_number("raw", 4), F.coalesce(F.concat(F.lit(" (p"), F.round("pct").cast("int").cast("string"), F.lit(")")), F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("factor", "metric", one.alias("t"))))
+    lines = known.groupBy("entity").agg(F.array_join(F.transform(parts, lambda x: F.concat(x["factor"], F.lit(": "), x["t"])), "\n").alias("lines"))
+    head = F.concat(F.col("entity").cast("string"), F.lit(" rank "), F.col("rank").cast("string"), F.lit(" of "), F.col("segment"), F.lit(", composite "), F.format_number("composite", 2))
+    return scored.join(lines, "entity", "left").select("entity", F.concat_ws("\n", head, "lines").alias("text"))
+
+
 def trend_text(panel: DataFrame) -> DataFrame:
     """(entity, metric, trend): ``month value (pNN)`` of each month, joined by bars."""
     one = F.concat(F.col("month"), F.lit(" "), F.format_number("raw", 2), F.coalesce(F.concat(F.lit(" (p"), F.round("pct").cast("int").cast("string"), F.lit(")")), F.lit("")))
