@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts become lists of hashed tokens. A mask of 12 positions ignores every third
-one; three masks, each ignoring another third, hash the windows of benchmark
-items and documents, so a substituted token does not hide a passage. Documents
+Texts become lists of hashed tokens. Three masks of 12 positions, each of which
+ignores another four, hash the windows of benchmark items and documents, so that
+substituted tokens do not hide a passage. Documents
 that share a hash with the benchmark are candidates; around each hit the item is
 laid over the document at the offset of the hit, and the best stretch is scored:
 a match counts 1, a substituted token -2. A document is contaminated if a
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from cohortal.llm.common import cut
 
 SPAN = 12
-#: Each mask keeps 8 of 12 positions.
-MASKS = [[k for k in range(SPAN) if k % 3 != gap] for gap in range(3)]
+#: Each mask keeps 8 of 12 positions. These three hit every stretch of up to three substitutions that scores ``MIN_OVERLAP``,
+#: wherever the substitutions lie; a test goes through all of them.
+MASKS = [[k for k in range(SPAN) if k not in gaps] for gaps in ({3, 4, 5, 10}, {1, 2, 3, 5}, {2, 7, 8, 10})]
 MIN_OVERLAP = 13
 MISMATCH = -2
 #: Shorter items are no evidence.

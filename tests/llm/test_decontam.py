@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -11,11 +12,7 @@ def words(t):
 
 
 def brute(docs, items):
-    """{doc: (items found, best score)} by laying every item at every offset that shares a token.
-
-    Only alignments that a mask can hit count; with 13 matches in a stretch of at
-    most a few substitutions one always does in these texts.
-    """
+    """{doc: (items found, best score)} by laying every item at every offset that shares a token."""
     items = {w for w in map(words, items) if len(w) >= 5}
     out = {}
     for d, text in docs:
@@ -75,3 +72,12 @@ def test_join_beyond_the_broadcast_bound_gives_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(0, " ".join(f"t{k}" for k in range(5, 25)))], "item_id long, text string")
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert {r.doc_id: r.best_overlap for r in decontam.decontaminate(df, bench).select("row.doc_id", "best_overlap").collect()} == {1: 20, 2: 0}
+
+
+def test_masks_hit_every_stretch_with_up_to_three_substitutions():
+    kept = [sum(1 << k for k in mask) for mask in decontam.MASKS]
+    for changed in range(4):
+        length = decontam.MIN_OVERLAP + changed - decontam.MISMATCH * changed
+        for places in itertools.combinations(range(length), changed):
+            bits = sum(1 << k for k in places)
+            assert any(bits >> start & mask == 0 for mask in kept for start in range(length - decontam.SPAN + 1))
