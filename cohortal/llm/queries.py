@@ -20,7 +20,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.chat import RESPOND, as_calls, link
 
     calls, results = as_calls(table(spark, sf_dir, "conversations"))
-    return link(calls, results, RESPOND)
+    return link(calls, results, RESPOND).withColumn("errors", F.array_join("errors", "; "))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": """
+WITH asked AS (
+  SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+  FROM conversations WHERE role = 'user'),
+calls AS (
+  SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM asked),
+replies AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+met AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn - 1) AS place, c.turn AS asked_at, c.text AS prompt,
+         c.level, r.turn AS answered_at, r.text AS answer
+  FROM calls c FULL OUTER JOIN replies r ON c.conv_id = r.conv_id AND c.turn = r.turn - 1)
+SELECT conv_id, 't' || place AS call_id, coalesce(asked_at, answered_at) AS turn, level::BIGINT AS level,
+  CASE WHEN asked_at IS NULL THEN 'orphan' WHEN coalesce(prompt, '') = '' THEN 'invalid'
+       WHEN answered_at IS NULL THEN 'pending' ELSE 'linked' END AS status,
+  CASE WHEN asked_at IS NULL THEN '' WHEN prompt IS NULL THEN '$.prompt: required'
+       WHEN prompt = '' THEN '$.prompt: minLength' ELSE '' END AS errors,
+  '{' || CASE WHEN asked_at IS NULL THEN '' ELSE '"arguments":{'
+      || CASE WHEN level > 0 THEN '"after":"t' || (place - 2) || '",' ELSE '' END
+      || CASE WHEN prompt IS NULL THEN '' ELSE '"prompt":' || to_json(prompt)::VARCHAR || ',' END
+      || '"turn":' || place || '},' END
+    || '"call":"t' || place || '"' || CASE WHEN asked_at IS NULL THEN '' ELSE ',"name":"respond"' END
+    || CASE WHEN answer IS NULL THEN '' ELSE ',"result":' || to_json(answer)::VARCHAR END || '}' AS json
+FROM met
+""",
+    "op6_decontamination": r"""
+WITH items AS (
+  SELECT min(item_id) AS item_id, item, len(item) AS m FROM (
+    SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS item FROM benchmark) GROUP BY item HAVING len(item) >= 5),
+item_words AS (SELECT item_id, m, unnest(item) AS word, unnest(range(m)) AS j FROM items),
+doc_words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+hits AS (
+  SELECT doc_id, item_id, m, i - j AS shift, list(j) AS js FROM doc_words JOIN item_words USING (word)
+  GROUP BY ALL HAVING count(*) >= least(13, m)),
+steps AS (
+  SELECT doc_id, item_id, m, shift, unnest(range(m)) AS j,
+         unnest(list_transform(range(m), lambda k: CASE WHEN list_contains(js, k) THEN 1 ELSE -2 END)) AS x FROM hits),
+sums AS (SELECT *, sum(x) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS s FROM steps),
+best AS (
+  SELECT doc_id, item_id, m, s - least(0, coalesce(min(s) OVER (
+    PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM sums),
+found AS (SELECT doc_id, item_id, m, max(score) AS overlap FROM best GROUP BY ALL HAVING max(score) >= least(13, m)),
+per_doc AS (SELECT doc_id, count(*) AS n, max(overlap) AS overlap FROM found GROUP BY 1)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0)::INTEGER AS n_items, coalesce(overlap, 0)::INTEGER AS best_overlap
+FROM documents LEFT JOIN per_doc USING (doc_id)
+""",
     "op9_line_dedup": """
 WITH split AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
