@@ -11,6 +11,11 @@ Coarser samples are part of finer ones, so texts of different lengths compare at
 the coarser level. The samples form bands of ``BAND`` bits: two fingerprints that
 share no band have likeness 0, others are verified by their Hamming distance, as
 are those of a few samples.
+
+``near_classes`` searches a whole table: every fingerprint is emitted under each of
+its wide bands, at its own level and the next coarser one, equal bands meet, and
+pairs are verified by their likeness. Edits put the walk out of step in bursts, so
+most bands of near texts are clean.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.llm.common import partitions
+from cohortal.llm.common import cut, partitions
+from cohortal.llm.graph import connected_components
 
 MOST_BITS = 512
 BAND = 8
@@ -162,6 +168,111 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _in_order(rows).mapInArrow(run, kinds)
 
 
+#: Bits of a band that is a search key.
+WIDE = 32
+#: Points compared in one task; a band that more share is dealt over pairs of salts.
+TILE_ROWS = 512
+
+
+def _forest(tiles: np.ndarray, bits: np.ndarray, sizes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Index pairs that span the likeness links inside each tile; equal tiles must be adjacent. Bits are padded to one width."""
+    parent = np.arange(len(tiles))
+    out: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    at, step, place = np.arange(len(tiles)), 0, np.arange(bits.shape[1])
+    while True:
+        step += 1
+        at = at[at + step < len(tiles)]
+        at = at[tiles[at] == tiles[at + step]]
+        if not len(at):
+            return out
+        for some in np.array_split(at, max(1, len(at) // 1024)):
+            n, most = np.minimum(sizes[some], sizes[some + step]), np.maximum(sizes[some], sizes[some + step])
+            off = ((bits[some] != bits[some + step]) & (place < n[:, None])).sum(1)
+            for i in some[np.maximum(0, 1 - 2 * off / n) * n / most >= least].tolist():
+                if (x := root(i)) != (y := root(i + step)):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((i, i + step))
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, fingerprint, class_id): one row a document; class_id is the smallest doc_id that links of ``least`` likeness reach.
+
+    Equal fingerprints are one point. Texts of fewer than WIDE samples link only to
+    equal ones. Null texts count as empty; repeated rows return a row each; a null
+    doc_id is a class's id only if it has no other. No rows give no rows.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker = Walker()
+        for batch in batches:
+            made = []
+            for text in batch.column(1).to_pylist():
+                points = code_points(text or "")
+                made.append(Print(points, *walker.walk(points)))
+            columns = [batch.column(0), pa.array([str(x) for x in made]), pa.array([x.level for x in made], pa.int32()), pa.array([x.bits.tobytes() for x in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fingerprint", "level", "bits"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, level, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(raw, np.uint8)
+                for coarser in (0, 1):
+                    bits = own[:: 1 << coarser]
+                    for k in range(len(bits) // WIDE):
+                        key = np.packbits(bits[k * WIDE : (k + 1) * WIDE]).tobytes() + bytes([k, level + coarser])
+                        out.append((int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True), doc, bits.tobytes()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["band", "doc", "bits"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            band, tile, doc = (rows.column(k).to_numpy() for k in range(3))
+            raw = rows.column(3).to_pylist()
+            sizes = np.array([len(x) for x in raw])
+            bits = np.frombuffer(b"".join(x.ljust(MOST_BITS, b"\2") for x in raw), np.uint8).reshape(-1, MOST_BITS)
+            tiles = np.cumsum(np.r_[0, (band[1:] != band[:-1]) | (tile[1:] != tile[:-1])])
+            pairs = np.array(_forest(tiles, bits, sizes, least), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(doc[pairs[:, k]]) for k in (0, 1)], names=["a", "b"])
+
+        kept: pa.Table | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            band, tile = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            last = np.flatnonzero((band != band[-1]) | (tile != tile[-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            kept = rows.slice(whole)
+            if whole:
+                yield edges(rows.slice(0, whole))
+        if kept is not None:
+            yield edges(kept)
+
+    n = partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = cut(rows.mapInArrow(prints, "doc_id long, fingerprint string, level int, bits binary"))
+    best = F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc")
+    points = cut(marked.groupBy("fingerprint").agg(best, F.first("level").alias("level"), F.first("bits").alias("bits")))
+    emitted = cut(points.select("doc", "level", "bits").mapInArrow(banded, "band long, doc long, bits binary"))
+    shared = cut(emitted.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    met = emitted.join(shared, "band").withColumn("salts", F.ceil(F.col("n") / F.lit(tile_rows)).cast("int"))
+    met = met.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda x: F.least(F.col("salt"), x).cast("long") * F.col("salts") + F.greatest(F.col("salt"), x))
+    dealt = met.withColumn("tile", F.explode(tile)).select("band", "tile", "doc", "bits").repartition(n, "band", "tile").sortWithinPartitions("band", "tile", "doc")
+    found = cut(connected_components(dealt.mapInArrow(linked, "a long, b long")))
+    named = cut(points.join(found, points.doc == found.node, "left").select(F.col("fingerprint").alias("point"), F.nullif(F.coalesce("root", "doc"), F.lit(2**63 - 1)).alias("class_id")))
+    return marked.join(named, marked.fingerprint == named.point).select("doc_id", "fingerprint", "class_id")
+
+
 def _compared(walker: Walker, held: tuple, after: tuple) -> tuple:
     _, doc_id, points, reached, steps, own = held
     keep = len(points) - len(points) // 4

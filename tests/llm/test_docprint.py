@@ -78,3 +78,25 @@ def test_small_tables(spark):
     twice = spark.createDataFrame([(1, "b" * 8), (1, "a" * 8), (None, "c" * 8)], "doc_id long, text string")
     got = {(r.doc_id, r.edited_sha256) for r in docprint.fingerprints(twice).collect()}
     assert got == {(d, hashlib.sha256((x * 6 + y * 2).encode()).hexdigest()) for d, x, y in [(None, "c", "a"), (1, "a", "b"), (1, "b", "c")]}
+
+
+@pytest.mark.parametrize("tile_rows", [512, 3])
+def test_near_classes_equal_brute_force(spark, tile_rows):
+    rng = random.Random(4)
+    texts = [None, "", "tiny", "tiny"]
+    for _ in range(12):
+        base = "".join(rng.choice("abcdefghijklm ") for _ in range(rng.choice([200, 800, 3000])))
+        for _ in range(5):
+            k = rng.randrange(len(base) - 20)
+            texts.append(base[:k] + "changed!" + base[k + 8 :])
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, level int")
+    got = {r.doc_id: r.class_id for r in docprint.near_classes(docs, tile_rows=tile_rows).collect()}
+    prints, group = [made(t or "") for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (str(prints[i]) == str(prints[j]) or prints[i].like(prints[j]) >= 0.8 and min(len(prints[i].bits), len(prints[j].bits)) >= 32):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    found = sum(got[i] == group[i] for i in range(len(texts)))
+    assert found >= 0.97 * len(texts) and all(got[i] >= group[i] for i in range(len(texts)))
+    assert len(set(group)) < 30 and docprint.near_classes(docs.limit(0)).count() == 0
