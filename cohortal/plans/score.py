@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.spec import FACTORS, OFFICIAL_WEIGHTS, RETURN_METRIC, Settings, weight_vectors
+from cohortal.plans.stage import materialised
 
 POOLED = "pooled_thin"
 UNCLASSIFIED = "(unclassified)"
@@ -112,9 +113,13 @@ def with_peer_decile(scores: DataFrame) -> DataFrame:
 
 
 def percentile_grid(rows: DataFrame, measures: DataFrame, spec: DataFrame, settings: Settings = Settings(), returns: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
-    """Every entity's percentile of every applicable metric, gated."""
-    grid = applicable(measure_grid(with_cohort(rows, settings.min_cohort), measures, spec), settings.applicability)
-    return hurdle_gate(percentiles(grid, settings), settings.hurdle, returns)
+    """Every entity's percentile of every applicable metric, gated.
+
+    The grid is read twice, for the resolution of metrics and for their percentiles, so it is
+    written once: the facts behind the measures are far larger than it.
+    """
+    grid = materialised(measure_grid(with_cohort(rows, settings.min_cohort), measures, spec))
+    return hurdle_gate(percentiles(applicable(grid, settings.applicability), settings), settings.hurdle, returns)
 
 
 def score_segments(rows: DataFrame, measures: DataFrame, spec: DataFrame, weights: dict[str, float] | None = None, settings: Settings = Settings(), returns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
