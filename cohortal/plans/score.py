@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.spec import FACTORS, OFFICIAL_WEIGHTS, RETURN_METRIC, Settings, weight_vectors
+from cohortal.plans.large import percentiles_at_scale
 from cohortal.plans.stage import materialised
 
 POOLED = "pooled_thin"
@@ -54,8 +55,15 @@ def with_cohort(rows: DataFrame, min_cohort: int = Settings.min_cohort, thin_fal
 
 
 def percentiles(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The grid with winsorized values and tie-averaged percentiles (win, pct) inside (segment, cohort, metric)."""
+    """The grid with winsorized values and tie-averaged percentiles (win, pct) inside (segment, cohort, metric).
+
+    A window where every cohort has at most ``settings.window_rows`` rows, else by ranges
+    of values: both exact and equal.
+    """
     by = ["segment", "cohort", "metric"]
+    largest = grid.groupBy(*by).agg(F.count("raw").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > settings.window_rows:
+        return percentiles_at_scale(grid, settings.winsor)
     lo, hi = settings.winsor
     out = grid.withColumn("win", stats.winsorized("raw", by, lo, hi))
     return out.withColumn("pct", stats.tie_percentile("win", by, F.col("higher_better")))

@@ -69,6 +69,16 @@ def test_metric_that_few_have_is_left_out(spark):
     assert "gpoa" not in {r.metric for r in grid.select("metric").distinct().collect()}
 
 
+def test_large_cohorts_are_ranked_by_ranges_with_the_same_result(spark):
+    import dataclasses
+
+    change = {i: {"gpoa": 0.3, "roic": None if i % 3 else 0.1} for i in range(0, 30, 2)}
+    given = inputs(spark, change=change, sector=lambda i: "Lone" if i == 7 else "Pair" if i < 2 else "Tech")
+    settings = dataclasses.replace(SETTINGS, min_cohort=0)
+    rows = lambda s: sorted((r.entity, r.metric, None if r.win is None else round(r.win, 9), r.pct) for r in score.percentile_grid(*given, s).collect())
+    assert rows(settings) == rows(dataclasses.replace(settings, window_rows=0))
+
+
 def test_stability(spark):
     rows = [("A", "s", 1, 95.0, 95.0, 95.0, 95.0), ("B", "s", 2, 90.0, 90.0, 10.0, 10.0), ("C", "s", 3, 10.0, 10.0, 90.0, 90.0)]
     scored = spark.createDataFrame(rows, "entity string, segment string, rank long, " + ", ".join(f"{f} double" for f in FACTORS))
