@@ -1,8 +1,8 @@
 """Chat formatting: tool calls linked with their results.
 
 Calls and results meet in a hash join by conversation and identifier. A call may
-refer to the results of others; calls are ordered topologically, level by level,
-in joins over the whole table. Arguments are validated against the tool's schema,
+refer to the results of others; calls are ordered topologically by their level, in
+joins over the whole table that follow chains of any length in a few rounds. Arguments are validated against the tool's schema,
 and each call is written as canonical JSON: keys sorted, no spaces, one number form.
 """
 
@@ -69,27 +69,56 @@ def canonical(value: object) -> str:
     return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def levels(calls: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def _jumped(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, up, d): where the chain of single references above each call ends, and after how many steps.
+
+    Chains double their reach in each round, so a chain of n calls takes log n of
+    them. ``up`` is null on a cycle, and above one: its steps outnumber all calls.
+    """
+    single = edges.groupBy("conv_id", "call_id").agg(F.min("ref").alias("ref"), F.count("*").alias("n")).where("n = 1").drop("n")
+    most = calls.count()
+    state = cut(
+        calls.join(single, ["conv_id", "call_id"], "left").select(
+            "conv_id", "call_id", F.coalesce("ref", "call_id").alias("up"), F.when(F.col("ref").isNotNull(), 1).otherwise(0).cast("long").alias("d")
+        )
+    )
+    while True:
+        above = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("_up"), F.col("d").alias("_d"))
+        total = F.col("d") + F.col("_d")
+        state = cut(state.join(above, ["conv_id", "up"], "left").select("conv_id", "call_id", F.when(total <= most, F.col("_up")).alias("up"), total.alias("d"), "_d"))
+        if not state.where("_d > 0 and up is not null").limit(1).count():
+            return state.select("conv_id", "call_id", "up", "d")
+        state = state.drop("_d")
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that refer to none, else one more than the highest they refer to.
 
     Calls on a cycle, or above one, have a null level. A reference to a call that
-    is not there counts as met. One round of joins for each level; nothing is gathered.
+    is not there counts as met. Chains of single references are followed by
+    doubling; calls with several references then take one round of joins for each
+    level among themselves. Nothing is gathered.
     """
     nodes = cut(calls.select("conv_id", "call_id").distinct())
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).where("ref is not null").distinct()
-    there = nodes.withColumnRenamed("call_id", "ref")
-    edges = cut(edges.join(there, ["conv_id", "ref"], "left_semi"))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    front = cut(nodes.join(waiting, ["conv_id", "call_id"], "left_anti"))
-    done = front.withColumn("level", F.lit(0))
-    for level in range(1, max_levels + 1):
-        if edges.isEmpty() or front.isEmpty():
+    edges = cut(edges.join(nodes.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left_semi"))
+    jumped = _jumped(nodes, edges)
+    key = ["conv_id", "call_id"]
+    several = edges.groupBy(*key).count().where("count > 1").select(*key)
+    ends = jumped.select("conv_id", F.col("call_id").alias("ref"), F.col("up"), F.col("d"))
+    waiting = cut(edges.join(several, key, "left_semi").join(ends, ["conv_id", "ref"]).select(*key, "up", (F.col("d") + 1).alias("w")))
+    done = cut(nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
+    while True:
+        known = done.select("conv_id", F.col("call_id").alias("up"), "level")
+        ready = waiting.join(known, ["conv_id", "up"], "left").groupBy(*key)
+        ready = ready.agg(F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
+        front = cut(ready.select(*key, "level"))
+        if front.isEmpty():
             break
-        rest = cut(edges.join(front.withColumnRenamed("call_id", "ref"), ["conv_id", "ref"], "left_anti"))
-        left = rest.select("conv_id", "call_id").distinct()
-        front = cut(edges.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti"))
-        done, edges = done.unionByName(front.withColumn("level", F.lit(level))), rest
-    return nodes.join(done, ["conv_id", "call_id"], "left")
+        waiting = cut(waiting.join(front.select(*key), key, "left_anti"))
+        done = cut(done.unionByName(front))
+    top = done.select("conv_id", F.col("call_id").alias("up"), "level")
+    return jumped.join(top, ["conv_id", "up"], "left").select(*key, (F.col("d") + F.col("level")).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -117,7 +146,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     loose_calls = calls.where("conv_id is null or call_id is null").select("conv_id", "call_id", "turn", "name", "arguments", "refs").distinct()
     loose_results = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content").distinct()
     every = joined.select(*cols)
-    for loose in (loose_calls.withColumn("level", F.lit(0)), loose_results):
+    for loose in (loose_calls.withColumn("level", F.lit(0).cast("long")), loose_results):
         every = every.unionByName(loose, allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

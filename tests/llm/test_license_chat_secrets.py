@@ -80,6 +80,25 @@ def test_linking(spark):
     assert chat.link(c.limit(0), r.limit(0), {}).count() == 0
 
 
+def test_levels_equal_a_sequential_reading(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for conv in range(4):
+        names = [f"c{k}" for k in range(70)]
+        for k, name in enumerate(names):
+            refs = [] if k == 0 else [names[k - 1]] if conv == 0 else rng.sample(names[:k], min(k, rng.choice([0, 1, 1, 2, 3])))
+            rows.append((conv, name, refs if conv != 3 or k != 20 else [names[40], names[1]]))
+    rows += [(9, "a", ["b"]), (9, "b", ["c"]), (9, "c", ["b"]), (9, "self", ["self"]), (9, "alone", None)]
+    want, known = {}, {(c, n): [r for r in refs or [] if any(x[0] == c and x[1] == r for x in rows)] for c, n, refs in rows}
+    for _ in range(200):
+        for (c, n), refs in known.items():
+            if all((c, r) in want for r in refs):
+                want[c, n] = max((want[c, r] + 1 for r in refs), default=0)
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
+    assert got == {k: want.get(k) for k in known} and got[0, "c69"] == 69 and got[9, "a"] is None
+
+
 def test_plain_conversations(spark):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "q2"), (2, 0, "system", "s"), (2, 1, "user", ""), (2, 2, "assistant", None), (None, 0, "user", "x")]
     calls, results = chat.as_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
