@@ -88,7 +88,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     runs = stored(_runs(docs))
     place = F.struct("doc_id", "rk", "at")
-    first = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    first = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Materialised, so that a run with very many copies can be split in the join.
     first = cut(first.select("h1", "h2", "first"))
     later = runs.join(first, ["h1", "h2"]).where(place != F.col("first"))
