@@ -6,14 +6,18 @@ number); sentences that a repeat covers are cut from the text.
 
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at the end of a
 line; one of more than ``MOST_WORDS`` words counts as several, so that a passage
-without full stops is seen as well. Runs of fewer than ``LEAST_WORDS`` words are
-left out: they recur by chance.
+without full stops is seen as well. Runs of fewer than ``LEAST_WORDS`` words recur
+by chance; they are extended, forward and backward, by further sentences until they
+have as many, so that lists and menus of short lines are seen too. In scripts
+without spaces two characters count as a word.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ MOST_WORDS = 16
 LEAST_WORDS = 9
 #: A sentence with the white space behind it.
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)\s+|\n\s*|$)|\n\s*")
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def sentences(text: str) -> list[str]:
@@ -43,18 +49,42 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def _size(sentence: str) -> int:
+    """Its words; in scripts without spaces two characters count as one."""
+    words = len(sentence.split())
+    return words if sentence.isascii() else words + len(_UNSPACED.findall(sentence)) // 2
+
+
+def spans(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, end) of every run over sentences of so many words, in order; fewer sentences than ``SPAN`` are one run.
+
+    A run of ``SPAN`` that is too short gives the least one that begins where it
+    does and the least one that ends there, if those sentences have words.
+    """
+    n, sums = len(sizes), list(accumulate(sizes, initial=0))
+    if n < SPAN:
+        return [(0, n)] if sums[n] >= LEAST_WORDS else []
+    out = []
+    for k in range(n - SPAN + 1):
+        end = k + SPAN
+        if sums[end] - sums[k] >= LEAST_WORDS:
+            out.append((k, end))
+            continue
+        if sizes[k] and (far := bisect_left(sums, sums[k] + LEAST_WORDS)) <= n:
+            out.append((k, far))
+        if sizes[end - 1] and (near := bisect_right(sums, sums[end] - LEAST_WORDS) - 1) >= 0:
+            out.append((near, end))
+    return sorted(set(out))
+
+
 def runs_of(text: str) -> tuple[list[int], list[bytes]]:
-    """(first sentence, 128-bit hash) of every run; a text of fewer sentences is one run."""
-    words = [s.split() for s in sentences(text)]
-    if 0 < len(words) < SPAN:
-        words += [[]] * (SPAN - len(words))
+    """(place, 128-bit hash) of every run; a place is the first sentence times 2^32, plus the end."""
+    parts = sentences(text)
+    flat = [" ".join(s.split()) for s in parts]
     at, out = [], []
-    flat = [" ".join(w) for w in words]
-    sizes = [len(w) for w in words]
-    for k in range(len(words) - SPAN + 1):
-        if sum(sizes[k : k + SPAN]) >= LEAST_WORDS:
-            at.append(k)
-            out.append(xxhash.xxh3_128_digest("\n".join(flat[k : k + SPAN])))
+    for k, end in spans([_size(s) for s in parts]):
+        at.append(k << 32 | end)
+        out.append(xxhash.xxh3_128_digest("\n".join(flat[k:end])))
     return at, out
 
 
@@ -74,11 +104,11 @@ def _runs(docs: DataFrame) -> DataFrame:
                     hashes += found
                 owner = pa.array(owner, pa.int32())
                 pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                columns = [some.column(0).take(owner), some.column(1).take(owner), pa.array(starts, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
+                columns = [some.column(0).take(owner), some.column(1).take(owner), pa.array(starts, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "rk", "text").mapInArrow(run, f"doc_id {kind}, rk long, at int, h1 long, h2 long")
+    return docs.select("doc_id", "rk", "text").mapInArrow(run, f"doc_id {kind}, rk long, at long, h1 long, h2 long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -114,7 +144,7 @@ def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             total, removed, texts = [], [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 parts = sentences(text or "")
-                gone = {k + j for k in starts or () for j in range(SPAN) if k + j < len(parts)}
+                gone = {k for at in starts or () for k in range(at >> 32, at & 0xFFFFFFFF)}
                 total.append(len(parts))
                 removed.append(len(gone))
                 texts.append("".join(p for k, p in enumerate(parts) if k not in gone) if gone else text)

@@ -60,3 +60,20 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring.dedup_sentences(df).collect()) == [(0, 0), (1, 4), (1, 4), (2, 4)]
     assert substring.dedup_sentences(df.limit(0)).count() == 0
+
+
+def test_runs_of_short_sentences_are_extended(spark):
+    menu = "".join(f"entry {k}\n" for k in range(40))
+    shout = "".join(f"WORD{k}!! " for k in range(40))
+    han = "".join("".join(chr(0x4E00 + 97 * k + j) for j in range(7)) + "\n" for k in range(40))
+    for passage in (menu, shout, han):
+        df = spark.createDataFrame([(1, f"a first text stands here.\n{passage}and its end."), (2, f"another one comes now.\n{passage}which ends too.")], "doc_id long, text string")
+        got = {r.doc_id: r for r in substring.dedup_sentences(df).collect()}
+        assert (got[1].n_removed, got[2].n_removed, got[2].first_docs) == (0, 40, [1])
+        assert got[2].text == "another one comes now.\nwhich ends too."
+
+
+def test_spans():
+    assert substring.spans([4, 4]) == [] and substring.spans([5, 4]) == [(0, 2)]
+    assert substring.spans([3, 3, 3, 1, 1, 1]) == [(0, 3), (0, 4), (0, 5), (1, 6)]
+    assert len(substring.spans([1] + [0] * 100_000 + [1] * 20)) < 60
