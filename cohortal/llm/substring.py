@@ -6,7 +6,10 @@ number); sentences that a repeat covers are cut from the text.
 
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at the end of a
 line; one of more than ``MOST_WORDS`` words counts as several, so that a passage
-without full stops is seen as well. Runs of fewer than ``LEAST_WORDS`` words recur
+without full stops is seen as well. It is cut where the hash of two neighbouring
+words is the greatest of ``MOST_WORDS`` in a row, so that equal words are cut alike
+wherever a sentence begins; a character of a script without spaces counts as a
+word there. Runs of fewer than ``LEAST_WORDS`` words recur
 by chance; they are extended, forward and backward, by further sentences until they
 have as many, so that lists and menus of short lines are seen too. In scripts
 without spaces two characters count as a word.
@@ -18,6 +21,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +37,45 @@ LEAST_WORDS = 9
 #: A sentence with the white space behind it.
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)\s+|\n\s*|$)|\n\s*")
 #: Thai, Lao, Burmese, Khmer, kana and Han.
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_CHARS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_CHARS}]")
+_WORD, _WORD_OR_CHAR = re.compile(r"\S+"), re.compile(rf"[{_CHARS}]|[^\s{_CHARS}]+")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """The words before which a long sentence is cut: the greatest hash of every ``MOST_WORDS`` in a row, the last of equal ones."""
+    data = [w.encode() for w in words]
+    marks = list(map(crc32, [b"", *data[:-1]], map(crc32, data)))
+    out, last = [], 0
+    for end in range(MOST_WORDS, len(marks)):
+        if last <= end - MOST_WORDS:
+            some = marks[end - MOST_WORDS + 1 : end + 1]
+            some.reverse()
+            last = end - some.index(max(some))
+        elif marks[end] > marks[last]:
+            last = end
+        else:
+            continue
+        out.append(last)
+    return out
 
 
 def sentences(text: str) -> list[str]:
     """A text cut into sentences; joined they are the text again."""
-    out = []
+    out, plain = [], text.isascii() or not _UNSPACED.search(text)
     for s in _SENTENCE.findall(text):
-        words = s.split()
+        words = s.split() if plain else _WORD_OR_CHAR.findall(s)
         if len(words) <= MOST_WORDS:
             out.append(s)
             continue
-        starts = [m.start() for m in re.finditer(r"\S+", s)][::MOST_WORDS]
-        out += [s[a:b] for a, b in zip([0, *starts[1:]], [*starts[1:], len(s)], strict=True)]
+        starts = [m.start() for m in (_WORD if plain else _WORD_OR_CHAR).finditer(s)]
+        cuts = [starts[k] for k in _cuts(words)]
+        out += [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
     return out
 
 
-def _size(sentence: str) -> int:
+def _size(sentence: str, words: int) -> int:
     """Its words; in scripts without spaces two characters count as one."""
-    words = len(sentence.split())
     return words if sentence.isascii() else words + len(_UNSPACED.findall(sentence)) // 2
 
 
@@ -80,9 +104,10 @@ def spans(sizes: list[int]) -> list[tuple[int, int]]:
 def runs_of(text: str) -> tuple[list[int], list[bytes]]:
     """(place, 128-bit hash) of every run; a place is the first sentence times 2^32, plus the end."""
     parts = sentences(text)
-    flat = [" ".join(s.split()) for s in parts]
+    words = [s.split() for s in parts]
+    flat = [" ".join(w) for w in words]
     at, out = [], []
-    for k, end in spans([_size(s) for s in parts]):
+    for k, end in spans([_size(s, len(w)) for s, w in zip(parts, words, strict=True)]):
         at.append(k << 32 | end)
         out.append(xxhash.xxh3_128_digest("\n".join(flat[k:end])))
     return at, out
@@ -116,12 +141,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, rk and text.
     """
-    runs = stored(_runs(docs))
+    # Hashed twice rather than stored: most runs occur once, and only half of the hash goes through the first shuffle.
+    runs = _runs(docs)
+    known = cut(runs.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
+    met = stored(runs.join(known, "h1", "left_semi"))
     place = F.struct("doc_id", "rk", "at")
-    first = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = met.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # Materialised, so that a run with very many copies can be split in the join.
     first = cut(first.select("h1", "h2", "first"))
-    later = runs.join(first, ["h1", "h2"]).where(place != F.col("first"))
+    later = met.join(first, ["h1", "h2"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "rk").agg(F.collect_set("at").alias("starts"), F.collect_set("first.doc_id").alias("first_docs"))
 
 

@@ -77,3 +77,24 @@ def test_spans():
     assert substring.spans([4, 4]) == [] and substring.spans([5, 4]) == [(0, 2)]
     assert substring.spans([3, 3, 3, 1, 1, 1]) == [(0, 3), (0, 4), (0, 5), (1, 6)]
     assert len(substring.spans([1] + [0] * 100_000 + [1] * 20)) < 60
+
+
+def test_long_sentences_are_cut_alike_at_any_offset(spark):
+    rng = random.Random(5)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [(0, "start " + " ".join(words))]
+    docs += [(k, " ".join(f"u{k}x{j}" for j in range(k)) + " " + " ".join(words) + f" tail{k}") for k in range(1, 17)]
+    docs.append((17, " ".join([*words[:60], "inserted", *words[60:]])))
+    han = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(120))
+    docs += [(20, han), (21, "\u4e00\u4e8c\u4e09" + han)]
+    got = {r.doc_id: r for r in substring.dedup_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k in range(1, 18):
+        assert sum(w in got[k].text.split() for w in words) <= (60 if k == 17 else 32)
+    assert got[0].n_removed == got[20].n_removed == 0 and len(got[21].text) <= 35
+
+
+def test_cuts_are_at_most_so_many_words_apart():
+    rng = random.Random(6)
+    for n in (17, 40, 500):
+        parts = substring.sentences(" ".join(rng.choice("abcdefg") for _ in range(n)))
+        assert max(len(p.split()) for p in parts) <= substring.MOST_WORDS and all(p.strip() for p in parts)
