@@ -35,6 +35,9 @@ _TESTS = r"(?i)(^|[/_.\-])(tests?|examples?|docs?|fixtures?|samples?|mocks?|spec
 _AWS = r"(?<![A-Za-z0-9])A(KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _LONG = r"(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}={0,2}"
 _VALUE = r"[A-Za-z0-9+/_\-.$@!%&*]{8,}={0,2}"
+#: Where a token is cut: before every key name with its sign, so that each has a part of its own.
+_NAMED = rf"[\"']?[\w.\-]*{_KEYS.removeprefix('(?i)')}[\w\-]*[\"']?[:=]"
+_PARTS = rf"(?i)&(?={_NAMED})|(?<=[^\w.\-\"'&])(?={_NAMED})"
 #: Lines without a match are not looked at further; every candidate needs one of these.
 _LINE = rf"[A-Za-z0-9+/_\-]{{20}}|(?i:pass|pwd|secret|token|key|credential|auth)[\w\-]*[\"']?\s*[:=]"
 FEATURES = [
@@ -80,9 +83,13 @@ def features(found: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, line_no, token_no, rule, value, before, after) of every candidate in ``docs`` (doc_id, path, text)."""
     lines = docs.select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(_LINE))
-    tokens = lines.select("doc_id", "path", "line_no", F.split(F.trim("line"), r"\s+").alias("tokens"))
-    tokens = tokens.select("doc_id", "path", "line_no", "tokens", F.posexplode("tokens").alias("token_no", "token"))
-    at = F.col("token_no")
+    # A token with several names, such as minified JSON or a query string, is several parts under one number.
+    cut = lambda word, k: F.transform(F.split(word, _PARTS), lambda part: F.struct(k.alias("no"), part.alias("part")))
+    parts = F.filter(F.flatten(F.transform(F.split(F.trim("line"), r"\s+"), cut)), lambda x: x["part"] != "")
+    tokens = lines.select("doc_id", "path", "line_no", parts.alias("parts")).select("*", F.col("parts.part").alias("tokens"))
+    tokens = tokens.select("doc_id", "path", "line_no", "tokens", F.posexplode("parts").alias("at", "x"))
+    tokens = tokens.select("doc_id", "path", "line_no", "tokens", "at", F.col("x.no").alias("token_no"), F.col("x.part").alias("token"))
+    at = F.col("at")
     span = lambda a, n: F.array_join(F.slice("tokens", a, n), " ")
     beside = F.when(at == 0, "").otherwise(span(F.greatest(F.lit(1), at - 2), F.least(at, F.lit(3))))
     near = tokens.withColumns({"ahead": beside, "after": span(at + 2, F.lit(3))})
@@ -92,13 +99,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     shown = F.when((inner != "") & inner.rlike(_KEYS), F.substring(token, F.length(inner) + 1, F.length(token))).otherwise(token)
     near = near.withColumns({"shown": shown, "before": F.concat_ws(" ", "ahead", F.when(shown != token, inner))})
     shown, before = F.col("shown"), F.col("before")
-    aws, long = F.regexp_extract(shown, _AWS, 0), F.regexp_extract(shown, _LONG, 0)
-    assigned = F.when(before.rlike(_KEYS.replace("(?![A-Za-z])", "") + r"[\w\-]*[\"']?\s*[:=]\s*[\"']?$"), F.regexp_extract(shown, _VALUE, 0)).otherwise("")
-    value = F.when(aws != "", aws).when(assigned != "", assigned).otherwise(long)
-    rule = F.when(aws != "", "access key").when(assigned != "", "assignment").otherwise("mixed string")
-    return near.withColumns({"value": value, "rule": rule}).where("value <> ''").select(
-        "doc_id", "path", "line_no", "token_no", "rule", "value", "before", "after"
+    # Every match is a candidate; what one rule has taken is not read by the next.
+    aws, rest = F.regexp_extract_all(shown, F.lit(_AWS), F.lit(0)), F.regexp_replace(shown, _AWS, " ")
+    assigned = F.when(before.rlike(_KEYS.replace("(?![A-Za-z])", "") + r"[\w\-]*[\"']?\s*[:=]\s*[\"']?$"), F.regexp_extract(rest, _VALUE, 0)).otherwise("")
+    near = near.withColumns({"aws": aws, "assigned": assigned, "rest": rest})
+    left = F.when(F.col("assigned") != "", F.replace(F.col("rest"), F.col("assigned"), F.lit(" "))).otherwise(F.col("rest"))
+    named = lambda values, rule: F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
+    every = F.concat(
+        named(F.col("aws"), "access key"),
+        named(F.filter(F.array("assigned"), lambda v: v != ""), "assignment"),
+        named(F.regexp_extract_all(left, F.lit(_LONG), F.lit(0)), "mixed string"),
     )
+    found = near.select("doc_id", "path", "line_no", "token_no", "before", "after", F.explode(every).alias("x"))
+    return found.select("doc_id", "path", "line_no", "token_no", "x.rule", "x.value", "before", "after")
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:

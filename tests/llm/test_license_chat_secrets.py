@@ -134,3 +134,21 @@ def test_one_label_or_none(spark, labelled):
     p = lambda rows: secrets.features(rows.limit(1)).select(secrets.train(rows)).first()[0]
     assert p(labelled.where("label = 0")) == 0.0
     assert secrets.features(labelled.limit(1)).select(secrets.train(labelled.limit(0))).first()[0] == 1.0
+
+
+def test_every_secret_of_a_token_is_a_candidate(spark):
+    one, two = "AKIA" + "QWERTYUIOPASDFG7", "AKIA" + "ZXCVBNMASDFGHJ42"
+    rows = [
+        ('{"user":"bob","password":"hunter2abc9"}', ["hunter2abc9"]),
+        ("https://x.io/?user=bob&token=Zx81kQpLw93", ["Zx81kQpLw93"]),
+        ('{"password":"hunter2abc9","api_key":"Zx81kQpLw93"}', ["Zx81kQpLw93", "hunter2abc9"]),
+        (f"{one},{two}", [one, two]),
+        ('{"a":{"user":"bob","db_password":"hunter2abc9"}}', ["hunter2abc9"]),
+        ("x password=ab,cdefgh12 y", ["cdefgh12"]),
+        ("token={abcd12345} y", ["abcd12345"]),
+    ]
+    docs = spark.createDataFrame([(k, "src", t) for k, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {k: [] for k in range(len(rows))}
+    for r in secrets.candidates(docs).collect():
+        got[r.doc_id].append(r.value)
+    assert {k: sorted(v) for k, v in got.items()} == {k: want for k, (_, want) in enumerate(rows)}
