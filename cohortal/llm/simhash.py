@@ -183,6 +183,13 @@ def links(points: DataFrame, tile_rows: int = 4096) -> DataFrame:
     return _linked(met.withColumn("salt", mine).withColumn("tile", F.explode(shared)))
 
 
+def _rooted(marked: DataFrame, tile_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The points (fp, doc) of ``marked`` (doc_id, fp), and (fp, root, root_fp) of those with links; a root is the least point of its component."""
+    points = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc")))
+    found = connected_components(links(points, tile_rows))
+    return points, cut(found.select(F.col("node.fp").alias("fp"), F.col("root.doc").alias("root"), F.col("root.fp").alias("root_fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``.
 
@@ -194,17 +201,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       ``docs``, whatever their names, are not read. No rows give no rows.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    points = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc")))
-    found = connected_components(links(points, tile_rows))
-    roots = cut(found.select(F.col("node.fp").alias("fp"), F.col("root.doc").alias("root")))
+    points, roots = _rooted(marked, tile_rows)
     component = F.nullif(F.coalesce("root", "doc"), F.lit(NO_ID))
-    named = cut(points.join(roots, "fp", "left").select(F.col("fp").alias("point"), component.alias("component_id")))
+    named = cut(points.join(roots.drop("root_fp"), "fp", "left").select(F.col("fp").alias("point"), component.alias("component_id")))
     return marked.join(named, marked.fp == named.point).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; one row for each such id."""
-    kept = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """One row of ``docs`` for each component, with its smallest id; a null id only where all are null. Rows with one id and different texts are told apart."""
+    rk = F.xxhash64(F.col(text_col))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint_of(x) for x in batch.column(2).to_pylist()), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "rk", "fp"])
+
+    taken = docs.select(key.alias("doc_id"), rk.alias("rk"), F.col(text_col).cast("binary").alias("text"))
+    marked = cut(taken.mapInArrow(run, "doc_id long, rk long, fp long"))
+    points, roots = _rooted(marked)
+    leaders = points.join(roots, "fp", "left").where("root_fp is null or fp = root_fp").select("fp", F.col("doc").alias("doc_id"))
+    kept = marked.join(leaders, ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.min("rk").alias("rk")).select("doc_id", "rk").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"), key.alias("doc_id"), rk.alias("rk"))
+    return rows.join(kept, ["doc_id", "rk"], "left_semi").dropDuplicates(["doc_id", "rk"]).select("row.*")

@@ -88,3 +88,9 @@ def test_components(spark):
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: group[n] for n in linked}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_and_repeated_ids_keep_one_of_each_group(spark):
+    rows = [(None, "only null words here"), (None, "only null words here"), (1, "a b c d"), (2, "A b c d"), (2, "unique text of its own"), (None, "a b c D"), (3, "x y z w"), (3, "q r s t")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "only null words here"), (1, "a b c d"), (2, "unique text of its own"), (3, "q r s t"), (3, "x y z w")]
