@@ -2,29 +2,34 @@
 
 Calls and results meet in a hash join by conversation and identifier. A call may
 refer to the results of others; calls are ordered topologically by their level, in
-joins over the whole table that follow chains of any length in a few rounds. Arguments are validated against the tool's schema,
-and each call is written as canonical JSON: keys sorted, no spaces, one number form.
+joins over the whole table that follow chains of any length in a few rounds. Arguments
+are validated against the tool's schema, and each call is written as canonical JSON:
+keys sorted, no spaces, one number form. Only the texts pass through Python.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.common import cut
 
+#: Conversations of up to so many references among calls with several of them are ordered in a task each.
+LOCAL_REFS = 50_000
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def _is(value: object, kind: str) -> bool:
     if kind in ("number", "integer"):
         ok = isinstance(value, int | float) and not isinstance(value, bool)
-        return ok and (kind == "number" or float(value).is_integer())
+        return ok and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES[kind])
 
 
@@ -91,13 +96,44 @@ def _jumped(calls: DataFrame, edges: DataFrame) -> DataFrame:
         state = state.drop("_d")
 
 
-def levels(calls: DataFrame) -> DataFrame:
+def _settled(waiting: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of calls with several references, each conversation in one task.
+
+    ``waiting`` has conv_id, call_id, up and w: the call stands at least ``w`` above
+    ``up``, which has level 0 unless it waits itself. Calls that a cycle keeps waiting give no row.
+    """
+    kinds = waiting.select("conv_id", "call_id").schema
+
+    def solve(group: pa.Table) -> pa.Table:
+        calls, ups, steps = (group.column(c).to_pylist() for c in ("call_id", "up", "w"))
+        open_refs, above, level = Counter(calls), defaultdict(list), dict.fromkeys(calls, 0)
+        ready = []
+        for call, up, step in zip(calls, ups, steps, strict=True):
+            if up in level:
+                above[up].append((call, step))
+            elif up is not None:
+                level[call], open_refs[call] = max(level[call], step), open_refs[call] - 1
+                if not open_refs[call]:
+                    ready.append(call)
+        for call in ready:  # grows as it is read
+            for other, step in above[call]:
+                level[other], open_refs[other] = max(level[other], level[call] + step), open_refs[other] - 1
+                if not open_refs[other]:
+                    ready.append(other)
+        conv = pa.array([group.column("conv_id")[0].as_py()] * len(ready), group.schema.field("conv_id").type)
+        return pa.table({"conv_id": conv, "call_id": pa.array(ready, pa.string()), "level": pa.array([level[c] for c in ready], pa.int64())})
+
+    return waiting.groupBy("conv_id").applyInArrow(solve, f"conv_id {kinds['conv_id'].dataType.simpleString()}, call_id string, level long")
+
+
+def levels(calls: DataFrame, local_refs: int = LOCAL_REFS) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that refer to none, else one more than the highest they refer to.
 
     Calls on a cycle, or above one, have a null level. A reference to a call that
     is not there counts as met. Chains of single references are followed by
-    doubling; calls with several references then take one round of joins for each
-    level among themselves. Nothing is gathered.
+    doubling. Calls with several references are then ordered in one task for each
+    conversation of up to ``local_refs`` such references; larger conversations take
+    one round of joins for each level among these calls. Nothing is gathered.
     """
     nodes = cut(calls.select("conv_id", "call_id").distinct())
     edges = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).where("ref is not null").distinct()
@@ -107,8 +143,11 @@ def levels(calls: DataFrame) -> DataFrame:
     several = edges.groupBy(*key).count().where("count > 1").select(*key)
     ends = jumped.select("conv_id", F.col("call_id").alias("ref"), F.col("up"), F.col("d"))
     waiting = cut(edges.join(several, key, "left_semi").join(ends, ["conv_id", "ref"]).select(*key, "up", (F.col("d") + 1).alias("w")))
-    done = cut(nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")))
-    while True:
+    done = nodes.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    large = cut(waiting.groupBy("conv_id").count().where(F.col("count") > local_refs).select("conv_id"))
+    done = cut(done.unionByName(_settled(waiting.join(large, "conv_id", "left_anti"))))
+    waiting = cut(waiting.join(large, "conv_id", "left_semi"))
+    while not waiting.isEmpty():
         known = done.select("conv_id", F.col("call_id").alias("up"), "level")
         ready = waiting.join(known, ["conv_id", "up"], "left").groupBy(*key)
         ready = ready.agg(F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
@@ -121,56 +160,85 @@ def levels(calls: DataFrame) -> DataFrame:
     return jumped.join(top, ["conv_id", "up"], "left").select(*key, (F.col("d") + F.col("level")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def _first_and_rest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with a conversation and an identifier the least of each pair of them, and all the others, repeated ones as often as they occur."""
+    key = ["conv_id", "call_id"]
+    rest = [c for c in rows.columns if c not in key]
+    counted = cut(rows.where("conv_id is not null and call_id is not null").groupBy(*rows.columns).agg(F.count("*").alias("n")))
+    first = cut(counted.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first")))
+    both = counted.join(first, key).withColumn("n", F.col("n") - F.struct(*rest).eqNullSafe(F.col("first")).cast("int")).where("n > 0")
+    others = both.select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+    return first.select(*key, "first.*"), others
+
+
+def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str | None, list[str]]:
+    """(canonical JSON, errors) of a call's arguments; what cannot be read or written as JSON of finite numbers has no JSON."""
+    try:
+        value = json.loads(arguments)
+        text = canonical(value)
+        text.encode()  # a lone surrogate has no UTF-8
+        return text, violations(value, schemas[name]) if name in schemas else ["$: no schema"]
+    except (TypeError, ValueError, OverflowError, RecursionError):
+        return None, ["$: not JSON"]
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], local_refs: int = LOCAL_REFS) -> DataFrame:
     """One row for each call and for each result without one.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), refs (call ids).
     ``results``: conv_id, call_id, turn, content.
     Returned: conv_id, call_id, turn, level, status, errors, json. status is
     ``linked``, ``pending`` (no result), ``early`` (its result stands before it),
-    ``orphan`` (a result alone), ``cyclic`` or ``invalid`` (schema; wins over the others).
+    ``orphan`` (a result alone), ``cyclic``, ``invalid`` (schema; wins over the
+    others) or ``duplicate``.
 
     Of calls, or results, with one conversation and identifier the one of the
-    lowest turn counts, then the least text. Null identifiers link with nothing: such calls are
-    pending, such results orphans. Null or malformed arguments are invalid;
-    a tool without a schema is invalid. Other columns are not read.
+    lowest turn counts, then the least text; each other one returns a row of its
+    own as a duplicate, which links with nothing. Null identifiers link with
+    nothing: such calls are pending, such results orphans. Arguments that are
+    null, malformed, nested too deeply to read, or hold what JSON cannot write
+    (infinite numbers, lone surrogates) are invalid; a tool without a schema is
+    invalid. Texts may have any length; ids of 64 bits stay exact. Other columns
+    are not read; no rows give no rows.
     """
-    call = F.struct("turn", "name", "arguments", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
-    result = F.struct(F.col("turn").alias("result_turn"), "content")
-    named = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(call).alias("c"))
-    named = cut(named.select("conv_id", "call_id", "c.*"))
-    answered = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(result).alias("r"))
-    answered = cut(answered.select("conv_id", "call_id", "r.*"))
-    joined = named.join(answered, ["conv_id", "call_id"], "full_outer").join(levels(named), ["conv_id", "call_id"], "left")
-    cols = ["conv_id", "call_id", "turn", "name", "arguments", "refs", "result_turn", "content", "level"]
-    loose_calls = calls.where("conv_id is null or call_id is null").select("conv_id", "call_id", "turn", "name", "arguments", "refs").distinct()
-    loose_results = results.where("conv_id is null or call_id is null").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content").distinct()
-    every = joined.select(*cols)
-    for loose in (loose_calls.withColumn("level", F.lit(0).cast("long")), loose_results):
-        every = every.unionByName(loose, allowMissingColumns=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))
+    results = results.select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content")
+    (named, more_calls), (answered, more_results) = _first_and_rest(calls), _first_and_rest(results)
+    named, answered = cut(named.withColumn("is_call", F.lit(True))), answered.withColumn("is_result", F.lit(True))
+    joined = named.join(answered, ["conv_id", "call_id"], "full_outer").join(levels(named, local_refs), ["conv_id", "call_id"], "left")
+    loose = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    loose_calls = calls.where(loose).withColumns({"is_call": F.lit(True), "level": F.lit(0).cast("long")})
+    twice = {"duplicate": F.lit(True)}
+    every = joined
+    for part in (loose_calls, results.where(loose), more_calls.withColumns(twice | {"is_call": F.lit(True)}), more_results.withColumns(twice)):
+        every = every.unionByName(part, allowMissingColumns=True)
+    is_call = F.coalesce("is_call", F.lit(False))
+    status = (
+        F.when(F.col("duplicate"), "duplicate")
+        .when(~is_call, "orphan")
+        .when(F.col("level").isNull(), "cyclic")
+        .when(F.col("is_result").isNull(), "pending")
+        .when(F.col("result_turn") < F.col("turn"), "early")
+        .otherwise("linked")
+    )
+    shaped = every.select("conv_id", "call_id", F.when(is_call, F.col("turn")).otherwise(F.col("result_turn")).alias("turn"), "level", status.alias("status"), is_call.alias("is_call"), "name", "arguments", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                errors, arguments = [], None
-                if r.name is None and r.arguments is None and r.turn is None:
-                    status = "orphan"
-                else:
-                    try:
-                        arguments = json.loads(r.arguments, parse_constant=lambda x: 1 / 0)
-                        errors = violations(arguments, schemas[r.name]) if r.name in schemas else ["$: no schema"]
-                    except (TypeError, ValueError, ZeroDivisionError, RecursionError):
-                        errors = ["$: not JSON"]
-                    linked = "pending" if r.result_turn is None else "early" if r.turn is not None and r.result_turn < r.turn else "linked"
-                    status = "invalid" if errors else "cyclic" if r.level is None else linked
-                shown = {"arguments": arguments, "call": r.call_id, "name": r.name, "result": r.content}
-                turn = r.result_turn if status == "orphan" else r.turn
-                out.append((r.conv_id, r.call_id, turn, r.level, status, errors, canonical({k: v for k, v in shown.items() if v is not None})))
-            frame = pd.DataFrame(out, columns=["conv_id", "call_id", "turn", "level", "status", "errors", "json"])
-            yield frame.astype({"conv_id": "Int64", "turn": "Int64", "level": "Int64"})
-
-    return every.mapInPandas(run, "conv_id long, call_id string, turn long, level long, status string, errors array<string>, json string")
+            statuses, errors, texts = [], [], []
+            for call_id, status, is_call, name, arguments, content in zip(*(c.to_pylist() for c in batch.select(["call_id", "status", "is_call", "name", "arguments", "content"]).columns), strict=True):
+                shown, wrong = checked(name, arguments, schemas) if is_call else (None, [])
+                statuses.append("invalid" if wrong and status != "duplicate" else status)
+                errors.append(wrong)
+                plain = {k: json.dumps(v, ensure_ascii=False) for k, v in (("call", call_id), ("name", name), ("result", content)) if v is not None}
+                parts = ({} if shown is None else {"arguments": shown}) | plain
+                texts.append("{" + ",".join(f'"{k}":{v}' for k, v in parts.items()) + "}")
+            columns = [batch.column("conv_id"), batch.column("call_id"), batch.column("turn"), batch.column("level"), pa.array(statuses, pa.string())]
+            columns += [pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "call_id", "turn", "level", "status", "errors", "json"])
+
+    kinds = {c: shaped.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
+    return shaped.mapInArrow(run, f"conv_id {kinds['conv_id']}, call_id string, turn {kinds['turn']}, level long, status string, errors array<string>, json string")
 
 
 #: The tool that stands for a request in plain conversations.

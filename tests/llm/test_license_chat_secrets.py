@@ -70,7 +70,10 @@ def test_linking(spark):
     results = [(1, "a", 1, "ra"), (1, "b", 3, "rb"), (1, "b", 9, "later"), (2, "a", 1, "early"), (1, "zz", 7, "alone"), (1, "p", 3, "r"), (1, "c", 5, 'r"é')]
     c = spark.createDataFrame([(*r, 1) for r in calls], "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>, level int")
     r = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
-    got = {(x.conv_id, x.call_id): x for x in chat.link(c, r, {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}).collect()}
+    rows = chat.link(c, r, {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}).collect()
+    more = sorted((x.call_id, x.turn, x.json) for x in rows if x.status == "duplicate")
+    assert more == [("b", 3, '{"arguments":{"x":9},"call":"b","name":"f"}'), ("b", 9, '{"call":"b","result":"later"}')]
+    got = {(x.conv_id, x.call_id): x for x in rows if x.status != "duplicate"}
     assert {k: (x.status, x.level) for k, x in got.items()} == {
         (1, "a"): ("linked", 0), (1, "b"): ("linked", 1), (1, "c"): ("linked", 2), (1, "p"): ("cyclic", None), (1, "q"): ("cyclic", None), (1, "bad"): ("invalid", 0),
         (1, "odd"): ("invalid", 0), (1, "no"): ("invalid", 0), (2, "a"): ("early", 0), (3, None): ("pending", 0), (4, "w"): ("pending", 0), (1, "zz"): ("orphan", None),
@@ -80,6 +83,22 @@ def test_linking(spark):
     assert chat.link(c.limit(0), r.limit(0), {}).count() == 0
 
 
+def test_arguments_that_json_cannot_hold_are_invalid(spark):
+    kinds = {"i": {"type": "object", "properties": {"x": {"type": "integer"}}}}
+    odd = ['{"x": 1e400}', '{"x": "\\ud800"}', "[" * 3000 + "]" * 3000, '{"x": NaN}', "[" * 200_000, '{"x": ' + "7" * 5000 + "}", "\ufeff{}"]
+    fine = ['{"x": ' + "7" * 400 + "}", '{"x": -0.0}', '{"x": 1e300}', '{"t": "' + "long " * 60_000 + '"}']
+    big = 2**60 + 1
+    rows = [(big, f"c{k}", big + 2 * k, "i", text, None) for k, text in enumerate(odd + fine)] + [(big, None, None, "i", "{}", None), (None, "n", big, "i", "{}", None)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, refs array<string>")
+    results = spark.createDataFrame([(big, "c7", big, "r"), (big, "c7", big, "r"), (big, "c7", big, "r"), (None, None, None, None)], "conv_id long, call_id string, turn long, content string")
+    got = chat.link(calls, results, kinds).collect()
+    by_call = {r.call_id: r for r in got if r.status not in ("duplicate", "orphan")}
+    assert {k for k, r in by_call.items() if r.status == "invalid"} == {f"c{k}" for k in range(len(odd))} and len(by_call) == len(rows)
+    assert by_call["c0"].json == '{"call":"c0","name":"i"}' and "7" * 400 in by_call["c7"].json and '"x":0}' in by_call["c8"].json
+    assert by_call["c1"].turn == big + 2 and by_call["c1"].conv_id == big and by_call[None].turn is None and by_call["n"].conv_id is None
+    assert [r.turn for r in got if r.status == "duplicate"] == [big, big] and sum(r.status == "orphan" for r in got) == 1
+
+
 def test_levels_equal_a_sequential_reading(spark):
     import random
 
@@ -95,8 +114,16 @@ def test_levels_equal_a_sequential_reading(spark):
         for (c, n), refs in known.items():
             if all((c, r) in want for r in refs):
                 want[c, n] = max((want[c, r] + 1 for r in refs), default=0)
-    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls).collect()}
     assert got == {k: want.get(k) for k in known} and got[0, "c69"] == 69 and got[9, "a"] is None
+    assert {(r.conv_id, r.call_id): r.level for r in chat.levels(calls, local_refs=80).collect()} == got
+
+
+def test_many_levels_among_calls_with_several_references(spark):
+    rows = [(1, f"c{k}", [f"c{k - 1}", f"c{k - 2}"][: min(k, 2)]) for k in range(3000)]
+    got = {r.call_id: r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
+    assert got == {f"c{k}": k for k in range(3000)}
 
 
 def test_plain_conversations(spark):
