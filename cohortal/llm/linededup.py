@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from cohortal.llm.common import cut, stored
 
-#: Shorter lines are compared for equality only: one edit would change most of a very short line.
-MIN_NEAR_CHARS = 10
+#: Lines of fewer characters are compared for equality only. By the method every line is compared; a caller may spare short ones.
+MIN_NEAR_CHARS = 1
 #: A surviving stretch is cut into so many parts at each step.
 PARTS = 48
 EDITS = 1
@@ -45,7 +45,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFr
     )
 
 
-def _distinct(docs: DataFrame) -> DataFrame:
+def _distinct(docs: DataFrame, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """Each distinct line's first place, length and the hashes of its halves under both labels."""
     line, n = F.col("line"), F.length("line")
 
@@ -55,7 +55,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
         right = F.xxhash64(m, F.lit(2), F.right(line, f))
         return [left, right]
 
-    keys = F.when(n >= MIN_NEAR_CHARS, F.array(*halves(n), *halves(n + 1)))
+    keys = F.when(n >= min_near_chars, F.array(*halves(n), *halves(n + 1)))
     return (
         _lines(docs)
         .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct(*_ROW).alias("place"), n.alias("n"), keys.alias("keys"))
@@ -132,9 +132,9 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_near_chars: int, *more: Column) -> DataFrame:
     split = _split(docs, id_col, text_col)
-    lines = stored(_distinct(split))
+    lines = stored(_distinct(split, min_near_chars))
     gone = near_lines(split, lines).select("place").distinct()
     kept = lines.select("place").join(gone, "place", "left_anti").select("place.*")
     kept = kept.groupBy("doc_id", "rk").agg(F.collect_list("line_no").alias("kept"))
@@ -154,7 +154,7 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Data
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """(doc_id, n_lines, n_kept, text): every document with its repeated lines removed.
 
     * Lines are what lies between newlines. Blank lines are not compared and stay.
@@ -163,14 +163,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
       same lines. Null ids come first in the order. Texts and lines may have any
       length. Other columns of ``docs`` are not read.
     """
-    return _cleaned(docs, id_col, text_col).select("doc_id", "n_lines", "n_kept", "text")
+    return _cleaned(docs, id_col, text_col, min_near_chars).select("doc_id", "n_lines", "n_kept", "text")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
     """``docs`` with cleaned texts, its other columns as they were.
 
     A document that loses all its lines goes; one that had none to lose stays.
     """
     row = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
-    cleaned = _cleaned(docs, id_col, text_col, row).where("n_kept > n_blank or n_lines = n_blank")
+    cleaned = _cleaned(docs, id_col, text_col, min_near_chars, row).where("n_kept > n_blank or n_lines = n_blank")
     return cleaned.select(*(F.col("text").alias(x) if x == text_col else F.col(f"row.`{x}`") for x in docs.columns))

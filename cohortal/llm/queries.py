@@ -160,11 +160,10 @@ every AS (
   SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM split),
 firsts AS (
   SELECT line, length(line) AS n, min((doc_id, line_no)) AS place FROM every WHERE trim(line) <> '' GROUP BY line),
-long AS (SELECT * FROM firsts WHERE n >= 10),
 halves AS (
-  SELECT place, line, n, m, 1 AS side, left(line, (m - 1) // 2) AS half FROM long, unnest([n, n + 1]) AS t(m)
+  SELECT place, line, n, m, 1 AS side, left(line, (m - 1) // 2) AS half FROM firsts, unnest([n, n + 1]) AS t(m)
   UNION ALL
-  SELECT place, line, n, m, 2 AS side, right(line, (m - 1) // 2) AS half FROM long, unnest([n, n + 1]) AS t(m)),
+  SELECT place, line, n, m, 2 AS side, right(line, (m - 1) // 2) AS half FROM firsts, unnest([n, n + 1]) AS t(m)),
 pairs AS (
   SELECT DISTINCT b.place, a.line AS x, b.line AS y, greatest(a.n, b.n) AS m
   FROM halves a JOIN halves b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND a.place < b.place),

@@ -12,14 +12,14 @@ def within_one_edit(a, b):
     return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
 
-def brute(docs):
+def brute(docs, least=1):
     """Texts after dedup, by doc_id; ids are unique."""
     first = {}
     for d, text in sorted((d, t) for d, t in docs if t is not None):
         for n, line in enumerate(text.split("\n")):
             if line.strip(" "):
                 first.setdefault(line, (d, n))
-    gone = {x for x in first if len(x) >= 10 for y in first if len(y) >= 10 and first[y] < first[x] and within_one_edit(x, y)}
+    gone = {x for x in first if len(x) >= least for y in first if len(y) >= least and first[y] < first[x] and within_one_edit(x, y)}
     out = {}
     for d, text in docs:
         lines = [] if text is None else text.split("\n")
@@ -49,6 +49,14 @@ def test_equals_brute_force(spark):
     want = brute(docs)
     assert got == want
     assert any(n != k for n, k, _ in want.values())
+    spared = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in linededup.dedup_lines(df, min_near_chars=10).collect()}
+    assert spared == brute(docs, 10) != want
+
+
+def test_short_lines(spark):
+    df = spark.createDataFrame([(1, "hello you"), (2, "hello yow\nab"), (3, "a\nc\nabc\nxyz")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert got == {1: "hello you", 2: "ab", 3: "xyz"}
 
 
 def test_repeated_rows_null_ids_and_no_rows(spark):
