@@ -9,10 +9,10 @@ line; one of more than ``MOST_WORDS`` words counts as several, so that a passage
 without full stops is seen as well. It is cut where the hash of two neighbouring
 words is the greatest of ``MOST_WORDS`` in a row, so that equal words are cut alike
 wherever a sentence begins; a character of a script without spaces counts as a
-word there. Runs of fewer than ``LEAST_WORDS`` words recur
-by chance; they are extended, forward and backward, by further sentences until they
-have as many, so that lists and menus of short lines are seen too. In scripts
-without spaces two characters count as a word.
+word there. Runs of fewer than ``LEAST_WORDS`` words recur by chance; they are
+extended, forward and backward, by further sentences until they have as many, so
+that lists and menus of short lines are seen too. A text of fewer words altogether
+is one run. In scripts without spaces two characters count as a word.
 """
 
 from __future__ import annotations
@@ -80,14 +80,15 @@ def _size(sentence: str, words: int) -> int:
 
 
 def spans(sizes: list[int]) -> list[tuple[int, int]]:
-    """(first, end) of every run over sentences of so many words, in order; fewer sentences than ``SPAN`` are one run.
+    """(first, end) of every run over sentences of so many words, in order.
 
+    Fewer sentences than ``SPAN``, or fewer words than ``LEAST_WORDS``, are one run.
     A run of ``SPAN`` that is too short gives the least one that begins where it
     does and the least one that ends there, if those sentences have words.
     """
     n, sums = len(sizes), list(accumulate(sizes, initial=0))
-    if n < SPAN:
-        return [(0, n)] if sums[n] >= LEAST_WORDS else []
+    if n < SPAN or sums[n] < LEAST_WORDS:
+        return [(0, n)] if sums[n] else []
     out = []
     for k in range(n - SPAN + 1):
         end = k + SPAN

@@ -1,4 +1,6 @@
 import random
+import re
+from zlib import crc32
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -11,23 +13,64 @@ def test_sentences_join_to_the_text(text):
     assert "".join(substring.sentences(text)) == text
 
 
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{k}." for k in range(200_000))
+    got = {r.doc_id: r.n_removed for r in substring.dedup_sentences(spark.createDataFrame([(1, text), (2, "own words. " + text)], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 200_000}
+
+
 def test_long_sentences_are_cut():
     parts = substring.sentences("w " * 40 + "end.")
     assert [len(p.split()) for p in parts] == [16, 16, 9]
 
 
+def plain_sentences(text):
+    """A second reading of the rule, character by character, for texts of words in Latin letters."""
+    parts, now = [], ""
+    for k, c in enumerate(text):
+        ahead = text[k + 1 : k + 2]
+        now += c
+        inside = now.rstrip()
+        ended = c == "\n" or (c.isspace() and inside and inside[-1] in ".!?" and "\n" not in now)
+        if ended and not (ahead.isspace() and (ahead != "\n" or "\n" in now)) and not (c != "\n" and ahead == "\n"):
+            parts, now = [*parts, now], ""
+    parts += [now] if now else []
+    out = []
+    for p in parts:
+        words = p.split()
+        if len(words) <= 16:
+            out.append(p)
+            continue
+        marks = [crc32((words[k - 1] if k else "").encode(), crc32(w.encode())) for k, w in enumerate(words)]
+        cuts = {max(range(e - 15, e + 1), key=lambda j: (marks[j], j)) for e in range(16, len(words))}
+        starts = [m.start() for m in re.finditer(r"\S+", p)]
+        at = [0, *(starts[c] for c in sorted(cuts)), len(p)]
+        out += [p[a:b] for a, b in zip(at, at[1:])]
+    return out
+
+
 def brute(docs):
     """{doc: (removed, first documents, text)}: runs compared as lists of words, in the order of doc_id."""
-    first, out = {}, {}
+    first, out, least = {}, {}, 9
     for d, text in sorted(docs, key=lambda x: x[0]):
-        parts = substring.sentences(text or "")
-        runs = [(k, tuple(tuple(p.split()) for p in parts[k : k + 3])) for k in range(max(1, len(parts) - 2))] if parts else []
+        parts = plain_sentences(text or "")
+        words = [tuple(p.split()) for p in parts]
+        n, runs = len(parts), set()
+        held = lambda a, b: sum(map(len, words[a:b]))
+        if n < 3 or held(0, n) < least:
+            runs |= {(0, n)} if held(0, n) else set()
+        else:
+            for k in range(n - 2):
+                if held(k, k + 3) >= least:
+                    runs.add((k, k + 3))
+                    continue
+                runs |= {(k, e) for e in [next((e for e in range(k, n + 1) if held(k, e) >= least), None)] if e and words[k]}
+                runs |= {(a, k + 3) for a in [next((a for a in range(k + 3, -1, -1) if held(a, k + 3) >= least), None)] if a is not None and words[k + 2]}
         gone, sources = set(), set()
-        for k, run in runs:
-            if sum(map(len, run)) < substring.LEAST_WORDS:
-                continue
+        for k, end in sorted(runs):
+            run = tuple(words[k:end])
             if run in first:
-                gone |= set(range(k, min(k + 3, len(parts))))
+                gone |= set(range(k, end))
                 sources.add(first[run])
             else:
                 first[run] = d
@@ -44,6 +87,7 @@ def corpus():
         body = "".join(sentence() for _ in range(rng.randrange(0, 12)))
         docs.append((k, body + (rng.choice(passages) if k % 3 == 0 else "") + "".join(sentence() for _ in range(3))))
     docs += [(70, None), (71, ""), (72, "\n\n"), (73, docs[4][1]), (74, "one two three four five six seven eight nine ten."), (75, "one two three four five six seven eight nine ten.")]
+    docs += [(k, "Yes. No way.\nOh well, all is fine.") for k in (77, 78)] + [(k, "tiny") for k in (79, 80)]
     return docs + [(76, (passages[0] + "\n") * 3)]
 
 
@@ -52,7 +96,7 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, starts string")
     got = {r.doc_id: (r.n_removed, sorted(r.first_docs or []), r.text) for r in substring.dedup_sentences(df).collect()}
     want = brute(docs)
-    assert got == want and sum(n > 0 for n, _, _ in want.values()) > 15
+    assert got == want and got[78][0] == 3 and got[80][0] == 1 and sum(n > 0 for n, _, _ in want.values()) > 15
 
 
 def test_repeated_rows_null_ids_and_no_rows(spark):
@@ -74,7 +118,7 @@ def test_runs_of_short_sentences_are_extended(spark):
 
 
 def test_spans():
-    assert substring.spans([4, 4]) == [] and substring.spans([5, 4]) == [(0, 2)]
+    assert substring.spans([4, 4]) == substring.spans([5, 4]) == [(0, 2)] and substring.spans([2, 3, 3, 0]) == [(0, 4)] and substring.spans([0]) == substring.spans([]) == []
     assert substring.spans([3, 3, 3, 1, 1, 1]) == [(0, 3), (0, 4), (0, 5), (1, 6)]
     assert len(substring.spans([1] + [0] * 100_000 + [1] * 20)) < 60
 
