@@ -1,25 +1,37 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts become lists of hashed tokens. Three masks of 12 positions, each of which
-ignores another four, hash the windows of benchmark items and documents, so that
-substituted tokens do not hide a passage. Documents
-that share a hash with the benchmark are candidates; around each hit the item is
-laid over the document at the offset of the hit, and the best stretch is scored:
-a match counts 1, a substituted token -2. A document is contaminated if a
-stretch scores ``min_overlap`` or, for a shorter item, its whole length.
+Texts become lists of hashed tokens. Five masks of up to 12 positions, each of which
+ignores others, hash the windows of benchmark items and documents, so that
+substituted tokens do not hide a passage. Documents that share a hash with the
+benchmark are candidates; around each hit the item is laid over the document at the
+offset of the hit, and the best stretch is scored: a match counts 1, a substituted
+token -2. A document is contaminated if a stretch scores ``min_overlap`` or, for a
+shorter item, its whole length.
+
+The windows of a text are rows of as many columns as a mask is long, made by one
+``arrays_zip`` of its tokens and themselves some places on, so that all hashes are
+computed in generated code.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.common import cut
 
 SPAN = 12
-#: Each mask keeps 8 of 12 positions. These three hit every stretch of up to three substitutions that scores ``MIN_OVERLAP``,
-#: wherever the substitutions lie; a test goes through all of them.
-MASKS = [[k for k in range(SPAN) if k not in gaps] for gaps in ({3, 4, 5, 10}, {1, 2, 3, 5}, {2, 7, 8, 10})]
+#: Three masks keep 8 of 12 positions, one 7 of 11 and one 7 of 10. Together they hit every stretch of up to six substitutions
+#: that scores ``MIN_OVERLAP``, wherever the substitutions lie; a test goes through all of them.
+MASKS = [
+    [0, 1, 2, 6, 7, 8, 9, 11],
+    [0, 4, 6, 7, 8, 9, 10, 11],
+    [0, 1, 3, 4, 5, 6, 9, 11],
+    [0, 1, 2, 3, 5, 9, 10],
+    [0, 1, 2, 3, 6, 7, 9],
+]
 MIN_OVERLAP = 13
 MISMATCH = -2
 #: Shorter items are no evidence.
@@ -31,20 +43,27 @@ BROADCAST_ROWS = 1_000_000
 def tokens(text: Column) -> Column:
     """Hashes of the words of a text: lower case, runs of letters and digits; null has none."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(toks: Column, offsets: list[int], span: int) -> Column:
-    """The hash of every window of ``span`` tokens under one mask."""
+def _windows(rows: DataFrame, toks: str, *keys: str) -> DataFrame:
+    """(keys, i, t0, t1, ...): every place of a text with the tokens from there on, null behind its end."""
     n = F.size(toks)
-    at = F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
-    mask = F.lit(sum(1 << k for k in offsets))
-    return F.transform(at, lambda i: F.xxhash64(mask, *(F.get(toks, i + k) for k in offsets)))
+    shifted = [F.slice(toks, k + 1, F.greatest(n - k, F.lit(0))).alias(f"t{k}") for k in range(SPAN)]
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1).alias("i"), *shifted)
+    return rows.where(n > 0).select(*keys, F.inline(zipped)).toDF(*keys, "i", *(f"t{k}" for k in range(SPAN)))
+
+
+def _seed(mask: list[int]) -> Column:
+    """The hash of a window under one mask; null if it ends before the mask does."""
+    key = F.lit(sum(1 << k for k in mask))
+    return F.when(F.col(f"t{mask[-1]}").isNotNull(), F.xxhash64(key, *(F.col(f"t{k}") for k in mask)))
 
 
-def _masks(lengths: list[int]) -> list[tuple[list[int], int]]:
-    """The masks in use, with their spans. Items shorter than the span are hashed whole, by one mask for each length."""
-    return [(mask, SPAN) for mask in MASKS] + [(list(range(n)), n) for n in lengths]
+def _seeds(rows: DataFrame, toks: str, masks: list[list[int]], *keys: str) -> DataFrame:
+    """(keys, i, seed): every window's hash under every mask."""
+    found = _windows(rows, toks, *keys).select(*keys, "i", F.explode(F.array(*map(_seed, masks))).alias("seed"))
+    return found.where("seed is not null")
 
 
 def _best(doc: Column, item: Column, shift: Column) -> Column:
@@ -67,35 +86,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = cut(
         benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") >= MIN_ITEM).dropDuplicates(["item"])
     )
-    short = [r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]  # at most 7 lengths
-    masks = _masks(sorted(short))
-    own = F.concat(
-        *(
-            F.transform(
-                F.when((F.size("item") >= SPAN) if span == SPAN else (F.size("item") == span), _seeds(F.col("item"), mask, span)).otherwise(
-                    F.array().cast("array<bigint>")
-                ),
-                lambda seed, j: F.struct(seed.alias("seed"), j.alias("j")),
-            )
-            for mask, span in masks
-        )
-    )
-    targets = cut(items.select("item_id", F.inline(own)))
+    # Items shorter than the masks are hashed whole, by one mask for each length: at most 7.
+    short = [r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]
+    whole = {m: list(range(m)) for m in sorted(short)}
+    parts = [_seeds(items.where(F.size("item") >= SPAN), "item", MASKS, "item_id")]
+    parts += [_seeds(items.where(F.size("item") == m), "item", [mask], "item_id") for m, mask in whole.items()]
+    targets = cut(reduce(DataFrame.unionByName, parts).select("item_id", "seed", F.col("i").alias("j")))
+    masks = [*MASKS, *whole.values()]
     known = targets.select("seed").distinct()
     small = targets.count() <= BROADCAST_ROWS
     known, near = (F.broadcast(known), F.broadcast(targets)) if small else (known, targets)
 
     toks = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("rk"), tokens(F.col(text_col)).alias("toks"))
-    every = F.concat(*(_seeds(F.col("toks"), mask, span) for mask, span in masks))
-    suspects = cut(toks.select("doc_id", "rk", F.explode(every).alias("seed")).join(known, "seed", "left_semi").select("doc_id", "rk").distinct())
+    suspects = cut(_seeds(toks, "toks", masks, "doc_id", "rk").join(known, "seed", "left_semi").select("doc_id", "rk").distinct())
 
     taken = docs.select(F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
     held = taken.join(suspects, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("rk")), "left_semi")
     held = cut(held.select(F.col("d").alias("doc_id"), F.col("k").alias("rk"), tokens(F.col("t")).alias("toks")).dropDuplicates(["doc_id", "rk"]))
-    placed = F.concat(
-        *(F.transform(_seeds(F.col("toks"), mask, span), lambda seed, i: F.struct(seed.alias("seed"), i.alias("i"))) for mask, span in masks)
-    )
-    hits = held.select("doc_id", "rk", F.inline(placed)).join(near, "seed")
+    hits = _seeds(held, "toks", masks, "doc_id", "rk").join(near, "seed")
     hits = hits.select("doc_id", "rk", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
     laid = hits.join(F.broadcast(items) if small else items, "item_id")
     same = F.col("h.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("h.rk") == F.col("l.rk"))

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import numpy as np
 from regex import findall
 
 from cohortal.llm import decontam
@@ -74,10 +75,39 @@ def test_join_beyond_the_broadcast_bound_gives_the_same(spark, monkeypatch):
     assert {r.doc_id: r.best_overlap for r in decontam.decontaminate(df, bench).select("row.doc_id", "best_overlap").collect()} == {1: 20, 2: 0}
 
 
-def test_masks_hit_every_stretch_with_up_to_three_substitutions():
+def test_masks_hit_every_stretch_with_up_to_six_substitutions():
     kept = [sum(1 << k for k in mask) for mask in decontam.MASKS]
-    for changed in range(4):
+    assert all(mask[0] == 0 and mask[-1] < decontam.SPAN for mask in decontam.MASKS)
+    for changed in range(7):
         length = decontam.MIN_OVERLAP + changed - decontam.MISMATCH * changed
-        for places in itertools.combinations(range(length), changed):
-            bits = sum(1 << k for k in places)
-            assert any(bits >> start & mask == 0 for mask in kept for start in range(length - decontam.SPAN + 1))
+        left = np.array([sum(1 << k for k in places) for places in itertools.combinations(range(length), changed)], np.int64)
+        for mask in kept:
+            for start in range(length - mask.bit_length() + 1):
+                left = left[(left >> start & mask) != 0]
+        assert not len(left)
+
+
+def test_share_of_heavily_substituted_stretches_that_the_masks_hit():
+    rng, kept = random.Random(8), [sum(1 << k for k in mask) for mask in decontam.MASKS]
+    for changed in (8, 10, 15):
+        length, hit = decontam.MIN_OVERLAP + 3 * changed, 0
+        for _ in range(4000):
+            bits = sum(1 << k for k in rng.sample(range(length), changed))
+            hit += any(bits >> start & mask == 0 for mask in kept for start in range(length - mask.bit_length() + 1))
+        assert hit / 4000 > 0.999
+
+
+def test_long_substituted_passages(spark):
+    words = [f"q{k}" for k in range(60)]
+    changed = lambda places: " ".join("other" if k in places else w for k, w in enumerate(words))
+    rng = random.Random(3)
+    docs = [(k, "before it " + changed(set(rng.sample(range(60), k))) + " and behind") for k in range(12)]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(words))], "item_id long, text string"))
+    assert {r.doc_id: (r.n_items, r.best_overlap) for r in got.select("row.doc_id", "n_items", "best_overlap").collect()} == brute(docs, [" ".join(words)])
+
+
+def test_a_very_long_text_and_repeated_words(spark):
+    item = " ".join(f"z{k}" for k in range(30))
+    docs = [(1, "word " * 30_000 + item), (2, "word " * 30_000)]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item), (1, "word " * 40)], "item_id long, text string"))
+    assert {r.doc_id: (r.n_items, r.best_overlap) for r in got.select("row.doc_id", "n_items", "best_overlap").collect()} == {1: (2, 40), 2: (1, 40)}
