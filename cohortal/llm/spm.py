@@ -237,7 +237,7 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 
 
 def encode_short(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rk, chunk, ids) of the documents that are one chunk."""
+    """(doc_id, rk, copy, chunk, ids) of the documents that are one chunk; copy and chunk are 0."""
     held = _with_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,29 +246,38 @@ def encode_short(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
                 ids = _lists(codec.encode(some.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.zeros(len(some), np.int32)), ids], names=["doc_id", "rk", "chunk", "ids"])
+                columns = [some.column(0), some.column(1), pa.array(np.zeros(len(some), np.int64)), pa.array(np.zeros(len(some), np.int32)), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "copy", "chunk", "ids"])
 
     rows = _keyed(docs, id_col, text_col).where(F.length("text") <= chunk)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, chunk int, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, copy long, chunk int, ids array<int>")
 
 
 def encode_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rk, chunk, ids) of the documents of several chunks, by the scan."""
+    """(doc_id, rk, copy, chunk, ids) of the documents of several chunks, by the scan; copy numbers repeated rows from 0."""
     held = _with_model(docs, model)
     margin = Codec(held.value).longest + 1
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = _keyed(docs, id_col, text_col).where(F.length("text") > chunk).dropDuplicates(["doc_id", "rk"])
-    rows = rows.withColumn("n", F.length("text")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
-    start = F.greatest(F.lit(0), F.col("chunk") * chunk - margin)
-    parts = rows.select(
-        "doc_id",
-        "rk",
-        "chunk",
-        F.substring("text", start + 1, F.lit(chunk + 2 * margin)).alias("part"),
-        (F.col("chunk") * chunk - start).alias("lo"),
-        (F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - start).cast("int").alias("hi"),
-        (F.col("n") <= (F.col("chunk") + 1) * chunk).alias("last"),
-    ).repartition(partitions(docs.sparkSession), "doc_id", "rk", "chunk")
+    kind, n = docs.schema[id_col].dataType.simpleString(), partitions(docs.sparkSession)
+    # Repeated rows are encoded once and return their ids as often as they occur.
+    rows = _keyed(docs, id_col, text_col).where(F.length("text") > chunk).groupBy("doc_id", "rk").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                text = batch.column(2)[k].as_py()
+                starts = list(range(0, len(text), chunk))
+                lefts = [max(0, at - margin) for at in starts]
+                columns = [batch.column(c).take(pa.array([k] * len(starts))) for c in (0, 1, 3)]
+                columns += [
+                    pa.array(range(len(starts)), pa.int32()),
+                    pa.array([text[left : left + chunk + 2 * margin] for left in lefts]),
+                    pa.array([at - left for at, left in zip(starts, lefts, strict=True)], pa.int32()),
+                    pa.array([min(len(text), at + chunk) - left for at, left in zip(starts, lefts, strict=True)], pa.int32()),
+                    pa.array([at + chunk >= len(text) for at in starts]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "copies", "chunk", "part", "lo", "hi", "last"])
+
+    parts = rows.mapInArrow(split, f"doc_id {kind}, rk long, copies long, chunk int, part string, lo int, hi int, last boolean").repartition(n, "doc_id", "rk", "chunk")
 
     def chunks(batch: pa.RecordBatch, codec: Codec) -> Iterator[Chunk]:
         text, lo, hi, last, number = (batch.column(x).to_pylist() for x in ("part", "lo", "hi", "last", "chunk"))
@@ -293,28 +302,31 @@ def encode_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             i, j = batch.column("i").to_pylist(), batch.column("j").to_pylist()
             ids = [x.ids(i[k], j[k]) for k, x in enumerate(chunks(batch, codec))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "rk", "chunk")), _lists(ids)], names=["doc_id", "rk", "chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "rk", "copies", "chunk")), _lists(ids)], names=["doc_id", "rk", "copies", "chunk", "ids"])
 
     matrices = parts.mapInArrow(transfer, f"doc_id {kind}, rk long, chunk int, cells array<double>, width int")
     # A document is one value of under 2^31 bytes, so it has few and small matrices however long it is.
-    chosen = matrices.groupBy("doc_id", "rk").applyInPandas(scan, f"doc_id {kind}, rk long, chunk int, i int, j int").alias("c")
+    # Dealt by number, so that small matrices are not put into one task.
+    chosen = matrices.repartition(n, "doc_id", "rk").groupBy("doc_id", "rk").applyInPandas(scan, f"doc_id {kind}, rk long, chunk int, i int, j int").alias("c")
     same = F.col("p.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("p.rk") == F.col("c.rk")) & (F.col("p.chunk") == F.col("c.chunk"))
-    return parts.alias("p").join(chosen, same).select("p.*", "i", "j").mapInArrow(trace, f"doc_id {kind}, rk long, chunk int, ids array<int>")
+    traced = parts.alias("p").join(chosen, same).select("p.*", "i", "j").mapInArrow(trace, f"doc_id {kind}, rk long, copies long, chunk int, ids array<int>")
+    return traced.select("doc_id", "rk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), "chunk", "ids")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rk, chunk, ids): the ids of every text, those of long ones chunk after chunk.
+    """(doc_id, rk, copy, chunk, ids): the ids of every text, those of long ones chunk after chunk.
 
-    ``rk`` is a hash of the text. Null and empty texts have no ids. Rows of one
-    chunk return a row each; repeated rows of a longer text return it once. Null
-    ids of documents are kept. Ids are those of the library over the whole text.
-    Other columns of ``docs`` are not read; no rows give no rows.
+    ``rk`` is a hash of the text. Null and empty texts have no ids. Every row
+    returns its chunks, repeated ones as often as they occur; ``copy`` tells the
+    chunks of repeated longer rows apart. Null ids of documents are kept. Ids are
+    those of the library over the whole text. Other columns of ``docs`` are not
+    read; no rows give no rows.
     """
     return encode_short(docs, id_col, text_col, model, chunk).unionByName(encode_long(docs, id_col, text_col, model, chunk))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """``encoded`` (doc_id, rk, chunk, ids) with ``piece``, the text of each row; joined by chunk they are the document.
+    """``encoded`` (doc_id, rk, copy, chunk, ids) with ``piece``, the text of each row; joined by chunk they are the document.
 
     The space that starts a text in the model is taken off. U+2581 stands for a
     space in the model, so it comes back as one.
@@ -329,11 +341,11 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [t[1:] if n == 0 else t for t, n in zip(texts, number, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "piece"])
 
-    rows = encoded.select("doc_id", "rk", "chunk", "ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, chunk int, ids array<int>, piece string")
+    rows = encoded.select("doc_id", "rk", "copy", "chunk", "ids")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, copy long, chunk int, ids array<int>, piece string")
 
 
 def whole(rows: DataFrame, *cols: str) -> DataFrame:
-    """The chunks of long documents as lists in order, one row for each document."""
-    grouped = rows.groupBy("doc_id", "rk").agg(F.array_sort(F.collect_list(F.struct("chunk", *cols))).alias("parts"))
+    """The chunks of long documents as lists in order, one row for each document and copy."""
+    grouped = rows.groupBy("doc_id", "rk", "copy").agg(F.array_sort(F.collect_list(F.struct("chunk", *cols))).alias("parts"))
     return grouped.select("doc_id", "rk", *(F.col(f"parts.{c}").alias(c) for c in cols))

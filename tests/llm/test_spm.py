@@ -79,3 +79,16 @@ def test_null_ids_and_repeated_rows(spark):
     assert {r.chunk for r in spm.encode(docs, chunk=8).where("doc_id is null").collect()} == {0, 1}
     whole = spm.whole(spm.encode_long(docs, chunk=8), "ids")
     assert whole.count() == 1 and whole.first().doc_id is None
+
+
+def test_repeated_rows_come_back_alike_at_every_length(spark, library):
+    long = "some words of a longer text " * 3
+    docs = spark.createDataFrame([(1, long), (1, long), (1, long[:-3]), (2, "short"), (2, "short"), (None, long), (None, long)], "doc_id long, text string")
+    for chunk in (16, 10_000):
+        rows = spm.encode(docs, chunk=chunk)
+        got = spm.whole(rows, "ids") if chunk == 16 else rows
+        flat = lambda ids: tuple(x for part in ids for x in part) if chunk == 16 else tuple(ids)
+        longer = sorted(((r.doc_id or 0, flat(r.ids)) for r in got.where("doc_id is null or doc_id = 1").collect()))
+        want = [(0, long), (0, long), (1, long), (1, long), (1, long[:-3])]
+        assert longer == sorted((k, tuple(library.encode(t))) for k, t in want)
+        assert rows.where("doc_id = 2").count() == 2
