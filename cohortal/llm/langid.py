@@ -23,9 +23,8 @@ from pyspark.sql.window import Window
 
 DIMS = 4096
 CENTROIDS = 4
-#: Rows a language on which its centroids are fitted, and the most languages.
+#: Rows a language on which its centroids are fitted.
 SAMPLE = 400
-MAX_LANGUAGES = 1000
 #: A text is rejected below this share of the lowest percentile of its centroid's own cosines.
 REACH = 0.25
 BLOCK = 1 << 20
@@ -101,27 +100,34 @@ class Model:
 
 
 def fit(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
-    """Learn from (key, lang, text); ``key`` only picks the sample. Rows without text or lang are left out."""
+    """Learn from (key, lang, text); ``key`` only picks the sample. Rows without text or lang are left out.
+
+    The model is what the driver gathers: 16 KB a centroid, whatever the number of rows.
+    """
     rows = rows.select("key", "lang", "text").where("lang is not null and text is not null")
-    sizes = dict(rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)) + 0.1
     # A hash threshold leaves about twice the sample, so that no language's rows meet in one task.
-    share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(2.0 * sample / size)) for lang, size in sizes.items()), F.lit(0.0))
     order = F.xxhash64("key", "text")
-    thinned = rows.where(F.pmod(order, F.lit(1 << 20)) < share * (1 << 20))
+    share = rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
+    thinned = rows.join(share, "lang").where(F.pmod(order, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order))
     chosen = _texts(thinned.withColumn("place", place).where(F.col("place") <= sample), F.col("lang"))
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        c, radii = k_means(np.stack([vector(trigrams(t), idf) for t in group["text"]]), k)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(c.astype(np.float32)), "radius": radii})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [trigrams(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["lang", "counts"])
 
-    found = chosen.groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, radius double").collect()
-    found.sort(key=lambda r: (r.lang, r.radius, r.centroid[:8]))
-    centroids = np.array([r.centroid for r in found], np.float32).reshape(-1, DIMS)
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        c, radii = k_means(np.stack([vector(np.frombuffer(x, np.int32), idf) for x in group["counts"]]), k)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "radius": radii})
+
+    # A group holds a sample's counts, 16 KB each, however long its texts are.
+    vectors = chosen.mapInArrow(counted, "lang string, counts binary")
+    found = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, radius double").collect()
+    found.sort(key=lambda r: (r.lang, r.radius, bytes(r.centroid)))
+    centroids = np.frombuffer(b"".join(bytes(r.centroid) for r in found), np.float32).reshape(-1, DIMS)
     return Model([r.lang for r in found], centroids, np.array([r.radius for r in found]), idf)
 
 
