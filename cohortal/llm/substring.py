@@ -142,8 +142,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     ``docs`` has doc_id, rk and text.
     """
-    # Hashed twice rather than stored: most runs occur once, and only half of the hash goes through the first shuffle.
-    runs = _runs(docs)
+    runs = stored(_runs(docs))  # read twice: for the hashes that recur, of which half goes through the shuffle, and for their places
     known = cut(runs.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     met = stored(runs.join(known, "h1", "left_semi"))
     place = F.struct("doc_id", "rk", "at")
