@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortal.llm.common import cut
+
 DIMS = 4096
 CENTROIDS = 4
+#: Up to so many languages the shares of their rows are broadcast, and joined by a shuffle beyond.
+BROADCAST_LANGUAGES = 100_000
 #: Rows a language on which its centroids are fitted.
 SAMPLE = 400
 #: A text is rejected below this share of the lowest percentile of its centroid's own cosines.
@@ -109,7 +113,8 @@ def fit(rows: DataFrame, k: int = CENTROIDS, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + n) / (1 + seen)) + 0.1
     # A hash threshold leaves about twice the sample, so that no language's rows meet in one task.
     order = F.xxhash64("key", "text")
-    share = rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share"))
+    share = cut(rows.groupBy("lang").agg((F.lit(2.0 * sample) / F.count("*")).alias("share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     thinned = rows.join(share, "lang").where(F.pmod(order, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order))
     chosen = _texts(thinned.withColumn("place", place).where(F.col("place") <= sample), F.col("lang"))
