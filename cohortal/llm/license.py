@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-Every sentence of a file that names licensing is compared with the templates: its
-words, weighted by TF-IDF, are joined with those of the templates, and the dot
-products are summed for each pair. A file's own licenses are the best template of
+Every line and sentence of a file that names licensing is compared with the
+templates, which are notices, headings and identifier lines: its words, weighted by
+TF-IDF, are joined with those of the templates, and the dot products are summed for
+each pair. A file's own licenses are the best template of
 each sentence at ``THRESHOLD`` or more. A file that is mostly license text, or
 is named like one, is a license file and speaks for its directory; a file without
 a license of its own takes that of its nearest ancestor directory.
@@ -53,12 +54,32 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["All rights reserved. No license is granted."],
 }
+#: The headings of license files, by license.
+HEADINGS = {
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "MIT": "The MIT License (MIT)",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+    "ISC": "ISC License",
+}
+
+
+def _templates() -> dict[str, list[str]]:
+    """The notices, headings and identifier lines of every license."""
+    tagged = {name: [f"SPDX-License-Identifier: {name}"] for name in TEMPLATES if name != "Proprietary"}
+    return {name: [*notices, *([HEADINGS[name]] if name in HEADINGS else []), *tagged.get(name, [])] for name, notices in TEMPLATES.items()}
+
+
 THRESHOLD = 0.6
 #: The share of a file's words in license sentences from which on it is a license file.
 FILE_SHARE = 0.5
 _ABOUT = r"(?i)licen[cs]e|public domain|all rights reserved|permission is hereby|redistribution and use"
 _NAMED = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
-_TERM = r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*"
+_TERM = r"[A-Za-z0-9]+(?:[.][A-Za-z0-9]+)*"
 
 
 def _terms(text: str) -> list[str]:
@@ -67,7 +88,7 @@ def _terms(text: str) -> list[str]:
 
 def weights(templates: dict[str, list[str]] | None = None) -> tuple[list[tuple[str, int, str, float]], dict[str, float]]:
     """Rows (license, template, term, normalised weight), and the idf of each term; one more term, None, has that of unknown ones."""
-    notices = [(name, k, Counter(_terms(t))) for name, ts in (templates or TEMPLATES).items() for k, t in enumerate(ts)]
+    notices = [(name, k, Counter(_terms(t))) for name, ts in (templates or _templates()).items() for k, t in enumerate(ts)]
     seen = Counter(t for _, _, c in notices for t in c)
     idf = {t: math.log((1 + len(notices)) / (1 + n)) + 1 for t, n in seen.items()}
     rows = []
@@ -78,8 +99,12 @@ def weights(templates: dict[str, list[str]] | None = None) -> tuple[list[tuple[s
 
 
 def _sentences(files: DataFrame) -> DataFrame:
-    """(file, path, at, terms): the sentences that speak of licensing."""
-    parts = F.split("text", r"\n+|(?<=[.!?])\s+")
+    """(file, path, at, terms): the lines, and the sentences of wrapped paragraphs, that speak of licensing.
+
+    A notice may be a line of its own or run over several, behind the signs of a comment.
+    """
+    unwrapped = F.regexp_replace("text", r"(?<!\n)\n[ \t]*(?:[*#;]+|//+|--)?[ \t]*(?=\S)", " ")
+    parts = F.array_distinct(F.concat(F.split("text", r"\n+|(?<=[.!?])\s+"), F.split(unwrapped, r"\n+|(?<=[.!?])\s+")))
     rows = files.where(F.col("text").rlike(_ABOUT)).select("file", "path", F.posexplode(parts).alias("at", "sentence"))
     rows = rows.where(F.col("sentence").rlike(_ABOUT))
     return rows.select("file", "path", "at", F.regexp_extract_all(F.lower("sentence"), F.lit(_TERM), 0).alias("terms"))

@@ -33,6 +33,7 @@ _KEYS = r"(?i)(?<![A-Za-z])(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_
 _DECOYS = r"(?i)(?<![A-Za-z])(commit|sha-?(1|256)?|md5|checksum|digest|etag|uuid|guid|hash|revision|blob|build|example|dummy|sample|placeholder|fake|isbn|order|invoice|tracking)(?![A-Za-z])"
 _TESTS = r"(?i)(^|[/_.\-])(tests?|examples?|docs?|fixtures?|samples?|mocks?|specs?)([/_.\-]|$)"
 _AWS = r"(?<![A-Za-z0-9])A(KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+_JWT = r"(?<![A-Za-z0-9_.\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
 _LONG = r"(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}={0,2}"
 _VALUE = r"[A-Za-z0-9+/_\-.$@!%&*]{8,}={0,2}"
 #: Where a token is cut: before every key name with its sign, so that each has a part of its own.
@@ -41,7 +42,7 @@ _PARTS = rf"(?i)&(?={_NAMED})|(?<=[^\w.\-\"'&])(?={_NAMED})"
 #: Lines without a match are not looked at further; every candidate needs one of these.
 _LINE = rf"[A-Za-z0-9+/_\-]{{20}}|(?i:pass|pwd|secret|token|key|credential|auth)[\w\-]*[\"']?\s*[:=]"
 FEATURES = [
-    "length", "transitions", "digits", "uppers", "symbols", "distinct", "covered", "is_hex", "aws",
+    "length", "transitions", "digits", "uppers", "symbols", "distinct", "covered", "is_hex", "known_form",
     "key_beside", "decoy_beside", "assigned", "test_path", "repeated",
 ]
 TREES, DEPTH, SEED = 24, 6, 42
@@ -70,7 +71,7 @@ def features(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.greatest(F.lit(1), F.length(v)),
         "covered": 1 - _share(v, words),
         "is_hex": v.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
-        "aws": v.rlike(_AWS),
+        "known_form": v.rlike(f"{_AWS}|{_JWT}"),
         "key_beside": F.col("before").rlike(_KEYS),
         "decoy_beside": near.rlike(_DECOYS) | v.rlike("(?i)example|changeme|placeholder|xxxx"),
         "assigned": F.col("before").rlike(r"[:=]\s*[\"']?$"),
@@ -100,13 +101,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     near = near.withColumns({"shown": shown, "before": F.concat_ws(" ", "ahead", F.when(shown != token, inner))})
     shown, before = F.col("shown"), F.col("before")
     # Every match is a candidate; what one rule has taken is not read by the next.
-    aws, rest = F.regexp_extract_all(shown, F.lit(_AWS), F.lit(0)), F.regexp_replace(shown, _AWS, " ")
+    aws, jwt = (F.regexp_extract_all(shown, F.lit(p), F.lit(0)) for p in (_AWS, _JWT))
+    rest = F.regexp_replace(shown, f"{_AWS}|{_JWT}", " ")
     assigned = F.when(before.rlike(_KEYS.replace("(?![A-Za-z])", "") + r"[\w\-]*[\"']?\s*[:=]\s*[\"']?$"), F.regexp_extract(rest, _VALUE, 0)).otherwise("")
-    near = near.withColumns({"aws": aws, "assigned": assigned, "rest": rest})
+    near = near.withColumns({"aws": aws, "jwt": jwt, "assigned": assigned, "rest": rest})
     left = F.when(F.col("assigned") != "", F.replace(F.col("rest"), F.col("assigned"), F.lit(" "))).otherwise(F.col("rest"))
     named = lambda values, rule: F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
     every = F.concat(
         named(F.col("aws"), "access key"),
+        named(F.col("jwt"), "web token"),
         named(F.filter(F.array("assigned"), lambda v: v != ""), "assignment"),
         named(F.regexp_extract_all(left, F.lit(_LONG), F.lit(0)), "mixed string"),
     )
@@ -128,9 +131,12 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     word = lambda k: pick(k, *WORDS)
     key = pick(5, "password=", "token =", "secret:", "api_key =", "the access_key =", "auth_token=", 'password = "')
     prose = pick(6, "and the", "of this to", "see", "with", "is in the")
+    junk = F.concat(word(29), pick(30, "$$$", "%%%", "###", "&&&", "***"))
     kinds = [
         (1, F.concat(F.lit("AKIA"), upper), prose, prose),
+        (1, F.concat_ws(".", F.concat(F.lit("eyJ"), F.substring(base, 1, 17)), F.concat(F.lit("eyJ"), F.substring(h(27), 1, pick(28, 20, 40))), F.substring(base, 3, 30)), prose, prose),
         (1, hexes, key, prose),
+        (1, hexes, F.concat_ws(" ", junk, key), F.concat_ws(" ", junk, prose)),
         (1, F.substring(base, 1, pick(7, 20, 32, 40)), key, prose),
         (1, F.concat(F.substring(h(8), 1, 6), F.upper(F.substring(h(9), 1, 6))), key, prose),
         (0, F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")), prose, prose),
