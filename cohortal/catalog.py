@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortal.functions import scalars, stats
 from cohortal.functions.spec import FACTORS
 from cohortal.operators import classify, eligibility, screen, temporal
 from cohortal.plans import panel, score
 from cohortal.plans import standin as s
+from cohortal.registry import ORACLE_SQL, QUERIES, query
+from cohortal.registry import half_up_sql as _hu
 from cohortal.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _hu(x: str, digits: int) -> str:
-    """Half-up rounding after the noise of summation, as the operators round."""
-    return f"round(round(({x})::DECIMAL(38, 10), {digits + 4}), {digits})::DOUBLE"
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Exact sums of whole numbers.
 _NET = "round(l_extendedprice * (1 - l_discount) * 10000)::BIGINT"
 _CENTS = "round(l_extendedprice * 100)::BIGINT"
 
 
-def query(sql: str | None):
-    """Register a builder under its own name, with its oracle SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # The inputs once more, for the oracle.
 _LINES = """lines AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag,
@@ -272,8 +254,6 @@ def year_ago_change(spark, d):
   FROM quarters a JOIN quarters b ON a.entity = b.entity AND a."end" - b."end" BETWEEN 355 AND 375 WHERE a."end" <= DATE '2001-06-30')
 SELECT entity, {_hu("4 * median(change)", 2)} AS change FROM last4 WHERE n <= 4 GROUP BY 1 HAVING count(*) = 4""")
 def median_of_four(spark, d):
-    from pyspark.sql.window import Window
-
     both = temporal.year_ago(s.quarterly(spark, d).where(F.col("end") <= "2001-06-30"), ["entity"], "end", "val", 355, 375).where("val_year_ago is not null")
     last = both.withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("end")))).where("n <= 4")
     out = last.groupBy("entity").agg(F.median(F.col("val") - F.col("val_year_ago")).alias("m"), F.count("*").alias("k")).where("k = 4")
@@ -285,8 +265,6 @@ ytd AS (SELECT entity, make_date(year("end"), 1, 1) AS "start", "end", sum(val)
 
 
 def _ytd(spark, d):
-    from pyspark.sql.window import Window
-
     q = s.quarterly(spark, d)
     w = Window.partitionBy("entity", F.year("end")).orderBy("end")
     return q.select("entity", F.trunc("end", "year").alias("start"), "end", F.sum("val").over(w).alias("val"), F.col("end").alias("filed"))
@@ -341,7 +319,7 @@ def regression_gap(spark, d):
 @query(f"""WITH {_FACTS}, shared AS (SELECT "end", count(DISTINCT entity % 40) AS n FROM facts WHERE filed <= DATE '1999-03-31' AND "end" <= filed GROUP BY 1)
 SELECT max("end") AS anchor FROM shared WHERE n >= 5""")
 def reference_date_having(spark, d):
-    f = s.facts(spark, d).select(F.lit(1).alias("all"), (F.col("entity") % 40).alias("concept"), F.lit(None).cast("date").alias("start"), "end", "filed")
+    f = s.facts(spark, d).select(F.lit(1).alias("all"), (F.col("entity") % 40).alias("concept"), F.lit(None).cast("date").alias("start"), "end", "filed", "val")
     return temporal.reference_date(f, ["all"], "1999-03-31").select("anchor")
 
 
@@ -442,25 +420,32 @@ def _month_metrics(spark, d, month):
     return long.withColumn("reason", F.when(F.col("pct").isNull(), F.when(F.col("metric") == "returned", "negative base").otherwise("no tag")))
 
 
-@query(f"""WITH {_LINES}, x AS (SELECT strftime(day, '%Y-%m') AS month, l_suppkey AS entity, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS returned,
+_LOST = f"""{_LINES}, x AS (SELECT strftime(day, '%Y-%m') AS month, l_suppkey AS entity, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS returned,
   sum(CASE WHEN l_discount > 0.09 THEN l_quantity END) AS discounted FROM lines GROUP BY 1, 2),
-y AS (SELECT * FROM x UNPIVOT INCLUDE NULLS (pct FOR metric IN (returned, discounted)))
-SELECT a.entity, a.metric, a.metric = 'returned' AS economic FROM y a JOIN y b ON a.entity = b.entity AND a.metric = b.metric
-WHERE a.month = '2001-06' AND b.month = '2001-05' AND a.pct IS NULL AND b.pct IS NOT NULL""")
+y AS (SELECT * FROM x UNPIVOT INCLUDE NULLS (pct FOR metric IN (returned, discounted))),
+lost AS (SELECT a.entity, a.metric, a.metric = 'returned' AS economic FROM y a JOIN y b ON a.entity = b.entity AND a.metric = b.metric
+WHERE a.month = '2001-06' AND b.month = '2001-05' AND a.pct IS NULL AND b.pct IS NOT NULL)"""
+
+
+@query(f"WITH {_LOST} SELECT * FROM lost")
 def metrics_lost(spark, d):
     return panel.metrics_lost(_month_metrics(spark, d, "2001-06"), _month_metrics(spark, d, "2001-05")).select("entity", "metric", "economic")
 
 
-@query(f"""{_EXITS}, n AS (SELECT (SELECT count(*) FROM now) AS n_now, (SELECT count(*) FROM prev) AS n_before, (SELECT count(*) FROM gone WHERE kind = 'insufficient') AS n_dropped)
-SELECT n_now, n_before, n_dropped, round((n_now - n_before) * 100.0::DOUBLE / nullif(n_before, 0), 2) AS change_pct,
-  CASE WHEN n_before = 0 THEN 'baseline' WHEN (n_now - n_before) * 100.0::DOUBLE / n_before <= -5 THEN 'block'
-       WHEN (n_now - n_before) * 100.0::DOUBLE / n_before <= -1 OR n_dropped > 0 THEN 'warn' ELSE 'ok' END AS status FROM n""")
+@query(f"""{_EXITS}, {_LOST}, n AS (SELECT (SELECT count(*) FROM now) AS n_now, (SELECT count(*) FROM prev) AS n_before, (SELECT count(*) FROM gone WHERE kind = 'insufficient') AS n_dropped,
+  (SELECT count(*) FROM lost WHERE NOT economic) AS n_lost, (SELECT count(*) FROM lost WHERE economic) AS n_economic,
+  (SELECT count(*) FROM (SELECT l_partkey, l_returnflag, max(last_day(day)) AS last FROM lines GROUP BY 1, 2) WHERE last < DATE '2001-06-30' - 300 AND last >= DATE '2001-06-30' - 450) AS n_abandoned)
+SELECT n_now, n_before, n_dropped, n_lost, n_economic, n_abandoned, round((n_now - n_before) * 100.0::DOUBLE / nullif(n_before, 0), 2) AS change_pct,
+  CASE WHEN n_before = 0 THEN 'baseline' WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -5 THEN 'block'
+       WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -1 OR n_dropped + n_lost + n_abandoned > 0 THEN 'warn' ELSE 'ok' END AS status FROM n""")
 def drift_status(spark, d):
     now, prior = s.customer_month(spark, d, "2001-06"), s.customer_month(spark, d, "2001-05")
-    lost = _month_metrics(spark, d, "2001-06").limit(0).withColumn("economic", F.lit(False))
+    lost = panel.metrics_lost(_month_metrics(spark, d, "2001-06"), _month_metrics(spark, d, "2001-05"))
     dropped = _exits(spark, d).where("kind = 'insufficient'")
-    out = panel.drift_report(now, prior, lost, dropped, now.limit(0))
-    return out.select("n_now", "n_before", "n_dropped", "change_pct", "status")
+    facts = s.facts(spark, d)
+    anchor = facts.select("entity").distinct().withColumn("anchor", F.lit("2001-06-30").cast("date"))
+    abandoned = eligibility.recently_abandoned(temporal.stale_inputs(facts, anchor, ["entity", "concept"]), "2001-06-30")
+    return panel.drift_report(now, prior, lost, dropped, abandoned)
 
 
 _PANEL = f"""{_LINES},
@@ -470,8 +455,6 @@ idx AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS idx FROM (SELECT
 
 
 def _part_panel(spark, d):
-    from pyspark.sql.window import Window
-
     p = s.monthly_scores(spark, d, "l_partkey")
     return p.withColumn("prior_price", stats.half_up(F.lag("price").over(Window.partitionBy("entity").orderBy("month")) * 1.01, 4))
 
@@ -600,12 +583,14 @@ def screen_filter_sort(spark, d):
     return screen.sorted_by(found, "score").select("entity", "sector", "composite", "change")
 
 
-@query("""SELECT c_custkey AS entity, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING' AND contains(lower(c_name), '00012')
-ORDER BY c_custkey::VARCHAR LIMIT 8""")
+@query("""SELECT entity, segment FROM (
+  SELECT c_custkey::VARCHAR AS entity, c_mktsegment AS segment, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT 'S' || s_suppkey, NULL, s_name FROM supplier)
+WHERE contains(lower(name), '00012') OR contains(lower(entity), '00012') ORDER BY entity LIMIT 8""")
 def cross_search(spark, d):
     c = s.customers(spark, d).select(F.col("entity").cast("string").alias("entity"), "name", "segment")
-    found = screen.cross_search(c, c.limit(0), "00012", "BUILDING")
-    return found.select(F.col("entity").cast("long").alias("entity"), "segment")
+    unranked = s.table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("entity"), F.col("s_name").alias("name"))
+    return screen.cross_search(c, unranked, "00012", "BUILDING").select("entity", "segment")
 
 
 @query(f"WITH {_SCORED} SELECT entity, segment, rank FROM scored WHERE rank <= 10")
@@ -642,19 +627,52 @@ def name_predicate(spark, d):
     return s.table(spark, d, "part").select(F.col("p_partkey").alias("entity"), keep.alias("common"))
 
 
-@query("""WITH q AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
-SELECT s_suppkey AS entity, CASE WHEN s_nationkey % 4 = 0 THEN 'insurers' WHEN s_nationkey % 4 = 1 THEN 'banks' WHEN s_nationkey % 4 = 2 THEN 'reits' ELSE 'operating' END AS segment,
- CASE WHEN s_nationkey % 4 = 0 THEN 'property and casualty' WHEN s_nationkey % 4 = 1 THEN CASE WHEN s_acctbal * 4e6 >= 2e10 THEN 'large banks' WHEN s_acctbal * 4e6 >= 3e9 THEN 'mid-size banks' ELSE 'small banks' END
-   WHEN s_nationkey % 4 = 2 THEN 'Finance' ELSE 'Technology' END AS peer FROM q""")
+#: (sector, industry, segment, peer group) of labels without figures to go by; null peers have no sector.
+_LABELS = [
+    ("Finance", "Major Banks", "banks", None), ("Finance", "Savings Institutions", "banks", None), ("Finance", "Life Insurance", "insurers", "Life & health insurers"),
+    ("Finance", "Accident &Health Insurance", "insurers", "Life & health insurers"), ("Finance", "Specialty Insurers", "insurers", "Property & casualty insurers"),
+    ("Finance", "Insurance Agents, Brokers & Service", "insurers", "Property & casualty insurers"), ("Finance", "Investment Managers", "capital_markets", "Asset managers & other"),
+    ("Finance", "Investment Bankers/Brokers/Service", "capital_markets", "Brokers & capital markets"), ("Finance", "Trusts Except Educational Religious and Charitable", "reits", "Finance"),
+    ("Real Estate", "Real Estate Investment Trusts", "reits", "Real Estate"), ("Real Estate", "Building operators", "reits", "Real Estate"), ("Finance", "Real Estate", "reits", "Finance"),
+    ("Real Estate", "Other Consumer Services", "operating", "Real Estate"), ("Real Estate", "Homebuilding", "operating", "Real Estate"), ("Technology", "Real Estate Investment Trusts", "operating", "Technology"),
+    ("Finance", "Computer Software", "operating", "Finance"), ("Health Care", "Major Pharmaceuticals", "operating", "Health Care"), ("", "Major Banks", "operating", None), (None, None, "operating", None),
+    ("Health Care", "Biotechnology: Biological Products", "by revenue", "Health Care"), ("Health Care", "Medicinal Chemicals and Botanical Products", "by revenue", "Health Care"),
+    ("Health Care", "Pharmaceutical Preparations", "by revenue", "Health Care"), ("Finance", "Finance: Consumer Services", "by evidence", None), ("Finance", "Finance Companies", "by evidence", None),
+]
+_LABELS_SQL = ", ".join("(" + ", ".join([str(k), *("NULL" if x is None else f"'{x}'" for x in row)]) + ")" for k, row in enumerate(_LABELS))
+
+
+@query(f"""WITH labels(k, sector, industry, seg, peer) AS (VALUES {_LABELS_SQL}),
+rows AS (SELECT c_custkey AS entity, c_acctbal AS x, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal * 5000 END AS revenue, c_custkey % 5 = 0 AS fund, labels.* FROM customer JOIN labels ON k = c_custkey % {len(_LABELS)}),
+told AS (SELECT *, CASE seg WHEN 'by revenue' THEN CASE WHEN revenue IS NULL OR revenue < 10000000 THEN 'pre_revenue' ELSE 'operating' END
+  WHEN 'by evidence' THEN CASE WHEN fund OR x / 100000 >= 0.04 THEN 'banks' ELSE 'operating' END ELSE seg END AS segment FROM rows)
+SELECT entity, segment, CASE WHEN coalesce(sector, '') = '' THEN NULL WHEN segment = 'banks' AND seg = 'by evidence' THEN 'Consumer & specialty lenders'
+  WHEN segment = 'banks' THEN CASE WHEN x * 4e6 >= 2e10 THEN 'Large banks' WHEN x * 4e6 >= 3e9 THEN 'Regional banks' ELSE 'Community banks' END
+  WHEN seg = 'by evidence' THEN sector ELSE peer END AS peer FROM told""")
 def segment_and_peer(spark, d):
-    x = s.table(spark, d, "supplier")
-    k = F.col("s_nationkey") % 4
-    sector = F.when(k == 3, "Technology").otherwise("Finance")
-    industry = F.when(k == 0, "Property-Casualty Insurers").when(k == 1, "Major Banks").when(k == 2, "Real Estate Investment Trusts").otherwise("Software")
-    none = F.lit(None).cast("double")
-    seg = classify.segment(sector, industry, F.lit(1e9), none, none, F.lit(False))
-    x = x.select(F.col("s_suppkey").alias("entity"), seg.alias("segment"), sector.alias("sector"), industry.alias("industry"), (F.col("s_acctbal") * 4e6).alias("cap"))
-    return x.select("entity", "segment", classify.peer_group(F.col("segment"), F.col("sector"), F.col("industry"), F.col("cap")).alias("peer"))
+    labels = spark.createDataFrame([(k, *row[:2]) for k, row in enumerate(_LABELS)], "k int, sector string, industry string")
+    x = s.table(spark, d, "customer").withColumn("k", (F.col("c_custkey") % len(_LABELS)).cast("int")).join(F.broadcast(labels), "k")
+    revenue, fund = F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") * 5000), F.col("c_custkey") % 5 == 0
+    told = x.withColumn("segment", classify.segment(F.col("sector"), F.col("industry"), revenue, F.col("c_acctbal"), F.lit(100000.0), fund))
+    peer = classify.peer_group(F.col("segment"), F.col("sector"), F.col("industry"), F.col("c_acctbal") * 4e6)
+    return told.select(F.col("c_custkey").alias("entity"), "segment", peer.alias("peer"))
+
+
+#: (what follows a name, whether it is an operating company's common stock).
+_TAILS = [
+    ("Common Stock", True), ("Class A Common Stock", True), ("Ordinary Shares", True), ("Class B Ordinary Share", True), ("Common Shares", True), ("COMMON STOCK", True), ("Class C Capital Stock", True),
+    ("Acquisition Corp Common Stock", False), ("Acquisitions Corp. Class A Ordinary Share", False), ("Trust Common Stock", False), ("American Depositary Shares", False), ("Bond Index Portfolio", False),
+    ("Capital Stock", False), ("Warrant", False), ("Warrants to buy Common Stock", True), ("Unit of one Common Stock", False), ("Right to one Common Stock", False), ("5% Preferred Common Stock", False),
+    ("Closed End Fund Common Shares", False), ("closed-end Common Stock", False), ("Senior Note Common Stock", False), ("ETF", False), ("SPAC Common Stock", False), ("Debenture Common Stock", False), ("", False), (None, False),
+]
+
+
+@query("WITH tails(k, tail, common) AS (VALUES " + ", ".join(f"({k}, {'NULL' if x is None else repr(x)}, {str(y).lower()})" for k, (x, y) in enumerate(_TAILS)) + f""")
+SELECT p_partkey AS entity, common FROM part JOIN tails ON k = p_partkey % {len(_TAILS)}""")
+def common_stock(spark, d):
+    tails = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(_TAILS)], "k int, tail string")
+    p = s.table(spark, d, "part").withColumn("k", (F.col("p_partkey") % len(_TAILS)).cast("int")).join(F.broadcast(tails), "k")
+    return p.select(F.col("p_partkey").alias("entity"), classify.is_common_stock(F.concat(F.lit("Brand "), F.col("p_partkey").cast("string"), F.lit(" Inc. "), F.col("tail"))).alias("common"))
 
 
 @query(f"WITH {_SCORED} SELECT count(*) AS cells, count(pct) AS resolved, round(count(pct) / count(*), 6) AS share FROM gated")
@@ -718,12 +736,12 @@ def open_holdings(spark, d):
     return screen.open_holdings(s.watch(spark, d))
 
 
-@query("""WITH w AS (SELECT user_id AS entity, ts AS added_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS removed_at FROM events WHERE user_id % 2 = 0)
+@query("""WITH w AS (SELECT user_id AS entity, ts AS added_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS removed_at FROM events)
 SELECT entity, added_at FROM w UNION ALL
-SELECT c_custkey, TIMESTAMP '2024-02-01' FROM customer WHERE c_custkey <= 200 AND c_custkey NOT IN (SELECT entity FROM w WHERE removed_at IS NULL)""")
+SELECT c_custkey, TIMESTAMP '2024-02-01' FROM customer WHERE c_custkey NOT IN (SELECT entity FROM w WHERE removed_at IS NULL)""")
 def import_holdings(spark, d):
-    shared = s.customers(spark, d).where("entity <= 200").select("entity", F.lit("2024-02-01").cast("timestamp").alias("added_at"))
-    log = s.watch(spark, d).where("entity % 2 = 0").select("entity", "added_at", "removed_at")
+    shared = s.customers(spark, d).select("entity", F.lit("2024-02-01").cast("timestamp").alias("added_at"))
+    log = s.watch(spark, d).select("entity", "added_at", "removed_at")
     return screen.import_holdings(shared, log).select("entity", F.col("added_at").cast("timestamp_ntz").alias("added_at"))
 
 
@@ -754,7 +772,7 @@ def _qflows(spark, d):
 
 
 @query(f"""WITH {_QFLOWS}, l AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) AS n FROM flows)
-SELECT entity, max("end") AS "end", {_hu("sum(val)", 2)} AS ttm, 'stitched' AS basis FROM l WHERE n <= 4 GROUP BY 1""")
+SELECT entity, max("end") AS "end", {_hu("sum(val)", 2)} AS ttm, 'ttm' AS basis FROM l WHERE n <= 4 GROUP BY 1""")
 def ttm_tiling(spark, d):
     return temporal.ttm(_qflows(spark, d), ["entity"]).select("entity", "end", stats.half_up("val", 2).alias("ttm"), "basis")
 
@@ -774,7 +792,7 @@ def annual_series(spark, d):
 
 
 @query(f"""WITH {_QUARTERS}, l AS (SELECT entity, max("end") AS last FROM quarters GROUP BY 1)
-SELECT entity, k::INTEGER AS k, (last - round(k * 365.25)::INTEGER)::DATE AS target FROM l, unnest([0, 1, 2, 3, 4]) AS t(k)""")
+SELECT entity, k::INTEGER AS k, (last - round_even(k * 365.25, 0)::INTEGER)::DATE AS target FROM l, unnest([0, 1, 2, 3, 4]) AS t(k)""")
 def anniversaries(spark, d):
     ends = s.quarterly(spark, d).groupBy("entity").agg(F.max("end").alias("last"))
     return temporal.anniversaries(ends, ["entity"], "last").select("entity", "k", "target")
@@ -801,6 +819,9 @@ def structural_signals(spark, d):
     return eligibility.structural_signals(f, ["R"], ["A", "R"])
 
 
-@query(f"""{_EXITS} SELECT entity, kind, rank FROM gone WHERE rank <= 20""")
+@query(f"""{_EXITS} SELECT entity, kind, rank, row_number() OVER (ORDER BY kind, rank NULLS LAST, entity) AS place
+FROM (SELECT entity, kind, CASE WHEN entity % 5 <> 0 THEN rank END AS rank FROM gone)""")
 def exit_order(spark, d):
-    return panel.exit_order(_exits(spark, d).where(F.col("rank") <= 20)).select("entity", "kind", "rank")
+    gone = _exits(spark, d).withColumn("rank", F.when(F.col("entity") % 5 != 0, F.col("rank")))
+    placed = panel.exit_order(gone).select("entity", "kind", "rank").withColumn("place", F.monotonically_increasing_id())
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))  # as many rows as leave in a month
\ No newline at end of file

@@ -78,59 +78,170 @@ METRICS = _metrics()
 
 #: Items and the concepts that report them, in order of preference.
 LINE_ITEMS = {
-    "revenue": ["Revenues", "RevenueFromContractWithCustomerExcludingAssessedTax", "SalesRevenueNet"],
-    "cost": ["CostOfRevenue", "CostOfGoodsAndServicesSold"],
+    "revenue": [
+        "RevenueFromContractWithCustomerExcludingAssessedTax",
+        "Revenues",
+        "RevenueFromContractWithCustomerIncludingAssessedTax",
+        "SalesRevenueNet",
+        "SalesRevenueGoodsNet",
+        "RevenuesNetOfInterestExpense",
+    ],
+    "cost": [
+        "CostOfGoodsAndServicesSold",
+        "CostOfRevenue",
+        "CostOfGoodsSold",
+        "CostOfServices",
+        "CostOfGoodsAndServicesSoldExcludingDepreciationDepletionAndAmortization",
+        "CostOfRevenueExcludingDepreciationDepletionAndAmortization",
+        "CostOfGoodsSoldExcludingDepreciationDepletionAndAmortization",
+        "CostOfGoodsAndServiceExcludingDepreciationDepletionAndAmortization",
+    ],
     "gross_profit": ["GrossProfit"],
     "operating_income": ["OperatingIncomeLoss"],
-    "operating_expense": ["OperatingExpenses"],
+    "operating_expense": ["OperatingExpenses", "OperatingCostsAndExpenses"],
     "costs_and_expenses": ["CostsAndExpenses"],
-    "pretax": ["IncomeLossFromContinuingOperationsBeforeIncomeTaxes"],
-    "interest": ["InterestExpense"],
-    "tax": ["IncomeTaxExpenseBenefit"],
-    "net_income": ["NetIncomeLoss", "ProfitLoss"],
-    "da": ["DepreciationDepletionAndAmortization", "DepreciationAndAmortization"],
-    "ocf": ["NetCashProvidedByUsedInOperatingActivities"],
-    "capex": ["PaymentsToAcquirePropertyPlantAndEquipment"],
+    "pretax": [
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItemsNoncontrollingInterest",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAndIncomeLossFromEquityMethodInvestments",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesDomestic",
+    ],
+    "interest": ["InterestExpense", "InterestExpenseNonoperating", "InterestExpenseDebt", "InterestAndDebtExpense"],
+    "tax": ["IncomeTaxExpenseBenefit", "IncomeTaxExpenseBenefitContinuingOperations"],
+    "net_income": ["NetIncomeLoss", "ProfitLoss", "NetIncomeLossAvailableToCommonStockholdersBasic"],
+    "da": ["DepreciationDepletionAndAmortization", "DepreciationAmortizationAndAccretionNet", "DepreciationAndAmortization", "Depreciation"],
+    "ocf": ["NetCashProvidedByUsedInOperatingActivities", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations"],
+    "capex": [
+        "PaymentsToAcquirePropertyPlantAndEquipment",
+        "PaymentsToAcquireProductiveAssets",
+        "PaymentsForCapitalImprovements",
+        "PaymentsToAcquireOtherPropertyPlantAndEquipment",
+        "PaymentsToAcquireOtherProductiveAssets",
+    ],
     "assets": ["Assets"],
     "current_assets": ["AssetsCurrent"],
     "liabilities": ["Liabilities"],
     "balance_total": ["LiabilitiesAndStockholdersEquity"],
     "current_liabilities": ["LiabilitiesCurrent"],
-    "equity": ["StockholdersEquity"],
+    "equity": ["StockholdersEquity", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"],
     "retained": ["RetainedEarningsAccumulatedDeficit"],
-    "cash": ["CashAndCashEquivalentsAtCarryingValue"],
-    "preferred": ["PreferredStockValue"],
-    "intangibles": ["IntangibleAssetsNetExcludingGoodwill"],
-    "goodwill": ["Goodwill"],
-    "debt_combined": ["DebtLongtermAndShorttermCombinedAmount", "DebtInstrumentCarryingAmount"],
-    "debt_noncurrent": ["LongTermDebtNoncurrent", "LongTermDebtAndCapitalLeaseObligations", "ConvertibleNotesPayableNoncurrent"],
-    "debt_lt_total": ["LongTermDebt", "NotesPayable", "ConvertibleNotesPayable"],
-    "debt_lt_current": ["LongTermDebtCurrent", "DebtCurrent"],
-    "debt_short": ["ShortTermBorrowings", "CommercialPaper"],
-    "one_off_charge": ["RestructuringCharges", "GoodwillImpairmentLoss", "AssetImpairmentCharges"],
-    "one_off_gain": ["GainLossOnDispositionOfAssets"],
+    "cash": ["CashAndCashEquivalentsAtCarryingValue", "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents", "CashAndDueFromBanks"],
+    "debt_combined": ["DebtLongtermAndShorttermCombinedAmount"],
+    "debt_noncurrent": [
+        "LongTermDebtNoncurrent",
+        "LongTermDebtAndCapitalLeaseObligations",
+        "UnsecuredLongTermDebt",
+        "ConvertibleDebtNoncurrent",
+        "SecuredLongTermDebt",
+        "LongTermNotesPayable",
+        "ConvertibleLongTermNotesPayable",
+        "SeniorLongTermNotes",
+    ],
+    "debt_lt_current": [
+        "LongTermDebtCurrent",
+        "LongTermDebtAndCapitalLeaseObligationsCurrent",
+        "ConvertibleDebtCurrent",
+        "SeniorNotesCurrent",
+        "NotesPayableCurrent",
+        "UnsecuredDebtCurrent",
+        "SecuredDebtCurrent",
+        "LoansPayableCurrent",
+        "ConvertibleNotesPayableCurrent",
+    ],
+    "debt_short": ["ShortTermBorrowings", "OtherShortTermBorrowings", "CommercialPaper"],
+    "debt_lt_total": [
+        "LongTermDebt",
+        "LongTermDebtAndCapitalLeaseObligationsIncludingCurrentMaturities",
+        "SeniorNotes",
+        "UnsecuredDebt",
+        "SecuredDebt",
+        "ConvertibleDebt",
+        "NotesPayable",
+        "LoansPayable",
+        "DebtAndCapitalLeaseObligations",
+        "ConvertibleNotesPayable",
+    ],
     "nii": ["InterestIncomeExpenseNet"],
     "noninterest_income": ["NoninterestIncome"],
     "noninterest_expense": ["NoninterestExpense"],
-    "provision": ["ProvisionForLoanLeaseAndOtherLosses"],
+    "provision": ["ProvisionForLoanLeaseAndOtherLosses", "ProvisionForLoanLossesExpensed", "ProvisionForCreditLosses"],
+    "goodwill": ["Goodwill"],
+    "intangibles": ["IntangibleAssetsNetExcludingGoodwill", "FiniteLivedIntangibleAssetsNet"],
+    "preferred": ["PreferredStockValue"],
     "premiums": ["PremiumsEarnedNet"],
     "claims": ["PolicyholderBenefitsAndClaimsIncurredNet"],
     "benefits": ["BenefitsLossesAndExpenses"],
-    "investment_income": ["NetInvestmentIncome"],
     "reserves": ["LiabilityForClaimsAndClaimsAdjustmentExpense"],
-    "compensation": ["LaborAndRelatedExpense"],
-    "bought": ["PaymentsForRepurchaseOfCommonStock"],
-    "dividends": ["PaymentsOfDividends"],
+    "investment_income": ["NetInvestmentIncome"],
+    "compensation": ["LaborAndRelatedExpense", "SalariesWagesAndOfficersCompensation"],
+    "eps": ["EarningsPerShareDiluted", "EarningsPerShareBasicAndDiluted", "EarningsPerShareBasic"],
+    "one_off_gain": [
+        "GainLossOnSaleOfBusiness",
+        "GainLossOnDispositionOfBusiness",
+        "GainLossOnDispositionOfAssets",
+        "GainLossOnDispositionOfAssets1",
+        "GainLossOnSaleOfOtherAssets",
+        "GainLossOnSaleOfPropertyPlantEquipment",
+        "GainLossRelatedToLitigationSettlement",
+        "DeconsolidationGainOrLossAmount",
+        "BusinessCombinationBargainPurchaseGainRecognizedAmount",
+    ],
+    "one_off_charge": [
+        "GoodwillImpairmentLoss",
+        "AssetImpairmentCharges",
+        "TangibleAssetImpairmentCharges",
+        "ImpairmentOfIntangibleAssetsExcludingGoodwill",
+        "ImpairmentOfIntangibleAssetsFinitelived",
+        "ImpairmentOfIntangibleAssetsIndefinitelivedExcludingGoodwill",
+        "ImpairmentOfLongLivedAssetsHeldAndUsed",
+        "RestructuringCharges",
+        "RestructuringSettlementAndImpairmentProvisions",
+        "RestructuringCostsAndAssetImpairmentCharges",
+    ],
+    "bought": ["PaymentsForRepurchaseOfCommonStock", "PaymentsForRepurchaseOfEquity"],
+    "issued": ["ProceedsFromIssuanceOfCommonStock", "ProceedsFromIssuanceOrSaleOfEquity"],
     "fund_holdings": ["InvestmentOwnedAtFairValue"],
-    "eps": ["EarningsPerShareDiluted"],
-    "issued": ["ProceedsFromIssuanceOfCommonStock"],
 }
-#: Items whose concepts nest: the largest in the newest filing counts, not the first.
-LARGEST_WINS = {"debt_combined", "debt_lt_total", "one_off_charge", "one_off_gain"}
-#: Concepts that are a part of debt and may stand in for the whole by mistake.
-DEBT_PARTS = ["ConvertibleNotesPayable", "ConvertibleNotesPayableNoncurrent", "NotesPayable", "DebtInstrumentCarryingAmount"]
-DEBT_ITEMS = ["debt_combined", "debt_noncurrent", "debt_lt_total", "debt_lt_current", "debt_short"]
-DEBT_LIKE, DEBT_NOISE = r"(?i)debt|borrowing|notespayable|loanspayable|creditfacility", r"(?i)securit|repayment|issuance|expense|receivable|fairvalue|gainloss"
+#: Fixed value: items whose concepts nest. Of a flow, the largest in the newest filing counts, not the first.
+LARGEST_WINS = {"revenue"}
+#: Items whose concepts are looked at one by one.
+BY_CONCEPT = {"one_off_gain", "one_off_charge"}
+#: Concepts that may hold one class of debt instead of all of it.
+DEBT_PARTS = [
+    "UnsecuredLongTermDebt", "ConvertibleDebtNoncurrent", "SecuredLongTermDebt", "LongTermNotesPayable",
+    "SeniorNotes", "UnsecuredDebt", "SecuredDebt", "ConvertibleDebt", "NotesPayable", "LoansPayable",
+    "ConvertibleLongTermNotesPayable", "SeniorLongTermNotes", "ConvertibleNotesPayable",
+]
+#: Concepts that hold a slice of debt and are read by no item; who has one did borrow.
+DEBT_SLICES = [
+    "NotesAndLoansPayable", "SubordinatedDebt", "JuniorSubordinatedNotes", "OtherLongTermDebt",
+    "OtherLongTermDebtNoncurrent", "LineOfCredit", "OtherBorrowings",
+    "CommercialPaperAtCarryingValue", "LoansPayableToBankCurrent",
+]
+DEBT_ITEMS = ["debt_combined", "debt_noncurrent", "debt_lt_current", "debt_short", "debt_lt_total"]
+#: Names of concepts that speak of borrowing, and those among them that do not.
+DEBT_LIKE = "(Debt|Borrowing|NotesPayable|LoansPayable|LineOfCredit|CommercialPaper|Subordinated|SeniorNotes)"
+DEBT_NOISE = (
+    "(LiabilitiesOtherThan|TradingSecurities|"
+    "AvailableForSale|DebtSecurities|HeldToMaturity|Lease|StockIssued|Interest|"
+    "Proceeds|Repayment|Payments|Extinguishment|Conversion|Issuance|Adjustments|"
+    "Capacity|Unused|Commitment|Remaining|Maximum|Percentage|Ratio|Average|Disclosure|"
+    "Covenant|FairValue|Maturit|Unamortized|Discount|Premium|Weighted|Number|Face|Pledged)"
+)
+#: Families of concepts that may have replaced one that no longer resolves, and the noise among them.
+CANDIDATE_FAMILIES = {
+    "debt": "(Debt|Notes|Borrowing|LoansPayable|CommercialPaper|LineOfCredit|Subordinated)",
+    "operating_income": "(OperatingIncome|InterestExpense)",
+    "cost_of_revenue": "^Costs?Of",
+    "capex": "^PaymentsToAcquire",
+    "operating_cash_flow": "^NetCashProvidedByUsedInOperating",
+}
+CANDIDATE_NOISE = (
+    "(Receivable|Proceeds|Repayment|FairValue|Maturit|Unamortized|Discount|Premium|Securities|"
+    "Investment|Extinguishment|Covenant|Rate|Weighted|Number|Face|Principal|Increase|Decrease|"
+    "Gain|Loss|Allowance|Capacity|Guarantee|Instrument|Business|Intangible|Marketable|"
+    "Share|Compensation|InterestExpenseOperating|Deposits|"
+    "Payments|Average|Disclosure|Adjustments|Conversion|Issuance|Unused|Commitment|Remaining|Maximum)"
+)
 
 
 @dataclass

@@ -13,7 +13,12 @@ from pyspark.sql.window import Window
 
 from cohortal.functions.stats import half_up
 
-FORMS = ["10-K", "10-K/A", "10-KT", "10-Q", "10-Q/A", "10-QT", "20-F", "20-F/A", "40-F", "40-F/A", "8-K", "6-K"]
+#: The forms that may supply a figure, and the units.
+FORMS = [
+    "10-K", "10-K/A", "10-KT", "10-KT/A",
+    "10-Q", "10-Q/A", "10-QT", "10-QT/A",
+    "20-F", "20-F/A", "40-F", "40-F/A",
+]
 UNITS = ["USD", "pure", "shares"]
 MAX_AGE, STITCHED_AGE = 300, 120
 
@@ -107,8 +112,11 @@ def year_ago(series: DataFrame, by: list[str], day: str, value: str, lo: int = 3
     return series.withColumn(f"{value}_year_ago", take)
 
 
-def stub_synthesis(flows: DataFrame, by: list[str], lo: int = 80, hi: int = 400) -> DataFrame:
-    """Flows of one start: the longer less the shorter gives the tail, where that lasts lo..hi days."""
+def stub_synthesis(flows: DataFrame, by: list[str], lo: int = 80, hi: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Flows of one start: the longer less the shorter gives the tail, where that lasts lo..hi days.
+
+    ``since`` is the start of both; ``carry`` names columns taken from the longer one.
+    """
     a, b = flows.alias("a"), flows.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*by, "start"]]
     on = same[0]
@@ -125,27 +133,29 @@ def stub_synthesis(flows: DataFrame, by: list[str], lo: int = 80, hi: int = 400)
             (F.col("a.val") - F.col("b.val")).alias("val"),
             F.greatest("a.filed", "b.filed").alias("filed"),
             F.lit(True).alias("synthetic"),
+            F.col("a.start").alias("since"),
+            *(F.col(f"a.{c}").alias(c) for c in carry),
         )
     )
 
 
 def duration(start: Column | str = "start", end: Column | str = "end") -> Column:
-    return F.datediff(end, start) + 1
+    """Days between both."""
+    return F.datediff(end, start)
 
 
 def quarterly_series(flows: DataFrame, by: list[str]) -> DataFrame:
     """(by, end, val) of single quarters: reported ones and tails, without quarters that repeat the year's value.
 
-    ``flows`` are the latest versions. A reported quarter beats a tail, then the newest filing counts.
+    ``flows`` are the latest versions. A reported quarter beats a tail, then the newest filing counts, then the first start.
     """
-    shaped = flows.withColumn("synthetic", F.lit(False)).select(*by, "start", "end", "val", "filed", "synthetic")
+    shaped = flows.select(*by, "start", "end", "val", "filed", F.lit(False).alias("synthetic"), F.col("start").alias("since"))
     every = shaped.unionByName(stub_synthesis(flows, by)).where(duration().between(80, 100))
-    years = flows.where(duration().between(330, 400)).select(*by, "end", F.col("val").alias("_year")).distinct()
-    years = years.groupBy(*by, "end").agg(F.collect_list("_year").alias("_years"))
+    years = flows.where(duration().between(330, 400)).groupBy(*by, "end").agg(F.collect_set("val").alias("_years"))
     kept = every.join(years, [*by, "end"], "left").where(
         F.col("synthetic") | F.col("_years").isNull() | ~F.exists("_years", lambda y: F.abs(F.col("val") - y) <= 0.01 * F.abs(y))
     )
-    w = Window.partitionBy(*by, "end").orderBy(F.col("synthetic").asc(), F.col("filed").desc(), F.col("val").desc_nulls_last())
+    w = Window.partitionBy(*by, "end").orderBy(F.col("synthetic").asc(), F.col("filed").desc(), F.col("since").asc(), F.col("start").asc())
     return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*by, "end", "val")
 
 
@@ -160,61 +170,84 @@ def far_from_last_kept(rows: Column, gap: int = 200) -> Column:
     )
 
 
-def annual_series(flows: DataFrame, by: list[str], anchor: Column | None = None, count: int = 6) -> DataFrame:
-    """(by, years): up to ``count`` years newest first, as structs (end, val, filed); a stale newest year empties it."""
-    newest = latest_version(flows.where(duration().between(330, 400)), [*by, "end"])
-    rows = F.sort_array(F.collect_list(F.struct("end", "val", "filed")), asc=False)
-    out = newest.groupBy(*by).agg(rows.alias("_all")).select(*by, F.slice(far_from_last_kept(F.col("_all")), 1, count).alias("years"))
-    if anchor is None:
-        return out
-    return out.withColumn("years", F.when(fresh(F.col("years")[0]["end"], anchor), F.col("years")).otherwise(F.slice("years", 1, 0)))
+def annual_series(flows: DataFrame, by: list[str], anchor: Column | None = None, count: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, years): up to ``count`` years newest first, as structs (end, val, filed, carry); a stale newest year empties it.
+
+    ``anchor`` is a column of ``flows``, one date for each group. Of years of one end the latest filed counts, then the first start.
+    """
+    w = Window.partitionBy(*by, "end").orderBy(F.col("filed").desc(), F.col("start").asc())
+    year = flows.where(duration().between(330, 400)).withColumn("_anchor", F.lit(None).cast("date") if anchor is None else anchor)
+    newest = year.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    rows = F.sort_array(F.collect_list(F.struct("end", "val", "filed", *carry)), asc=False)
+    out = newest.groupBy(*by).agg(far_from_last_kept(rows).alias("_all"), F.max("_anchor").alias("_anchor"))
+    years = F.when(fresh(F.col("_all")[0]["end"], F.col("_anchor")), F.slice("_all", 1, count)).otherwise(F.slice("_all", 1, 0))
+    return out.select(*by, years.alias("years"))
 
 
 def tiled(facts: Column, picks: int = 6) -> Column:
     """The trailing year as tiles: from the latest end backwards, at each cursor the longest flow that ends within 4 days of it and fits.
 
-    ``facts`` are structs (end, start, val, seq). Gives (covered, val, n), or NULL unless 350..380 days are covered.
+    ``facts`` are structs (end, start, val, filed, tail, src); equally long ones count in the order of their ends, reported before
+    derived. Gives (covered, val, n, newest, first), or NULL unless 350..380 days are covered: ``newest`` is (filed, src) of the tile
+    filed last, ``first`` the src of the first.
     """
-    days = lambda x: F.datediff(x["end"], x["start"]) + 1
-    first = F.array_max(F.transform(facts, lambda x: x["end"]))
-    state = F.struct(first.alias("cursor"), F.lit(0).alias("covered"), F.lit(0.0).alias("val"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+    days = lambda x: F.datediff(x["end"], x["start"])
+    latest = F.array_max(F.transform(facts, lambda x: x["end"]))
+    told = lambda x: F.struct(x["filed"].alias("filed"), x["src"].alias("src"))
+    none = F.get(F.transform(facts, told), F.lit(-1))
+    state = F.struct(
+        latest.alias("cursor"), F.lit(0).alias("covered"), F.lit(0.0).alias("val"), F.lit(0).alias("n"), F.lit(False).alias("over"), none.alias("newest"), none["src"].alias("first")
+    )
 
     def step(s: Column, _: Column) -> Column:
-        fits = F.filter(facts, lambda x: (F.abs(F.datediff(x["end"], s["cursor"])) <= 4) & (days(x) <= 366 - s["covered"] + 12) & (days(x) > 0))
-        best = F.array_max(F.transform(fits, lambda x: F.struct(days(x).alias("days"), (-x["seq"]).alias("seq"), x["start"].alias("start"), x["val"].alias("val"))))
+        fits = F.filter(facts, lambda x: (F.abs(F.datediff(x["end"], s["cursor"])) <= 4) & (days(x) <= 366 - s["covered"] + 12))
+        ordered = F.transform(
+            fits, lambda x: F.struct(days(x).alias("days"), (-F.unix_date(x["end"])).alias("o"), (-x["tail"]).alias("p"), x["start"].alias("start"), x["val"].alias("val"), x["filed"].alias("filed"), x["src"].alias("src"))
+        )
+        best = F.array_max(ordered)
         stop = s["over"] | (s["covered"] >= 350) | best.isNull()
+        later = F.coalesce(best["filed"] > s["newest"]["filed"], F.lit(True))
         return F.struct(
             F.when(stop, s["cursor"]).otherwise(F.date_sub(best["start"], 1)).alias("cursor"),
             F.when(stop, s["covered"]).otherwise(s["covered"] + best["days"]).alias("covered"),
             F.when(stop, s["val"]).otherwise(s["val"] + best["val"]).alias("val"),
             F.when(stop, s["n"]).otherwise(s["n"] + 1).alias("n"),
             stop.alias("over"),
+            F.when(stop | ~later, s["newest"]).otherwise(told(best)).alias("newest"),
+            F.when(stop | (s["n"] > 0), s["first"]).otherwise(best["src"]).alias("first"),
         )
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(picks)), state, step)
-    return F.when(done["covered"].between(350, 380), F.struct(done["covered"].alias("covered"), done["val"].alias("val"), done["n"].alias("n")))
+    return F.when(done["covered"].between(350, 380), done)
 
 
-def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None) -> DataFrame:
-    """(by, end, val, basis): the trailing twelve months, by tiling, else the latest year.
+def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, end, val, basis, filed, carry): the trailing twelve months, by tiling, else the latest year.
 
-    Stitched totals must end within 120 days of the anchor, single years within 300.
+    basis is ``ttm`` or, for a year reported as one, ``fy``. A total of several tiles must end within 120 days of the
+    anchor, a single year within 300; a stale total is not replaced by a year. ``anchor`` is a column of ``flows``. The
+    filing is that of the newest tile; a ``concept`` that is carried is that of the first.
     """
-    shaped = flows.select(*by, "start", "end", "val", "filed")
-    tails = stub_synthesis(flows, by).select(*by, "start", "end", "val", "filed")
-    every = shaped.unionByName(tails)
-    rows = F.collect_list(F.struct("end", "start", "val", (F.unix_date("filed") * -1).alias("seq")))
-    got = every.groupBy(*by).agg(rows.alias("_f"), F.max("end").alias("end")).withColumn("_t", tiled(F.col("_f")))
-    years = annual_series(flows, by).select(*by, F.try_element_at("years", F.lit(1)).alias("_y"))
+    day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
+    cols = ["start", "end", "val", "filed"]
+    real = flows.select(*by, *cols, F.lit(0).alias("tail"), src.alias("src"), day.alias("_anchor"))
+    tails = stub_synthesis(flows, by, carry=carry).select(*by, *cols, F.lit(1).alias("tail"), src.alias("src"), F.lit(None).cast("date").alias("_anchor"))
+    rows = F.collect_list(F.struct("end", "start", "val", "filed", "tail", "src"))
+    got = real.unionByName(tails).groupBy(*by).agg(rows.alias("_f"), F.max("end").alias("end"), F.max("_anchor").alias("_anchor"))
+    got = got.withColumn("_t", tiled(F.col("_f")))
+    years = annual_series(flows, by, anchor, 1, carry).select(*by, F.try_element_at("years", F.lit(1)).alias("_y"))
     out = got.join(years, by, "left")
-    whole = F.col("_t").isNotNull() & (fresh(F.col("end"), anchor, STITCHED_AGE) if anchor is not None else F.lit(True))
-    single = F.col("_y").isNotNull() & (fresh(F.col("_y.end"), anchor) if anchor is not None else F.lit(True))
-    return out.select(
+    whole, alone = F.col("_t").isNotNull(), F.col("_t.n") == 1
+    good = F.when(alone, fresh(F.col("end"), F.col("_anchor"))).otherwise(fresh(F.col("end"), F.col("_anchor"), STITCHED_AGE))
+    told = lambda c: F.when(whole, F.col("_t.first.concept" if c == "concept" else f"_t.newest.src.{c}")).otherwise(F.col(f"_y.{c}")).alias(c)
+    return out.where(F.when(whole, good).otherwise(F.col("_y").isNotNull())).select(
         *by,
-        F.when(whole, F.col("end")).when(single, F.col("_y.end")).alias("end"),
-        F.when(whole, F.col("_t.val")).when(single, F.col("_y.val")).alias("val"),
-        F.when(whole & (F.col("_t.n") > 1), "stitched").when(whole, "single").when(single, "annual").alias("basis"),
-    ).where("val is not null")
+        F.when(whole, F.col("end")).otherwise(F.col("_y.end")).alias("end"),
+        F.when(whole, F.col("_t.val")).otherwise(F.col("_y.val")).alias("val"),
+        F.when(whole & ~alone, "ttm").otherwise("fy").alias("basis"),
+        F.when(whole, F.col("_t.newest.filed")).otherwise(F.col("_y.filed")).alias("filed"),
+        *map(told, carry),
+    )
 
 
 def rolling_sum4(series: DataFrame, by: list[str], day: str, value: str, span: int = 300) -> DataFrame:
@@ -225,9 +258,9 @@ def rolling_sum4(series: DataFrame, by: list[str], day: str, value: str, span: i
 
 
 def anniversaries(ends: DataFrame, by: list[str], end: str, count: int = 5) -> DataFrame:
-    """(by, k, target): the same day ``k`` years of 365.25 days back, for k under ``count``."""
+    """(by, k, target): the same day ``k`` years of 365.25 days back, for k under ``count``; half a day is rounded to an even number."""
     out = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return out.withColumn("target", F.date_sub(end, F.round(F.col("k") * 365.25).cast("int")))
+    return out.withColumn("target", F.date_sub(end, F.bround(F.col("k") * 365.25).cast("int")))
 
 
 def quarters_match_years(quarters: DataFrame, years: DataFrame, by: list[str], tolerance: float = 0.05) -> DataFrame:
@@ -240,7 +273,7 @@ def quarters_match_years(quarters: DataFrame, years: DataFrame, by: list[str], t
 
 def reference_date(facts: DataFrame, by: list[str], as_of: str, at_least: int = 5) -> DataFrame:
     """(by, anchor): the latest instant that at least so many distinct concepts share."""
-    known = facts.where(F.col("start").isNull() & (F.col("end") <= F.col("filed")) & (F.col("filed") <= F.to_date(F.lit(as_of))))
+    known = facts.where(F.col("start").isNull() & F.col("val").isNotNull() & (F.col("end") <= F.col("filed")) & (F.col("filed") <= F.to_date(F.lit(as_of))))
     shared = known.groupBy(*by, "end").agg(F.count_distinct("concept").alias("n")).where(F.col("n") >= at_least)
     return shared.groupBy(*by).agg(F.max("end").alias("anchor"))
 

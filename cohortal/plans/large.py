@@ -16,6 +16,32 @@ from cohortal.functions import stats
 from cohortal.plans.stage import materialised
 
 
+def ranked(rows: DataFrame, by: list[str], slice_of: Column, order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, consecutive ranks from 1 inside ``by``, and optionally each group's ``size``.
+
+    ``slice_of`` falls, or stays, as ``order`` goes on. Only slices are sorted, each in a task of its own; what stands before a
+    slice is a sum over the sizes of the others, a table as small as there are slices. A plain window would sort whole groups.
+    """
+    sliced = rows.withColumn("_slice", slice_of)
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_size": F.sum("_n").over(Window.partitionBy(*by))}
+    shifts = sizes.withColumns(totals).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_slice").alias("_s"), "_before", "_size")
+    on = F.col("_slice") == F.col("_s")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    place = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
+    out = sliced.withColumn("_place", place).join(shifts, on).withColumn(name, (F.col("_before") + F.col("_place")).cast("long"))
+    return out.select(*(c for c in rows.columns if c not in (name, size)), name, *([F.col("_size").alias(size)] if size else []))
+
+
+def by_cuts(rows: DataFrame, by: list[str], value: str, cuts: int = 64) -> tuple[DataFrame, Column]:
+    """``rows`` with the approximate quantiles of each group, and the slice of each row: higher values in higher slices, nulls lowest."""
+    at = F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 20 * cuts).alias("_cuts")
+    known = rows.groupBy(*by).agg(at)
+    return rows.join(known, by), F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(-1))
+
+
 def value_positions(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value, equal, below, n): of each distinct value, how many rows have it, how many less, and the cohort's size."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("equal"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.scalars import clamp, or_zero, positive_ratio, safe_div, sum_of_present
-from cohortal.functions.spec import DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, METRICS, Settings, line_items
+from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, METRICS, Settings, line_items
 from cohortal.operators import temporal as t
 from cohortal.operators.eligibility import ever_reported
 from cohortal.plans.stage import materialised
@@ -24,40 +24,59 @@ TREND_YEARS, TREND_POINTS, TREND_BASE = 3, 9, 50e6
 CURRENT_DAYS = 120
 MATERIAL, CONFIRM, WINDOW = 0.25, 0.5, 370
 MARGIN_SWING = 0.5
+AGREE = 0.05
 BY_ITEM = ["entity", "item"]
+SOURCE = ("concept", "accn", "form")
 
 
-def resolve_items(facts: DataFrame, as_of: str) -> DataFrame:
-    """(entity, item, concept, start, end, val, filed, seq): one value for each item and period."""
-    known = t.visible(t.first_taxonomy(facts, TAXONOMIES), as_of, t.FORMS, t.UNITS)
-    tagged = known.join(F.broadcast(line_items(facts.sparkSession)), "concept")  # as long as the registry
-    one = t.latest_version(tagged, ["entity", "item", "concept", "start", "end"])
-    key = [*BY_ITEM, "start", "end"]
-    merged = t.priority_merge(one.where("not largest_wins"), key).unionByName(t.largest_in_newest(one.where("largest_wins"), key))
-    return merged.select("entity", "item", "concept", "start", "end", "val", "filed", "seq")
+def tagged_facts(facts: DataFrame, as_of: str) -> DataFrame:
+    """(entity, item, concept, start, end, val, filed, accn, form, seq, priority, largest_wins): the latest version of each concept and period.
+
+    Concepts of no item go before anything is shuffled. Items that are looked at concept by concept are named ``item:concept``.
+    """
+    items = line_items(facts.sparkSession)  # as long as the registry
+    wanted = facts.join(F.broadcast(items.select("concept").distinct()), "concept", "left_semi")
+    known = t.visible(t.first_taxonomy(wanted, TAXONOMIES), as_of, t.FORMS, t.UNITS)
+    tagged = known.join(F.broadcast(items), "concept")
+    named = F.when(F.col("item").isin(*BY_CONCEPT), F.concat_ws(":", "item", "concept")).otherwise(F.col("item"))
+    one = t.latest_version(tagged.withColumn("item", named), ["entity", "item", "concept", "start", "end"])
+    return one.select("entity", "item", "concept", "start", "end", "val", "filed", "accn", "form", "seq", "priority", "largest_wins").where("end is not null")
+
+
+def resolve_items(tagged: DataFrame) -> DataFrame:
+    """(entity, item, concept, start, end, val, filed, accn, form): one value for each item and period."""
+    key, nested = [*BY_ITEM, "start", "end"], F.col("largest_wins") & F.col("start").isNotNull()
+    largest = t.largest_in_newest(tagged.where(nested & F.col("val").isNotNull()), key)
+    merged = t.priority_merge(tagged.where(~nested), key).unionByName(largest)
+    return merged.select("entity", "item", "concept", "start", "end", "val", "filed", "accn", "form")
 
 
 def anchors(facts: DataFrame, as_of: str) -> DataFrame:
-    return t.reference_date(t.visible(facts, as_of, t.FORMS, t.UNITS), ["entity"], as_of)
+    """(entity, anchor): the latest balance sheet on file."""
+    return t.reference_date(t.visible(facts.where("taxonomy = 'us-gaap'"), as_of, t.FORMS), ["entity"], as_of)
 
 
-def instants(items: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(entity, item, concept, end, val): each item's newest instant, unless stale."""
-    newest = F.max_by(F.struct("end", "concept", "val"), "end")
-    got = items.where("start is null and val is not null").groupBy(*BY_ITEM).agg(newest.alias("x")).select(*BY_ITEM, "x.*")
-    return got.join(anchor, "entity", "left").where(t.fresh(F.col("end"), F.col("anchor"))).drop("anchor")
+def instants(items: DataFrame, as_of: str) -> DataFrame:
+    """(entity, item, concept, end, val, filed, accn, form): each item's newest instant up to ``as_of``, unless stale against ``anchor``."""
+    cols = ["end", "concept", "val", "filed", "accn", "form"]
+    rows = items.where(F.col("start").isNull() & F.col("val").isNotNull() & (F.col("end") <= F.to_date(F.lit(as_of))))
+    got = rows.groupBy(*BY_ITEM).agg(F.max_by(F.struct(*cols), "end").alias("x"), F.max("anchor").alias("anchor")).select(*BY_ITEM, "x.*", "anchor")
+    return got.where(t.fresh(F.col("end"), F.col("anchor"))).drop("anchor")
 
 
 def instants_at(items: DataFrame, days: DataFrame) -> DataFrame:
     """(entity, item, concept, end, val) as of each entity's ``day``, fresh against that day."""
-    both = items.where("start is null and val is not null").join(days, "entity").where(F.col("end") <= F.col("day"))
+    both = items.where("start is null and val is not null").drop("day").join(days, "entity").where(F.col("end") <= F.col("day"))
     got = both.groupBy(*BY_ITEM, "day").agg(F.max_by(F.struct("end", "concept", "val"), "end").alias("x"))
     return got.select(*BY_ITEM, "day", "x.*").where(t.fresh(F.col("end"), F.col("day"))).drop("day")
 
 
-def _as_map(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """One map an entity from its rows by item; as large as the registry."""
-    return rows.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("item", value.alias("v")))).alias(name))
+def instants_near(items: DataFrame, days: DataFrame, names: list[str], within: int = 45) -> DataFrame:
+    """(entity, item, val): the instants of items nearest to each entity's ``day``."""
+    own = items.where(F.col("item").isin(names) & F.col("start").isNull() & F.col("val").isNotNull())
+    probes = days.withColumn("item", F.explode(F.array(*map(F.lit, names))))
+    found = t.nearest(probes, own.select(*BY_ITEM, "end", "val"), BY_ITEM, "day", "end", within, ["val"])
+    return found.where("val is not null").select(*BY_ITEM, "val")
 
 
 def total_debt(inst: str) -> tuple[Column, Column]:
@@ -74,27 +93,33 @@ def total_debt(inst: str) -> tuple[Column, Column]:
         return F.when(val(key).isNotNull(), made)
 
     paths = F.array(
-        path("debt_combined", 0, val("debt_combined"), "combined"),
+        path("debt_combined", 0, val("debt_combined"), "combined-tag"),
         path("debt_noncurrent", 1, sum_of_present(val("debt_noncurrent"), val("debt_lt_current"), val("debt_short")), "noncurrent+current+short"),
-        path("debt_lt_total", 2, sum_of_present(val("debt_lt_total"), val("debt_short")), "long-term+short"),
+        path("debt_lt_total", 2, sum_of_present(val("debt_lt_total"), val("debt_short")), "longtermdebt+short"),
     )
     ordered = F.sort_array(F.filter(paths, lambda x: x.isNotNull()), asc=False)
     whole = F.filter(ordered, lambda c, i: ~(c["part"] & F.exists(F.slice(ordered, i + 2, 3), lambda o: c["value"] < PARTIAL_DEBT * o["value"])))
     best = F.try_element_at(whole, F.lit(1))
     partial = sum_of_present(val("debt_lt_current"), val("debt_short"))
-    return F.coalesce(best["value"], partial), F.coalesce(best["how"], F.when(partial.isNotNull(), "current+short only"))
+    return F.coalesce(best["value"], partial), F.coalesce(best["how"], F.when(partial.isNotNull(), "current+short-only"))
 
 
-def debt_history(items: DataFrame, facts: DataFrame, as_of: str | None) -> DataFrame:
-    """(entity, last_zero, any_debt): whether the last debt reported was zero, and whether any ever was.
+def debt_history(tagged: DataFrame, facts: DataFrame, as_of: str, back: DataFrame, strict_pit: bool = False) -> DataFrame:
+    """(entity, last_zero, prior_zero, any_debt): whether the last debt reported by ``as_of``, or by each entity's earlier ``day``, was zero, and whether any ever was.
 
-    The second looks at the whole record; with ``as_of`` only at what was filed by then.
+    The last of each concept counts. The third looks at the whole record, filed later or not; with ``strict_pit`` only at
+    what was filed by ``as_of``.
     """
-    tagged = items.where(F.col("item").isin(DEBT_ITEMS) & F.col("start").isNull() & F.col("val").isNotNull())
-    last = tagged.withColumn("_m", F.max("end").over(Window.partitionBy("entity"))).where("end = _m")
-    zero = last.groupBy("entity").agg(F.bool_and(F.col("val") == 0).alias("last_zero"))
-    ever = ever_reported(facts, DEBT_LIKE, DEBT_NOISE, as_of).withColumn("any_debt", F.lit(True))
-    return zero.join(ever, "entity", "full_outer")
+    own = tagged.where(F.col("item").isin(DEBT_ITEMS) & F.col("start").isNull() & F.col("val").isNotNull())
+    own = own.where(F.col("end") <= F.to_date(F.lit(as_of))).join(back, "entity", "left")
+    zero_on = lambda ok: F.max_by("zero", F.when(ok, F.col("end")))
+    days = own.groupBy("entity", "day", "end").agg(F.bool_and(F.col("val") == 0).alias("zero"))
+    zero = days.groupBy("entity").agg(zero_on(F.lit(True)).alias("last_zero"), zero_on(F.col("end") <= F.col("day")).alias("prior_zero"))
+    gaap = facts.where("taxonomy = 'us-gaap'")
+    ever = ever_reported(gaap, DEBT_LIKE, DEBT_NOISE, as_of if strict_pit else None)
+    sliced = t.visible(facts.where(F.col("concept").isin(DEBT_SLICES) & F.col("start").isNull()), as_of, t.FORMS, t.UNITS).select("entity")
+    any_debt = ever.unionByName(sliced).distinct().withColumn("any_debt", F.lit(True))
+    return zero.join(any_debt, "entity", "full_outer")
 
 
 def _yearly_move(q: DataFrame, lo: int = 350, hi: int = 380) -> DataFrame:
@@ -106,13 +131,22 @@ def _last(q: DataFrame, n: int) -> DataFrame:
     return q.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
 
 
-def one_offs(items: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(entity, gain, charge): the largest one-off of each kind tagged in the trailing year."""
-    tagged = items.where(F.col("item").isin("one_off_gain", "one_off_charge") & F.col("start").isNotNull() & (F.col("val") > 0)).join(anchor, "entity")
+def _family(item: Column | str = "item") -> Column:
+    return F.split_part(F.col(item) if isinstance(item, str) else item, F.lit(":"), F.lit(1))
+
+
+def one_offs(items: DataFrame) -> DataFrame:
+    """(entity, gain, charge): the largest one-off of each kind that one concept has in the trailing year."""
+    tagged = items.where(_family().isin(*BY_CONCEPT) & F.col("start").isNotNull() & (F.col("val") > 0))
     inside = tagged.where(F.datediff("anchor", "end").between(0, WINDOW))
-    return inside.groupBy("entity").agg(
-        F.max(F.when(F.col("item") == "one_off_gain", F.col("val"))).alias("gain"), F.max(F.when(F.col("item") == "one_off_charge", F.col("val"))).alias("charge")
-    )
+    of = lambda kind: F.max(F.when(_family() == kind, F.col("val")))
+    return inside.groupBy("entity").agg(of("one_off_gain").alias("gain"), of("one_off_charge").alias("charge"))
+
+
+def _net_one_offs(rows: DataFrame) -> DataFrame:
+    """(entity, end, off): charges less gains of each period (entity, item, end, val); of a kind the largest counts, as concepts nest."""
+    most = rows.where(_family().isin(*BY_CONCEPT) & (F.col("val") > 0)).groupBy("entity", "end", _family().alias("kind")).agg(F.max("val").alias("val"))
+    return most.groupBy("entity", "end").agg(F.sum(F.when(F.col("kind") == "one_off_charge", F.col("val")).otherwise(-F.col("val"))).alias("off"))
 
 
 def shown_moves(q: DataFrame, item: str) -> DataFrame:
@@ -142,7 +176,7 @@ def qualifying(periods: DataFrame, tax: DataFrame) -> DataFrame:
     the line moves with it. If more than a third of the periods have one, none counts.
     """
     w = Window.partitionBy(*BY_ITEM)
-    p = _yearly_move(periods).join(tax, "entity", "left")
+    p = t.year_ago(periods, BY_ITEM, "end", "val", pick="first").join(tax, "entity", "left")
     p = p.withColumns({"_a": F.coalesce(F.col("off") * (1 - or_zero("tax")), F.lit(0.0)), "_typ": F.median(F.abs("val")).over(w), "_n": F.count("*").over(w)})
     big = (F.col("_a") != 0) & (F.abs("_a") >= F.greatest(MATERIAL * F.abs("val"), F.col("_typ")))
     seen = (F.col("val_year_ago") - F.col("val")) * F.signum("_a") >= 0.5 * F.abs("_a")
@@ -153,25 +187,30 @@ def qualifying(periods: DataFrame, tax: DataFrame) -> DataFrame:
 
 def _assets_near(points: DataFrame, items: DataFrame, within: int) -> DataFrame:
     """Points (entity, end, ...) with the total assets nearest to their end."""
-    a = items.where("item = 'assets' and start is null and val > 0").select("entity", F.col("end").alias("day"), F.col("val").alias("assets"))
+    a = items.where("item = 'assets' and start is null and val is not null").select("entity", F.col("end").alias("day"), F.col("val").alias("assets"))
     return t.nearest(points, a, ["entity"], "end", "day", within, ["assets"]).drop("nearest_day")
 
 
 def _current(points: DataFrame, anchor: DataFrame) -> DataFrame:
     """Series with their last end, where that is current."""
     last = points.groupBy("entity").agg(F.max("end").alias("last")).join(anchor, "entity")
-    return points.join(last.where(F.datediff("anchor", "last") <= CURRENT_DAYS), "entity")
+    return points.join(last.where(F.datediff("anchor", "last") <= CURRENT_DAYS).select("entity", "last"), "entity")
 
 
 def _ttm_points(q: DataFrame, item: str) -> DataFrame:
     return t.rolling_sum4(q.where(F.col("item") == item), BY_ITEM, "end", "val").where("val_ttm is not null").select("entity", "end", F.col("val_ttm").alias("ttm"))
 
 
-def _agrees(q: DataFrame, items: DataFrame, item: str, since: DataFrame) -> DataFrame:
+def _years(items: DataFrame, item: str, count: int) -> DataFrame:
+    """(entity, k, end, val): an item's fiscal years, the newest first."""
+    flows = items.where((F.col("item") == item) & F.col("start").isNotNull() & F.col("val").isNotNull())
+    return t.annual_series(flows, ["entity"], F.col("anchor"), count).select("entity", F.posexplode("years").alias("k", "y")).select("entity", "k", "y.end", "y.val")
+
+
+def _disagree(q: DataFrame, items: DataFrame, item: str, since: DataFrame) -> DataFrame:
     """Entities whose quarters disagree with a fiscal year that ends at or after ``since``."""
-    flows = items.where((F.col("item") == item) & F.col("start").isNotNull())
-    years = t.annual_series(flows, ["entity"], count=5).select("entity", F.inline("years")).join(since, "entity").where("end >= since and val <> 0")
-    return t.quarters_match_years(q.where(F.col("item") == item).select("entity", "end", "val"), years, ["entity"]).where("not matches").select("entity")
+    years = _years(items, item, 5).join(since, "entity").where("end >= since and val <> 0")
+    return t.quarters_match_years(q.where(F.col("item") == item).select("entity", "end", "val"), years, ["entity"], AGREE).where("not matches").select("entity")
 
 
 def _slope(points: DataFrame, y: Column) -> DataFrame:
@@ -183,9 +222,9 @@ def revenue_growth(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFra
     """(entity, trend, latest): yearly growth along the line of log trailing revenue, and the latest year's change."""
     points = _current(_ttm_points(q, "revenue"), anchor)
     near = points.where(F.datediff("last", "end") <= 365 * TREND_YEARS + 30)
-    fit = _slope(near.where("ttm > 0"), F.log("ttm")).join(near.groupBy("entity").agg(F.min("ttm").alias("_low")), "entity")
-    fit = fit.where((F.col("n") >= TREND_POINTS) & (F.col("_low") > 0) & (F.col("base") >= TREND_BASE))
-    bad = _agrees(q, items, "revenue", fit.select("entity", F.date_sub("from", 280).alias("since")))
+    fit = _slope(near, F.log(F.when(F.col("ttm") > 0, F.col("ttm"))))
+    fit = fit.where((F.col("n") >= TREND_POINTS) & (F.col("least") > 0) & (F.col("base") >= TREND_BASE))
+    bad = _disagree(q, items, "revenue", fit.select("entity", F.date_sub("from", 280).alias("since")))
     trend = fit.join(bad, "entity", "left_anti").select("entity", (F.exp("slope") - 1).alias("trend"))
     moved = t.year_ago(points, ["entity"], "end", "ttm").where("end = last")
     enough = points.groupBy("entity").agg(F.count("*").alias("_c")).where("_c >= 5").select("entity")
@@ -196,18 +235,23 @@ def revenue_growth(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFra
 def operating_income_change(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFrame:
     """(entity, op_inc_change): four times the median yearly change of the last four quarters, over mean assets."""
     own = _current(q.where("item = 'operating_income'"), anchor)
-    last = _last(_yearly_move(own, 355, 375), 4)
+    last = _last(_yearly_move(own, 355, 375), 8)
+    four = F.col("_k") <= 4
     got = last.groupBy("entity").agg(
-        F.count("val_year_ago").alias("n"), F.median(F.col("val") - F.col("val_year_ago")).alias("m"), F.max("end").alias("end"), F.date_sub(F.min("end"), 380).alias("since")
+        F.count(F.when(four, F.col("val_year_ago"))).alias("n"), F.median(F.when(four, F.col("val") - F.col("val_year_ago"))).alias("m"), F.max("end").alias("end"), F.min("end").alias("since")
     ).where("n = 4")
-    got = got.join(_agrees(q, items, "operating_income", got.select("entity", "since")), "entity", "left_anti")
+    got = got.join(_disagree(q, items, "operating_income", got.select("entity", "since")), "entity", "left_anti")
     now = _assets_near(got, items, 10).withColumnRenamed("assets", "a1")
-    then = _assets_near(now.withColumn("end", F.date_sub("end", 365)), items, 10)
+    then = _assets_near(now.withColumn("end", F.date_sub("end", 365)), items, 10).where("a1 <> 0 and assets <> 0 and a1 + assets > 0")
     return then.select("entity", safe_div(4 * F.col("m"), (F.col("a1") + F.col("assets")) / 2).alias("op_inc_change"))
 
 
 def gross_profit_trend(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(entity, gp_trend): the three-year change along the line of trailing gross profit over assets of the same date."""
+    """(entity, gp_trend): the three-year change along the line of trailing gross profit over assets of the same date.
+
+    Gross profit is revenue less cost where there are enough quarters of both, else as reported. The quarters must agree with
+    the fiscal years of revenue and cost, and the trailing gross profit at a year's end with that year's.
+    """
     r = q.where("item = 'revenue'").select("entity", "end", F.col("val").alias("_r"))
     made = r.join(q.where("item = 'cost'").select("entity", "end", F.col("val").alias("_c")), ["entity", "end"]).select("entity", "end", (F.col("_r") - F.col("_c")).alias("val"))
     enough = made.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= TREND_POINTS + 3).select("entity")
@@ -215,21 +259,27 @@ def gross_profit_trend(q: DataFrame, items: DataFrame, anchor: DataFrame) -> Dat
     gross = made.join(enough, "entity", "left_semi").unionByName(tagged)
     points = _current(t.rolling_sum4(gross, ["entity"], "end", "val").where("val_ttm is not null").select("entity", "end", F.col("val_ttm").alias("ttm")), anchor)
     near = _assets_near(points.where(F.datediff("last", "end") <= 365 * TREND_YEARS + 30), items, 10).where("assets > 0")
-    near = near.withColumn("ttm", F.col("ttm") / F.col("assets"))
-    odd = near.groupBy("entity").agg(F.max(F.abs("ttm")).alias("_m"))
-    fit = _slope(near, F.col("ttm")).join(odd, "entity").where((F.col("n") >= TREND_POINTS) & (F.col("_m") <= 3))
+    fit = _slope(near.withColumn("ttm", F.col("ttm") / F.col("assets")), F.col("ttm"))
+    most = near.groupBy("entity").agg(F.max(F.abs(F.col("ttm") / F.col("assets"))).alias("_m"))
+    fit = fit.join(most, "entity").where((F.col("n") >= TREND_POINTS) & (F.col("_m") <= 3))
     since = fit.select("entity", F.date_sub("from", 280).alias("since"))
-    for item in ("revenue", "cost"):
-        fit = fit.join(_agrees(q, items, item, since), "entity", "left_anti")
-    return fit.select("entity", (F.col("slope") * TREND_YEARS).alias("gp_trend"))
+    bad = _disagree(q, items, "revenue", since).unionByName(_disagree(q, items, "cost", since.join(enough, "entity", "left_semi")))
+
+    year = lambda item, name: _years(items, item, 5).select("entity", "end", F.col("val").alias(name))
+    years = year("revenue", "revenue").join(since, "entity").where("end >= since and revenue <> 0")
+    years = years.join(year("cost", "cost"), ["entity", "end"], "left").join(year("gross_profit", "gross"), ["entity", "end"], "left")
+    years = years.join(enough.withColumn("_made", F.lit(True)), "entity", "left")
+    expected = F.when(F.col("_made") & F.col("cost").isNotNull(), F.col("revenue") - F.col("cost")).otherwise(F.col("gross"))
+    at = years.select("entity", F.col("end").alias("year_end"), "revenue", expected.alias("expected")).where("expected is not null").join(points.select("entity", "end", "ttm"), "entity")
+    at = at.where(F.abs(F.datediff("end", "year_end")) <= 10).groupBy("entity", "year_end", "revenue", "expected").agg(F.min_by("ttm", "end").alias("ttm"))
+    off = at.where(F.abs(F.col("ttm") - F.col("expected")) > AGREE * F.abs("revenue")).select("entity")
+    return fit.join(bad.unionByName(off), "entity", "left_anti").select("entity", (F.col("slope") * TREND_YEARS).alias("gp_trend"))
 
 
 def earnings_variability(q: DataFrame, items: DataFrame, anchor: DataFrame, tax: DataFrame) -> DataFrame:
     """(entity, earn_var): scatter of five twelve-month returns on assets, else of five fiscal years'."""
-    off = q.where(F.col("item").isin("one_off_charge", "one_off_gain") & (F.col("val") > 0))
-    signed = off.groupBy("entity", "end").agg(F.sum(F.when(F.col("item") == "one_off_charge", F.col("val")).otherwise(-F.col("val"))).alias("off"))
     ni = q.where("item = 'net_income'")
-    adjusted = qualifying(_last(ni, 21).drop("_k").join(signed, ["entity", "end"], "left"), tax)
+    adjusted = qualifying(_last(ni, 21).drop("_k").join(_net_one_offs(q), ["entity", "end"], "left"), tax)
     older = ni.join(adjusted.select(*BY_ITEM, "end"), [*BY_ITEM, "end"], "left_anti").select(*BY_ITEM, "end", "val")
     points = _current(_ttm_points(adjusted.unionByName(older), "net_income"), anchor)
     probes = t.anniversaries(points.select("entity", F.col("last").alias("at")).distinct(), ["entity"], "at")
@@ -237,58 +287,83 @@ def earnings_variability(q: DataFrame, items: DataFrame, anchor: DataFrame, tax:
     near = near.where("ttm is not null").select("entity", "k", F.col("nearest_end").alias("end"), "ttm")
     roa = _assets_near(near, items, 10).where("assets > 0")
     five = roa.groupBy("entity").agg(stats.trend_dispersion(F.col("ttm") / F.col("assets"), -F.col("k")).alias("v"), F.count("*").alias("n")).where("n = 5").select("entity", "v")
-    flows = items.where(F.col("start").isNotNull())
-    years = t.annual_series(flows.where("item = 'net_income'"), BY_ITEM, count=5).select(*BY_ITEM, F.posexplode("years").alias("k", "y")).select(*BY_ITEM, "k", "y.*")
-    offs = t.annual_series(flows.where(F.col("item").isin("one_off_charge", "one_off_gain")), BY_ITEM).select(*BY_ITEM, F.inline("years")).where("val > 0")
-    offs = offs.groupBy("entity", "end").agg(F.sum(F.when(F.col("item") == "one_off_charge", F.col("val")).otherwise(-F.col("val"))).alias("off"))
+    years = _years(items, "net_income", 5).withColumn("item", F.lit("net_income"))
+    single = items.where(_family().isin(*BY_CONCEPT) & F.col("start").isNotNull() & F.col("val").isNotNull())
+    offs = _net_one_offs(t.annual_series(single, BY_ITEM, F.col("anchor")).select(*BY_ITEM, F.inline("years")))
     yearly = qualifying(years.select(*BY_ITEM, "end", "val").join(offs, ["entity", "end"], "left"), tax).join(years.select("entity", "end", "k"), ["entity", "end"])
-    fy = _assets_near(yearly.select("entity", "end", "k", "val"), items, 45).where("assets is not null").groupBy("entity")
+    fy = _assets_near(yearly.select("entity", "end", "k", "val"), items, 45).where("assets <> 0").groupBy("entity")
     fy = fy.agg(stats.trend_dispersion(F.col("val") / F.col("assets"), -F.col("k")).alias("fy"), F.count("*").alias("n")).where("n >= 5").select("entity", "fy")
     return five.join(fy, "entity", "full_outer").select("entity", F.coalesce("v", "fy").alias("earn_var"))
 
 
 def annual_gpoa(items: DataFrame) -> DataFrame:
-    """(entity, k, gpoa, margin, revenue) of fiscal years 0 and 3: gross profit over assets near the year's end."""
-    flows = items.where(F.col("start").isNotNull())
-    year = lambda item: t.annual_series(flows.where(F.col("item") == item), ["entity"]).select("entity", F.posexplode("years").alias("k", "y")).select("entity", "k", "y.end", "y.val")
-    r = year("revenue").where("k in (0, 3)").select("entity", "k", "end", F.col("val").alias("revenue"))
-    c = year("cost").select("entity", F.col("end").alias("day"), F.col("val").alias("cost"))
-    both = _assets_near(t.nearest(r, c, ["entity"], "end", "day", 20, ["cost"]).drop("nearest_day"), items, 45)
-    gross = F.col("revenue") - F.col("cost")
-    return both.select("entity", "k", safe_div(gross, "assets").alias("gpoa"), safe_div(gross, "revenue").alias("margin"), "revenue")
+    """(entity, k, gpoa, margin, revenue) of fiscal years 0 and 3: gross profit over assets near the year's end.
+
+    The cost of the same end counts, else the newest year's within 20 days.
+    """
+    r = _years(items, "revenue", 6).where("k in (0, 3)").select("entity", "k", "end", F.col("val").alias("revenue"))
+    c = _years(items, "cost", 6).select("entity", F.col("end").alias("day"), F.col("val").alias("cost"))
+    close = r.join(c, "entity").where(F.abs(F.datediff("day", "end")) <= 20)
+    met = close.groupBy("entity", "k", "end", "revenue").agg(
+        F.coalesce(F.max_by("cost", F.when(F.col("day") == F.col("end"), F.col("day"))), F.max_by("cost", "day")).alias("cost"), F.max_by("cost", "day").alias("near_cost")
+    )
+    both = _assets_near(met, items, 45)
+    gpoa = safe_div(F.col("revenue") - F.col("cost"), "assets")
+    return both.select("entity", "k", gpoa.alias("gpoa"), safe_div(F.col("revenue") - F.col("near_cost"), "revenue").alias("margin"), "revenue")
 
 
 def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: bool = False) -> DataFrame:
     """One row an entity with all that the measures need: maps of instants, earlier instants, trailing and fiscal years, and trends.
 
-    ``listings``: entity, market_cap. ``strict_pit`` keeps later filings out of the never-borrowed rule as well.
+    ``facts``: entity, taxonomy, concept, unit, start, end, val, filed, accn, form, seq. ``listings``: entity, market_cap.
+    ``strict_pit`` keeps later filings out of the never-borrowed rule as well.
+
+    Every part is a long table by entity; those of one shape are united and gathered by one aggregation, so that the row is
+    made by a few joins on one key.
     """
-    items = materialised(resolve_items(facts, as_of))  # read by every branch below
+    tagged = materialised(tagged_facts(facts, as_of))
     anchor = materialised(anchors(facts, as_of))
+    items = materialised(resolve_items(tagged).join(anchor, "entity", "left"))  # read by every branch below
     flows = items.where("start is not null and val is not null")
-    shaped = F.struct("end", "concept", "val")
-    now = instants(items, anchor)
-    back = now.where("item = 'assets'").select("entity", F.date_sub("end", 365).alias("day"))
+    now = instants(items, as_of)
+    back = materialised(now.where("item = 'assets'").select("entity", F.date_sub("end", 365).alias("day")))
     q = materialised(t.quarterly_series(flows, BY_ITEM))
-    trailing = t.ttm(flows.join(anchor, "entity", "left").drop("anchor"), BY_ITEM).join(anchor, "entity", "left")
-    current = F.when(F.col("basis") == "stitched", t.fresh(F.col("end"), F.col("anchor"), t.STITCHED_AGE)).otherwise(t.fresh(F.col("end"), F.col("anchor")))
-    years = t.annual_series(flows, BY_ITEM).join(anchor, "entity", "left")
-    years = years.where(t.fresh(F.col("years")[0]["end"], F.col("anchor")))
+    trailing = t.ttm(flows, BY_ITEM, F.col("anchor"), SOURCE)
+    years = t.annual_series(flows, BY_ITEM, F.col("anchor"))
+    point = F.struct("end", "concept", "val", F.lit(None).cast("string").alias("basis"), F.col("filed"), "accn", "form")
+    early = lambda df, end: df.select("entity", "item", F.struct(end.alias("end"), F.col("concept") if "concept" in df.columns else F.lit(None).cast("string").alias("concept"), "val", F.lit(None).cast("string").alias("basis"), F.lit(None).cast("date").alias("filed"), F.lit(None).cast("string").alias("accn"), F.lit(None).cast("string").alias("form")).alias("x"))
+    parts = {
+        "inst": now.select(*BY_ITEM, point.alias("x")),
+        "prior": early(instants_at(items, back), F.col("end")),
+        "near": early(instants_near(items, back, ["equity", "cash", "assets"]), F.lit(None).cast("date")),
+        "last": trailing.select(*BY_ITEM, F.struct("end", "concept", "val", "basis", "filed", "accn", "form").alias("x")),
+    }
+    long = None
+    for kind, part in parts.items():
+        part = part.select("entity", "item", F.lit(kind).alias("kind"), "x", F.lit(None).cast(years.schema["years"].dataType).alias("years"))
+        long = part if long is None else long.unionByName(part)
+    long = long.unionByName(years.select(*BY_ITEM, F.lit("years").alias("kind"), F.lit(None).cast(long.schema["x"].dataType).alias("x"), "years"))
+    of = lambda kind, value: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("item", F.col(value).alias("v")))))
+    maps = long.groupBy("entity").agg(*(of(kind, "x").alias(kind) for kind in parts), of("years", "years").alias("years"))
+    maps = maps.withColumn("ttm", F.transform_values("last", lambda _, x: x["val"]))
+
+    ends = annual_gpoa(items).groupBy("entity").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}") for k in (0, 3) for c in ("gpoa", "margin", "revenue")))
+    scalars = [one_offs(items), revenue_growth(q, items, anchor), operating_income_change(q, items, anchor), gross_profit_trend(q, items, anchor), ends, unexpected_earnings(flows)]
+    named = [c for part in scalars for c in part.columns if c != "entity"]
+    lines = None
+    for part in scalars:
+        line = part.unpivot("entity", [c for c in part.columns if c != "entity"], "name", "value")
+        lines = line if lines is None else lines.unionByName(line)
+    calc = lines.groupBy("entity").agg(*(F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in named))
+
     wide = listings.select("entity", "market_cap")
     for part in (
         anchor,
-        _as_map(now, shaped, "inst"),
-        _as_map(instants_at(items, back), shaped, "prior"),
-        _as_map(trailing.where(current), F.col("val"), "ttm"),
-        _as_map(years, F.col("years"), "years"),
-        one_offs(items, anchor),
+        maps,
+        calc,
         shown_moves(q, "operating_income").withColumnRenamed("moves", "op_moves"),
         shown_moves(q, "net_income").withColumnRenamed("moves", "ni_moves"),
-        debt_history(items, facts, as_of if strict_pit else None),
-        revenue_growth(q, items, anchor),
-        operating_income_change(q, items, anchor),
-        gross_profit_trend(q, items, anchor),
-        annual_gpoa(items).groupBy("entity").pivot("k", [0, 3]).agg(F.first("gpoa").alias("gpoa"), F.first("margin").alias("margin"), F.first("revenue").alias("rev")),
+        debt_history(tagged, facts, as_of, back, strict_pit),
     ):
         wide = wide.join(part, "entity", "left")
     wide = materialised(wide)
@@ -318,31 +393,47 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
 
     ``symmetric`` averages trend and latest year wherever they differ, instead of only where revenue fell.
     """
-    c, cap = F.col, F.col("market_cap")
+    c, cap = F.col, F.nullif(F.col("market_cap"), F.lit(0.0))
     debt, how = total_debt("inst")
     prior_debt, _ = total_debt("prior")
-    zero = F.coalesce(c("last_zero"), F.lit(False))
-    never = c("last_zero").isNull() & ~F.coalesce(c("any_debt"), F.lit(False)) & _i("equity").isNotNull() & _i("assets").isNotNull() & c("anchor").isNotNull()
-    p = lambda k: c("prior")[k]["val"]
+    zero, prior_zero = (F.coalesce(c(x), F.lit(False)) for x in ("last_zero", "prior_zero"))
+    p, near = (lambda k: c("prior")[k]["val"]), (lambda k: c("near")[k]["val"])
+    clear = ~F.coalesce(c("any_debt"), F.lit(False)) & c("anchor").isNotNull()
+    never = c("last_zero").isNull() & clear & _i("equity").isNotNull() & _i("assets").isNotNull()
+    prior_never = c("prior_zero").isNull() & clear & p("equity").isNotNull() & p("assets").isNotNull()
     step = lambda item: (_y(item, 0) - _y(item, 3)) / c("assets") / 3
     cagr = lambda item: F.when((_y(item, 3) > 0) & (_y(item, 0) > 0), F.pow(_y(item, 0) / _y(item, 3), F.lit(1 / 3)) - 1)
     fallen = (c("latest") < c("_growth")) & (F.lit(True) if symmetric else c("latest") < 0)
-    swing = (F.abs(c("0_margin") - c("3_margin")) > MARGIN_SWING) & (c("0_rev") >= TREND_BASE) & (c("3_rev") >= TREND_BASE)
+    swing = (F.abs(c("0_margin") - c("3_margin")) > MARGIN_SWING) & (c("0_revenue") >= TREND_BASE) & (c("3_revenue") >= TREND_BASE)
     tangible = c("equity") - or_zero(_i("preferred")) - _i("goodwill") - or_zero(_i("intangibles"))
     ev_ok = lambda x: F.when(c("ev") > 0, x / c("ev"))
     ebit_base = F.greatest(F.abs(c("_ebit")), 0.02 * or_zero(_t("revenue")))
-    ni_base = F.greatest(F.abs(_t("net_income")), 0.02 * or_zero(_t("revenue")), 0.005 * or_zero(c("assets")))
+    ni_base = F.greatest(F.abs(_t("net_income")), 0.02 * or_zero(_t("revenue")), 0.005 * or_zero(_i("assets")))
+    made = {
+        "OperatingIncomeLoss": _t("operating_income"),
+        "derived: Rev - COGS - OpEx": _t("revenue") - _t("cost") - _t("operating_expense"),
+        "derived: Rev - CostsAndExpenses": _t("revenue") - _t("costs_and_expenses"),
+        "derived: pretax income + interest expense": _t("pretax") + _t("interest"),
+    }
+    source = F.coalesce(*(F.when(v.isNotNull(), F.lit(k)) for k, v in made.items()), F.lit("unresolved"))
+    lead = F.when(_t("operating_income").isNotNull(), c("last")["operating_income"]).when(F.coalesce(*list(made.values())[1:3]).isNotNull(), c("last")["revenue"])
+    lead = F.coalesce(lead.when(made["derived: pretax income + interest expense"].isNotNull(), c("last")["pretax"]), c("last")["revenue"], c("inst")["assets"])
+    gross = F.when((_t("revenue") - _t("cost")).isNotNull(), F.concat(F.lit("Rev - "), c("last")["cost"]["concept"])).when(_t("gross_profit").isNotNull(), "GrossProfit").otherwise("unresolved")
+    same_year = c("last")["net_income"]["end"] == c("last")["ocf"]["end"]
+    mean_assets = F.coalesce((_i("assets") + F.nullif(near("assets"), F.lit(0.0))) / 2, _i("assets"))
     return [
         ("assets", F.nullif(_i("assets"), F.lit(0.0))), ("equity", _i("equity")), ("cash", or_zero(_i("cash"))),
         ("liabilities", F.coalesce(_i("liabilities"), _i("balance_total") - _i("equity"))),
-        ("debt", F.coalesce(debt, F.when(zero | never, 0.0))), ("debt_path", F.coalesce(how, F.when(zero, "last reported zero").when(never, "never borrowed"))),
+        ("debt", F.coalesce(debt, F.when(zero | never, 0.0))),
+        ("debt_path", F.coalesce(how, F.when(zero, "last-reported-zero").when(never, "no debt tag ever filed").otherwise("unresolved"))),
         ("tax_rate", effective_tax(settings)),
-        ("gross_profit", F.coalesce(_t("revenue") - _t("cost"), _t("gross_profit"))),
-        ("_ebit", F.coalesce(_t("operating_income"), _t("revenue") - _t("cost") - _t("operating_expense"), _t("revenue") - _t("costs_and_expenses"), _t("pretax") + _t("interest"))),
-        ("ebit", normalised(c("_ebit"), or_zero("gain"), or_zero("charge"), c("op_moves"), ebit_base, F.lit(0.0), True)),
-        ("ni", normalised(_t("net_income"), or_zero("gain"), or_zero("charge"), c("ni_moves"), ni_base, c("tax_rate"), False)),
+        ("gross_profit", F.coalesce(_t("revenue") - _t("cost"), _t("gross_profit"))), ("gross_profit_path", gross),
+        ("_ebit", F.coalesce(*made.values())), ("ebit_path", source),
+        ("ebit", F.when(c("anchor").isNull(), c("_ebit")).otherwise(normalised(c("_ebit"), or_zero("gain"), or_zero("charge"), c("op_moves"), ebit_base, F.lit(0.0), True))),
+        ("ni", F.when(c("anchor").isNull(), _t("net_income")).otherwise(normalised(_t("net_income"), or_zero("gain"), or_zero("charge"), c("ni_moves"), ni_base, c("tax_rate"), False))),
         ("ebitda", c("ebit") + _t("da")), ("ffo", c("ni") + _t("da")), ("ev", cap + c("debt") - c("cash")),
-        ("_close_ic", c("debt") + c("equity") - c("cash")), ("_open_ic", prior_debt + p("equity") - or_zero(p("cash"))),
+        ("_prior_debt", F.coalesce(prior_debt, F.when(prior_zero | prior_never, 0.0))),
+        ("_close_ic", c("debt") + c("equity") - c("cash")), ("_open_ic", c("_prior_debt") + near("equity") - or_zero(near("cash"))),
         ("roic", positive_ratio(c("ebit") * (1 - c("tax_rate")), F.coalesce((c("_close_ic") + c("_open_ic")) / 2, c("_close_ic")))),
         ("gpoa", safe_div("gross_profit", "assets")),
         ("delta_gpoa", F.coalesce(c("gp_trend"), F.when(~F.coalesce(swing, F.lit(False)), c("0_gpoa") - c("3_gpoa")))),
@@ -351,67 +442,83 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
         ("rev_growth", F.when(fallen, (c("_growth") + c("latest")) / 2).otherwise(c("_growth"))),
         ("debt_equity", positive_ratio("debt", "equity")), ("net_debt_ebitda", positive_ratio(c("debt") - c("cash"), "ebitda")),
         ("altman_z", 6.56 * safe_div(_i("current_assets") - _i("current_liabilities"), "assets") + 3.26 * safe_div(_i("retained"), "assets") + 6.72 * safe_div("ebit", "assets") + 1.05 * safe_div("equity", "liabilities")),
-        ("roe", positive_ratio("ni", "equity")), ("roa", safe_div("ni", "assets")), ("earn_yield", positive_ratio("ni", cap)),
-        ("book_yield", F.when(c("equity") > 0, positive_ratio("equity", cap))), ("equity_assets", safe_div("equity", "assets")),
-        ("ffo_assets", safe_div("ffo", "assets")), ("ffo_yield", positive_ratio("ffo", cap)), ("debt_assets", safe_div("debt", "assets")),
+        ("roe", positive_ratio("ni", "equity")), ("roa", safe_div("ni", "assets")), ("earn_yield", safe_div("ni", cap)),
+        ("book_yield", F.when(c("equity") > 0, safe_div("equity", cap))), ("equity_assets", safe_div("equity", "assets")),
+        ("ffo_assets", safe_div("ffo", "assets")), ("ffo_yield", safe_div("ffo", cap)), ("debt_assets", safe_div("debt", "assets")),
         ("net_debt_ffo", positive_ratio(c("debt") - c("cash"), "ffo")),
         ("profit_growth", step("net_income")), ("ffo_growth", step("net_income") + or_zero(step("da"))),
         ("_bank_revenue", _t("nii") + _t("noninterest_income")), ("efficiency", positive_ratio(_t("noninterest_expense"), "_bank_revenue")),
         ("credit_cost", positive_ratio(_t("provision"), "_bank_revenue")), ("nii_growth", step("nii")), ("nii_assets", safe_div(_t("nii"), "assets")),
-        ("tbv_yield", F.when(tangible > 0, positive_ratio(tangible, cap))), ("rotce", positive_ratio("ni", tangible)),
+        ("tbv_yield", F.when(tangible > 0, safe_div(tangible, cap))), ("rotce", F.when(cap.isNotNull(), positive_ratio("ni", tangible))),
         ("loss_ratio", positive_ratio(_t("claims"), _t("premiums"))), ("cost_ratio", positive_ratio(_t("benefits"), _t("revenue"))),
         ("invest_yield", safe_div(_t("investment_income"), "assets")), ("premium_growth", cagr("premiums")),
         ("reserves_equity", positive_ratio(_i("reserves"), "equity")),
         ("op_margin", positive_ratio(_t("operating_income"), _t("revenue"))), ("net_margin", positive_ratio("ni", _t("revenue"))),
         ("comp_ratio", positive_ratio(_t("compensation"), _t("revenue"))), ("is_fund", _i("fund_holdings").isNotNull()),
-        ("net_payout_yield", positive_ratio(sum_of_present(_t("bought"), _t("dividends")) - or_zero(_t("issued")), cap)),
+        ("net_payout_yield", F.when(_t("ocf").isNotNull(), safe_div(or_zero(_t("bought")) - or_zero(_t("issued")), cap))),
+        ("accruals", F.when(same_year, positive_ratio(_t("net_income") - _t("ocf"), mean_assets))),
+        ("asof", lead["end"]), ("filed", lead["filed"]), ("accn", lead["accn"]), ("form", lead["form"]), ("basis", lead["basis"]),
     ]
 
 
+#: Columns beside the measures: what segments, screens and provenance need.
+HELPERS = [
+    "nii_assets", "tbv_yield", "rotce", "is_fund", "net_payout_yield", "accruals", "sue", "debt", "debt_path", "ebit", "ebit_path", "ni", "equity", "assets",
+    "cash", "liabilities", "ebitda", "ffo", "ev", "revenue_ttm", "gross_profit", "gross_profit_path", "tax_rate", "anchor", "asof", "filed", "accn", "form", "basis",
+]
+
+
 def measures(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings = Settings(), symmetric: bool = False, strict_pit: bool = False) -> DataFrame:  # noqa: B008
-    """One wide row an entity: every scored measure, its helpers and where debt came from."""
-    rows = entity_rows(facts, listings, as_of, strict_pit)
+    """One wide row an entity: every measure but ``ptbv_gap``, which a peer group gives, helpers and where the figures came from."""
+    rows = entity_rows(facts, listings, as_of, strict_pit).withColumn("revenue_ttm", _t("revenue"))
     for name, value in measure_columns(settings, symmetric):
         rows = rows.withColumn(name, value)
-    helpers = ["nii_assets", "tbv_yield", "rotce", "is_fund", "net_payout_yield", "debt", "debt_path", "ebit", "ni", "equity", "assets", "ebitda", "tax_rate", "anchor"]
-    return rows.select("entity", "market_cap", *(m.key for m in METRICS if m.key in rows.columns), *helpers)
+    return rows.select("entity", "market_cap", *(m.key for m in METRICS if m.key in rows.columns), *HELPERS)
 
 
 def missing_reason(metric: Column) -> Column:
     """Why a measure is missing, from a wide row; an economic reason names a negative or zero base."""
-    value = F.when
-    return (
-        value(metric.isin("debt_equity", "roe", "book_yield", "reserves_equity") & (F.col("equity") <= 0), "negative shareholders' equity")
-        .when(metric.isin("net_debt_ebitda") & (F.col("ebitda") <= 0), "EBITDA zero or negative")
-        .when(metric.isin("debt_equity", "net_debt_ebitda", "debt_assets", "net_debt_ffo", "roic") & F.col("debt").isNull(), "total debt unresolved")
-        .otherwise("an input is not in the filings")
-    )
+    c, of = F.col, lambda *keys: metric.isin(*keys)
+    cause = F.when(F.nullif("market_cap", F.lit(0.0)).isNull() & c("debt").isNull(), "market cap and total debt both unavailable").when(c("debt").isNull(), "total debt unresolved").otherwise("market cap unavailable")
+    reasons = [
+        (of("debt_equity", "net_debt_ebitda") & c("debt").isNull(), F.lit("total debt unresolved")),
+        (of("debt_equity") & c("equity").isNull(), F.lit("shareholders' equity unavailable")),
+        (of("debt_equity"), F.lit("negative shareholders' equity")),
+        (of("net_debt_ebitda") & c("ebitda").isNull(), F.lit("EBITDA unavailable")),
+        (of("net_debt_ebitda"), F.lit("EBITDA zero or negative")),
+        (of("ebit_ev", "ebitda_ev", "fcf_ev") & c("ev").isNull(), F.concat(F.lit("enterprise value unavailable ("), cause, F.lit(")"))),
+        (of("ebit_ev", "ebitda_ev", "fcf_ev") & (c("ev") <= 0), F.lit("negative enterprise value")),
+        (of("ebit_ev"), F.lit("EBIT unavailable")), (of("ebitda_ev"), F.lit("EBIT or D&A unavailable")), (of("fcf_ev"), F.lit("operating cash flow or capital expenditure unavailable")),
+        (of("roic") & (c("ebit").isNull() | c("debt").isNull() | c("equity").isNull()), F.lit("EBIT, debt or equity unavailable")),
+        (of("roic"), F.lit("invested capital zero or negative")),
+        (of("gpoa"), F.lit("gross profit or total assets unavailable")), (of("altman_z") & (c("liabilities") == 0), F.lit("total liabilities zero")),
+        (of("roe"), F.lit("net income or positive equity unavailable")), (of("roa"), F.lit("net income or total assets unavailable")),
+        (of("earn_yield"), F.lit("net income or market cap unavailable")), (of("book_yield"), F.lit("positive equity or market cap unavailable")),
+        (of("equity_assets"), F.lit("equity or total assets unavailable")), (of("ffo_assets"), F.lit("net income, depreciation or total assets unavailable")),
+        (of("ffo_yield"), F.lit("funds from operations or market cap unavailable")), (of("debt_assets"), F.lit("total debt or total assets unavailable")),
+        (of("net_debt_ffo"), F.lit("total debt unavailable or funds from operations not positive")),
+        (of("profit_growth", "ffo_growth"), F.lit("fewer than 4 fiscal years of earnings, or no total assets")),
+        (of("ptbv_gap"), F.lit("worked out within the bank's peer group, from tangible book and return")),
+    ]
+    out = F.when(*reasons[0])
+    for when, why in reasons[1:]:
+        out = out.when(when, why)
+    return out.otherwise("a figure this measure needs is not tagged in the company's filings")
 
 
 def long_measures(wide: DataFrame) -> DataFrame:
     """(entity, metric, raw, reason): the wide rows unpivoted for scoring."""
     keys = [m.key for m in METRICS if m.key in wide.columns]
-    keep = ["entity", "equity", "ebitda", "debt"]
+    keep = ["entity", "market_cap", "equity", "ebitda", "debt", "ebit", "ev", "liabilities"]
     long = wide.select(*keep, *(F.col(k).cast("double").alias(k) for k in keys)).unpivot(keep, keys, "metric", "raw")
     return long.select("entity", "metric", "raw", F.when(F.col("raw").isNull(), missing_reason(F.col("metric"))).alias("reason"))
 
 
-def accruals(items: DataFrame) -> DataFrame:
-    """(entity, accruals): net income less cash from operations of the same year, over mean assets."""
-    flows = items.where("start is not null")
-    year = lambda item: t.annual_series(flows.where(F.col("item") == item), ["entity"]).select("entity", F.inline("years"))
-    both = year("net_income").select("entity", "end", F.col("val").alias("ni")).join(year("ocf").select("entity", "end", F.col("val").alias("cf")), ["entity", "end"])
-    last = both.groupBy("entity").agg(F.max_by(F.struct("end", "ni", "cf"), "end").alias("x")).select("entity", "x.*")
-    now = _assets_near(last, items, 45).withColumnRenamed("assets", "a1")
-    then = _assets_near(now.withColumn("end", F.date_sub("end", 365)), items, 45)
-    return then.select("entity", safe_div(F.col("ni") - F.col("cf"), (F.col("a1") + F.col("assets")) / 2).alias("accruals"))
-
-
-def unexpected_earnings(q: DataFrame) -> DataFrame:
-    """(entity, sue): the last yearly change in quarterly earnings a share less its drift, over its scatter; 13 quarters at least."""
-    w = Window.partitionBy("entity").orderBy("end")
-    own = q.where("item = 'eps'").select("entity", "end", "val", (F.col("val") - F.lag("val", 4).over(w)).alias("yoy"))
-    back = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("end")))
+def unexpected_earnings(flows: DataFrame) -> DataFrame:
+    """(entity, sue): the last yearly change in quarterly earnings a share less its drift, over its scatter; 13 reported quarters at least."""
+    w = Window.partitionBy("entity").orderBy("end", "start")
+    own = flows.where((F.col("item") == "eps") & t.duration().between(80, 100)).select("entity", "start", "end", "val", (F.col("val") - F.lag("val", 4).over(w)).alias("yoy"))
+    back = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("end"), F.desc("start")))
     own = own.withColumns({"_b": back, "_n": F.count("*").over(Window.partitionBy("entity"))}).where("_n >= 13 and _b <= 9")
     drift = F.avg(F.when(F.col("_b") >= 2, F.col("yoy")))
     scatter = F.stddev_samp(F.when(F.col("_b") <= 8, F.col("yoy")))

@@ -12,9 +12,11 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.spec import Settings
+from cohortal.plans.large import by_cuts, ranked
 
 ECONOMIC = r"(?i)negative|non-?positive|zero"
-EXIT_KINDS = ["excluded", "insufficient", "below_floor", "merged_class", "not_common", "unlisted"]
+#: Why an entity left, in order of precedence.
+EXIT_KINDS = ["excluded", "insufficient_data", "share_class", "market_cap_floor", "no_sec_match", "unlisted"]
 NO_DECILE = 30
 
 
@@ -128,10 +130,10 @@ def outcome_pairs(panel: DataFrame, horizon: int, price: str = "price_adj") -> D
 
 def score_deciles(pairs: DataFrame, key: str = "composite", least: int = NO_DECILE) -> DataFrame:
     """Months of at least ``least`` pairs with ``bucket`` 1..10, the best first."""
-    w = Window.partitionBy("month")
-    ranked = pairs.where(F.col(key).isNotNull() & F.col("fwd").isNotNull())
-    ranked = ranked.withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(F.desc(key), F.asc("entity"))) - 1}).where(F.col("_n") >= least)
-    return ranked.withColumn("bucket", F.least(F.lit(9), F.floor(F.col("_p") / (F.col("_n") / 10))).cast("long") + 1).drop("_n", "_p")
+    rows = pairs.where(F.col(key).isNotNull() & F.col("fwd").isNotNull())
+    cut, slice_of = by_cuts(rows, ["month"], key)
+    placed = ranked(cut, ["month"], slice_of, [F.desc(key), F.asc("entity")], "_p", "_n").where(F.col("_n") >= least)
+    return placed.withColumn("bucket", F.least(F.lit(9), F.floor((F.col("_p") - 1) / (F.col("_n") / 10))).cast("long") + 1).drop("_n", "_p", "_cuts")
 
 
 def decile_means(bucketed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.spec import FACTORS, OFFICIAL_WEIGHTS, RETURN_METRIC, Settings, weight_vectors
-from cohortal.plans.large import percentiles_at_scale
+from cohortal.plans.large import percentiles_at_scale, ranked
 from cohortal.plans.stage import materialised
 
 POOLED = "pooled_thin"
@@ -40,18 +40,13 @@ def applicable(grid: DataFrame, least: float = Settings.applicability) -> DataFr
     return grid.join(keep, ["segment", "metric"], "left_semi")
 
 
-def with_cohort(rows: DataFrame, min_cohort: int = Settings.min_cohort, thin_fallback: str = POOLED) -> DataFrame:
-    """cohort and basis of each row: its peer group; those of thin groups are pooled with each other.
-
-    ``thin_fallback="segment"`` compares them with the whole segment instead, which
-    ``percentiles`` honours.
-    """
+def with_cohort(rows: DataFrame, min_cohort: int = Settings.min_cohort) -> DataFrame:
+    """cohort and basis of each row: its peer group; those of thin groups are pooled with each other."""
     peer = F.coalesce("peer", F.lit(UNCLASSIFIED))
     sizes = rows.groupBy("segment", peer.alias("_p")).agg(F.count("*").alias("_n"))
     both = rows.withColumn("_p", peer).join(sizes, ["segment", "_p"])
     thin = F.col("_n") < min_cohort
-    label = POOLED if thin_fallback == POOLED else "segment"
-    return both.withColumns({"cohort": F.when(thin, label).otherwise(F.col("_p")), "basis": F.when(thin, "universe").otherwise("peer group")}).drop("_p", "_n")
+    return both.withColumns({"cohort": F.when(thin, POOLED).otherwise(F.col("_p")), "basis": F.when(thin, "universe").otherwise("peer group")}).drop("_p", "_n")
 
 
 def percentiles(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -105,18 +100,22 @@ def composite(weights: dict[str, float] | None = None) -> Column:
     return stats.weighted_composite({f: f for f in FACTORS}, weights or OFFICIAL_WEIGHTS)
 
 
+def _placed() -> tuple[Column, list[Column]]:
+    """Slices of a tenth of a point of composite, and the order inside them: composite, market cap, id; nulls last."""
+    order = [F.col("composite").desc_nulls_last(), F.col("market_cap").desc_nulls_last(), F.col("entity").asc()]
+    return F.coalesce(F.floor(F.col("composite") * 10), F.lit(-1)), order
+
+
 def with_rank(scores: DataFrame, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Consecutive ranks by composite, nulls last; ties by market cap, then id."""
-    order = [F.col("composite").desc_nulls_last(), F.col("market_cap").desc_nulls_last(), F.col("entity").asc()]
-    return scores.withColumn(name, F.row_number().over(Window.partitionBy(*(by or ["segment"])).orderBy(*order)).cast("long"))
+    return ranked(scores, by or ["segment"], *_placed(), name)
 
 
 def with_peer_decile(scores: DataFrame) -> DataFrame:
     """peer_rank, peer_size and decile inside (segment, peer); null without a peer group."""
-    w = Window.partitionBy("segment", "peer")
-    order = [F.col("composite").desc_nulls_last(), F.col("market_cap").desc_nulls_last(), F.col("entity").asc()]
-    place, n, known = F.row_number().over(w.orderBy(*order)).cast("long"), F.count("*").over(w), F.col("peer").isNotNull()
-    out = scores.withColumns({"peer_rank": F.when(known, place), "peer_size": F.when(known, n)})
+    both = ranked(scores, ["segment", "peer"], *_placed(), "peer_rank", "peer_size")
+    known = F.col("peer").isNotNull()
+    out = both.withColumns({"peer_rank": F.when(known, F.col("peer_rank")), "peer_size": F.when(known, F.col("peer_size"))})
     return out.withColumn("decile", stats.decile(F.col("peer_rank") - 1, F.col("peer_size")))
 
 
@@ -140,21 +139,18 @@ def rank_stability(scored: DataFrame, sweep: tuple[int, ...] = Settings.sweep) -
     """(entity, segment, rank_min, rank_max, rank_median, stability) over every weighting of the sweep.
 
     A composite of 0 ranks like a missing one; ties keep the official order. The
-    vectors are a fixed small table, and each is ranked by itself.
+    vectors are a fixed small table; each is ranked by itself, in slices of a point.
     """
     vectors = F.broadcast(weight_vectors(scored.sparkSession, sweep))
     tried = scored.select("entity", "segment", "rank", *FACTORS).crossJoin(vectors)
     value = stats.weighted_composite({f: f for f in FACTORS}, {f: F.col(f"w_{f}") for f in FACTORS})
-    tried = tried.withColumn("_c", F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(-1.0)))
-    w = Window.partitionBy("segment", "vector").orderBy(F.col("_c").desc(), F.col("rank").asc())
-    placed = tried.withColumn("_r", F.row_number().over(w).cast("long"))
-    n = F.first("_n")
-    placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy("segment", "vector")))
+    tried = tried.select("entity", "segment", "rank", "vector", F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(-1.0)).alias("_c"))
+    placed = ranked(tried, ["segment", "vector"], F.floor("_c"), [F.col("_c").desc(), F.col("rank").asc()], "_r", "_n")
     return placed.groupBy("entity", "segment").agg(
         F.min("_r").alias("rank_min"),
         F.max("_r").alias("rank_max"),
         F.floor(F.median("_r")).cast("long").alias("rank_median"),
-        stats.half_up(1 - (F.max("_r") - F.min("_r")) / F.greatest(n - 1, F.lit(1)), 3).alias("stability"),
+        stats.half_up(1 - (F.max("_r") - F.min("_r")) / F.greatest(F.first("_n") - 1, F.lit(1)), 3).alias("stability"),
     )
 
 

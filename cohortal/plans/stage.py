@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut: for tables that many branches read.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, one of our own.
+    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset on a local master, as in tests, one of our own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = sc.getConf().get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

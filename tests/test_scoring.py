@@ -126,18 +126,46 @@ def test_cascade(spark):
 def test_classification(spark):
     rows = [
         ("Finance", "Real Estate Investment Trusts", None, None, "reits"), ("Finance", "Life Insurance", None, None, "insurers"), ("Finance", "Investment Bankers/Brokers", None, None, "capital_markets"),
-        ("Finance", "Major Banks", None, None, "banks"), ("Finance", "Finance Companies", 5.0, 100.0, "banks"), ("Finance", "Finance Companies", 1.0, 100.0, "operating"),
-        ("Health Care", "Biotechnology", None, None, "pre_revenue"), ("Technology", "Software", None, None, "operating"),
+        ("Finance", "Major Banks", None, None, "banks"), ("Finance", "Finance Companies", 5.0, 100.0, "banks"), ("Finance", "Finance: Consumer Services", 1.3, 100.0, "operating"),
+        ("Finance", "Finance: Consumer Services", None, None, "operating"), ("Real Estate", "Other Consumer Services", None, None, "operating"), ("Real Estate", "Homebuilding", None, None, "operating"),
+        ("Real Estate", "Building operators", None, None, "reits"), ("Real Estate", "Trusts Except Educational", None, None, "reits"), ("Finance", "Insurance Agents, Brokers & Service", None, None, "insurers"),
+        ("Finance", "Investment Managers", None, None, "capital_markets"), ("Technology", "Real Estate Investment Trusts", None, None, "operating"), (None, None, None, None, "operating"),
+        ("Health Care", "Biotechnology", None, None, "pre_revenue"), ("Health Care", "Medicinal Chemicals", None, None, "pre_revenue"), ("Technology", "Software", None, None, "operating"),
     ]
     df = spark.createDataFrame(rows, "sector string, industry string, nii double, assets double, want string")
-    seg = classify.segment(F.col("sector"), F.col("industry"), F.lit(None).cast("double"), F.col("nii"), F.col("assets"), F.lit(False))
-    assert all(r.got == r.want for r in df.withColumn("got", seg).collect())
+    none = F.lit(None).cast("double")
+    seg = classify.segment(F.col("sector"), F.col("industry"), none, F.col("nii"), F.col("assets"), F.lit(False))
+    assert [r.got for r in df.withColumn("got", seg).collect()] == [r[-1] for r in rows]
+    ask = lambda sector, industry, revenue, fund, **kw: spark.range(1).select(classify.segment(F.lit(sector), F.lit(industry), F.lit(revenue), none, none, F.lit(fund), **kw)).first()[0]
+    assert ask("Health Care", "Biotechnology", 1e6, False) == "pre_revenue" and ask("Health Care", "Biotechnology", 5e9, False) == "operating"
+    assert ask("Finance", "Finance: Consumer Services", 1e9, True) == "banks" and ask("Finance", "Finance: Consumer Services", 1e9, False, evidence=False) == "banks"
     assert spark.range(1).select(classify.peer_group(F.lit("operating"), F.lit(None).cast("string"), F.lit(""), F.lit(1.0))).first()[0] is None
-    names = {"Acme Common Stock": True, "Acme Warrant": False, "Acme Warrants Common Stock": True, "Acme 5% Preferred Common Stock": False}
+
+
+def test_common_stock(spark):
+    names = {
+        "Acme Common Stock": True, "Acme Warrant": False, "Acme Warrants Common Stock": True, "Acme 5% Preferred Common Stock": False, "Acme Acquisition Corp Common Stock": False, "Acme Trust Common Stock": False,
+        "Acme American Depositary Shares": False, "Acme Bond Index Portfolio": False, "Acme Capital Stock": False, "Acme Class B Ordinary Shares": True, "Acme": False, None: False,
+    }
     df = spark.createDataFrame(list(names.items()), "name string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", classify.is_common_stock("name")).collect())
 
 
+def test_ranks_by_slices_equal_a_window(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice("ab"), rng.choice(["p", "q", None]), rng.choice([None, 0.0, 100.0, round(rng.uniform(0, 100), 2), 50.05]), rng.choice([None, 1.0, 2.0])) for k in range(600)]
+    df = spark.createDataFrame(rows, "entity long, segment string, peer string, composite double, market_cap double")
+    got = {r.entity: (r.rank, r.peer_rank, r.peer_size) for r in score.with_peer_decile(score.with_rank(df)).collect()}
+    order = lambda r: (r[3] is None, -(r[3] or 0), r[4] is None, -(r[4] or 0), r[0])
+    for r in rows:
+        ahead = lambda same: 1 + sum(order(x) < order(r) for x in rows if same(x))
+        peers = [x for x in rows if x[1:3] == r[1:3]]
+        want = (ahead(lambda x: x[1] == r[1]), *((None, None) if r[2] is None else (ahead(lambda x: x[1:3] == r[1:3]), len(peers))))
+        assert got[r[0]] == want
+
+
 def test_chain_links(spark):
     cols = "month string, entity string, price double, prior_price double"
     rows = [("2026-01", "A", 100.0, None), ("2026-02", "A", 98.0, 100.0), ("2026-03", "A", 15.0, 14.7), ("2026-01", "B", 10.0, None), ("2026-03", "B", 12.0, 11.0), ("2026-01", "C", 5.0, None), ("2026-02", "C", 6.0, None), ("2026-03", "C", 7.0, 6.0)]
