@@ -85,11 +85,12 @@ def recently_abandoned(rows: DataFrame, scoring_day: str, horizon: int = Setting
 
 
 def unmapped_candidates(facts: DataFrame, family: str, noise: str, known: DataFrame, anchors: DataFrame, within: int = 10, top: int = 5) -> DataFrame:
-    """Concepts of a family that no line item maps, near the anchor date, the largest five an entity."""
-    named = facts.where(F.col("concept").rlike(family) & ~F.col("concept").rlike(noise)).join(known.select("concept"), "concept", "left_anti")
+    """(entity, concept, val): concepts of a family that no line item maps, near the anchor date, by their largest amount, the first five an entity."""
+    named = facts.where(F.col("concept").rlike(family) & ~F.col("concept").rlike(noise) & (F.col("val") != 0)).join(known.select("concept"), "concept", "left_anti")
     near = named.join(anchors, "entity").where(F.abs(F.datediff("end", "anchor")) <= within)
-    w = Window.partitionBy("entity").orderBy(F.abs("val").desc_nulls_last(), "concept", "end")
-    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n", "anchor")
+    sizes = near.groupBy("entity", "concept").agg(F.max(F.abs("val")).alias("val"))
+    w = Window.partitionBy("entity").orderBy(F.desc("val"), "concept")
+    return sizes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
 
 
 def ever_reported(facts: DataFrame, pattern: str, noise: str, as_of: str | None = None) -> DataFrame:

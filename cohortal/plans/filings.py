@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.functions.spec import CANDIDATE_FAMILIES, CANDIDATE_NOISE
 from cohortal.plans.standin import table
 
 AS_OF = "2000-11-30"
+#: A family of concepts, its noise, and the one concept of it that counts as known when replacements are looked for.
+CANDIDATES, KNOWN = (CANDIDATE_FAMILIES["debt"], CANDIDATE_NOISE), ["LongTermDebtNoncurrent"]
 #: (concept, thousandths of r, d and h, modulus, least and greatest remainder of the filers that report it, only if positive)
 FLOWS = [
     ("Revenues", 1000, 0, 0, 4, 0, 2, 0),

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut: for tables that many branches read.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset on a local master, as in tests, one of our own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset on a local master, as in tests, a folder of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir", None)
         if given is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut: for tables that many branches read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
