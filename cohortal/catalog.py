@@ -52,7 +52,7 @@ _ROWS = """rows0 AS (
   SELECT c_custkey AS entity, c_name AS name, c_mktsegment AS segment, c_nationkey::VARCHAR AS peer, c_acctbal AS market_cap FROM customer),
 rows1 AS (
   SELECT *, CASE WHEN count(*) OVER (PARTITION BY segment, peer) < 12 THEN 'pooled_thin' ELSE peer END AS cohort,
-            CASE WHEN count(*) OVER (PARTITION BY segment, peer) < 12 THEN 'universe' ELSE 'peer group' END AS basis FROM rows0)"""
+            CASE WHEN count(*) OVER (PARTITION BY segment, peer) < 12 THEN 'universe' ELSE 'sector' END AS basis FROM rows0)"""
 _SCORED = f"""{_MEASURES},
 {_SPEC},
 {_ROWS},
@@ -68,7 +68,7 @@ placed AS (SELECT *, count(win) OVER (PARTITION BY segment, cohort, metric) AS n
 pcts AS (SELECT *, {_hu("CASE WHEN win IS NULL THEN NULL WHEN n = 1 THEN 50.0::DOUBLE WHEN higher_better THEN 100.0::DOUBLE * (below / greatest(n - 1, 1)) ELSE 100.0::DOUBLE * (1 - below / greatest(n - 1, 1)) END", 1)} AS pct0 FROM placed),
 returned AS (SELECT *, max(CASE WHEN metric = 'margin' THEN raw END) OVER (PARTITION BY entity) AS ret FROM pcts),
 gated AS (SELECT *, CASE WHEN NOT conditioned THEN pct0 WHEN ret IS NULL THEN NULL WHEN ret <= 0.95 THEN least(pct0, 50.0::DOUBLE) ELSE pct0 END AS pct,
-    CASE WHEN conditioned AND ret <= 0.95 AND pct0 IS NOT NULL THEN basis || ', capped' ELSE basis END AS basis2 FROM returned),
+    CASE WHEN conditioned AND ret <= 0.95 AND pct0 IS NOT NULL THEN basis || '|below-hurdle' ELSE basis END AS basis2 FROM returned),
 factors AS (SELECT entity, segment, peer, market_cap,
     {_hu("avg(pct) FILTER (factor = 'quality')", 1)} AS quality, {_hu("avg(pct) FILTER (factor = 'growth')", 1)} AS growth,
     {_hu("avg(pct) FILTER (factor = 'valuation')", 1)} AS valuation, {_hu("avg(pct) FILTER (factor = 'health')", 1)} AS health,

@@ -7,12 +7,15 @@ trailing twelve months by a recursive walk, debt paths, and every measure by its
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortal.functions import stats
+from cohortal.functions.spec import METRICS as _METRICS
 from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LARGEST_WINS, LINE_ITEMS
 from cohortal.operators import temporal as t
 from cohortal.plans import filings as f
 from cohortal.plans import measures as m
+from cohortal.plans import month
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 
@@ -310,3 +313,70 @@ LEFT JOIN rev_last USING (entity) LEFT JOIN ops_change USING (entity) LEFT JOIN
 LEFT JOIN scatter s USING (entity) LEFT JOIN scatter_y w USING (entity)""")
 def measures_trends(spark, d):
     return _rounded(_measures(spark, d), *_TRENDS)
+
+
+_KEYS = [x.key for x in _METRICS]
+_FORMULAS = {k: v for k, v in (_OPERATING | _FINANCIAL | _TRENDS).items() if k in _KEYS} | {"ptbv_gap": "gap"}
+_SPEC = ", ".join(f"('{x.key}', '{x.factor}', {str(x.higher_better).lower()}, {str(x.optional).lower()}, {str(x.conditioned).lower()}, {list(x.segments) or 'NULL::VARCHAR[]'})" for x in _METRICS)
+#: (sector, industry) of the stand-in filers, by their number; the oracle names segments and peer groups outright.
+_KINDS = [("Finance", "Major Banks"), ("Technology", "Computer Software"), ("Finance", "Life Insurance"), ("Industrials", "Metal Fabrications"), ("Technology", "Semiconductors")]
+_MONTH = f"""{_SERIES},
+filer AS (SELECT s_suppkey AS entity, cap AS market_cap, CASE s_suppkey % 5 WHEN 0 THEN 'banks' WHEN 2 THEN 'insurers' ELSE 'operating' END AS segment,
+  CASE s_suppkey % 5 WHEN 0 THEN 'Community banks' WHEN 2 THEN 'Life & health insurers' WHEN 3 THEN 'Industrials' ELSE 'Technology' END AS peer FROM supplier JOIN caps ON entity = s_suppkey),
+raw AS (SELECT x.*, op_inc_change, coalesce(trend, CASE WHEN y3_revenue > 0 AND y0_revenue > 0 THEN (y0_revenue / y3_revenue) ** (1 / 3.0::DOUBLE) - 1 END) AS growth, latest, gp_trend, change, s.n AS n5, s.x AS x5, w.n AS ny, w.x AS xy
+  FROM figures x LEFT JOIN rev_trend USING (entity) LEFT JOIN rev_last USING (entity) LEFT JOIN ops_change USING (entity) LEFT JOIN gross_trend USING (entity) LEFT JOIN gpoa_change USING (entity)
+  LEFT JOIN scatter s USING (entity) LEFT JOIN scatter_y w USING (entity)),
+points2 AS (SELECT r.entity, peer, least(greatest(ni / tangible, -0.2::DOUBLE), 0.4::DOUBLE) AS x, ln(cap / tangible) AS y FROM raw r JOIN filer USING (entity) WHERE segment = 'banks' AND tangible > 0 AND cap > 0 AND ni IS NOT NULL),
+lines AS (SELECT peer, regr_slope(y, x) AS b, avg(x) AS mx, avg(y) AS my FROM points2 GROUP BY 1 HAVING count(*) >= 8 AND max(x) > min(x)),
+gaps AS (SELECT entity, my + b * (x - mx) - y AS gap FROM points2 JOIN lines USING (peer)),
+wide AS (SELECT r.entity, {", ".join(f"({v.replace('s.n', 'n5').replace('s.x', 'x5').replace('w.n', 'ny').replace('w.x', 'xy')})::DOUBLE AS {k}" for k, v in _FORMULAS.items())} FROM raw r LEFT JOIN gaps USING (entity)),
+spec(metric, factor, higher_better, optional, conditioned, segments) AS (VALUES {_SPEC}),
+long AS (SELECT entity, metric, raw FROM wide UNPIVOT INCLUDE NULLS (raw FOR metric IN ({", ".join(_FORMULAS)}))),
+rows1 AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY segment, peer) < 12 THEN 'pooled_thin' ELSE peer END AS cohort FROM filer),
+grid0 AS (SELECT r.*, s.*, raw FROM rows1 r JOIN spec s ON segments IS NULL OR list_contains(segments, r.segment) LEFT JOIN long l ON l.entity = r.entity AND l.metric = s.metric),
+grid AS (SELECT * FROM grid0 QUALIFY count(raw) OVER (PARTITION BY segment, metric) / count(*) OVER (PARTITION BY segment, metric) >= 0.4),
+bounds AS (SELECT segment, cohort, metric, count(raw) AS n, quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.95) AS hi FROM grid GROUP BY 1, 2, 3),
+clipped AS (SELECT g.*, CASE WHEN raw IS NULL THEN NULL WHEN b.n < 3 THEN raw ELSE least(greatest(raw, lo), hi) END AS win FROM grid g JOIN bounds b USING (segment, cohort, metric)),
+spots AS (SELECT *, count(win) OVER (PARTITION BY segment, cohort, metric) AS size, (rank() OVER (PARTITION BY segment, cohort, metric ORDER BY win NULLS LAST) - 1
+  + (count(win) OVER (PARTITION BY segment, cohort, metric, win) - 1) / 2.0::DOUBLE) AS below FROM clipped),
+pcts AS (SELECT *, {_hu("CASE WHEN win IS NULL THEN NULL WHEN size = 1 THEN 50.0::DOUBLE WHEN higher_better THEN 100.0::DOUBLE * (below / greatest(size - 1, 1)) ELSE 100.0::DOUBLE * (1 - below / greatest(size - 1, 1)) END", 1)} AS pct0,
+  max(CASE WHEN metric = CASE segment WHEN 'operating' THEN 'roic' ELSE 'roe' END THEN raw END) OVER (PARTITION BY entity) AS ret FROM spots),
+gated AS (SELECT *, CASE WHEN NOT conditioned THEN pct0 WHEN ret IS NULL THEN NULL WHEN ret <= 0.09 THEN least(pct0, 50.0::DOUBLE) ELSE pct0 END AS pct FROM pcts),
+factors AS (SELECT entity, segment, peer, market_cap, {", ".join(f"{_hu(f'avg(pct) FILTER (factor = {chr(39)}{x}{chr(39)})', 1)} AS {x}" for x in ("quality", "growth", "valuation", "health"))},
+  count(pct) AS resolved, count(*) FILTER (pct IS NOT NULL OR NOT optional) AS applicable FROM gated GROUP BY 1, 2, 3, 4),
+blended AS (SELECT *, {_hu("((coalesce(quality, 0) + coalesce(growth, 0) + coalesce(valuation, 0) + coalesce(health, 0)) * 25.0::DOUBLE) / nullif(25.0::DOUBLE * ((quality IS NOT NULL)::INT + (growth IS NOT NULL)::INT + (valuation IS NOT NULL)::INT + (health IS NOT NULL)::INT), 0)", 2)} AS composite
+  FROM factors WHERE resolved / nullif(applicable, 0) >= 0.7),
+now AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY composite DESC NULLS LAST, market_cap DESC NULLS LAST, entity) AS rank FROM blended),
+was AS (SELECT s_suppkey AS entity, segment, (s_suppkey % 100)::DOUBLE AS composite, row_number() OVER (PARTITION BY segment ORDER BY s_suppkey % 100 DESC, s_suppkey) AS rank FROM supplier JOIN filer ON entity = s_suppkey WHERE s_suppkey % 6 <> 0)"""
+
+
+def month_of(spark, d):
+    """The run over the stand-in filers, with a made record of the month before."""
+    kinds = spark.createDataFrame([(k, *x) for k, x in enumerate(_KINDS)], "k int, sector string, industry string")
+    listed = f.listings(spark, d).withColumn("k", (F.col("entity") % 5).cast("int")).join(F.broadcast(kinds), "k").withColumn("name", F.concat(F.lit("Filer "), F.col("entity").cast("string")))
+    segment = F.when(F.col("k") == 0, "banks").when(F.col("k") == 2, "insurers").otherwise("operating")
+    prior = listed.where("entity % 6 <> 0").select("entity", "name", "sector", segment.alias("segment"), (F.col("entity") % 100).cast("double").alias("composite"))
+    prior = prior.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("composite"), "entity")).cast("long"))
+    excluded = listed.where("entity % 7 = 0").select("entity", F.lit("held out").alias("reason"))
+    return month.run_month(f.filings(spark, d), listed, f.AS_OF, prior, left=[("excluded", excluded)])
+
+
+@query(f"""WITH RECURSIVE {_MONTH} SELECT n.entity, n.segment, n.peer, quality, growth, valuation, health, n.composite, n.rank, {_hu("n.composite - w.composite", 2)} AS composite_change,
+  w.rank - n.rank AS rank_change, w.entity IS NULL AS is_new FROM now n LEFT JOIN was w USING (entity)""")
+def monthly_run(spark, d):
+    return month_of(spark, d)["scored"].select("entity", "segment", "peer", "quality", "growth", "valuation", "health", "composite", "rank", "composite_change", "rank_change", "is_new")
+
+
+@query(f"""WITH RECURSIVE {_MONTH} SELECT w.entity, w.rank, CASE WHEN w.entity % 7 = 0 THEN 'excluded' ELSE 'insufficient_data' END AS kind,
+  CASE WHEN w.entity % 7 = 0 THEN 'held out' ELSE 'resolved ' || resolved || ' of ' || applicable || ' applicable metrics (' || round_even(resolved * 100.0::DOUBLE / applicable, 0)::INT || '%, threshold 70%)' END AS reason
+FROM was w JOIN factors f USING (entity) WHERE w.entity NOT IN (SELECT entity FROM now)""")
+def monthly_exits(spark, d):
+    return month_of(spark, d)["exits"].select("entity", "rank", "kind", "reason")
+
+
+@query(f"""WITH RECURSIVE {_MONTH}, sums AS (SELECT (SELECT count(*) FROM now) AS n_now, (SELECT count(*) FROM was) AS n_before,
+  (SELECT count(*) FROM was WHERE entity NOT IN (SELECT entity FROM now) AND entity % 7 <> 0) AS n_dropped)
+SELECT n_now, n_before, n_dropped, round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) AS change_pct,
+  CASE WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -5 THEN 'block' WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -1 OR n_dropped > 0 THEN 'warn' ELSE 'ok' END AS status FROM sums""")
+def monthly_drift(spark, d):
+    return month_of(spark, d)["drift"].select("n_now", "n_before", "n_dropped", "change_pct", "status")

@@ -219,11 +219,11 @@ def guarded_updates(spark, d):
 
 
 @query(f"""WITH {f.SQL.format(lineitem="lineitem", orders="orders")}, last AS (SELECT entity, concept, max(en) AS last_reported FROM filed_facts WHERE st IS NULL GROUP BY 1, 2)
-SELECT entity, concept, last_reported FROM last WHERE last_reported < DATE '2000-09-30' - 300 AND last_reported >= DATE '2000-11-30' - 450""")
+SELECT entity, concept, last_reported FROM last WHERE last_reported < DATE '2000-09-30' - 300 AND last_reported >= DATE '2000-11-30' - 1200""")
 def recently_abandoned(spark, d):
     facts = f.filings(spark, d).where("start is null")
     anchor = facts.select("entity").distinct().withColumn("anchor", F.lit("2000-09-30").cast("date"))
-    return eligibility.recently_abandoned(temporal.stale_inputs(facts, anchor, ["entity", "concept"]), f.AS_OF).select("entity", "concept", "last_reported")
+    return eligibility.recently_abandoned(temporal.stale_inputs(facts, anchor, ["entity", "concept"]), f.AS_OF, horizon=1200).select("entity", "concept", "last_reported")
 
 
 @query("""SELECT o_orderkey AS entity, CASE WHEN o_orderkey % 10 = 0 THEN 'backtested' WHEN strftime(day, '%Y-%m') = '1999-03' OR (day + 40)::DATE - last_day(day) > 7 THEN 'rebuilt' ELSE 'live' END AS label

@@ -18,6 +18,7 @@ from cohortal.plans.large import percentiles_at_scale, ranked
 from cohortal.plans.stage import materialised
 
 POOLED = "pooled_thin"
+FINANCIAL = ["banks", "insurers", "capital_markets"]
 UNCLASSIFIED = "(unclassified)"
 
 
@@ -46,7 +47,7 @@ def with_cohort(rows: DataFrame, min_cohort: int = Settings.min_cohort) -> DataF
     sizes = rows.groupBy("segment", peer.alias("_p")).agg(F.count("*").alias("_n"))
     both = rows.withColumn("_p", peer).join(sizes, ["segment", "_p"])
     thin = F.col("_n") < min_cohort
-    return both.withColumns({"cohort": F.when(thin, POOLED).otherwise(F.col("_p")), "basis": F.when(thin, "universe").otherwise("peer group")}).drop("_p", "_n")
+    return both.withColumns({"cohort": F.when(thin, POOLED).otherwise(F.col("_p")), "basis": F.when(thin, "universe").when(F.col("segment").isin(FINANCIAL), "peer group").otherwise("sector")}).drop("_p", "_n")
 
 
 def percentiles(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -72,7 +73,7 @@ def hurdle_gate(scored: DataFrame, hurdle: float = Settings.hurdle, returns: dic
     gated = scored.withColumn("_return", own)
     low, cond = F.col("_return") <= hurdle, F.col("conditioned")
     pct = F.when(~cond, F.col("pct")).when(F.col("_return").isNull(), None).when(low, F.least("pct", F.lit(50.0))).otherwise(F.col("pct"))
-    basis = F.when(cond & low & F.col("pct").isNotNull(), F.concat("basis", F.lit(", capped"))).otherwise(F.col("basis"))
+    basis = F.when(cond & low & F.col("pct").isNotNull(), F.concat("basis", F.lit("|below-hurdle"))).otherwise(F.col("basis"))
     return gated.withColumns({"pct": pct, "basis": basis}).drop("_return")
 
 
@@ -92,7 +93,8 @@ def factor_scores(scored: DataFrame) -> DataFrame:
 def coverage_gate(scores: DataFrame, least: float = Settings.coverage) -> tuple[DataFrame, DataFrame]:
     """(enough, insufficient): the latter with a reason."""
     enough = F.coalesce(F.col("coverage") >= least, F.lit(False))
-    reason = F.format_string("%d of %d measures", F.col("resolved"), F.col("applicable"))
+    share = F.coalesce(F.bround(F.col("coverage") * 100).cast("int"), F.lit(0))
+    reason = F.format_string(f"resolved %d of %d applicable metrics (%d%%, threshold {least * 100:.0f}%%)", F.col("resolved"), F.col("applicable"), share)
     return scores.where(enough), scores.where(~enough).withColumn("reason", reason)
 
 

@@ -49,13 +49,13 @@ def test_ranking_from_best_to_worst(spark):
 def test_hurdle(spark):
     grid = score.percentile_grid(*inputs(spark, change={29: {"roic": 0.05}, 5: {"roic": None}}), SETTINGS)
     got = {r.entity: (r.pct, r.basis) for r in grid.where("metric = 'rev_growth'").collect()}
-    assert got["T29"] == (50.0, "peer group, capped") and got["T5"][0] is None and got["T28"][0] > 90
+    assert got["T29"] == (50.0, "sector|below-hurdle") and got["T5"][0] is None and got["T28"][0] > 90
 
 
 def test_thin_groups_are_pooled_with_each_other(spark):
     rows, _, _ = inputs(spark, sector=lambda i: "Tiny" if i < 3 else "Small" if i < 6 else "Tech")
     got = {r.entity: (r.cohort, r.basis) for r in score.with_cohort(rows, 8).collect()}
-    assert got["T0"] == got["T4"] == ("pooled_thin", "universe") and got["T9"] == ("Tech", "peer group")
+    assert got["T0"] == got["T4"] == ("pooled_thin", "universe") and got["T9"] == ("Tech", "sector")
 
 
 def test_coverage_gate(spark):
