@@ -103,13 +103,16 @@ def spans(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def runs_of(text: str) -> tuple[list[int], list[bytes]]:
-    """(place, 128-bit hash) of every run; a place is the first sentence times 2^32, plus the end."""
+    """(place, 128-bit hash) of every run; a place is the first sentence times 2^32, plus the number of sentences.
+
+    Such places hash apart; with the end in the place of the number they would not, and sets of them would be slow.
+    """
     parts = sentences(text)
     words = [s.split() for s in parts]
     flat = [" ".join(w) for w in words]
     at, out = [], []
     for k, end in spans([_size(s, len(w)) for s, w in zip(parts, words, strict=True)]):
-        at.append(k << 32 | end)
+        at.append(k << 32 | end - k)
         out.append(xxhash.xxh3_128_digest("\n".join(flat[k:end])))
     return at, out
 
@@ -172,7 +175,7 @@ def dedup_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             total, removed, texts = [], [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 parts = sentences(text or "")
-                gone = {k for at in starts or () for k in range(at >> 32, at & 0xFFFFFFFF)}
+                gone = {k for at in starts or () for k in range(at >> 32, (at >> 32) + (at & 0xFFFFFFFF))}
                 total.append(len(parts))
                 removed.append(len(gone))
                 texts.append("".join(p for k, p in enumerate(parts) if k not in gone) if gone else text)
