@@ -1,7 +1,10 @@
+import math
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from cohortal.llm import langid
 
@@ -57,3 +60,49 @@ def test_blocks_do_not_change_the_counts(monkeypatch):
     want = langid.trigrams(text.encode())
     monkeypatch.setattr(langid, "BLOCK", 7)
     assert np.array_equal(langid.trigrams(text.encode()), want)
+
+
+def plain_prediction(text, model):
+    """A second reading: trigrams one by one, cosines by dictionaries."""
+    folded = b" " + bytes((c | 32 if chr(c).isalpha() else 32) if c < 128 else c for c in text.encode()) + b" "
+    counts = {}
+    for k in range(len(folded) - 2):
+        a, b, c = folded[k : k + 3]
+        if not (a == 32 and b == 32):
+            at = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20
+            counts[at] = counts.get(at, 0) + 1
+    weights = {at: math.log1p(n) * model.idf[at] for at, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+    cosines = [sum(w * float(c[at]) for at, w in weights.items()) / norm for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda i: (cosines[i], -i))
+    return model.langs[best], cosines[best], cosines[best] >= model.radii[best] * langid.REACH
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the generated tables")
+def test_predictions_equal_a_second_reading_of_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train_on(docs)
+    rows = langid.predict(docs.select("doc_id", "text"), model).collect()
+    for r in rows:
+        lang, score, accepted = plain_prediction(r.row.text, model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4 and r.accepted == accepted
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    assert sum(known[r.row.doc_id] == r.lang_pred for r in rows) >= 0.98 * len(rows)
+
+
+def test_many_languages(spark):
+    rows = [(k, f"l{k % 1100}", f"word{k % 1100} " * 5) for k in range(2200)]
+    model = langid.fit(spark.createDataFrame(rows, "key long, lang string, text string"), k=1)
+    assert len(model.langs) == 1100 and model.centroids.shape == (1100, langid.DIMS)
+
+
+def test_texts_of_no_language_are_rejected(spark):
+    import base64
+    import random
+
+    rng = random.Random(2)
+    train = [(k, lang, " ".join(rng.choice(words) for _ in range(60))) for k in range(120) for lang, words in (("en", "the of and to in that house people water".split()), ("fr", "le la des et dans que maison gens eau".split()))]
+    model = langid.fit(spark.createDataFrame(train, "key long, lang string, text string"))
+    odd = [base64.b64encode(rng.randbytes(300)).decode(), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(200)), "qzx jkv wxq zzk vvq " * 20, "0101 1111 a", "".join(chr(0x0400 + rng.randrange(250)) for _ in range(300))]
+    got = langid.predict(spark.createDataFrame([(k, t) for k, t in enumerate([*odd, "the people of that house", "dans la maison"])], "doc_id long, text string"), model)
+    assert {r.row.doc_id: r.accepted for r in got.collect()} == {0: False, 1: False, 2: False, 3: False, 4: False, 5: True, 6: True}

@@ -42,6 +42,33 @@ def test_stages_and_result_against_plain_versions(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()} == ends
 
 
+def test_every_stage_on_null_ids_equal_ids_null_and_empty_texts(spark, tmp_path):
+    """Rows are told apart by id and text; a stage takes away what its rule says and nothing else."""
+    words = {"en": "the house and the garden of the old man were near the river and the people", "fr": "la maison et le jardin du vieil homme sont pres de la riviere et les gens"}
+    train = [(k, f"{words[lang]} {k}", lang, "s", 60) for k, lang in enumerate(["en", "fr"] * 60)]
+    odd = [
+        (None, "the old house near the river was empty and the people of the garden left", "en", "s", 1), (None, "les gens de la maison et du jardin sont pres du vieil homme", None, None, None),
+        (500, "the man and the people of the house in the garden by the river", "en", "s", 1), (500, "le vieil homme et la riviere et les gens de la maison", "fr", "s", 1),
+        (501, None, "en", "s", 1), (502, "", "en", "s", 1), (503, "1234 5678", None, "s", 1), (504, "the people and the old man " * 20_000, "en", "s", 1),
+    ]
+    docs = spark.createDataFrame(train + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    ask = lambda df: sorted(((r.doc_id if r.doc_id is not None else -1), (r.text or "")[:30]) for r in df.where("doc_id is null or doc_id >= 500").collect())
+    whole = [(d if d is not None else -1, t[:30]) for d, t, *_ in odd if t and d != 503]
+    named = corpus_pipeline.language_id(spark, docs, DATA)
+    assert named.columns == docs.columns and ask(named) == sorted(whole)
+    lines = corpus_pipeline.line_dedup(spark, docs, DATA)
+    assert lines.columns == docs.columns and ask(lines) == sorted([*whole, (501, ""), (502, ""), (503, "1234 5678")])
+    assert {r.doc_id: r.n_chars for r in lines.where("doc_id in (501, 502, 503)").collect()} == {501: None, 502: 0, 503: 9}
+    near = corpus_pipeline.near_dedup(spark, docs.where("doc_id is null or doc_id >= 500"), DATA)
+    assert near.columns == docs.columns and ask(near) == sorted([*whole, (501, ""), (503, "1234 5678")])  # a null and an empty text are one
+    clean = corpus_pipeline.decontamination(spark, docs, DATA)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    ids = corpus_pipeline.sentencepiece(spark, docs, DATA)
+    assert ids.count() == docs.count() and ids.where("doc_id is null").count() == 2 and {r.n_ids for r in ids.where("doc_id in (501, 502)").collect()} == {0}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_registry():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
