@@ -117,19 +117,20 @@ def _in_order(docs: DataFrame) -> DataFrame:
     share = [k / (4 * n) for k in range(1, 4 * n)]
     cuts = ids.agg(F.percentile_approx("doc_id", share, 100 * n)).first()[0] or []
     cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(place).cast("int").alias("bucket")
+    # A binary search in the array of cuts: as many steps as the number of buckets has digits.
+    bounds, steps = F.lit(np.array(cuts, np.int64)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda b, s: F.when(F.get(bounds, b + s - 1) <= F.col("doc_id"), b + s).otherwise(b)) if cuts else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(found).cast("int").alias("bucket")
     # One row for each bucket, and there are four for each partition.
     firsts = sorted((r.bucket, r.first) for r in ids.select(bucket, "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
     if not firsts:
         return docs.select(F.lit(0).alias("bucket"), F.lit(0).alias("extra"), "doc_id", "text")
-    before = {b: firsts[k - 1][0] for k, (b, _) in enumerate(firsts)}
+    before = docs.sparkSession.createDataFrame([(b, firsts[k - 1][0]) for k, (b, _) in enumerate(firsts)], "bucket int, before int")
     rows = docs.select(bucket, F.lit(0).alias("extra"), "doc_id", "text")
     known = [x for _, x in firsts if x is not None]
-    opening = rows.where(F.col("doc_id").isin(known) | F.col("doc_id").isNull() if None in dict(firsts).values() else F.col("doc_id").isin(known))
+    opening = rows.where(F.col("doc_id").isin(known) | F.col("doc_id").isNull() if firsts[0][0] == -1 else F.col("doc_id").isin(known))
     opening = opening.groupBy("bucket").agg(F.min(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("x"))
-    mapped = F.coalesce(*(F.when(F.col("bucket") == b, p) for b, p in before.items())).cast("int")
-    extra = opening.select(mapped.alias("bucket"), F.lit(1).alias("extra"), "x.doc_id", "x.text")
+    extra = opening.join(F.broadcast(before), "bucket").select(F.col("before").alias("bucket"), F.lit(1).alias("extra"), "x.doc_id", "x.text")
     dealt = rows.unionByName(extra).repartition(n, "bucket")
     return dealt.sortWithinPartitions("bucket", "extra", "doc_id", F.coalesce("text", F.lit("")))
 
