@@ -56,8 +56,7 @@ def run_month(
     rows = wide.select("entity", "segment", "peer", "market_cap")
     grid = materialised(score.percentile_grid(rows, long, Registry().table(spark), settings))
     enough, short = score.coverage_gate(score.factor_scores(grid), settings.coverage)
-    scored = score.with_peer_decile(score.with_rank(enough.withColumn("composite", score.composite(weights or OFFICIAL_WEIGHTS))))
-    scored = materialised(scored.join(wide.select("entity", "name", "sector"), "entity"))
+    scored = materialised(score.ranked_scores(enough, weights or OFFICIAL_WEIGHTS).join(wide.select("entity", "name", "sector"), "entity"))
     named = short.join(wide.select("entity", "name", "sector"), "entity")
     out = {"grid": grid.join(long.select("entity", "metric", "reason"), ["entity", "metric"], "left"), "insufficient": named, "stability": score.rank_stability(scored, settings.sweep)}
     none = scored.limit(0)

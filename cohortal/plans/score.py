@@ -131,10 +131,18 @@ def percentile_grid(rows: DataFrame, measures: DataFrame, spec: DataFrame, setti
     return hurdle_gate(percentiles(applicable(grid, settings.applicability), settings), settings.hurdle, returns)
 
 
+def ranked_scores(enough: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Scores of those with enough measures, with composite, ranks and deciles.
+
+    They are read several times, for the sizes of slices and for the ranks inside them, so they are written once: one row an entity.
+    """
+    return with_peer_decile(with_rank(materialised(enough.withColumn("composite", composite(weights)))))
+
+
 def score_segments(rows: DataFrame, measures: DataFrame, spec: DataFrame, weights: dict[str, float] | None = None, settings: Settings = Settings(), returns: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(scored, insufficient), of all segments at once."""
     enough, short = coverage_gate(factor_scores(percentile_grid(rows, measures, spec, settings, returns)), settings.coverage)
-    return with_peer_decile(with_rank(enough.withColumn("composite", composite(weights)))), short
+    return ranked_scores(enough, weights), short
 
 
 def rank_stability(scored: DataFrame, sweep: tuple[int, ...] = Settings.sweep) -> DataFrame:
@@ -147,7 +155,7 @@ def rank_stability(scored: DataFrame, sweep: tuple[int, ...] = Settings.sweep) -
     tried = scored.select("entity", "segment", "rank", *FACTORS).crossJoin(vectors)
     value = stats.weighted_composite({f: f for f in FACTORS}, {f: F.col(f"w_{f}") for f in FACTORS})
     tried = tried.select("entity", "segment", "rank", "vector", F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(-1.0)).alias("_c"))
-    placed = ranked(tried, ["segment", "vector"], F.floor("_c"), [F.col("_c").desc(), F.col("rank").asc()], "_r", "_n")
+    placed = ranked(tried, ["segment", "vector"], F.coalesce(F.floor("_c"), F.lit(-1)), [F.col("_c").desc(), F.col("rank").asc()], "_r", "_n")
     return placed.groupBy("entity", "segment").agg(
         F.min("_r").alias("rank_min"),
         F.max("_r").alias("rank_max"),
