@@ -66,14 +66,37 @@ def math_functions(spark, d):
 
 
 @query("""SELECT p_partkey AS entity, contains(lower(p_name), 're') AS has, regexp_matches(lower(p_name), '\\b(red|blue)\\b') AS word, lpad(p_partkey::VARCHAR, 10, '0') AS padded,
-  CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS money, 'Maker ' || p_partkey AS shown FROM part""")
+  CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS money, 'Maker ' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN ' (A)' WHEN 3 THEN ' Depositary Shares' ELSE '' END AS shown FROM part""")
 def text_functions(spark, d):
     p, k = s.table(spark, d, "part"), F.col("p_partkey")
-    name = F.concat(F.lit("Maker   "), k.cast("string"), F.element_at(F.array(*map(F.lit, [", Class A Common Stock", " Common Stock", " Ordinary Shares  ", " Depositary Shares"])), (k % 4 + 1).cast("int")))
+    name = F.concat(F.lit("Maker "), k.cast("string"), F.element_at(F.array(*map(F.lit, [" Class A Common Stock", " common stock of it", " Ordinary Shares  ", " Depositary Shares "])), (k % 4 + 1).cast("int")))
     price = F.when(k % 4 != 0, F.concat(F.lit(" $"), F.format_number("p_retailprice", 2))).otherwise("n/a")
     return p.select(k.alias("entity"), sc.contains_text("p_name", " RE ").alias("has"), sc.whole_word("p_name", "red", "blue").alias("word"), sc.padded_id(k).alias("padded"), sc.money(price).alias("money"), sc.display_name(name).alias("shown"))
 
 
+_MONTH_SQL = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month(day)]"
+
+
+@query(f"""SELECT entity, CASE WHEN x IS NULL THEN '\u2014' ELSE '$' || format('{{:,.2f}}', x) END AS money,
+  CASE WHEN x IS NULL THEN '\u2014' WHEN cap >= 1e12 THEN printf('$%.2fT', round(cap / 1e12, 2)) WHEN cap >= 1e9 THEN printf('$%.1fB', round(cap / 1e9, 1)) WHEN cap >= 1e6 THEN printf('$%.0fM', round(cap / 1e6)) ELSE printf('$%.0f', round(cap)) END AS cap,
+  CASE WHEN x IS NULL THEN '\u2014' ELSE CASE WHEN x >= 0 THEN '+' ELSE '' END || printf('%.2f', x) || '%' END AS change,
+  CASE WHEN x IS NULL THEN '\u2014' WHEN entity % 4 = 0 THEN printf('%.1f', x / 7 * 100) || '%' WHEN entity % 4 = 1 THEN CASE WHEN x >= 0 THEN '+' ELSE '' END || printf('%.1f', x / 7 * 100) || 'pp'
+    WHEN entity % 4 = 2 THEN printf('%.2f', x / 7) || 'x' ELSE printf('%.2f', x / 7) END AS metric,
+  CASE entity % 5 WHEN 0 THEN 'Cons. Disc.' WHEN 1 THEN 'Telecom' WHEN 2 THEN 'Technology' WHEN 3 THEN 'Misc.' ELSE '\u2014' END AS sector,
+  {_MONTH_SQL} || ' ' || year(day) AS month, day(day) || ' ' || {_MONTH_SQL} AS day, day(day) || ' ' || {_MONTH_SQL} || ' ' || year(day) AS full_day
+FROM (SELECT o_orderkey AS entity, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice - 20000 END AS x, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice * power(100, o_orderkey % 6) END AS cap, o_orderdate::DATE AS day FROM orders)""")
+def format_functions(spark, d):
+    o, k = s.table(spark, d, "orders"), F.col("o_orderkey")
+    x, day = F.when(k % 11 != 0, F.col("o_totalprice") - 20000), F.to_date("o_orderdate")
+    cap = F.when(k % 11 != 0, F.col("o_totalprice") * F.pow(F.lit(100.0), k % 6))
+    unit = F.element_at(F.array(*map(F.lit, ["pct", "pp", "x", "score"])), (k % 4 + 1).cast("int"))
+    sector = F.element_at(F.array(*map(F.lit, ["Consumer Discretionary", "Telecommunications", "Technology", "Miscellaneous", ""])), (k % 5 + 1).cast("int"))
+    return o.select(
+        k.alias("entity"), sc.money_text(x).alias("money"), sc.cap_text(cap).alias("cap"), sc.percent_text(x).alias("change"), sc.metric_text(x / 7, unit).alias("metric"), sc.short_sector(sector).alias("sector"),
+        sc.month_label(F.date_format(day, "yyyy-MM")).alias("month"), sc.day_month(day).alias("day"), sc.full_date(day).alias("full_day"),
+    )
+
+
 @query("""SELECT c_nationkey AS entity, string_agg('C' || c_custkey || ':' || DATE '2024-01-01' + (c_custkey % 28)::INTEGER, ',' ORDER BY c_custkey) AS link, count(*) AS n,
   string_agg('C' || c_custkey || ' ' || CASE WHEN c_custkey % 2 = 0 THEN (DATE '2024-01-01' + (c_custkey % 28)::INTEGER)::VARCHAR ELSE '2024-06-30' END, ';' ORDER BY c_custkey) AS parsed FROM customer GROUP BY 1""")
 def share_links(spark, d):

@@ -96,21 +96,82 @@ def whole_word(c: Column | str, *words: str) -> Column:
     return F.coalesce(_col(c), F.lit("")).rlike(r"(?i)\b(" + "|".join(words) + r")\b")
 
 
+#: What a missing value shows as, month names, and short forms of sectors.
+DASH = "\u2014"
+MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+SHORT_SECTORS = {
+    "Consumer Discretionary": "Cons. Disc.",
+    "Consumer Staples": "Cons. Staples",
+    "Basic Materials": "Materials",
+    "Telecommunications": "Telecom",
+    "Health Care": "Health Care",
+    "Miscellaneous": "Misc.",
+    "Real Estate": "Real Estate",
+}
+
+
 def display_name(c: Column | str) -> Column:
-    """A name without the share-class tail and with single spaces."""
-    tail = r"(?i)[,\s]+(class [a-z]|common stock|common shares|ordinary shares|depositary shares)\b.*$"
-    return F.trim(F.regexp_replace(F.regexp_replace(_col(c), tail, ""), r"\s+", " "))
+    """A company's name without the kind of security; a share class is kept as its letter."""
+    bare = F.regexp_replace(F.regexp_replace(_col(c), r"(?i)\s+Common Stock.*$", ""), r"(?i)\s+Ordinary Shares.*$", "")
+    return F.trim(F.regexp_replace(bare, r"(?i)\s+Class ([A-Z])\s*$", " ($1)"))
+
+
+def short_sector(c: Column | str) -> Column:
+    c = _col(c)
+    named = F.coalesce(*(F.when(c == k, v) for k, v in SHORT_SECTORS.items()), c)
+    return F.when(c.isNull() | (c == ""), DASH).otherwise(named)
+
 
+def _shown(c: Column, text: Column) -> Column:
+    """A dash for what is missing or no number."""
+    return F.when(finite(c).isNull(), DASH).otherwise(text)
 
-def percent_text(c: Column | str, digits: int = 1) -> Column:
-    return F.concat(F.format_number(_col(c) * 100, digits), F.lit("%"))
+
+def money_text(c: Column | str, digits: int = 2) -> Column:
+    c = _col(c)
+    return _shown(c, F.concat(F.lit("$"), F.format_number(c, digits)))
 
 
 def cap_text(c: Column | str) -> Column:
-    """Money in trillions, billions or millions."""
+    """Money in trillions, billions, millions or plain, with fewer digits the smaller the unit."""
+    c = _col(c)
+    in_unit = lambda size, digits, unit: F.format_string(f"$%.{digits}f{unit}", c / size)
+    return _shown(c, F.when(c >= 1e12, in_unit(1e12, 2, "T")).when(c >= 1e9, in_unit(1e9, 1, "B")).when(c >= 1e6, in_unit(1e6, 0, "M")).otherwise(in_unit(1, 0, "")))
+
+
+def percent_text(c: Column | str, digits: int = 2) -> Column:
+    """A change that is in percent already, with its sign."""
+    c = _col(c)
+    return _shown(c, F.concat(F.when(c >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f%%", c)))
+
+
+def metric_text(c: Column | str, unit: Column | str) -> Column:
+    """A measure in its own unit: ``pct`` and ``pp`` are shares, ``x`` multiples; others have two digits."""
+    c, unit = _col(c), _col(unit)
+    points = F.concat(F.when(c >= 0, "+").otherwise(""), F.format_string("%.1fpp", c * 100))
+    return _shown(c, F.when(unit == "pct", F.format_string("%.1f%%", c * 100)).when(unit == "pp", points).when(unit == "x", F.format_string("%.2fx", c)).otherwise(F.format_string("%.2f", c)))
+
+
+def _month_name(c: Column) -> Column:
+    return F.get(F.array(*map(F.lit, MONTH_NAMES)), F.month(c) - 1)
+
+
+def month_label(c: Column | str) -> Column:
+    """``Aug 2026`` of a month key."""
+    day = F.to_date(F.concat(_col(c), F.lit("-01")))
+    return F.concat_ws(" ", _month_name(day), F.date_format(day, "yyyy"))
+
+
+def day_month(c: Column | str) -> Column:
+    """``31 Aug``, or a dash."""
+    c = _col(c)
+    return F.when(c.isNull(), DASH).otherwise(F.concat_ws(" ", F.dayofmonth(c).cast("string"), _month_name(c)))
+
+
+def full_date(c: Column | str) -> Column:
+    """``31 Aug 2026``, or a dash."""
     c = _col(c)
-    for_unit = lambda size, unit: F.concat(F.lit("$"), F.format_number(c / size, 1), F.lit(unit))
-    return F.when(c >= 1e12, for_unit(1e12, "T")).when(c >= 1e9, for_unit(1e9, "B")).otherwise(for_unit(1e6, "M"))
+    return F.when(c.isNull(), DASH).otherwise(F.concat_ws(" ", day_month(c), F.date_format(c, "yyyy")))
 
 
 def share_link(ids: Column | str, days: Column | str) -> Column:

@@ -92,12 +92,12 @@ def quarterly(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).groupBy(F.col("l_suppkey").alias("entity"), end).agg((F.sum(net) / 10000.0).alias("val"))
 
 
-def monthly_scores(spark: SparkSession, d: str, by: str = "l_suppkey") -> DataFrame:
-    """(month, entity, composite, price): a supplier's monthly revenue and mean unit price; the last, partial month goes."""
+def monthly_scores(spark: SparkSession, d: str, by: str = "l_suppkey", before: str = "2001-08-01") -> DataFrame:
+    """(month, entity, composite, price): a supplier's monthly revenue and mean unit price, of the whole months before a day: the tables end with a partial one."""
     net = net_price()
     return (
         lines(spark, d)
-        .where(F.col("day") < "2001-08-01")
+        .where(F.col("day") < before)
         .groupBy(F.date_format("day", "yyyy-MM").alias("month"), F.col(by).alias("entity"))
         .agg((F.sum(net) / 10000.0).alias("composite"), half_up(F.sum(cents()) / 100.0 / F.sum("l_quantity"), 4).alias("price"))
     )

@@ -57,7 +57,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def zip_pack(tables: dict[str, DataFrame], notes: str) -> bytes:
-    """Small tables as CSV files, and a text, in one archive."""
+    """Display-sized tables as CSV files, and a text, in one archive; their rows pass through the driver one by one."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as pack:
         for name, rows in tables.items():
@@ -92,7 +92,7 @@ def trend_text(panel: DataFrame) -> DataFrame:
 
 
 def report_markdown(title: str, sections: dict[str, DataFrame], cap: int = 100) -> str:
-    """A report for people: each section's first ``cap`` rows as a table, and how many more there are."""
+    """A report for people: each section's first ``cap`` rows as a table, and how many more there are. Only those rows reach the driver."""
     out = [f"# {title}"]
     for name, rows in sections.items():
         n, shown = rows.count(), rows.limit(cap).collect()

@@ -28,13 +28,19 @@ def test_dates_and_text(spark):
         spark, sc.iso_date(F.lit("2024-02-29T10:00")).cast("string"), sc.iso_date(F.lit("bad")), sc.month_key(d), sc.month_end_back(d, 1).cast("string"),
         sc.shift_months(d, -1).cast("string"), sc.padded_id(F.lit("42")), sc.money(F.lit(" $1,234.50 ")), sc.money(F.lit("n/a")),
         sc.contains_text(F.lit("Acme 100%"), "100%"), sc.contains_text(F.lit(None).cast("string"), "x"), sc.whole_word(F.lit("Warrants of X"), "warrant"),
-        sc.display_name(F.lit("Acme Corp,  Class A Common Stock")), sc.cap_text(F.lit(2.5e9)), sc.percent_text(F.lit(0.1234)),
+        sc.display_name(F.lit("Acme Corp Class A Common Stock of it")), sc.cap_text(F.lit(2.5e9)), sc.percent_text(F.lit(12.34), 1),
     )
     assert list(r) == [
-        "2024-02-29", None, "2024-03", "2024-02-29", "2024-02-29", "0000000042", 1234.5, None, True, False, False, "Acme Corp", "$2.5B", "12.3%",
+        "2024-02-29", None, "2024-03", "2024-02-29", "2024-02-29", "0000000042", 1234.5, None, True, False, False, "Acme Corp (A)", "$2.5B", "+12.3%",
     ]
 
 
+def test_formats_of_missing_values(spark):
+    none = F.lit(None).cast("double")
+    r = one(spark, sc.money_text(none), sc.cap_text(F.lit(float("nan"))), sc.percent_text(none), sc.metric_text(F.lit(-0.051), F.lit("pp")), sc.short_sector(none.cast("string")), sc.full_date(none.cast("string").cast("date")), sc.full_date(F.lit("2026-08-31").cast("date")))
+    assert list(r) == ["\u2014", "\u2014", "\u2014", "-5.1pp", "\u2014", "\u2014", "31 Aug 2026"]
+
+
 def test_share_links(spark):
     r = one(spark, sc.parse_share_link(F.lit("abc:2024-01-02,bad!,abc:2024-05-05, X.Y"), "2024-09-09").alias("x")).x
     assert [(p.id, p.day) for p in r] == [("ABC", "2024-01-02"), ("X.Y", "2024-09-09")]
