@@ -78,7 +78,7 @@ _MONTH_SQL = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'O
 
 
 @query(f"""SELECT entity, CASE WHEN x IS NULL THEN '\u2014' ELSE '$' || format('{{:,.2f}}', x) END AS money,
-  CASE WHEN x IS NULL THEN '\u2014' WHEN cap >= 1e12 THEN printf('$%.2fT', round(cap / 1e12, 2)) WHEN cap >= 1e9 THEN printf('$%.1fB', round(cap / 1e9, 1)) WHEN cap >= 1e6 THEN printf('$%.0fM', round(cap / 1e6)) ELSE printf('$%.0f', round(cap)) END AS cap,
+  CASE WHEN x IS NULL THEN '\u2014' WHEN cap >= 1e12 THEN printf('$%.2fT', round((cap / 1e12)::DECIMAL(18, 6), 2)) WHEN cap >= 1e9 THEN printf('$%.1fB', round((cap / 1e9)::DECIMAL(18, 6), 1)) WHEN cap >= 1e6 THEN printf('$%.0fM', round(cap / 1e6)) ELSE printf('$%.0f', round(cap)) END AS cap,
   CASE WHEN x IS NULL THEN '\u2014' ELSE CASE WHEN x >= 0 THEN '+' ELSE '' END || printf('%.2f', x) || '%' END AS change,
   CASE WHEN x IS NULL THEN '\u2014' WHEN entity % 4 = 0 THEN printf('%.1f', x / 7 * 100) || '%' WHEN entity % 4 = 1 THEN CASE WHEN x >= 0 THEN '+' ELSE '' END || printf('%.1f', x / 7 * 100) || 'pp'
     WHEN entity % 4 = 2 THEN printf('%.2f', x / 7) || 'x' ELSE printf('%.2f', x / 7) END AS metric,
