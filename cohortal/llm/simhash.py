@@ -16,9 +16,10 @@ A covering code of all 64 bits with threshold three would need thousands of
 replicas or a few thousand anchors only; the split keeps both small.
 
 Equal fingerprints are one point, so exact copies never meet each other. An
-anchor with more than ``tile_rows`` points is dealt over tiles (pairs of salts),
-each compared in one task of bounded size; a tile returns a spanning forest of
-its links, never all pairs.
+anchor with more than ``tile_rows`` points is first divided by the bytes of the
+other half, of which one must be equal; what is still larger is dealt over tiles
+(pairs of salts), each compared in one task of bounded size. A tile returns a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def _linked(tiles: DataFrame) -> DataFrame:
             yield edges(kept)
 
     n = partitions(tiles.sparkSession)
-    dealt = tiles.select("anchor", "tile", "doc", "fp").repartition(n, "anchor", "tile").sortWithinPartitions("anchor", "tile", "fp")
+    dealt = tiles.select("anchor", (F.col("part").cast("long") * (1 << 40) + F.col("tile")).alias("tile"), "doc", "fp").repartition(n, "anchor", "tile").sortWithinPartitions("anchor", "tile", "fp")
     return dealt.mapInArrow(run, "a_doc long, a_fp long, b_doc long, b_fp long").select(
         F.struct(F.col("a_doc").alias("doc"), F.col("a_fp").alias("fp")).alias("a"),
         F.struct(F.col("b_doc").alias("doc"), F.col("b_fp").alias("fp")).alias("b"),
@@ -173,8 +174,14 @@ def links(points: DataFrame, tile_rows: int = 4096) -> DataFrame:
         .where("n > 1 and homes > 0")
         .select("anchor", "n")
     )
-    salts = F.ceil(F.col("n") / F.lit(tile_rows)).cast("int")
-    met = covered.join(sizes, "anchor").withColumn("salts", salts)
+    met = covered.join(sizes, "anchor").withColumn("part", F.lit(0))
+    # Of two fingerprints at a crowded anchor the other halves differ in at most three bits, so one of their four bytes is equal.
+    other = F.when(F.shiftrightunsigned("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    parts = F.array(*(F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) + (256 * k + 1) for k in range(4)))
+    crowded = met.where(F.col("n") > tile_rows).drop("n").withColumn("part", F.explode(parts.cast("array<int>")))
+    crowds = cut(crowded.groupBy("anchor", "part").agg(F.count("*").alias("n")).where("n > 1"))
+    met = met.where(F.col("n") <= tile_rows).unionByName(crowded.join(crowds, ["anchor", "part"]))
+    met = met.withColumn("salts", F.ceil(F.col("n") / F.lit(tile_rows)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
     shared = F.transform(
         F.sequence(F.lit(0), F.col("salts") - 1),
@@ -209,14 +216,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, with its smallest id; a null id only where all are null. Rows with one id and different texts are told apart."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """One row of ``docs`` for each component, with its smallest id; a null id only where all are null. Rows with one id and different texts are told apart.
+
+    Fingerprints are over shingles of ``width`` words.
+    """
     rk = F.xxhash64(F.col(text_col))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint_of(x) for x in batch.column(2).to_pylist()), np.uint64, len(batch))
+            found = np.fromiter((fingerprint_of(x, width) for x in batch.column(2).to_pylist()), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "rk", "fp"])
 
     taken = docs.select(key.alias("doc_id"), rk.alias("rk"), F.col(text_col).cast("binary").alias("text"))

@@ -30,7 +30,7 @@ def test_stages_and_result_against_plain_versions(spark, tmp_path):
     assert len(known) >= 0.98 * len(given)
     want = lines([(r["doc_id"], r["text"]) for r in known])
     assert {r["doc_id"]: r["text"] for r in unique} == {d: t for d, (n, k, t) in want.items() if k}
-    fps, group = near([r["text"] for r in sorted(unique, key=lambda r: r["doc_id"])])
+    fps, group = near([r["text"] for r in sorted(unique, key=lambda r: r["doc_id"])], 5)
     ids = sorted(r["doc_id"] for r in unique)
     assert {r["doc_id"] for r in distinct} == {ids[g] for g in group}
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]

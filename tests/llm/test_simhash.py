@@ -3,17 +3,18 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortal.llm import graph, simhash
 
 
-def brute(texts):
+def brute(texts, width=3):
     """(fingerprints, components) by the definition."""
     fps = []
     for t in texts:
         words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").translate(str.maketrans("\t\n\x0b\x0c\r", " " * 5)).split(" ")
         words = [w for w in words if w]
-        shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        shingles = [" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
         hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
         fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
     group = list(range(len(fps)))
@@ -94,3 +95,23 @@ def test_null_and_repeated_ids_keep_one_of_each_group(spark):
     rows = [(None, "only null words here"), (None, "only null words here"), (1, "a b c d"), (2, "A b c d"), (2, "unique text of its own"), (None, "a b c D"), (3, "x y z w"), (3, "q r s t")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "only null words here"), (1, "a b c d"), (2, "unique text of its own"), (3, "q r s t"), (3, "x y z w")]
+
+
+def test_crowded_anchors_lose_no_link(spark):
+    """Fingerprints around a few centres, so that anchors hold more points than a tile."""
+    rng = random.Random(11)
+    centres = [rng.getrandbits(64) for _ in range(3)] + [rng.getrandbits(32) for _ in range(2)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for c in centres for _ in range(150)}
+    fps |= {centres[0] ^ (rng.getrandbits(32) << 32) for _ in range(150)} | {centres[1] ^ rng.getrandbits(32) for _ in range(150)}
+    fps = sorted(fps)
+    points = spark.createDataFrame([(k, fp - 2**64 if fp >= 2**63 else fp) for k, fp in enumerate(fps)], "doc long, fp long")
+    group = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    for tile_rows in (8, 4096):
+        found = graph.connected_components(simhash.links(points, tile_rows).select("a.doc", F.col("b.doc").alias("other")), "doc", "other")
+        got = {r.node: r.root for r in found.collect()}
+        assert {k: got.get(k, k) for k in range(len(fps))} == dict(enumerate(group)) and len(set(group)) < len(fps)
