@@ -37,26 +37,63 @@ def quarters(entity, growth=0.10):
     return rows
 
 
+def fact(entity, concept, start, end, val, filed, form="10-K", taxonomy="us-gaap", unit="USD"):
+    return (entity, taxonomy, concept, unit, start, end, float(val), filed, f"{concept}{filed}", form, 0)
+
+
+def ruled():
+    """Companies that each test one rule."""
+    y = lambda e, c, k, v, filed, **kw: fact(e, c, D(k, 1, 1), D(k, 12, 31), v, filed, **kw)
+    rows = []
+    # Of nested revenue concepts the largest in the newest filing counts: a restated 1.3 against an older 3.4.
+    rows += company("NEST", drop=("Revenues",)) + [y("NEST", "Revenues", 2025, 3400, D(2026, 2, 1)), y("NEST", "RevenueFromContractWithCustomerExcludingAssessedTax", 2025, 1300, D(2026, 5, 1))]
+    rows += company("BIG", drop=("Revenues",)) + [y("BIG", "Revenues", 2025, 2090, D(2026, 2, 1)), y("BIG", "RevenueFromContractWithCustomerExcludingAssessedTax", 2025, 190, D(2026, 2, 1))]
+    # Other reports do not supply a figure; transition reports do.
+    rows += company("PROXY") + [y("PROXY", "NetIncomeLoss", 2025, 0.1, D(2026, 6, 1), form="8-K"), y("PROXY", "NetIncomeLoss", 2025, 0.2, D(2026, 6, 1), form="DEF 14A")]
+    rows += company("TRANS") + [y("TRANS", "NetIncomeLoss", 2025, 77, D(2026, 6, 1), form="10-KT/A")]
+    # A balance sheet dated after the scoring day is not seen.
+    rows += company("AHEAD") + [fact("AHEAD", "Assets", None, D(2026, 12, 31), 9999, D(2026, 3, 1))]
+    # The opening capital is that nearest to a year before, within 45 days.
+    rows += company("OPEN", drop=("StockholdersEquity",)) + [fact("OPEN", "StockholdersEquity", None, D(2025, 12, 31), 800, D(2026, 2, 15)), fact("OPEN", "StockholdersEquity", None, D(2025, 1, 20), 600, D(2026, 2, 15))]
+    # A slice of debt, or a concept that speaks of borrowing, keeps the never-borrowed rule away.
+    rows += company("SLICE", drop=("LongTermDebt",)) + [fact("SLICE", "LineOfCredit", None, D(2025, 12, 31), 5, D(2026, 2, 15))]
+    rows += company("WORD", drop=("LongTermDebt",)) + [fact("WORD", "SubordinatedLongTermDebt", None, D(2019, 12, 31), 5, D(2020, 2, 15))]
+    rows += company("ZERO", drop=("LongTermDebt",)) + [fact("ZERO", "LongTermDebt", None, D(2022, 12, 31), 0, D(2023, 2, 15))]
+    # A part of debt far below an older total is passed over.
+    rows += company("PART", drop=("LongTermDebt",)) + [fact("PART", "LongTermDebt", None, D(2025, 9, 30), 3100, D(2025, 11, 1)), fact("PART", "ConvertibleDebtNoncurrent", None, D(2025, 12, 31), 1100, D(2026, 2, 15))]
+    # Debt that is filed later.
+    rows += company("LATER", drop=("LongTermDebt",)) + [fact("LATER", "LongTermDebt", None, D(2026, 9, 30), 5, D(2026, 11, 15))]
+    rows += company("R") + [y("R", "PaymentsForRepurchaseOfCommonStock", 2025, 90, D(2026, 2, 15)), y("R", "ProceedsFromIssuanceOfCommonStock", 2025, 40, D(2026, 2, 15))]
+    # Quarters of a hundred days.
+    end = D(2022, 12, 31)
+    for k in range(12):
+        start = end + dt.timedelta(1)
+        end = start + dt.timedelta(100 if k % 4 == 0 else 88)
+        rows.append(fact("H", "Revenues", start, end, 25e6 * (k + 1), end + dt.timedelta(40), form="10-Q"))
+    return rows + [fact("H", c, None, end, 1e9, end + dt.timedelta(40), form="10-Q") for c in ("Assets", "Liabilities", "StockholdersEquity", "Goodwill", "AssetsCurrent")]
+
+
 @pytest.fixture(scope="module")
-def rows(spark):
+def facts(spark):
     later = [("A", "us-gaap", "Assets", "USD", None, D(2025, 12, 31), 9999.0, D(2026, 10, 1), "late", "10-K", 0)]
-    facts = [
-        *company("A"), *later, *company("NODEBT", drop=("LongTermDebt",)), *company("NEG", StockholdersEquity=-5), *company("Q", drop=("Revenues",)), *quarters("Q"),
-    ]
-    f = spark.createDataFrame(facts, SCHEMA)
-    listings = spark.createDataFrame([(e, 5000.0) for e in ("A", "NODEBT", "NEG", "Q", "NOTHING")], "entity string, market_cap double")
-    return {r.entity: r for r in wide_of(spark, f, listings).collect()}
+    every = [*company("A"), *later, *company("NODEBT", drop=("LongTermDebt",)), *company("NEG", StockholdersEquity=-5), *company("Q", drop=("Revenues",)), *quarters("Q"), *ruled()]
+    names = sorted({f[0] for f in every} | {"NOTHING"})
+    return spark.createDataFrame(every, SCHEMA), spark.createDataFrame([(e, 5000.0) for e in names], "entity string, market_cap double")
+
+
+@pytest.fixture(scope="module")
+def wide(facts):
+    return m.materialised(m.measures(*facts, "2026-08-31"))
 
 
-def wide_of(spark, f, listings):
-    return m.measures(f, listings, "2026-08-31")
+@pytest.fixture(scope="module")
+def rows(wide):
+    return {r.entity: r for r in wide.collect()}
 
 
 @pytest.fixture(scope="module")
-def long(spark, rows):
-    facts = [*company("NEG", StockholdersEquity=-5)]
-    listings = spark.createDataFrame([(e, 5000.0) for e in ("NEG", "NOTHING")], "entity string, market_cap double")
-    return {(r.entity, r.metric): r.reason for r in m.long_measures(wide_of(spark, spark.createDataFrame(facts, SCHEMA), listings)).collect()}
+def long(wide):
+    return {(r.entity, r.metric): r.reason for r in m.long_measures(wide).collect()}
 
 
 def test_complete_company(rows):
@@ -101,61 +138,24 @@ def test_one_offs_are_taken_out(spark):
     assert [r[0] for r in rows.select(out).collect()] == [160.0, 100.0, 100.0]  # shown; not shown; not material
 
 
-def asked(spark, facts, market_cap=5000.0, **kw):
-    names = sorted({f[0] for f in facts})
-    listings = spark.createDataFrame([(e, market_cap) for e in names], "entity string, market_cap double")
-    return {r.entity: r for r in m.measures(spark.createDataFrame(facts, SCHEMA), listings, "2026-08-31", **kw).collect()}
-
-
-def fact(entity, concept, start, end, val, filed, form="10-K", taxonomy="us-gaap", unit="USD"):
-    return (entity, taxonomy, concept, unit, start, end, float(val), filed, f"{concept}{filed}", form, 0)
-
-
-def test_rules_of_the_fact_path(spark):
-    y = lambda e, c, k, v, filed, **kw: fact(e, c, D(k, 1, 1), D(k, 12, 31), v, filed, **kw)
-    rows = []
-    # Of nested revenue concepts the largest in the newest filing counts: a restated 1.3 against an older 3.4.
-    rows += company("NEST", drop=("Revenues",)) + [y("NEST", "Revenues", 2025, 3400, D(2026, 2, 1)), y("NEST", "RevenueFromContractWithCustomerExcludingAssessedTax", 2025, 1300, D(2026, 5, 1))]
-    rows += company("BIG", drop=("Revenues",)) + [y("BIG", "Revenues", 2025, 2090, D(2026, 2, 1)), y("BIG", "RevenueFromContractWithCustomerExcludingAssessedTax", 2025, 190, D(2026, 2, 1))]
-    # Other reports do not supply a figure; transition reports do.
-    rows += company("PROXY") + [y("PROXY", "NetIncomeLoss", 2025, 0.1, D(2026, 6, 1), form="8-K"), y("PROXY", "NetIncomeLoss", 2025, 0.2, D(2026, 6, 1), form="DEF 14A")]
-    rows += company("TRANS") + [y("TRANS", "NetIncomeLoss", 2025, 77, D(2026, 6, 1), form="10-KT/A")]
-    # A balance sheet dated after the scoring day is not seen, nor one that a later filing restates.
-    rows += company("AHEAD") + [fact("AHEAD", "Assets", None, D(2026, 12, 31), 9999, D(2026, 3, 1))]
-    # The opening capital is that nearest to a year before, within 45 days.
-    rows += company("OPEN", drop=("StockholdersEquity",)) + [fact("OPEN", "StockholdersEquity", None, D(2025, 12, 31), 800, D(2026, 2, 15)), fact("OPEN", "StockholdersEquity", None, D(2025, 1, 20), 600, D(2026, 2, 15))]
-    # A slice of debt, or a concept that speaks of borrowing, keeps the never-borrowed rule away.
-    rows += company("SLICE", drop=("LongTermDebt",)) + [fact("SLICE", "LineOfCredit", None, D(2025, 12, 31), 5, D(2026, 2, 15))]
-    rows += company("WORD", drop=("LongTermDebt",)) + [fact("WORD", "SubordinatedLongTermDebt", None, D(2019, 12, 31), 5, D(2020, 2, 15))]
-    rows += company("ZERO", drop=("LongTermDebt",)) + [fact("ZERO", "LongTermDebt", None, D(2022, 12, 31), 0, D(2023, 2, 15))]
-    # A part of debt far below an older total is passed over.
-    rows += company("PART", drop=("LongTermDebt",)) + [fact("PART", "LongTermDebt", None, D(2025, 9, 30), 3100, D(2025, 11, 1)), fact("PART", "ConvertibleDebtNoncurrent", None, D(2025, 12, 31), 1100, D(2026, 2, 15))]
-    got = asked(spark, rows)
+def test_rules_of_the_fact_path(rows):
+    got = rows
     assert (got["NEST"].revenue_ttm, got["BIG"].revenue_ttm) == (1300.0, 2090.0)
     assert (got["PROXY"].ni, got["TRANS"].ni, got["AHEAD"].assets) == (140.0, 77.0, 2000.0)
     assert got["OPEN"].roic == pytest.approx(200 * (1 - 40 / 180) / ((400 + 800 - 150 + 400 * 0.95 + 600 - 150 * 0.95) / 2))
     assert [(got[e].debt, got[e].debt_path) for e in ("SLICE", "WORD", "ZERO", "PART")] == [(None, "unresolved"), (None, "unresolved"), (0.0, "last-reported-zero"), (3100.0, "longtermdebt+short")]
 
 
-def test_later_filings_and_the_never_borrowed_rule(spark):
-    rows = company("N", drop=("LongTermDebt",)) + [fact("N", "LongTermDebt", None, D(2026, 9, 30), 5, D(2026, 11, 15))]
-    assert asked(spark, rows)["N"].debt is None and asked(spark, rows, strict_pit=True)["N"].debt == 0.0
+def test_later_filings_and_the_never_borrowed_rule(spark, facts, rows):
+    every, listings = facts
+    only = lambda df: df.where("entity = 'LATER'")
+    assert rows["LATER"].debt is None and m.measures(only(every), only(listings), "2026-08-31", strict_pit=True).first().debt == 0.0
 
 
-def test_a_quarter_of_a_hundred_days_counts(spark):
-    rows, end = [], D(2022, 12, 31)
-    for k in range(12):
-        start = end + dt.timedelta(1)
-        end = start + dt.timedelta(100 if k % 4 == 0 else 88)
-        rows.append(fact("H", "Revenues", start, end, 25e6 * (k + 1), end + dt.timedelta(40), form="10-Q"))
-    rows += [fact("H", c, None, end, 1e9, end + dt.timedelta(40), form="10-Q") for c in ("Assets", "Liabilities", "StockholdersEquity", "Goodwill", "AssetsCurrent")]
-    as_of = str(end + dt.timedelta(60))
-    f = spark.createDataFrame(rows, SCHEMA)
-    got = m.measures(f, spark.createDataFrame([("H", 1e9)], "entity string, market_cap double"), as_of).first()
-    assert got.revenue_ttm == 25e6 * (9 + 10 + 11 + 12) and got.rev_growth is not None
+def test_a_quarter_of_a_hundred_days_counts(rows):
+    assert rows["H"].revenue_ttm == 25e6 * (9 + 10 + 11 + 12) and rows["H"].rev_growth is not None
 
 
-def test_research_measures(spark):
-    rows = company("R") + [fact("R", "PaymentsForRepurchaseOfCommonStock", D(2025, 1, 1), D(2025, 12, 31), 90, D(2026, 2, 15)), fact("R", "ProceedsFromIssuanceOfCommonStock", D(2025, 1, 1), D(2025, 12, 31), 40, D(2026, 2, 15))]
-    r = asked(spark, rows)["R"]
+def test_research_measures(rows):
+    r = rows["R"]
     assert r.net_payout_yield == pytest.approx(50 / 5000) and r.accruals == pytest.approx((140 - 180) / ((2000 + 1900) / 2)) and r.sue is None

@@ -194,7 +194,7 @@ def test_exits_and_drift(spark):
     src = lambda ids: spark.createDataFrame([(e, f"why {e}") for e in ids], "entity string, reason string")
     sources = list(zip(panel.EXIT_KINDS, map(src, ["bc", "cd", "e", "f", "g"]), strict=False))
     got = {r.entity: r.kind for r in panel.exits(prior, now, sources).collect()}
-    assert got == {"b": "excluded", "c": "excluded", "d": "insufficient", "e": "below_floor", "f": "merged_class", "g": "not_common"}
+    assert got == {"b": "excluded", "c": "excluded", "d": "insufficient_data", "e": "share_class", "f": "market_cap_floor", "g": "no_sec_match"}
     lost = spark.createDataFrame([], "economic boolean")
     status = lambda a, b: panel.drift_report(a, b, lost, prior.limit(0), prior.limit(0)).first().status
     assert status(prior, None) == "baseline" and status(prior, prior) == "ok" and status(now, prior) == "block"
