@@ -36,7 +36,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cohortal.llm.spm import decode, encode_long, encode_short, whole
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    short, long = decode(encode_short(docs)), decode(encode_long(docs))
+    short, long = encode_short(docs, decoded=True), decode(encode_long(docs))
     text = F.md5(F.col("text").cast("binary")).alias("decoded_md5")
     one = short.select("doc_id", F.size("ids").alias("n_ids"), F.lit(1).alias("n_chunks"), F.xxhash64("ids").alias("ids_hash"), F.col("piece").alias("text"))
     joined = whole(long, "ids", "piece").withColumn("ids", F.flatten("ids"))

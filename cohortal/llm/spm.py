@@ -236,8 +236,11 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
 
 
-def encode_short(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, rk, copy, chunk, ids) of the documents that are one chunk; copy and chunk are 0."""
+def encode_short(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """(doc_id, rk, copy, chunk, ids) of the documents that are one chunk; copy and chunk are 0.
+
+    With ``decoded`` also ``piece``, what ``decode`` makes of the ids, in the same pass.
+    """
     held = _with_model(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +248,13 @@ def encode_short(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                ids = _lists(codec.encode(some.column(2).to_pylist()))
-                columns = [some.column(0), some.column(1), pa.array(np.zeros(len(some), np.int64)), pa.array(np.zeros(len(some), np.int32)), ids]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "copy", "chunk", "ids"])
+                ids = codec.encode(some.column(2).to_pylist())
+                columns = [some.column(0), some.column(1), pa.array(np.zeros(len(some), np.int64)), pa.array(np.zeros(len(some), np.int32)), _lists(ids)]
+                columns += [pa.array([codec.decode(x)[1:] for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rk", "copy", "chunk", "ids", "piece"][: len(columns)])
 
     rows = _keyed(docs, id_col, text_col).where(F.length("text") <= chunk)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, copy long, chunk int, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rk long, copy long, chunk int, ids array<int>{', piece string' if decoded else ''}")
 
 
 def encode_long(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:

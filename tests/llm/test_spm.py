@@ -73,6 +73,12 @@ def test_encode_and_decode_whole_documents(spark, library):
     assert spm.encode(docs.limit(0)).count() == 0
 
 
+def test_the_round_trip_in_one_pass_equals_both(spark):
+    docs = spark.createDataFrame([*enumerate([*texts(30, 60), None])], "doc_id long, text string")
+    both = spm.decode(spm.encode_short(docs)).collect()
+    assert sorted(map(str, spm.encode_short(docs, decoded=True).collect())) == sorted(map(str, both)) and len(both) == docs.count()
+
+
 def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "some words here"), (1, "twice"), (1, "twice")], "doc_id long, text string")
     assert spm.encode(docs).count() == 3
