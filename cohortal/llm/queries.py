@@ -92,6 +92,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_sentences", "n_removed", first, F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortal.llm.filteraudit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat_formatting": op2_chat_formatting,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_document_fingerprints": op8_document_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -183,5 +190,45 @@ joined AS (
 SELECT d.doc_id, coalesce(len(lines), 0)::INTEGER AS n_lines, coalesce(n_kept, 0)::INTEGER AS n_kept,
        md5(CASE WHEN lines IS NOT NULL THEN coalesce(j.text, '') END) AS text_md5
 FROM split d LEFT JOIN joined j USING (doc_id)
+""",
+    "op11_filter_audit": r"""
+WITH read AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+judged AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+flagged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(words) < 100,
+          'B': 100 * len(list_distinct(words)) < 80 * len(words),
+          'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'),
+          'E': coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)} AS f
+  FROM read LEFT JOIN judged USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+vectors AS (
+  SELECT part, good, toxic, [f.A, f.B, f.C, f.D, f.E] AS f, count(*) AS n FROM flagged GROUP BY ALL),
+steps AS (
+  SELECT part, filter_order, step, good, toxic, n,
+         f[ascii(substr(filter_order, step, 1)) - 64] AS fails,
+         list_count(list_filter(f, lambda x: x)) AS n_fails,
+         list_bool_or(list_transform(range(1, step + 1), lambda k: f[ascii(substr(filter_order, k, 1)) - 64])) AS gone,
+         coalesce(list_bool_or(list_transform(range(1, step), lambda k: f[ascii(substr(filter_order, k, 1)) - 64])), false) AS before
+  FROM vectors, orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (
+  SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS x,
+         coalesce(sum(n) FILTER (NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT before), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND before), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (fails AND NOT before AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (fails AND NOT before AND toxic), 0)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM counted
 """,
 }
