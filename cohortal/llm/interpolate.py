@@ -9,10 +9,11 @@ others; the estimates that score are of all training documents.
 
 Documents are read once into blocks of about ``BLOCK_TOKENS`` tokens: the block's
 words as hashes, and each document as places among these. Of a block only its
-distinct words and word pairs go through the shuffle, each once, in lists by part of
-the hash; so a frequent word is as many entries as there are blocks. A part's
-counts are summed in one task and go back to the blocks, whose documents are then
-scored where their words are. At very many blocks and parts a list holds one entry.
+distinct words and word pairs go through the shuffle, each once, in compressed lists
+by part of the hash; so a frequent word is as many entries as there are blocks. A
+part's counts are summed in one task and go back to the blocks, whose documents are
+then scored where their words are. At very many blocks and parts a list holds one
+entry.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from cohortal.llm.common import stored
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: A part of the hashes has about so many tokens' words and pairs.
-PART_TOKENS = 500_000
+PART_TOKENS = 1_000_000
 #: A word of no text each, as they hold white space: what stands before a text and behind it. They are the first two of a block's words.
 START, END = b"\n<", b"\n>"
 FOLDS, TEST_FOLD = 5, 1
@@ -58,6 +59,18 @@ def role(doc_id: Column) -> Column:
     return F.when(held_out(doc_id), TESTED).when(deleted, DELETED_PART).otherwise(COUNTED)
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -87,10 +100,15 @@ class _Block:
         self.n += len(words) + 1
 
     def row(self, of: int) -> pa.RecordBatch:
-        lists = [pa.concat_arrays(self.ids), pa.array(self.sizes, pa.int32()), pa.array(_hashes(list(self.known)).view(np.int64)), pa.array(np.concatenate(self.tokens))]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        tokens, words = np.concatenate(self.tokens), _hashes(list(self.known))
+        # The most frequent words get the least places, so that tokens compress well.
+        ranked = np.r_[0, 1, 2 + np.argsort(-np.bincount(tokens, minlength=len(words))[2:], kind="stable")]
+        place = np.empty(len(words), np.int32)
+        place[ranked] = np.arange(len(words), dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(self.ids), pa.array(self.sizes, pa.int32()))]
+        packed = [pa.array([_pack(x)], pa.binary()) for x in (words[ranked], place[tokens])]
         names = ["block", "role", "doc_ids", "sizes", "words", "tokens"]
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([of], pa.int32()), *lists], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pa.array([of], pa.int32()), *lists, *packed], names=names)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -111,16 +129,16 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     taken = docs.select("doc_id", role(F.col("doc_id")).alias("role"), F.col("text").cast("binary").alias("text"))
-    return taken.mapInArrow(run, f"block long, role int, doc_ids array<{kind}>, sizes array<int>, words array<long>, tokens array<int>")
+    return taken.mapInArrow(run, f"block long, role int, doc_ids array<{kind}>, sizes array<int>, words binary, tokens binary")
 
 
 class _Read:
     """What a block says of its words (kind 0) and pairs of words (kind 1): keys in a fixed order, and how often each occurs."""
 
     def __init__(self, row: pa.RecordBatch | pa.Table) -> None:
-        flat = lambda c: row.column(c)[0].values.to_numpy()
-        self.sizes, tokens = flat("sizes"), flat("tokens")
-        words, self.tokens = flat("words").view(np.uint64), tokens
+        self.sizes = row.column("sizes")[0].values.to_numpy()
+        words, tokens = _unpack(row.column("words")[0].as_py(), np.uint64), _unpack(row.column("tokens")[0].as_py(), np.int32)
+        self.tokens = tokens
         self.starts = np.cumsum(np.r_[0, self.sizes[:-1]])
         before = np.r_[0, tokens[:-1]].astype(np.int64)
         before[self.starts] = 0
@@ -132,16 +150,17 @@ class _Read:
         self.times = [alone, times]
 
     def order(self, kind: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of a kind by part, and where each part begins and ends."""
-        part = (self.keys[kind] % np.uint64(parts)).astype(np.int64)
-        return np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+        """The keys of a kind in order, which is by part, and where each part begins and ends."""
+        order = np.argsort(self.keys[kind])
+        part = (self.keys[kind][order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        return order, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
     def counts(self, rows: pa.Table, column: str, parts: int) -> list[np.ndarray]:
         """The counts that came back for its words and its pairs, in the order of its keys."""
         rows, out = rows.sort_by([("kind", "ascending"), ("part", "ascending")]), []
         which, held = rows.column("kind").to_pylist(), rows.column(column).to_pylist()
         for kind in (0, 1):
-            sums = np.frombuffer(b"".join(x for k, x in zip(which, held, strict=True) if k == kind), np.int64)
+            sums = np.concatenate([_unpack(x, np.int64) for k, x in zip(which, held, strict=True) if k == kind])
             place = np.empty(len(sums), np.int64)
             place[self.order(kind, parts)[0]] = sums
             out.append(place)
@@ -165,7 +184,7 @@ def counted(stored_blocks: DataFrame, parts: int) -> DataFrame:
                     keys, n = read.keys[kind][order], read.times[kind][order].astype(np.int32)
                     for p in np.flatnonzero(np.diff(bounds)).tolist():
                         x, y = bounds[p], bounds[p + 1]
-                        out.append((name, of, kind, p, keys[x:y].tobytes(), n[x:y].tobytes() if of != TESTED else b""))
+                        out.append((name, of, kind, p, _pack(keys[x:y]), _pack(n[x:y]) if of != TESTED else None))
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "role", "kind", "part", "keys", "n"])
 
@@ -173,18 +192,19 @@ def counted(stored_blocks: DataFrame, parts: int) -> DataFrame:
 
     def total(group: pa.Table) -> pa.Table:
         roles, kind, part = group.column("role").to_pylist(), group.column("kind")[0].as_py(), group.column("part")[0].as_py()
-        lists, n = ([np.frombuffer(x, t) for x in group.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("n", np.int32)))
+        lists, n = ([None if x is None else _unpack(x, t) for x in group.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("n", np.int32)))
         ends = np.cumsum([0, *map(len, lists)])
         keys, place = np.unique(np.concatenate(lists), return_inverse=True)
         sums = []
         for of in ((COUNTED, DELETED_PART), (COUNTED,)):
             mine = [k for k, r in enumerate(roles) if r in of]
             at = np.concatenate([place[ends[k] : ends[k + 1]] for k in mine] or [place[:0]])
-            sums.append(np.bincount(at, np.concatenate([n[k] for k in mine] or [n[0][:0]]), len(keys)).astype(np.int64))
+            sums.append(np.bincount(at, np.concatenate([n[k] for k in mine] or [place[:0]]), len(keys)).astype(np.int64))
         known = [int(((x > 0) & (keys != start)).sum()) if kind == 0 else 0 for x in sums]
-        every, kept = ([x[place[ends[k] : ends[k + 1]]].tobytes() for k in range(len(lists))] for x in sums)
-        kept = [x if r == DELETED_PART else b"" for x, r in zip(kept, roles, strict=True)]
-        last = [[None], [None], [kind], [part], [b""], [b""], [known[0]], [known[1]]]
+        back = lambda x, k: _pack(x[place[ends[k] : ends[k + 1]]])
+        every = [back(sums[0], k) for k in range(len(lists))]
+        kept = [back(sums[1], k) if r == DELETED_PART else None for k, r in enumerate(roles)]
+        last = [[None], [None], [kind], [part], [None], [None], [known[0]], [known[1]]]
         first = [group.column(c).to_pylist() for c in ("block", "role", "kind", "part")] + [every, kept, [0] * len(lists), [0] * len(lists)]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(x + y, t) for x, y, t in zip(first, last, types, strict=True)], names=["block", "role", "kind", "part", "every", "kept", "v_every", "v_kept"])
