@@ -79,7 +79,8 @@ THRESHOLD = 0.6
 FILE_SHARE = 0.5
 _ABOUT = r"(?i)licen[cs]e|public domain|all rights reserved|permission is hereby|redistribution and use"
 _NAMED = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
-_TERM = r"[A-Za-z0-9]+(?:[.][A-Za-z0-9]+)*"
+#: Possessive, so that a run of characters is read once however long it is.
+_TERM = r"[A-Za-z0-9]++(?:[.][A-Za-z0-9]++)*+"
 
 
 def _terms(text: str) -> list[str]:
@@ -103,7 +104,7 @@ def _sentences(files: DataFrame) -> DataFrame:
 
     A notice may be a line of its own or run over several, behind the signs of a comment.
     """
-    unwrapped = F.regexp_replace("text", r"(?<!\n)\n[ \t]*(?:[*#;]+|//+|--)?[ \t]*(?=\S)", " ")
+    unwrapped = F.regexp_replace("text", r"(?<!\n)\n[ \t]*+(?:(?:[*#;]+|//+|--)[ \t]*+)?(?=\S)", " ")
     parts = F.array_distinct(F.concat(F.split("text", r"\n+|(?<=[.!?])\s+"), F.split(unwrapped, r"\n+|(?<=[.!?])\s+")))
     rows = files.where(F.col("text").rlike(_ABOUT)).select("file", "path", F.posexplode(parts).alias("at", "sentence"))
     rows = rows.where(F.col("sentence").rlike(_ABOUT))

@@ -34,13 +34,14 @@ _DECOYS = r"(?i)(?<![A-Za-z])(commit|sha-?(1|256)?|md5|checksum|digest|etag|uuid
 _TESTS = r"(?i)(^|[/_.\-])(tests?|examples?|docs?|fixtures?|samples?|mocks?|specs?)([/_.\-]|$)"
 _AWS = r"(?<![A-Za-z0-9])A(KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _JWT = r"(?<![A-Za-z0-9_.\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
-_LONG = r"(?=[A-Za-z0-9+/_\-]*[0-9])(?=[A-Za-z0-9+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{20,}={0,2}"
+#: A run of at least 20; it counts if it holds a digit and a letter. Runs are read once, and a name's rest behind its key word up to 64 characters.
+_LONG = r"[A-Za-z0-9+/_\-]{20,}+={0,2}"
 _VALUE = r"[A-Za-z0-9+/_\-.$@!%&*]{8,}={0,2}"
 #: Where a token is cut: before every key name with its sign, so that each has a part of its own.
-_NAMED = rf"[\"']?[\w.\-]*{_KEYS.removeprefix('(?i)')}[\w\-]*[\"']?[:=]"
+_NAMED = rf"[\"']?[\w.\-]*{_KEYS.removeprefix('(?i)')}[\w\-]{{0,64}}+[\"']?[:=]"
 _PARTS = rf"(?i)&(?={_NAMED})|(?<=[^\w.\-\"'&])(?={_NAMED})"
 #: Lines without a match are not looked at further; every candidate needs one of these.
-_LINE = rf"[A-Za-z0-9+/_\-]{{20}}|(?i:pass|pwd|secret|token|key|credential|auth)[\w\-]*[\"']?\s*[:=]"
+_LINE = rf"[A-Za-z0-9+/_\-]{{20}}|eyJ|(?i:pass|pwd|secret|token|key|credential|auth)[\w\-]{{0,64}}+[\"']?\s*+[:=]"
 FEATURES = [
     "length", "transitions", "digits", "uppers", "symbols", "distinct", "covered", "is_hex", "known_form",
     "key_beside", "decoy_beside", "assigned", "test_path", "repeated",
@@ -74,7 +75,7 @@ def features(found: DataFrame) -> DataFrame:
         "known_form": v.rlike(f"{_AWS}|{_JWT}"),
         "key_beside": F.col("before").rlike(_KEYS),
         "decoy_beside": near.rlike(_DECOYS) | v.rlike("(?i)example|changeme|placeholder|xxxx"),
-        "assigned": F.col("before").rlike(r"[:=]\s*[\"']?$"),
+        "assigned": F.col("before").rlike(r"[:=]\s*+[\"']?$"),
         "test_path": F.coalesce(F.col("path"), F.lit("")).rlike(_TESTS),
         "repeated": 1 - _share(v, r"(.)\1{2,}"),
     }
@@ -87,13 +88,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     # A token with several names, such as minified JSON or a query string, is several parts under one number.
     cut = lambda word, k: F.transform(F.split(word, _PARTS), lambda part: F.struct(k.alias("no"), part.alias("part")))
     parts = F.filter(F.flatten(F.transform(F.split(F.trim("line"), r"\s+"), cut)), lambda x: x["part"] != "")
-    tokens = lines.select("doc_id", "path", "line_no", parts.alias("parts")).select("*", F.col("parts.part").alias("tokens"))
-    tokens = tokens.select("doc_id", "path", "line_no", "tokens", F.posexplode("parts").alias("at", "x"))
-    tokens = tokens.select("doc_id", "path", "line_no", "tokens", "at", F.col("x.no").alias("token_no"), F.col("x.part").alias("token"))
-    at = F.col("at")
-    span = lambda a, n: F.array_join(F.slice("tokens", a, n), " ")
-    beside = F.when(at == 0, "").otherwise(span(F.greatest(F.lit(1), at - 2), F.least(at, F.lit(3))))
-    near = tokens.withColumns({"ahead": beside, "after": span(at + 2, F.lit(3))})
+    lines = lines.select("doc_id", "path", "line_no", parts.alias("parts"))
+    # Each part takes its neighbours with it, so that no row carries its whole line.
+    span = lambda a, n: F.array_join(F.transform(F.slice("parts", a, n), lambda x: x["part"]), " ")
+    beside = lambda at: F.when(at == 0, "").otherwise(span(F.greatest(F.lit(1), at - 2), F.least(at, F.lit(3))))
+    told = F.transform("parts", lambda x, at: F.struct(x["no"].alias("token_no"), x["part"].alias("token"), beside(at).alias("ahead"), span(at + 2, F.lit(3)).alias("after")))
+    near = lines.select("doc_id", "path", "line_no", F.explode(told).alias("x")).select("doc_id", "path", "line_no", "x.*")
     token = F.col("token")
     # name=value in one token is cut at the sign; a value alone looks to the words before it.
     inner = F.regexp_extract(token, r"^(.*?[:=])[\"']?[^\s\"']+", 1)
@@ -103,7 +103,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     # Every match is a candidate; what one rule has taken is not read by the next.
     aws, jwt = (F.regexp_extract_all(shown, F.lit(p), F.lit(0)) for p in (_AWS, _JWT))
     rest = F.regexp_replace(shown, f"{_AWS}|{_JWT}", " ")
-    assigned = F.when(before.rlike(_KEYS.replace("(?![A-Za-z])", "") + r"[\w\-]*[\"']?\s*[:=]\s*[\"']?$"), F.regexp_extract(rest, _VALUE, 0)).otherwise("")
+    assigned = F.when(before.rlike(_KEYS.replace("(?![A-Za-z])", "") + r"[\w\-]{0,64}+[\"']?\s*+[:=]\s*+[\"']?$"), F.regexp_extract(rest, _VALUE, 0)).otherwise("")
     near = near.withColumns({"aws": aws, "jwt": jwt, "assigned": assigned, "rest": rest})
     left = F.when(F.col("assigned") != "", F.replace(F.col("rest"), F.col("assigned"), F.lit(" "))).otherwise(F.col("rest"))
     named = lambda values, rule: F.transform(values, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("value")))
@@ -111,7 +111,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         named(F.col("aws"), "access key"),
         named(F.col("jwt"), "web token"),
         named(F.filter(F.array("assigned"), lambda v: v != ""), "assignment"),
-        named(F.regexp_extract_all(left, F.lit(_LONG), F.lit(0)), "mixed string"),
+        named(F.filter(F.regexp_extract_all(left, F.lit(_LONG), F.lit(0)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")), "mixed string"),
     )
     found = near.select("doc_id", "path", "line_no", "token_no", "before", "after", F.explode(every).alias("x"))
     return found.select("doc_id", "path", "line_no", "token_no", "x.rule", "x.value", "before", "after")

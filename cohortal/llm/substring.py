@@ -34,8 +34,8 @@ from cohortal.llm.common import cut, stored
 SPAN = 3
 MOST_WORDS = 16
 LEAST_WORDS = 9
-#: A sentence with the white space behind it.
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)\s+|\n\s*|$)|\n\s*")
+#: A sentence with the white space behind it. A run of marks is read once, so that a text of marks alone takes no longer than another.
+_SENTENCE = re.compile(r"[^\n](?:[^\n.!?]++|[.!?]++(?!\s))*+(?:[.!?]++\s+|\n\s*|$)|\n\s*")
 #: Thai, Lao, Burmese, Khmer, kana and Han.
 _CHARS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED = re.compile(f"[{_CHARS}]")
