@@ -6,9 +6,12 @@ between two neighbouring ends lies one token of A and one of B, which is one lin
 as two tokens overlap in one stretch only. Spark then counts the id pairs of all
 links, finds the highest count of each B id, and joins both back.
 
-A document's links refer to the list of distinct pairs of its block, some hundreds
-of documents that one task read one after the other. So one row for each block and
-distinct pair is counted and joined, not one for each link or document.
+No token of either reaches over the start of a word, a space behind a visible
+character, so a text is merged word by word, and each distinct word of a block, some
+thousands of documents that one task read one after the other, once. A document is
+then a list of its words, a word a list of links, and a link a place among the
+block's distinct pairs: one row for each block and distinct pair is counted and
+joined, not one for each link or document.
 """
 
 from __future__ import annotations
@@ -24,19 +27,20 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortal.llm.common import cut, stored
-from cohortal.llm.spm import CACHE_CHARS, CACHE_WORDS, MODEL, Codec, model_bytes
+from cohortal.llm.spm import MODEL, Codec, model_bytes
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
-#: Texts are merged in lots of about so many characters, and share a list of pairs in blocks of so many distinct links or more.
-LOT_CHARS, BLOCK_LINKS = 1_000_000, 1_500_000
+#: New words are merged in lots of texts of about so many characters; a block ends at so many distinct words, or characters of these.
+LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 1_000_000, 250_000, 16_000_000
 #: What Unicode calls white space; Python's own class has four control characters more.
-_WHITE = "\t-\r \x85\xa0  -     　"
-#: A word with the space before it, a run of white space but for its last character before a word, or that one: no token reaches over their ends.
-_SEGMENT = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: From a space behind a visible character, or at the start, to the next such.
+_WORD = re.compile(f" (?:[^ ]++|(?<=[{_WHITE}]) )*+")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -62,66 +66,51 @@ class ByteCodec:
         for piece, i in vocabulary.items():
             self.out[i] = piece.encode() if piece in added else bytes(chars[c] for c in piece)
         split = spec.get("pre_tokenizer") or {}
-        #: The library splits at the ends of segments before it merges, so that these are encoded by themselves.
-        self.by_segment = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
-        self.kept: dict[str, list[int]] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        #: The library splits before a word before it merges, so that words are encoded by themselves.
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if not self.by_segment:
-            return self._ids(texts)
-        split = [_SEGMENT.findall(t) for t in texts]
-        if len(self.kept) > CACHE_WORDS:
-            self.kept.clear()
-        known = self.kept
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-        known.update(zip(new, self._ids(new), strict=True))
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
-        return out
+        return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Merger:
-    """Groups and links of lots of texts."""
+    """Groups and links of words, which begin with a space each; other than by words, whole texts are one each."""
 
     def __init__(self, a: ByteCodec, b: Codec) -> None:
-        self.a, self.b = a, b
+        self.a, self.b, self.by_word = a, b, a.by_word and b.by_word
         self.sizes = [np.array(list(map(len, x.out)), np.int64) for x in (a, b)]
         (m, n) = map(len, self.sizes)
         self.shown = [f"{i}{sign}" for size, signs in ((m, ",|"), (n, ",;")) for sign in signs for i in range(size)]
 
-    def lot(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(n_a, n_b, n_groups, n_links) by text, digests, and (text, pair, n) of its distinct links; a pair is A's id times 2^32 plus B's."""
-        counts, digests = np.zeros((len(texts), 4), np.int64), [""] * len(texts)
-        spaced = [" " + t for t in texts]
-        data = [t.encode(errors="replace") for t in spaced]
-        ids = [x.encode(spaced) for x in (self.a, self.b)]
-        whole = [k for k, t in enumerate(texts) if t and all(b"".join(map(x.out.__getitem__, i[k])) == data[k] for x, i in zip((self.a, self.b), ids, strict=True))]
-        none = np.zeros(0, np.int64)
+    def words(self, text: str) -> list[str]:
+        return _WORD.findall(" " + text) if self.by_word else [" " + text]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(n_a, n_b, n_groups, n_links) of each word, its groups as text, and the pairs of all links in order; a pair is A's id times 2^32 plus B's.
+
+        A word whose bytes do not come back has none of these.
+        """
+        counts, shown = np.zeros((len(words), 4), np.int64), [""] * len(words)
+        data = [w.encode(errors="replace") for w in words]
+        ids = [self.a.encode(words), self.b.lib.encode(words, num_threads=1)]
+        whole = [k for k, d in enumerate(data) if all(b"".join(map(x.out.__getitem__, i[k])) == d for x, i in zip((self.a, self.b), ids, strict=True))]
         if not whole:
-            return counts, digests, none, none, none
-        # Both sides of each text have the same bytes, so that the texts can be laid end to end.
+            return counts, shown, np.zeros(0, np.int64)
+        # Both sides of each word have the same bytes, so that the words can be laid end to end.
         toks = [np.fromiter(chain.from_iterable(i[k] for k in whole), np.int64) for i in ids]
         lens = [np.array([len(i[k]) for k in whole], np.int64) for i in ids]
         ends = [np.cumsum(size[t]) for size, t in zip(self.sizes, toks, strict=True)]
         every = np.sort(np.concatenate(ends), kind="stable")
         fresh = np.r_[True, every[1:] != every[:-1]]
         links, common = every[fresh], every[1:][~fresh[1:]]
-        text_ends = np.cumsum([len(data[k]) for k in whole])
-        at = np.searchsorted(text_ends, links)
-        counts[whole] = np.stack([*lens, np.bincount(np.searchsorted(text_ends, common), minlength=len(whole)), np.bincount(at, minlength=len(whole))], 1)
-        for k, digest in zip(whole, self._digests(toks, lens, ends, common), strict=True):
-            digests[k] = digest
-        pair = toks[0][np.searchsorted(ends[0], links)] << 32 | toks[1][np.searchsorted(ends[1], links)]
-        pairs, place = np.unique(pair, return_inverse=True)
-        cells, n = np.unique(at * len(pairs) + place, return_counts=True)
-        return counts, digests, np.array(whole)[cells // len(pairs)], pairs[cells % len(pairs)], n
-
-    def _digests(self, toks: list[np.ndarray], lens: list[np.ndarray], ends: list[np.ndarray], common: np.ndarray) -> list[str]:
+        word_ends = np.cumsum([len(data[k]) for k in whole])
+        of = lambda e: np.bincount(np.searchsorted(word_ends, e), minlength=len(whole))
+        counts[whole] = np.stack([*lens, of(common), of(links)], 1)
+        for k, x in zip(whole, self._groups(toks, lens, ends, common), strict=True):
+            shown[k] = x
+        return counts, shown, toks[0][np.searchsorted(ends[0], links)] << 32 | toks[1][np.searchsorted(ends[1], links)]
+
+    def _groups(self, toks: list[np.ndarray], lens: list[np.ndarray], ends: list[np.ndarray], common: np.ndarray) -> list[str]:
         group = [np.searchsorted(common, e) for e in ends]
         last = [common[g] == e for g, e in zip(group, ends, strict=True)]
         m, n = map(len, self.sizes)
@@ -129,18 +118,60 @@ class Merger:
         codes[np.arange(len(toks[0])) + np.searchsorted(group[1], group[0], "left")] = toks[0] + m * last[0]
         codes[np.arange(len(toks[1])) + np.searchsorted(group[0], group[1], "right")] = 2 * m + toks[1] + n * last[1]
         shown, bounds = list(map(self.shown.__getitem__, codes.tolist())), np.cumsum(np.r_[0, lens[0] + lens[1]]).tolist()
-        return [hashlib.sha256("".join(shown[x:y])[:-1].encode()).hexdigest() for x, y in zip(bounds, bounds[1:], strict=False)]
+        return ["".join(shown[x:y])[:-1] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+class _Block:
+    """Documents as lists of words, and the distinct words of them all."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.docs, self.counts, self.pairs, self.shown, self.chars = [], [], [np.zeros((0, 4), np.int64)], [np.zeros(0, np.int64)], [], 0
+
+    def add(self, ids: list, texts: list[str], merger: Merger) -> None:
+        # U+2581 is a space in B, so that its bytes do not come back.
+        split = [merger.words(t) if t and "\u2581" not in t else [] for t in texts]
+        known = self.known
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        counts, shown, pairs = merger.merge(new)
+        self.counts.append(counts)
+        self.pairs.append(pairs)
+        self.shown += shown
+        self.chars += sum(map(len, new))
+        self.ids += ids
+        self.docs += [np.fromiter(map(known.__getitem__, words), np.int32, len(words)) for words in split]
+
+    def full(self) -> bool:
+        return len(self.known) >= BLOCK_WORDS or self.chars >= BLOCK_CHARS
+
+    def rows(self, names: list[str]) -> pd.DataFrame:
+        counts, shown = np.concatenate(self.counts), self.shown
+        pairs, place = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        lost = counts[:, 3] == 0
+        docs = [x[:0] if len(x) and lost[x].any() else x for x in self.docs]
+        ends = np.cumsum([0, *map(len, docs)])
+        flat = np.concatenate(docs)
+        times = np.repeat(np.bincount(flat, minlength=len(counts)), counts[:, 3])
+        total = np.bincount(place, times, len(pairs)).astype(np.int64)
+        sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(counts[flat], 0)])
+        sums = (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+        digests = [hashlib.sha256(";".join(map(shown.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in docs]
+        key = uuid.uuid4().int >> 65
+        made = [(key, i, *c, d, x, None, None, None) for i, c, d, x in zip(self.ids, sums, digests, docs, strict=True)]
+        return pd.DataFrame([*made, (key, None, 0, 0, 0, 0, "", place.astype(np.int32), counts[:, 3].astype(np.int32), pairs, total)], columns=names)
 
 
 def merged(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = MODEL) -> DataFrame:
     """Rows of documents and rows of blocks, told by ``pairs``.
 
-    A document (doc_id, n_a, n_b, n_groups, n_links, groups_sha256) has under ``at``
-    and ``n`` its distinct links, as places in its block's ``pairs``, and how often each
-    occurs. A block has its distinct pairs in order and how often each occurs under ``n``.
+    A document (doc_id, n_a, n_b, n_groups, n_links, groups_sha256) has under ``at`` the
+    numbers of its words. A block has its distinct pairs in order with how often each
+    occurs under ``total``; under ``n`` the number of links of each word, and under ``at``
+    the place among the pairs of each of these links.
     """
     held = docs.sparkSession.sparkContext.broadcast((model_bytes(byte_model), model_bytes(piece_model)))  # two megabytes
-    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "at", "n", "pairs"]
+    names = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "at", "n", "pairs", "total"]
 
     def lots(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
         ids, texts, size = [], [], 0
@@ -155,34 +186,21 @@ def merged(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = MOD
         if ids:
             yield ids, texts
 
-    def block(lots: list) -> pd.DataFrame:
-        pairs, place = np.unique(np.concatenate([x[4] for x in lots]), return_inverse=True)
-        n = np.concatenate([x[5] for x in lots])
-        total = np.bincount(place, n, len(pairs)).astype(np.int64)
-        rows, first = [], 0
-        key = uuid.uuid4().int >> 65
-        for ids, counts, digests, at, pair, _ in lots:
-            bounds = first + np.searchsorted(at, np.arange(len(ids) + 1))
-            first += len(pair)
-            rows += [(key, i, *c, d, place[x:y], n[x:y], None) for i, c, d, x, y in zip(ids, counts.tolist(), digests, bounds, bounds[1:], strict=False)]
-        return pd.DataFrame([*rows, (key, None, 0, 0, 0, 0, "", None, total, pairs)], columns=names)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        merger = Merger(ByteCodec(held.value[0]), Codec(held.value[1]))
-        kept: list = []
+        merger, block = Merger(ByteCodec(held.value[0]), Codec(held.value[1])), _Block()
         for ids, texts in lots(frames):
-            kept.append((ids, *merger.lot(texts)))
-            if sum(len(x[4]) for x in kept) >= BLOCK_LINKS:
-                yield block(kept)
-                kept = []
-        if kept:
-            yield block(kept)
+            block.add(ids, texts, merger)
+            if block.full():
+                yield block.rows(names)
+                block = _Block()
+        if block.ids:
+            yield block.rows(names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # As text, since pandas has no whole numbers with nulls between them.
     taken = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     counted = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-    found = taken.mapInPandas(run, f"block long, doc_id string, {counted}, at array<int>, n array<long>, pairs array<long>")
+    found = taken.mapInPandas(run, f"block long, doc_id string, {counted}, at array<int>, n array<int>, pairs array<long>, total array<long>")
     return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -196,28 +214,29 @@ def align(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str = MODE
       any length. Other columns are not read; no rows give no rows.
     """
     rows = stored(merged(docs, byte_model, piece_model))
-    entries = rows.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "n")).alias("at", "x"))
-    entries = entries.select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.n").alias("n"))
+    entries = rows.where("pairs is not null").select("block", F.posexplode(F.arrays_zip("pairs", "total")).alias("at", "x"))
+    entries = entries.select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.total").alias("n"))
     counts = cut(entries.groupBy("pair").agg(F.sum("n").alias("count")))
     side = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("b")
     most = cut(counts.groupBy(side).agg(F.max("count").alias("most")))
     ruled = cut(counts.select("pair", "count", side).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best")))
     back = entries.select(F.col("block").alias("owner"), "at", "pair").join(ruled, "pair").select("owner", "at", "count", "best")
-    found = rows.where("pairs is null").drop("pairs")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks(), right.sort_by("at")
-        at, n = (left.column(c).combine_chunks() for c in ("at", "n"))
-        bounds = at.offsets.to_numpy()
-        place, times = at.values.to_numpy()[bounds[0] : bounds[-1]], n.flatten().to_numpy()
+        right, is_block = right.sort_by("at"), left.column("pairs").is_valid()
+        block, left = left.filter(is_block), left.filter(pc.invert(is_block)).combine_chunks()
+        place, links = (block.column(c)[0].values.to_numpy() for c in ("at", "n"))
+        ends, words = np.cumsum(np.r_[0, links]), left.column("at").combine_chunks()
+        bounds, flat = words.offsets.to_numpy(), words.values.to_numpy()
         sums = []
         for c in ("best", "count"):
-            values = right.column(c).cast(pa.int64()).to_numpy()[place] * times if len(place) else times
-            total = np.r_[0, np.cumsum(values)]
-            sums.append(pa.array(np.diff(total[bounds - bounds[0]])))
+            by_link = np.r_[0, np.cumsum(right.column(c).cast(pa.int64()).to_numpy()[place])] if len(place) else np.zeros(1, np.int64)
+            by_word = by_link[ends[1:]] - by_link[ends[:-1]]
+            total = np.r_[0, np.cumsum(by_word[flat])] if len(flat) else np.zeros(1, np.int64)
+            sums.append(pa.array(total[bounds[1:]] - total[bounds[:-1]]))
         return pa.table([*(left.column(c) for c in names[:5]), *sums, left.column("groups_sha256")], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbers = ", ".join(f"{c} long" for c in names[1:7])
-    return found.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(summed, f"doc_id {kind}, {numbers}, groups_sha256 string")
+    return rows.drop("total").groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(summed, f"doc_id {kind}, {numbers}, groups_sha256 string")

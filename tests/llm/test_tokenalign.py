@@ -67,9 +67,9 @@ def rows(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [1_500_000, 40])
+@pytest.mark.parametrize("block", [250_000, 20])
 def test_equals_two_pointers_over_whole_texts(spark, libs, monkeypatch, block):
-    monkeypatch.setattr(ta, "BLOCK_LINKS", block)
+    monkeypatch.setattr(ta, "BLOCK_WORDS", block)
     monkeypatch.setattr(ta, "LOT_CHARS", max(100, block // 2))
     rng = random.Random(5)
     letters = "aeiou bcdfg  hstn\n.,'-\t0123 éüß你\U0001f600\xa0AZ"
@@ -79,17 +79,30 @@ def test_equals_two_pointers_over_whole_texts(spark, libs, monkeypatch, block):
     assert rows(ta.align(df)) == brute(libs, docs)
 
 
-def test_segments_are_encoded_as_in_the_whole_text(libs):
-    codec, rng = ta.ByteCodec(open(ta.BYTE_MODEL, "rb").read()), random.Random(9)
-    pool = [chr(c) for c in (*range(0x20), *range(0x7F, 0xA8), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)] + list("  ab1.'s")
+def joined(libs, spark, texts):
+    """Ids of both codecs, word by word."""
+    merger = ta.Merger(ta.ByteCodec(open(ta.BYTE_MODEL, "rb").read()), ta.Codec(ta.model_bytes()))
+    assert merger.by_word
+    words = [merger.words(t) for t in texts]
+    assert all("".join(w) == " " + t for w, t in zip(words, texts, strict=True))
+    of = lambda encode: [[i for x in encode(w) for i in x] for w in words]
+    return of(merger.a.encode), of(lambda w: merger.b.lib.encode(w, num_threads=1))
+
+
+def test_words_are_encoded_as_in_the_whole_text(libs, spark):
+    rng = random.Random(9)
+    pool = [chr(c) for c in (*range(0x20), *range(0x7F, 0xA8), 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)] + list("  ab1.'s") * 3
     texts = ["".join(rng.choices(pool, k=12)) for _ in range(20_000)]
-    assert codec.by_segment and codec.encode(texts) == [x.ids for x in libs[0].encode_batch(texts, add_special_tokens=False)]
+    a, b = joined(libs, spark, texts)
+    assert a == [x.ids for x in libs[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert b == libs[1].encode(texts, num_threads=1)
 
 
-def test_ids_of_the_small_tables_equal_the_library(libs, spark):
-    texts = [" " + r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    codec = ta.ByteCodec(open(ta.BYTE_MODEL, "rb").read())
-    assert codec.encode(texts) == [x.ids for x in libs[0].encode_batch(texts, add_special_tokens=False)]
+def test_ids_of_the_small_tables_equal_the_libraries(libs, spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    a, b = joined(libs, spark, texts)
+    assert a == [x.ids for x in libs[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert b == libs[1].encode(texts, num_threads=1)
 
 
 @pytest.mark.parametrize("unit", ["a", " ", "\n", ".", "word ", "你", "9"])
