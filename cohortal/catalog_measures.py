@@ -14,8 +14,9 @@ from cohortal.functions.spec import METRICS as _METRICS
 from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LARGEST_WINS, LINE_ITEMS
 from cohortal.operators import temporal as t
 from cohortal.plans import filings as f
+from cohortal.plans import intake, month, score
 from cohortal.plans import measures as m
-from cohortal.plans import month
+from cohortal.plans.stage import materialised
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 
@@ -320,10 +321,31 @@ _FORMULAS = {k: v for k, v in (_OPERATING | _FINANCIAL | _TRENDS).items() if k i
 _SPEC = ", ".join(f"('{x.key}', '{x.factor}', {str(x.higher_better).lower()}, {str(x.optional).lower()}, {str(x.conditioned).lower()}, {list(x.segments) or 'NULL::VARCHAR[]'})" for x in _METRICS)
 #: (sector, industry) of the stand-in filers, by their number; the oracle names segments and peer groups outright.
 _KINDS = [("Finance", "Major Banks"), ("Technology", "Computer Software"), ("Finance", "Life Insurance"), ("Industrials", "Metal Fabrications"), ("Technology", "Semiconductors")]
-_MONTH = f"""{_SERIES},
-filer AS (SELECT s_suppkey AS entity, cap AS market_cap, CASE s_suppkey % 5 WHEN 0 THEN 'banks' WHEN 2 THEN 'insurers' ELSE 'operating' END AS segment,
-  CASE s_suppkey % 5 WHEN 0 THEN 'Community banks' WHEN 2 THEN 'Life & health insurers' WHEN 3 THEN 'Industrials' ELSE 'Technology' END AS peer FROM supplier JOIN caps ON entity = s_suppkey),
-raw AS (SELECT x.*, op_inc_change, coalesce(trend, CASE WHEN y3_revenue > 0 AND y0_revenue > 0 THEN (y0_revenue / y3_revenue) ** (1 / 3.0::DOUBLE) - 1 END) AS growth, latest, gp_trend, change, s.n AS n5, s.x AS x5, w.n AS ny, w.x AS xy
+_FILER = """SELECT s_suppkey AS entity, cap AS market_cap, CASE s_suppkey % 5 WHEN 0 THEN 'banks' WHEN 2 THEN 'insurers' ELSE 'operating' END AS segment,
+  CASE s_suppkey % 5 WHEN 0 THEN 'Community banks' WHEN 2 THEN 'Life & health insurers' WHEN 3 THEN 'Industrials' ELSE 'Technology' END AS peer FROM supplier JOIN caps ON entity = s_suppkey"""
+#: The facts that the monthly run sees, in place of all that are filed.
+_SEEN = _SERIES.replace("registry(item", f.MONTH_SQL.format(supplier="supplier", lineitem="lineitem") + ",\nregistry(item", 1).replace("FROM filed_facts", "FROM month_facts").replace(
+    "FROM month_facts WHERE NOT (entity % 37", "FROM filed_facts WHERE NOT (entity % 37")
+_SETTINGS = score.Settings(cap_floor=1.5e8, adv_floor=58_000.0)
+#: Who stays in, rule after rule.
+_STAGED = f"""was0 AS (SELECT s_suppkey AS entity, concat('F', s_suppkey) AS listing FROM supplier WHERE s_suppkey % 6 <> 0),
+probed AS (SELECT entity, form, filed, en, CASE WHEN taxonomy = 'us-gaap' THEN list_position(['Assets', 'Liabilities', 'StockholdersEquity'], concept) END AS place FROM month_facts WHERE filed <= {_DAY}),
+signals AS (SELECT entity, bool_or(form IN ('10-K', '10-Q')) FILTER (place = least) AS domestic, count(DISTINCT (form, filed)) FILTER (place = least AND form IN ('10-K', '10-Q', '20-F', '40-F')) AS n_filings
+  FROM (SELECT *, min(place) OVER (PARTITION BY entity) AS least FROM probed) x GROUP BY 1),
+met AS (SELECT l.*, i.entity, t.adv, w.listing IS NOT NULL AS was, g.entity IS NOT NULL AS has_facts, domestic, coalesce(n_filings, 0) AS n_filings, anchor AS latest, x.entity IS NOT NULL AS newer, {_DAY} - anchor AS age
+  FROM listed l LEFT JOIN matched i USING (listing) LEFT JOIN traded t ON t.owner = l.owner LEFT JOIN was0 w ON w.listing = l.listing
+  LEFT JOIN signals g ON g.entity = i.entity LEFT JOIN anchors a ON a.entity = i.entity LEFT JOIN indexed x ON x.entity = i.entity),
+first AS (SELECT *, CASE WHEN name NOT LIKE '%Common Stock' THEN 'not_common' WHEN NOT coalesce(market_cap >= 1.5e8 OR (was AND market_cap >= 1.2e8), false) THEN 'market_cap_floor' WHEN entity IS NULL THEN 'no_sec_match' END AS s1 FROM met),
+class_kept AS (SELECT entity, max_by(listing, (volume * last_sale, listing)) AS class, list_sort(list(listing)) AS classes FROM first WHERE s1 IS NULL GROUP BY 1),
+late AS (SELECT f.*, class, classes, coalesce(s1, CASE WHEN f.listing <> class THEN 'share_class' END) AS s2, latest IS NULL OR age > 200 AS stale,
+    coalesce((latest IS NULL OR age > 200) AND was AND newer AND age <= 300, false) AS carry FROM first f LEFT JOIN class_kept USING (entity)),
+staged AS (SELECT *, coalesce(s2, CASE WHEN NOT has_facts THEN 'no_facts' WHEN adv IS NULL THEN 'no_price' WHEN NOT coalesce(domestic, false) THEN 'foreign_filer' WHEN n_filings < 5 THEN 'short_history'
+    WHEN stale AND NOT carry THEN 'stale' WHEN NOT (adv >= 58000 OR (was AND adv >= 46400)) THEN 'illiquid' END) AS stage FROM late),
+told AS (SELECT *, CASE stage WHEN 'not_common' THEN 'not an operating company''s common stock' WHEN 'market_cap_floor' THEN CASE WHEN market_cap IS NULL THEN 'market value unknown' ELSE 'market value under the floor' END
+    WHEN 'no_sec_match' THEN 'no filer under this listing' WHEN 'share_class' THEN class || ' stands for the company' WHEN 'no_facts' THEN 'no facts on file' WHEN 'no_price' THEN 'no price'
+    WHEN 'foreign_filer' THEN 'files no domestic forms' WHEN 'short_history' THEN n_filings || ' periodic filings' WHEN 'stale' THEN 'latest report is ' || coalesce(latest::VARCHAR, 'missing')
+    WHEN 'illiquid' THEN 'average dollar volume under the floor' END AS reason FROM staged)"""
+_GRADES = f"""raw AS (SELECT x.*, op_inc_change, coalesce(trend, CASE WHEN y3_revenue > 0 AND y0_revenue > 0 THEN (y0_revenue / y3_revenue) ** (1 / 3.0::DOUBLE) - 1 END) AS growth, latest, gp_trend, change, s.n AS n5, s.x AS x5, w.n AS ny, w.x AS xy
   FROM figures x LEFT JOIN rev_trend USING (entity) LEFT JOIN rev_last USING (entity) LEFT JOIN ops_change USING (entity) LEFT JOIN gross_trend USING (entity) LEFT JOIN gpoa_change USING (entity)
   LEFT JOIN scatter s USING (entity) LEFT JOIN scatter_y w USING (entity)),
 points2 AS (SELECT r.entity, peer, least(greatest(ni / tangible, -0.2::DOUBLE), 0.4::DOUBLE) AS x, ln(cap / tangible) AS y FROM raw r JOIN filer USING (entity) WHERE segment = 'banks' AND tangible > 0 AND cap > 0 AND ni IS NOT NULL),
@@ -341,24 +363,64 @@ spots AS (SELECT *, count(win) OVER (PARTITION BY segment, cohort, metric) AS si
   + (count(win) OVER (PARTITION BY segment, cohort, metric, win) - 1) / 2.0::DOUBLE) AS below FROM clipped),
 pcts AS (SELECT *, {_hu("CASE WHEN win IS NULL THEN NULL WHEN size = 1 THEN 50.0::DOUBLE WHEN higher_better THEN 100.0::DOUBLE * (below / greatest(size - 1, 1)) ELSE 100.0::DOUBLE * (1 - below / greatest(size - 1, 1)) END", 1)} AS pct0,
   max(CASE WHEN metric = CASE segment WHEN 'operating' THEN 'roic' ELSE 'roe' END THEN raw END) OVER (PARTITION BY entity) AS ret FROM spots),
-gated AS (SELECT *, CASE WHEN NOT conditioned THEN pct0 WHEN ret IS NULL THEN NULL WHEN ret <= 0.09 THEN least(pct0, 50.0::DOUBLE) ELSE pct0 END AS pct FROM pcts),
+gated AS (SELECT *, CASE WHEN NOT conditioned THEN pct0 WHEN ret IS NULL THEN NULL WHEN ret <= 0.09 THEN least(pct0, 50.0::DOUBLE) ELSE pct0 END AS pct FROM pcts)"""
+_MONTH = f"""{_SEEN},
+{_STAGED},
+filer AS (SELECT * FROM ({_FILER}) x WHERE entity IN (SELECT entity FROM staged WHERE stage IS NULL)),
+{_GRADES},
 factors AS (SELECT entity, segment, peer, market_cap, {", ".join(f"{_hu(f'avg(pct) FILTER (factor = {chr(39)}{x}{chr(39)})', 1)} AS {x}" for x in ("quality", "growth", "valuation", "health"))},
   count(pct) AS resolved, count(*) FILTER (pct IS NOT NULL OR NOT optional) AS applicable FROM gated GROUP BY 1, 2, 3, 4),
 blended AS (SELECT *, {_hu("((coalesce(quality, 0) + coalesce(growth, 0) + coalesce(valuation, 0) + coalesce(health, 0)) * 25.0::DOUBLE) / nullif(25.0::DOUBLE * ((quality IS NOT NULL)::INT + (growth IS NOT NULL)::INT + (valuation IS NOT NULL)::INT + (health IS NOT NULL)::INT), 0)", 2)} AS composite
   FROM factors WHERE resolved / nullif(applicable, 0) >= 0.7),
 now AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY composite DESC NULLS LAST, market_cap DESC NULLS LAST, entity) AS rank FROM blended),
-was AS (SELECT s_suppkey AS entity, segment, (s_suppkey % 100)::DOUBLE AS composite, row_number() OVER (PARTITION BY segment ORDER BY s_suppkey % 100 DESC, s_suppkey) AS rank FROM supplier JOIN filer ON entity = s_suppkey WHERE s_suppkey % 6 <> 0)"""
+was AS (SELECT s_suppkey AS entity, segment, (s_suppkey % 100)::DOUBLE AS composite, row_number() OVER (PARTITION BY segment ORDER BY s_suppkey % 100 DESC, s_suppkey) AS rank FROM supplier JOIN ({_FILER}) f ON entity = s_suppkey WHERE s_suppkey % 6 <> 0)"""
 
 
-def month_of(spark, d):
-    """The run over the stand-in filers, with a made record of the month before."""
-    kinds = spark.createDataFrame([(k, *x) for k, x in enumerate(_KINDS)], "k int, sector string, industry string")
-    listed = f.listings(spark, d).withColumn("k", (F.col("entity") % 5).cast("int")).join(F.broadcast(kinds), "k").withColumn("name", F.concat(F.lit("Filer "), F.col("entity").cast("string")))
+#: The grid of last month: the same rules over what was filed by then, for those that were scored.
+_BEFORE = f"""last_grid AS (WITH RECURSIVE {_SEEN},
+filer AS (SELECT * FROM ({_FILER}) x WHERE entity % 6 <> 0),
+{_GRADES} SELECT entity, metric, pct FROM gated)""".replace(_DAY, f"DATE '{f.PRIOR_AS_OF}'")
+
+
+def _kinds(spark):
+    return F.broadcast(spark.createDataFrame([(k, *x) for k, x in enumerate(_KINDS)], "k bigint, sector string, industry string"))  # five rows
+
+
+def _month_inputs(spark, d):
+    """The stand-in inputs, with last month's record."""
+    given = f.month_inputs(spark, d)
+    own = given["listings"].where("listing = concat('F', owner)").join(_kinds(spark), "k").withColumnRenamed("owner", "entity")
     segment = F.when(F.col("k") == 0, "banks").when(F.col("k") == 2, "insurers").otherwise("operating")
-    prior = listed.where("entity % 6 <> 0").select("entity", "name", "sector", segment.alias("segment"), (F.col("entity") % 100).cast("double").alias("composite"))
+    prior = own.where("entity % 6 <> 0").select("entity", "listing", "name", "sector", "industry", "market_cap", segment.alias("segment"), (F.col("entity") % 100).cast("double").alias("composite"))
     prior = prior.withColumn("rank", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("composite"), "entity")).cast("long"))
-    excluded = listed.where("entity % 7 = 0").select("entity", F.lit("held out").alias("reason"))
-    return month.run_month(f.filings(spark, d), listed, f.AS_OF, prior, left=[("excluded", excluded)])
+    return given | {"listings": given["listings"].join(_kinds(spark), "k"), "prior": prior}
+
+
+def month_of(spark, d, drift: bool = False):
+    """The run over the stand-in listings, with a made record of the month before; with ``drift`` against the grid of that month as well."""
+    x = _month_inputs(spark, d)
+    facts = materialised(x["facts"])  # made, not read: the run reads facts several times
+    grid = month.graded(facts, x["prior"], f.PRIOR_AS_OF, _SETTINGS)[1].select("entity", "metric", "pct") if drift else None
+    return month.run_from_listings(facts, x["listings"], x["ids"], x["prices"], f.AS_OF, x["prior"], x["newer"], grid, settings=_SETTINGS)
+
+
+def _staged(spark, d):
+    x = _month_inputs(spark, d)
+    return intake.staged(x["listings"], x["ids"], intake.filers(x["facts"], f.AS_OF, x["newer"]), x["prices"], x["prior"], f.AS_OF, _SETTINGS)
+
+
+@query(f"""WITH RECURSIVE {_MONTH}, rules AS (SELECT unnest(range({len(intake.STAGES) + 1})) AS step, unnest({["listed", *intake.STAGES]}) AS stage),
+spots_of AS (SELECT *, coalesce(list_position({intake.STAGES}, stage), {len(intake.STAGES) + 1}) AS place FROM staged),
+counted AS (SELECT step, r.stage, count(*) FILTER (place > step) AS survivors, count(*) FILTER (place > step AND was AND ((r.stage = 'market_cap_floor' AND market_cap < 1.5e8 AND market_cap >= 1.2e8)
+  OR (r.stage = 'illiquid' AND adv < 58000 AND adv >= 46400))) AS kept_below FROM spots_of, rules r GROUP BY 1, 2)
+SELECT step::INTEGER AS step, stage, survivors, coalesce(lag(survivors) OVER (ORDER BY step) - survivors, 0) AS dropped, kept_below FROM counted""")
+def monthly_funnel(spark, d):
+    return intake.funnel(_staged(spark, d))
+
+
+@query(f"WITH RECURSIVE {_MONTH} SELECT listing, entity, stage, reason FROM told WHERE stage IS NOT NULL")
+def monthly_excluded(spark, d):
+    return _staged(spark, d).where("stage is not null").select("listing", "entity", "stage", "reason")
 
 
 @query(f"""WITH RECURSIVE {_MONTH} SELECT n.entity, n.segment, n.peer, quality, growth, valuation, health, n.composite, n.rank, {_hu("n.composite - w.composite", 2)} AS composite_change,
@@ -367,16 +429,82 @@ def monthly_run(spark, d):
     return month_of(spark, d)["scored"].select("entity", "segment", "peer", "quality", "growth", "valuation", "health", "composite", "rank", "composite_change", "rank_change", "is_new")
 
 
-@query(f"""WITH RECURSIVE {_MONTH} SELECT w.entity, w.rank, CASE WHEN w.entity % 7 = 0 THEN 'excluded' ELSE 'insufficient_data' END AS kind,
-  CASE WHEN w.entity % 7 = 0 THEN 'held out' ELSE 'resolved ' || resolved || ' of ' || applicable || ' applicable metrics (' || round_even(resolved * 100.0::DOUBLE / applicable, 0)::INT || '%, threshold 70%)' END AS reason
-FROM was w JOIN factors f USING (entity) WHERE w.entity NOT IN (SELECT entity FROM now)""")
+_GONE = """left_out AS (SELECT w.entity, w.rank, t.stage, t.reason, f.resolved, f.applicable FROM was w LEFT JOIN told t ON t.listing = concat('F', w.entity) LEFT JOIN factors f ON f.entity = w.entity WHERE w.entity NOT IN (SELECT entity FROM now)),
+gone AS (SELECT entity, rank, CASE WHEN stage IN ('share_class', 'market_cap_floor', 'no_sec_match') AND resolved IS NULL THEN stage WHEN stage = 'not_common' AND resolved IS NULL THEN 'unlisted'
+    WHEN stage IS NOT NULL AND stage NOT IN ('not_common', 'share_class', 'market_cap_floor', 'no_sec_match') THEN 'excluded' ELSE 'insufficient_data' END AS kind,
+  CASE WHEN stage IS NOT NULL AND stage NOT IN ('not_common', 'share_class', 'market_cap_floor', 'no_sec_match') THEN reason
+    WHEN resolved IS NOT NULL THEN 'resolved ' || resolved || ' of ' || applicable || ' applicable metrics (' || round_even(resolved * 100.0::DOUBLE / applicable, 0)::INT || '%, threshold 70%)'
+    ELSE reason END AS reason FROM left_out)"""
+
+
+@query(f"WITH RECURSIVE {_MONTH}, {_GONE} SELECT entity, rank, kind, reason FROM gone")
 def monthly_exits(spark, d):
     return month_of(spark, d)["exits"].select("entity", "rank", "kind", "reason")
 
 
-@query(f"""WITH RECURSIVE {_MONTH}, sums AS (SELECT (SELECT count(*) FROM now) AS n_now, (SELECT count(*) FROM was) AS n_before,
-  (SELECT count(*) FROM was WHERE entity NOT IN (SELECT entity FROM now) AND entity % 7 <> 0) AS n_dropped)
-SELECT n_now, n_before, n_dropped, round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) AS change_pct,
-  CASE WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -5 THEN 'block' WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -1 OR n_dropped > 0 THEN 'warn' ELSE 'ok' END AS status FROM sums""")
+#: Tags that the freshness rule rejects: (entity, tag, en), the newest rejected date of each.
+_IGNORED = f"""picks AS (
+  SELECT entity, item, max_by(concept, {{'days': en - st, 'o': DATE '1970-01-01' - en, 'tail': -tail, 'st': st}}) AS concept FROM (
+    SELECT *, max(en) OVER (PARTITION BY entity, item) AS last FROM (SELECT entity, item, concept, st, en, 0 AS tail FROM flow UNION ALL
+      SELECT a.entity, a.item, a.concept, (b.en + 1)::DATE, a.en, 1 FROM flow a JOIN flow b ON a.entity = b.entity AND a.item = b.item AND a.st = b.st AND a.en - b.en BETWEEN 80 AND 400) x) y
+  WHERE last - en <= 4 AND en - st <= 378 GROUP BY 1, 2),
+rejected AS (
+  SELECT entity, concept, en FROM (SELECT * FROM items WHERE st IS NULL AND en <= {_DAY} QUALIFY row_number() OVER (PARTITION BY entity, item ORDER BY en DESC) = 1) WHERE en < anchor - 300
+  UNION ALL SELECT entity, concept, en FROM (SELECT i.entity, item, concept, en, day FROM items i JOIN back USING (entity) WHERE st IS NULL AND en <= day
+    QUALIFY row_number() OVER (PARTITION BY i.entity, item ORDER BY en DESC) = 1) WHERE en < day - 300 AND item IN ({_list(DEBT_ITEMS)})
+  UNION ALL SELECT entity, concept, en FROM ends WHERE k = 0 AND newest < anchor - 300 AND (item IN ({_list(m.ANNUAL_ITEMS)}) OR item LIKE 'one_off%')
+  UNION ALL SELECT w.entity, p.concept, last FROM tiles w JOIN picks p ON p.entity = w.entity AND p.item = w.item WHERE covered BETWEEN 350 AND 380 AND last < anchor - CASE WHEN n = 1 THEN 300 ELSE 120 END
+  UNION ALL SELECT y.entity, y.concept, y.en FROM tiles w JOIN ends y ON y.entity = w.entity AND y.item = w.item AND y.k = 0 WHERE covered NOT BETWEEN 350 AND 380 AND y.newest < y.anchor - 300),
+ignored AS (SELECT entity, concept AS tag, max(en) AS en FROM rejected GROUP BY 1, 2)"""
+#: Notes of filers: one-offs that were taken out of a figure, returns on closing capital, ignored tags.
+_NOTES = f"""biggest AS (SELECT entity, split_part(item, ':', 1) AS kind, max_by(concept, {{'val': val, 'place': -list_position([{_list(c for k in BY_CONCEPT for c in LINE_ITEMS[k])}], concept), 'o': DATE '1970-01-01' - en}}) AS tag,
+    max_by(en, {{'val': val, 'place': -list_position([{_list(c for k in BY_CONCEPT for c in LINE_ITEMS[k])}], concept), 'o': DATE '1970-01-01' - en}}) AS en
+  FROM flow WHERE item LIKE 'one_off%' AND val > 0 AND anchor - en BETWEEN 0 AND 370 GROUP BY 1, 2),
+taken AS (
+  SELECT f.entity, 'ebit' AS metric, 'one_off_gain' AS kind, gain AS amount FROM figures f JOIN kept USING (entity) WHERE ebit <> ebit0 AND kept.op_gain > 0
+  UNION ALL SELECT f.entity, 'ebit', 'one_off_charge', charge FROM figures f JOIN kept USING (entity) WHERE ebit <> ebit0 AND kept.op_charge > 0
+  UNION ALL SELECT f.entity, 'net_income', 'one_off_gain', gain FROM figures f JOIN kept USING (entity) WHERE ni <> t_net_income AND kept.ni_gain > 0
+  UNION ALL SELECT f.entity, 'net_income', 'one_off_charge', charge FROM figures f JOIN kept USING (entity) WHERE ni <> t_net_income AND kept.ni_charge > 0),
+noted AS (
+  SELECT entity, metric, kind, tag, en, amount FROM taken JOIN biggest USING (entity, kind)
+  UNION ALL SELECT entity, 'roic', 'closing_capital', NULL, NULL, NULL FROM figures WHERE ebit IS NOT NULL AND close_ic IS NOT NULL AND open_ic IS NULL
+  UNION ALL SELECT entity, 'inputs', 'ignored_tag', tag, en, NULL FROM ignored JOIN figures USING (entity))"""
+
+
+@query(f"WITH RECURSIVE {_LEVELS}, {_IGNORED}, {_NOTES} SELECT entity, metric, kind, tag, en, amount::DOUBLE AS amount FROM noted")
+def measure_notes(spark, d):
+    return m.note_rows(_measures(spark, d)).withColumnRenamed("end", "en")
+
+
+_RAW = {"assets": "assets", "equity": "i_equity", "cash": "cash", "debt": "debt", "ebit": "ebit", "da": "t_da", "ocf": "t_ocf", "capex": "t_capex", "gross_profit": "gross", "market_cap": "cap0", "ev": "ev"}
+
+
+@query(f"""WITH RECURSIVE {_LEVELS} SELECT entity, {_of({k: v for k, v in _RAW.items() if k != "market_cap"}, 2)}, CASE WHEN s_suppkey % 11 <> 0 THEN round(abs(s_acctbal) * 100) * 1000.0::DOUBLE END AS market_cap
+FROM figures JOIN supplier ON s_suppkey = entity""")
+def measure_inputs(spark, d):
+    raw = _measures(spark, d).select("entity", "raw_inputs.*")
+    return _rounded(raw, *(k for k in _RAW if k != "market_cap"), digits=2).join(raw.select("entity", "market_cap"), "entity")
+
+
+_LOST = f"""{_BEFORE},
+missed AS (SELECT b.entity, b.metric, g.metric IS NOT NULL AS looked_at FROM last_grid b JOIN was USING (entity) JOIN now n ON n.entity = b.entity LEFT JOIN gated g ON g.entity = b.entity AND g.metric = b.metric
+  WHERE b.pct IS NOT NULL AND g.pct IS NULL),
+lost AS (SELECT entity, metric, looked_at AND CASE metric WHEN 'debt_equity' THEN debt IS NOT NULL AND i_equity IS NOT NULL WHEN 'net_debt_ebitda' THEN debt IS NOT NULL AND ebitda IS NOT NULL
+    WHEN 'ebit_ev' THEN coalesce(ev <= 0, false) WHEN 'ebitda_ev' THEN coalesce(ev <= 0, false) WHEN 'fcf_ev' THEN coalesce(ev <= 0, false)
+    WHEN 'roic' THEN ebit IS NOT NULL AND debt IS NOT NULL AND i_equity IS NOT NULL WHEN 'altman_z' THEN coalesce(liabilities = 0, false) ELSE false END AS economic
+  FROM missed JOIN figures USING (entity)),
+abandoned AS (SELECT entity, tag AS concept, en AS last_reported FROM ignored JOIN filer USING (entity) WHERE en >= {_DAY} - 450)"""
+
+
+@query(f"WITH RECURSIVE {_MONTH}, {_IGNORED}, {_LOST} SELECT entity, metric, economic FROM lost")
+def monthly_lost(spark, d):
+    return month_of(spark, d, drift=True)["lost"].select("entity", "metric", "economic")
+
+
+@query(f"""WITH RECURSIVE {_MONTH}, {_GONE}, {_IGNORED}, {_LOST},
+sums AS (SELECT (SELECT count(*) FROM now) AS n_now, (SELECT count(*) FROM was) AS n_before, (SELECT count(*) FROM gone) AS n_dropped,
+  (SELECT count(*) FROM lost WHERE NOT economic) AS n_lost, (SELECT count(*) FROM lost WHERE economic) AS n_economic, (SELECT count(*) FROM abandoned) AS n_abandoned)
+SELECT *, round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) AS change_pct,
+  CASE WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -5 THEN 'block' WHEN round((n_now - n_before) * 100.0::DOUBLE / n_before, 2) <= -1 OR n_lost + n_dropped + n_abandoned > 0 THEN 'warn' ELSE 'ok' END AS status FROM sums""")
 def monthly_drift(spark, d):
-    return month_of(spark, d)["drift"].select("n_now", "n_before", "n_dropped", "change_pct", "status")
+    return month_of(spark, d, drift=True)["drift"].select("n_now", "n_before", "n_dropped", "n_lost", "n_economic", "n_abandoned", "change_pct", "status")

@@ -171,9 +171,9 @@ def far_from_last_kept(rows: Column, gap: int = 200) -> Column:
 
 
 def annual_series(flows: DataFrame, by: list[str], anchor: Column | None = None, count: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(by, years): up to ``count`` years newest first, as structs (end, val, filed, carry); a stale newest year empties it.
+    """(by, years, newest): up to ``count`` years newest first, as structs (end, val, filed, carry); a stale newest year empties them.
 
-    ``anchor`` is a column of ``flows``, one date for each group. Of years of one end the latest filed counts, then the first start.
+    ``newest`` is the newest year, stale or not. ``anchor`` is a column of ``flows``, one date for each group. Of years of one end the latest filed counts, then the first start.
     """
     w = Window.partitionBy(*by, "end").orderBy(F.col("filed").desc(), F.col("start").asc())
     year = flows.where(duration().between(330, 400)).withColumn("_anchor", F.lit(None).cast("date") if anchor is None else anchor)
@@ -181,7 +181,7 @@ def annual_series(flows: DataFrame, by: list[str], anchor: Column | None = None,
     rows = F.sort_array(F.collect_list(F.struct("end", "val", "filed", *carry)), asc=False)
     out = newest.groupBy(*by).agg(far_from_last_kept(rows).alias("_all"), F.max("_anchor").alias("_anchor"))
     years = F.when(fresh(F.col("_all")[0]["end"], F.col("_anchor")), F.slice("_all", 1, count)).otherwise(F.slice("_all", 1, 0))
-    return out.select(*by, years.alias("years"))
+    return out.select(*by, years.alias("years"), F.col("_all")[0].alias("newest"))
 
 
 def tiled(facts: Column, picks: int = 6) -> Column:
@@ -221,12 +221,13 @@ def tiled(facts: Column, picks: int = 6) -> Column:
     return F.when(done["covered"].between(350, 380), done)
 
 
-def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tuple[str, ...] = (), stale: bool = False) -> DataFrame:
     """(by, end, val, basis, filed, carry): the trailing twelve months, by tiling, else the latest year.
 
     basis is ``ttm`` or, for a year reported as one, ``fy``. A total of several tiles must end within 120 days of the
     anchor, a single year within 300; a stale total is not replaced by a year. ``anchor`` is a column of ``flows``. The
-    filing is that of the newest tile; a ``concept`` that is carried is that of the first.
+    filing is that of the newest tile; a ``concept`` that is carried is that of the first. With ``stale`` what was too old
+    stays as well, told by a column of that name.
     """
     day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
     cols = ["start", "end", "val", "filed"]
@@ -235,13 +236,15 @@ def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tu
     rows = F.collect_list(F.struct("end", "start", "val", "filed", "tail", "src"))
     got = real.unionByName(tails).groupBy(*by).agg(rows.alias("_f"), F.max("end").alias("end"), F.max("_anchor").alias("_anchor"))
     got = got.withColumn("_t", tiled(F.col("_f")))
-    years = annual_series(flows, by, anchor, 1, carry).select(*by, F.try_element_at("years", F.lit(1)).alias("_y"))
+    years = annual_series(flows, by, anchor, 1, carry).select(*by, F.try_element_at("years", F.lit(1)).alias("_fresh"), F.col("newest").alias("_y"))
     out = got.join(years, by, "left")
     whole, alone = F.col("_t").isNotNull(), F.col("_t.n") == 1
     good = F.when(alone, fresh(F.col("end"), F.col("_anchor"))).otherwise(fresh(F.col("end"), F.col("_anchor"), STITCHED_AGE))
     told = lambda c: F.when(whole, F.col("_t.first.concept" if c == "concept" else f"_t.newest.src.{c}")).otherwise(F.col(f"_y.{c}")).alias(c)
-    return out.where(F.when(whole, good).otherwise(F.col("_y").isNotNull())).select(
+    good = F.when(whole, good).otherwise(F.col("_fresh").isNotNull())
+    return out.where(whole | F.col("_y").isNotNull() if stale else good).select(
         *by,
+        *([(~good).alias("stale")] if stale else []),
         F.when(whole, F.col("end")).otherwise(F.col("_y.end")).alias("end"),
         F.when(whole, F.col("_t.val")).otherwise(F.col("_y.val")).alias("val"),
         F.when(whole & ~alone, "ttm").otherwise("fy").alias("basis"),

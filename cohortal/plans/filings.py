@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortal.functions.spec import CANDIDATE_FAMILIES, CANDIDATE_NOISE
 from cohortal.plans.standin import table
 
-AS_OF = "2000-11-30"
+AS_OF, PRIOR_AS_OF = "2000-11-30", "2000-08-31"
 #: A family of concepts, its noise, and the one concept of it that counts as known when replacements are looked for.
 CANDIDATES, KNOWN = (CANDIDATE_FAMILIES["debt"], CANDIDATE_NOISE), ["LongTermDebtNoncurrent"]
 #: (concept, thousandths of r, d and h, modulus, least and greatest remainder of the filers that report it, only if positive)
@@ -136,3 +136,43 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     """entity, market_cap, which some lack."""
     cap = F.when(F.col("s_suppkey") % 11 != 0, F.round(F.abs("s_acctbal") * 100) * 1000.0)
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), cap.alias("market_cap"))
+
+
+#: CTEs behind those of SQL: the facts of the monthly run (``month_facts``), of which some filers stop, start late, file abroad, drop a concept or turn
+#: negative; the listings (``listed``), with second classes and warrants; ids of filers (``matched``); mean traded value over 63 sessions (``traded``),
+#: and newer filings (``indexed``).
+MONTH_SQL = """month_facts AS (
+  SELECT entity, taxonomy, concept, unit, st, en, CASE WHEN concept = 'StockholdersEquity' AND entity % 31 = 4 AND en = DATE '2000-09-30' THEN -abs(val) ELSE val END AS val, filed,
+    CASE WHEN entity % 23 = 7 AND form IN ('10-K', '10-Q') THEN '20-F' ELSE form END AS form
+  FROM filed_facts WHERE NOT (entity % 37 = 6 AND concept IN ('CostOfRevenue', 'GrossProfit') AND en > DATE '2000-03-31')
+    AND NOT (entity % 7 = 3 AND filed > DATE '2000-06-30') AND NOT (entity % 29 = 5 AND filed < DATE '2000-07-01') AND entity % 43 <> 11),
+listed AS (
+  SELECT concat('F', s_suppkey) AS listing, s_suppkey AS owner, concat('Filer ', s_suppkey, CASE WHEN s_suppkey % 13 = 1 THEN ' Warrants' ELSE ' Common Stock' END) AS name,
+    CASE WHEN s_suppkey % 11 <> 0 THEN round(abs(s_acctbal) * 100) * 1000e0 END AS market_cap, (s_suppkey * 7919) % 1000 * 1e2 AS volume, 10e0 AS last_sale, s_suppkey % 5 AS k FROM {supplier}
+  UNION ALL
+  SELECT concat('F', s_suppkey, '.B'), s_suppkey, concat('Filer ', s_suppkey, ' Class B Common Stock'),
+    CASE WHEN s_suppkey % 11 <> 0 THEN round(abs(s_acctbal) * 100) * 1000e0 END, (s_suppkey * 104729) % 1000 * 1e2, 10e0, s_suppkey % 5 FROM {supplier} WHERE s_suppkey % 9 = 0),
+matched AS (SELECT listing, owner AS entity FROM listed WHERE owner % 19 <> 5),
+sessions AS (
+  SELECT l_suppkey AS owner, CAST(l_shipdate AS DATE) AS d, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS traded FROM {lineitem}
+  WHERE CAST(l_shipdate AS DATE) <= DATE '2000-11-30' AND l_suppkey % 41 <> 9 GROUP BY 1, 2),
+traded AS (
+  SELECT owner, avg(traded) / 1e2 AS adv FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY d DESC) AS n FROM sessions) x WHERE n <= 63 GROUP BY 1),
+indexed AS (
+  SELECT s_suppkey AS entity, '10-Q' AS form, DATE '2000-11-20' AS filed, DATE '2000-09-30' AS report_date FROM {supplier} WHERE s_suppkey % 7 = 3 AND s_suppkey % 2 = 1)"""
+
+
+def month_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The stand-in inputs of a monthly run: facts, listings (with k, by which they get a sector), ids, prices and newer filings."""
+    args = {n: table(spark, d, n) for n in ("lineitem", "orders", "supplier")}
+    ask = lambda sql: spark.sql(f"WITH {SQL}, {MONTH_SQL} {sql}", **args)
+    accn = F.concat_ws("-", F.col("entity").cast("string"), F.col("filed").cast("string"))
+    rows = ask("SELECT * FROM month_facts")
+    facts = rows.select("entity", "taxonomy", "concept", "unit", F.col("st").alias("start"), F.col("en").alias("end"), "val", "filed", accn.alias("accn"), "form", F.lit(0).alias("seq"))
+    return {
+        "facts": facts,
+        "listings": ask("SELECT * FROM listed"),
+        "ids": ask("SELECT * FROM matched"),
+        "prices": ask("SELECT listing, adv FROM listed JOIN traded USING (owner)"),
+        "newer": ask("SELECT * FROM indexed"),
+    }

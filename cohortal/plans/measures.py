@@ -7,13 +7,15 @@ expressions over one row an entity. Trends over quarters are aggregates joined t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.scalars import clamp, or_zero, positive_ratio, safe_div, sum_of_present
-from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, METRICS, Settings, line_items
+from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LINE_ITEMS, METRICS, Settings, line_items
 from cohortal.operators import temporal as t
 from cohortal.operators.eligibility import ever_reported
 from cohortal.plans.stage import materialised
@@ -27,6 +29,10 @@ MARGIN_SWING = 0.5
 AGREE = 0.05
 BY_ITEM = ["entity", "item"]
 SOURCE = ("concept", "accn", "form")
+#: Items whose fiscal years are looked at by themselves, beside the one-offs.
+ANNUAL_ITEMS = ["revenue", "cost", "gross_profit", "operating_income", "net_income", "da", "nii", "premiums"]
+#: What a note tells beside a measure.
+NOTE = "struct<metric: string, kind: string, tag: string, end: date, amount: double>"
 
 
 def tagged_facts(facts: DataFrame, as_of: str) -> DataFrame:
@@ -56,19 +62,23 @@ def anchors(facts: DataFrame, as_of: str) -> DataFrame:
     return t.reference_date(t.visible(facts.where("taxonomy = 'us-gaap'"), as_of, t.FORMS), ["entity"], as_of)
 
 
-def instants(items: DataFrame, as_of: str) -> DataFrame:
-    """(entity, item, concept, end, val, filed, accn, form): each item's newest instant up to ``as_of``, unless stale against ``anchor``."""
+def _newest_instants(items: DataFrame, as_of: str) -> DataFrame:
+    """(entity, item, end, concept, val, filed, accn, form, anchor): each item's newest instant up to ``as_of``."""
     cols = ["end", "concept", "val", "filed", "accn", "form"]
     rows = items.where(F.col("start").isNull() & F.col("val").isNotNull() & (F.col("end") <= F.to_date(F.lit(as_of))))
-    got = rows.groupBy(*BY_ITEM).agg(F.max_by(F.struct(*cols), "end").alias("x"), F.max("anchor").alias("anchor")).select(*BY_ITEM, "x.*", "anchor")
-    return got.where(t.fresh(F.col("end"), F.col("anchor"))).drop("anchor")
+    return rows.groupBy(*BY_ITEM).agg(F.max_by(F.struct(*cols), "end").alias("x"), F.max("anchor").alias("anchor")).select(*BY_ITEM, "x.*", "anchor")
+
+
+def instants(items: DataFrame, as_of: str) -> DataFrame:
+    """(entity, item, concept, end, val, filed, accn, form): each item's newest instant up to ``as_of``, unless stale against ``anchor``."""
+    return _newest_instants(items, as_of).where(t.fresh(F.col("end"), F.col("anchor"))).drop("anchor")
 
 
 def instants_at(items: DataFrame, days: DataFrame) -> DataFrame:
-    """(entity, item, concept, end, val) as of each entity's ``day``, fresh against that day."""
+    """(entity, item, day, end, concept, val): each item's newest instant as of each entity's ``day``, stale against that day or not."""
     both = items.where("start is null and val is not null").drop("day").join(days, "entity").where(F.col("end") <= F.col("day"))
     got = both.groupBy(*BY_ITEM, "day").agg(F.max_by(F.struct("end", "concept", "val"), "end").alias("x"))
-    return got.select(*BY_ITEM, "day", "x.*").where(t.fresh(F.col("end"), F.col("day"))).drop("day")
+    return got.select(*BY_ITEM, "day", "x.*")
 
 
 def instants_near(items: DataFrame, days: DataFrame, names: list[str], within: int = 45) -> DataFrame:
@@ -136,11 +146,12 @@ def _family(item: Column | str = "item") -> Column:
 
 
 def one_offs(items: DataFrame) -> DataFrame:
-    """(entity, gain, charge): the largest one-off of each kind that one concept has in the trailing year."""
+    """(entity, kind, end, concept, val): the largest one-off of each kind that one concept has in the trailing year; of equal ones the first concept's, then the earlier."""
     tagged = items.where(_family().isin(*BY_CONCEPT) & F.col("start").isNotNull() & (F.col("val") > 0))
     inside = tagged.where(F.datediff("anchor", "end").between(0, WINDOW))
-    of = lambda kind: F.max(F.when(_family() == kind, F.col("val")))
-    return inside.groupBy("entity").agg(of("one_off_gain").alias("gain"), of("one_off_charge").alias("charge"))
+    place = F.array_position(F.array(*(F.lit(c) for kind in BY_CONCEPT for c in LINE_ITEMS[kind])), F.col("concept"))
+    most = F.max_by(F.struct("end", "concept", "val"), F.struct("val", -place, -F.unix_date("end")))
+    return inside.groupBy("entity", _family().alias("kind")).agg(most.alias("x")).select("entity", "kind", "x.*")
 
 
 def _net_one_offs(rows: DataFrame) -> DataFrame:
@@ -158,15 +169,27 @@ def shown_moves(q: DataFrame, item: str) -> DataFrame:
     return last.groupBy("entity").agg(F.collect_list(pair).alias("moves"))
 
 
-def normalised(value: Column, gain: Column, charge: Column, moves: Column, base: Column, tax: Column, gain_in_line: bool) -> Column:
-    """A figure without the one-offs that its own line shows, if together they are material."""
-    kept = lambda x, sign, also: F.when(
-        F.coalesce(F.exists(moves, lambda m: (m["move"] * sign >= CONFIRM * x) & also(m)), F.lit(False)), x
-    ).otherwise(0.0)
+def without_one_offs(value: Column, gain: Column, charge: Column, moves: Column, base: Column, tax: Column, gain_in_line: bool) -> Column:
+    """A figure without the one-offs that its own line shows, if together they are material: (value, gain, charge).
+
+    ``gain`` and ``charge`` are what was taken out, before tax, and null where nothing was.
+    """
+    shows = lambda x, sign, also: F.coalesce(F.exists(moves, lambda m: (m["move"] * sign >= CONFIRM * x) & also(m)), F.lit(False))
     g, c = gain * (1 - tax), charge * (1 - tax)
-    g = kept(g, 1, (lambda m: m["val"] >= g) if gain_in_line else (lambda m: F.lit(True)))
-    net = kept(c, -1, lambda m: F.lit(True)) - g
-    return F.when((net != 0) & (base > 0) & (F.abs(net) >= MATERIAL * base), value + net).otherwise(value)
+    has_gain = (g > 0) & shows(g, 1, (lambda m: m["val"] >= g) if gain_in_line else (lambda m: F.lit(True)))
+    has_charge = (c > 0) & shows(c, -1, lambda m: F.lit(True))
+    net = F.when(has_charge, c).otherwise(0.0) - F.when(has_gain, g).otherwise(0.0)
+    counts = F.coalesce((net != 0) & (base > 0) & (F.abs(net) >= MATERIAL * base), F.lit(False))
+    return F.struct(
+        F.when(counts, value + net).otherwise(value).alias("value"),
+        F.when(counts & has_gain & value.isNotNull(), gain).alias("gain"),
+        F.when(counts & has_charge & value.isNotNull(), charge).alias("charge"),
+    )
+
+
+def normalised(value: Column, gain: Column, charge: Column, moves: Column, base: Column, tax: Column, gain_in_line: bool) -> Column:
+    """The figure alone."""
+    return without_one_offs(value, gain, charge, moves, base, tax, gain_in_line)["value"]
 
 
 def qualifying(periods: DataFrame, tax: DataFrame) -> DataFrame:
@@ -325,30 +348,41 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
     anchor = materialised(anchors(facts, as_of))
     items = materialised(resolve_items(tagged).join(anchor, "entity", "left"))  # read by every branch below
     flows = items.where("start is not null and val is not null")
-    now = instants(items, as_of)
-    back = materialised(now.where("item = 'assets'").select("entity", F.date_sub("end", 365).alias("day")))
+    now = _newest_instants(items, as_of)
+    fresh = t.fresh(F.col("end"), F.col("anchor"))
+    back = materialised(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day")))
     q = materialised(t.quarterly_series(flows, BY_ITEM))
-    trailing = t.ttm(flows, BY_ITEM, F.col("anchor"), SOURCE)
-    years = t.annual_series(flows, BY_ITEM, F.col("anchor"))
-    point = F.struct("end", "concept", "val", F.lit(None).cast("string").alias("basis"), F.col("filed"), "accn", "form")
-    early = lambda df, end: df.select("entity", "item", F.struct(end.alias("end"), F.col("concept") if "concept" in df.columns else F.lit(None).cast("string").alias("concept"), "val", F.lit(None).cast("string").alias("basis"), F.lit(None).cast("date").alias("filed"), F.lit(None).cast("string").alias("accn"), F.lit(None).cast("string").alias("form")).alias("x"))
-    parts = {
-        "inst": now.select(*BY_ITEM, point.alias("x")),
-        "prior": early(instants_at(items, back), F.col("end")),
-        "near": early(instants_near(items, back, ["equity", "cash", "assets"]), F.lit(None).cast("date")),
-        "last": trailing.select(*BY_ITEM, F.struct("end", "concept", "val", "basis", "filed", "accn", "form").alias("x")),
-    }
-    long = None
-    for kind, part in parts.items():
-        part = part.select("entity", "item", F.lit(kind).alias("kind"), "x", F.lit(None).cast(years.schema["years"].dataType).alias("years"))
-        long = part if long is None else long.unionByName(part)
+    trailing = t.ttm(flows, BY_ITEM, F.col("anchor"), SOURCE, stale=True)
+    years = t.annual_series(flows, BY_ITEM, F.col("anchor"), carry=("concept",))
+    # One shape for all: where a figure is too old, its tag and date go to the audit instead.
+    shape = {"end": "date", "concept": "string", "val": "double", "basis": "string", "filed": "date", "accn": "string", "form": "string"}
+
+    def part(rows: DataFrame, kind: Column | str, **given: Column) -> DataFrame:
+        x = F.struct(*((given[c] if c in given else F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in shape.items()))
+        return rows.select(*BY_ITEM, (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), x.alias("x"))
+
+    of_debt, looked_at = F.col("item").isin(DEBT_ITEMS), F.col("item").isin(ANNUAL_ITEMS) | _family().isin(*BY_CONCEPT)
+    prior = instants_at(items, back)
+    parts = [
+        part(now, F.when(fresh, "inst").otherwise("stale")),
+        part(prior, F.when(t.fresh(F.col("end"), F.col("day")), "prior").when(of_debt, "stale")),
+        part(instants_near(items, back, ["equity", "cash", "assets"]), "near"),
+        part(trailing, F.when(F.col("stale"), "stale").otherwise("last")),
+        part(years.where(looked_at & (F.size("years") == 0)).select(*BY_ITEM, "newest.*"), "stale"),
+        part(one_offs(items).withColumnRenamed("kind", "item"), "off"),
+    ]
+    long = reduce(DataFrame.unionByName, parts).withColumn("years", F.lit(None).cast(years.schema["years"].dataType))
     long = long.unionByName(years.select(*BY_ITEM, F.lit("years").alias("kind"), F.lit(None).cast(long.schema["x"].dataType).alias("x"), "years"))
     of = lambda kind, value: F.map_from_entries(F.collect_list(F.when(F.col("kind") == kind, F.struct("item", F.col(value).alias("v")))))
-    maps = long.groupBy("entity").agg(*(of(kind, "x").alias(kind) for kind in parts), of("years", "years").alias("years"))
+    maps = long.groupBy("entity").agg(
+        *(of(kind, "x").alias(kind) for kind in ("inst", "prior", "near", "last", "off")),
+        of("years", "years").alias("years"),
+        F.collect_list(F.when(F.col("kind") == "stale", F.struct("x.concept", F.col("x.end").alias("end")))).alias("stale"),
+    )
     maps = maps.withColumn("ttm", F.transform_values("last", lambda _, x: x["val"]))
 
     ends = annual_gpoa(items).groupBy("entity").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}") for k in (0, 3) for c in ("gpoa", "margin", "revenue")))
-    scalars = [one_offs(items), revenue_growth(q, items, anchor), operating_income_change(q, items, anchor), gross_profit_trend(q, items, anchor), ends, unexpected_earnings(flows)]
+    scalars = [revenue_growth(q, items, anchor), operating_income_change(q, items, anchor), gross_profit_trend(q, items, anchor), ends, unexpected_earnings(flows)]
     named = [c for part in scalars for c in part.columns if c != "entity"]
     lines = None
     for part in scalars:
@@ -388,6 +422,30 @@ def effective_tax(settings: Settings = Settings()) -> Column:  # noqa: B008
     return F.coalesce(clamp(rate, *settings.tax_clamp), F.lit(settings.default_tax))
 
 
+def notes() -> Column:
+    """Notes on a wide row: one-offs taken out of a figure, a return on closing capital alone, and tags left for being too old.
+
+    An array of NOTE. An ignored tag comes with its newest date, each once.
+    """
+    c = F.col
+
+    def note(metric: str, kind: str, when: Column, tag: Column, end: Column, amount: Column) -> Column:
+        none = F.lit(None)
+        x = F.struct(F.lit(metric).alias("metric"), F.lit(kind).alias("kind"), *(none if v is None else v for v in (tag, end, amount)))
+        return F.when(when, x.cast(NOTE))
+
+    made = []
+    for metric, off in (("ebit", "_ebit_off"), ("net_income", "_ni_off")):
+        for kind in ("gain", "charge"):
+            x = c("off")[f"one_off_{kind}"]
+            made.append(note(metric, f"one_off_{kind}", c(off)[kind].isNotNull(), x["concept"], x["end"], c(off)[kind]))
+    closing = c("ebit").isNotNull() & c("_close_ic").isNotNull() & c("_open_ic").isNull()
+    made.append(note("roic", "closing_capital", closing, F.lit(None), F.lit(None), F.lit(None)))
+    newest = F.transform(F.array_distinct(c("stale.concept")), lambda k: F.struct(k.alias("tag"), F.array_max(F.filter(c("stale"), lambda x: x["concept"] == k)["end"]).alias("end")))
+    ignored = F.transform(newest, lambda x: F.struct(F.lit("inputs").alias("metric"), F.lit("ignored_tag").alias("kind"), x["tag"], x["end"], F.lit(None)).cast(NOTE))
+    return F.concat(F.filter(F.array(*made), lambda x: x.isNotNull()), F.coalesce(ignored, F.array().cast(f"array<{NOTE}>")))
+
+
 def measure_columns(settings: Settings = Settings(), symmetric: bool = False) -> list[tuple[str, Column]]:  # noqa: B008
     """Names and expressions, in order; later ones use earlier ones by name.
 
@@ -420,6 +478,8 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
     lead = F.coalesce(lead.when(made["derived: pretax income + interest expense"].isNotNull(), c("last")["pretax"]), c("last")["revenue"], c("inst")["assets"])
     gross = F.when((_t("revenue") - _t("cost")).isNotNull(), F.concat(F.lit("Rev - "), c("last")["cost"]["concept"])).when(_t("gross_profit").isNotNull(), "GrossProfit").otherwise("unresolved")
     same_year = c("last")["net_income"]["end"] == c("last")["ocf"]["end"]
+    off = lambda kind: or_zero(c("off")[f"one_off_{kind}"]["val"])
+    as_it_is = lambda v: F.struct(v.alias("value"), F.lit(None).cast("double").alias("gain"), F.lit(None).cast("double").alias("charge"))
     mean_assets = F.coalesce((_i("assets") + F.nullif(near("assets"), F.lit(0.0))) / 2, _i("assets"))
     return [
         ("assets", F.nullif(_i("assets"), F.lit(0.0))), ("equity", _i("equity")), ("cash", or_zero(_i("cash"))),
@@ -429,8 +489,9 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
         ("tax_rate", effective_tax(settings)),
         ("gross_profit", F.coalesce(_t("revenue") - _t("cost"), _t("gross_profit"))), ("gross_profit_path", gross),
         ("_ebit", F.coalesce(*made.values())), ("ebit_path", source),
-        ("ebit", F.when(c("anchor").isNull(), c("_ebit")).otherwise(normalised(c("_ebit"), or_zero("gain"), or_zero("charge"), c("op_moves"), ebit_base, F.lit(0.0), True))),
-        ("ni", F.when(c("anchor").isNull(), _t("net_income")).otherwise(normalised(_t("net_income"), or_zero("gain"), or_zero("charge"), c("ni_moves"), ni_base, c("tax_rate"), False))),
+        ("_ebit_off", F.when(c("anchor").isNull(), as_it_is(c("_ebit"))).otherwise(without_one_offs(c("_ebit"), off("gain"), off("charge"), c("op_moves"), ebit_base, F.lit(0.0), True))),
+        ("_ni_off", F.when(c("anchor").isNull(), as_it_is(_t("net_income"))).otherwise(without_one_offs(_t("net_income"), off("gain"), off("charge"), c("ni_moves"), ni_base, c("tax_rate"), False))),
+        ("ebit", c("_ebit_off")["value"]), ("ni", c("_ni_off")["value"]),
         ("ebitda", c("ebit") + _t("da")), ("ffo", c("ni") + _t("da")), ("ev", cap + c("debt") - c("cash")),
         ("_prior_debt", F.coalesce(prior_debt, F.when(prior_zero | prior_never, 0.0))),
         ("_close_ic", c("debt") + c("equity") - c("cash")), ("_open_ic", c("_prior_debt") + near("equity") - or_zero(near("cash"))),
@@ -457,6 +518,8 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
         ("comp_ratio", positive_ratio(_t("compensation"), _t("revenue"))), ("is_fund", _i("fund_holdings").isNotNull()),
         ("net_payout_yield", F.when(_t("ocf").isNotNull(), safe_div(or_zero(_t("bought")) - or_zero(_t("issued")), cap))),
         ("accruals", F.when(same_year, positive_ratio(_t("net_income") - _t("ocf"), mean_assets))),
+        ("raw_inputs", F.struct("assets", "equity", "cash", "debt", "ebit", _t("da").alias("da"), _t("ocf").alias("ocf"), _t("capex").alias("capex"), "gross_profit", "market_cap", "ev")),
+        ("notes", notes()),
         ("asof", lead["end"]), ("filed", lead["filed"]), ("accn", lead["accn"]), ("form", lead["form"]), ("basis", lead["basis"]),
     ]
 
@@ -465,6 +528,7 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
 HELPERS = [
     "nii_assets", "tbv_yield", "rotce", "is_fund", "net_payout_yield", "accruals", "sue", "debt", "debt_path", "ebit", "ebit_path", "ni", "equity", "assets",
     "cash", "liabilities", "ebitda", "ffo", "ev", "revenue_ttm", "gross_profit", "gross_profit_path", "tax_rate", "anchor", "asof", "filed", "accn", "form", "basis",
+    "raw_inputs", "notes",
 ]
 
 
@@ -476,6 +540,16 @@ def measures(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settin
     return rows.select("entity", "market_cap", *(m.key for m in METRICS if m.key in rows.columns), *HELPERS)
 
 
+def note_rows(wide: DataFrame) -> DataFrame:
+    """(entity, metric, kind, tag, end, amount): the notes of wide rows, one a row."""
+    return wide.select("entity", F.inline("notes"))
+
+
+def ignored_tags(wide: DataFrame) -> DataFrame:
+    """(entity, concept, last_reported): the audit of the freshness rule, the newest rejected date of each tag."""
+    return note_rows(wide).where("kind = 'ignored_tag'").select("entity", F.col("tag").alias("concept"), F.col("end").alias("last_reported"))
+
+
 def missing_reason(metric: Column) -> Column:
     """Why a measure is missing, from a wide row; an economic reason names a negative or zero base."""
     c, of = F.col, lambda *keys: metric.isin(*keys)

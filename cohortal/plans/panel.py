@@ -65,6 +65,18 @@ def metrics_lost(now: DataFrame, before: DataFrame) -> DataFrame:
     return gone.select("entity", "metric", "reason", F.coalesce(F.col("reason").rlike(ECONOMIC), F.lit(False)).alias("economic"))
 
 
+def lost_since(scored: DataFrame, grid: DataFrame, prior: DataFrame, prior_grid: DataFrame) -> DataFrame:
+    """(entity, metric, reason, economic): of those scored in both months, what was measured then and is not now.
+
+    A measure that is not looked at any more counts as lost.
+    """
+    both = scored.select("entity").join(prior.select("entity"), "entity", "left_semi")
+    then = prior_grid.where("pct is not null").select("entity", "metric").join(both, "entity", "left_semi")
+    met = then.join(grid.select("entity", "metric", "pct", "reason"), ["entity", "metric"], "left").where("pct is null")
+    reason = F.coalesce("reason", F.lit("not looked at in this segment"))
+    return met.select("entity", "metric", reason.alias("reason"), reason.rlike(ECONOMIC).alias("economic"))
+
+
 def drift_report(scored: DataFrame, prior: DataFrame | None, lost: DataFrame, dropped: DataFrame, abandoned: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """One row: counts now and before, the change in percent, what was lost, and the status."""
     one = scored.agg(F.count("*").alias("n_now"))
