@@ -183,5 +183,8 @@ def train_on(docs: DataFrame) -> Model:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects."""
-    return predict(docs, train_on(docs)).where("accepted").select("row.*")
+    """``docs`` without the documents that the classifier rejects; all of them where no row has a language to learn from, or there is no such column."""
+    if "lang" not in docs.columns:
+        return docs
+    model = train_on(docs)
+    return predict(docs, model).where("accepted").select("row.*") if model.langs else docs

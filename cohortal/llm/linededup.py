@@ -166,11 +166,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _cleaned(docs, id_col, text_col, min_near_chars).select("doc_id", "n_lines", "n_kept", "text")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = MIN_NEAR_CHARS, least_share: float = 0.0) -> DataFrame:
     """``docs`` with cleaned texts, its other columns as they were.
 
-    A document that loses all its lines goes; one that had none to lose stays.
+    A document that loses all its lines goes; one that had none to lose stays. A
+    document of which less than ``least_share`` of the visible characters is left goes
+    as well: it is a copy of what came earlier but for a few lines, and these are a fragment.
     """
     row = F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row")
     cleaned = _cleaned(docs, id_col, text_col, min_near_chars, row).where("n_kept > n_blank or n_lines = n_blank")
+    if least_share > 0:
+        visible = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+        cleaned = cleaned.where((F.col("n_kept") == F.col("n_lines")) | (visible(F.col("text")) >= least_share * visible(F.col(f"row.`{text_col}`"))))
     return cleaned.select(*(F.col("text").alias(x) if x == text_col else F.col(f"row.`{x}`") for x in docs.columns))

@@ -1,4 +1,6 @@
 import os
+import random
+import re
 
 import pytest
 
@@ -28,8 +30,10 @@ def test_stages_and_result_against_plain_versions(spark, tmp_path):
         assert name == "sentencepiece" or docs.columns == before.columns
     given, known, unique, distinct, clean = seen
     assert len(known) >= 0.98 * len(given)
-    want = lines([(r["doc_id"], r["text"]) for r in known])
-    assert {r["doc_id"]: r["text"] for r in unique} == {d: t for d, (n, k, t) in want.items() if k}
+    want, full = lines([(r["doc_id"], r["text"]) for r in known], corpus_pipeline.NEAR_LINE_CHARS), {r["doc_id"]: r["text"] for r in known}
+    visible = lambda t: len("".join(re.split(r"[ \t\n\x0b\f\r]+", t or "")))
+    stays = lambda d, n, k, t: k and (k == n or visible(t) >= corpus_pipeline.LEAST_NEW * visible(full[d]))
+    assert {r["doc_id"]: r["text"] for r in unique} == {d: t for d, (n, k, t) in want.items() if stays(d, n, k, t)}
     fps, group = near([r["text"] for r in sorted(unique, key=lambda r: r["doc_id"])], 5)
     ids = sorted(r["doc_id"] for r in unique)
     assert {r["doc_id"] for r in distinct} == {ids[g] for g in group}
@@ -42,6 +46,36 @@ def test_stages_and_result_against_plain_versions(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, DATA).collect()} == ends
 
 
+def test_near_copies_go_and_leave_no_fragments(spark):
+    """Copies with a similarity of 0.8 or more in runs of five words: nine in ten go at least, and nothing of them is left; all originals stay as they were."""
+    rng, docs, copies = random.Random(12), {}, {}
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(3000)]
+    for k in range(60):
+        lines = [rng.choices(vocabulary, k=12) for _ in range(rng.randrange(8, 20))]
+        docs[k] = "\n".join(map(" ".join, lines))
+        for c in range(2):
+            changed = [list(x) for x in lines]
+            for _ in range(1 + c):
+                changed[rng.randrange(len(changed))][rng.randrange(12)] = rng.choice(vocabulary)
+            copies[1000 + 2 * k + c] = (k, "\n".join(map(" ".join, changed)))
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    alike = {c for c, (k, t) in copies.items() if len(runs(t) & runs(docs[k])) >= 0.8 * len(runs(t) | runs(docs[k]))}
+    rows = [*docs.items(), *((c, t) for c, (_, t) in copies.items())]
+    df = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, DATA)
+    left = {r.doc_id: r.text for r in df.collect()}
+    assert len(alike) > 80 and len(alike - left.keys()) >= 0.9 * len(alike)
+    assert {d: left[d] for d in docs} == docs and all(t == copies[d][1] for d, t in left.items() if d in copies)
+
+
+def test_a_table_without_languages_passes(spark):
+    plain = [(1, "no language is known here", None, "s", 25), (2, "1234", None, "s", 4), (3, None, None, "s", None)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.language_id(spark, docs, DATA).count() == 3
+    assert corpus_pipeline.language_id(spark, docs.drop("lang"), DATA).count() == 3
+
+
 def test_every_stage_on_null_ids_equal_ids_null_and_empty_texts(spark, tmp_path):
     """Rows are told apart by id and text; a stage takes away what its rule says and nothing else."""
     words = {"en": "the house and the garden of the old man were near the river and the people", "fr": "la maison et le jardin du vieil homme sont pres de la riviere et les gens"}
@@ -70,7 +104,7 @@ def test_every_stage_on_null_ids_equal_ids_null_and_empty_texts(spark, tmp_path)
 
 
 def test_registry():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
@@ -79,7 +113,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, DATA), con.sql(queries.ORACLE_SQL[name])
     key = lambda names, rows: sorted(tuple(str(r[names.index(c)]) for c in sorted(names)) for r in rows)
