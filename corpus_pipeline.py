@@ -14,13 +14,19 @@ from cohortal.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest-centroid classifier rejects go."""
+    """Documents that the nearest-centroid classifier rejects go; without labelled ones there is no classifier, and all stay."""
     return langid.identified(docs)
 
 
+#: Of a document that is new, at least this share is left by line dedup; a near copy of an earlier one keeps only the lines that differ.
+LEAST_NEW = 0.5
+#: Lines of up to so many characters less one recur by chance in one edit (numbers, brackets) and are removed only where they are equal.
+NEAR_LINE_CHARS = 8
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut from the texts; a document that loses all its lines goes."""
-    cleaned = linededup.without_repeats(docs)
+    """Repeated lines are cut from the texts; a document of which less than half is new goes, as what is left of it is a fragment."""
+    cleaned = linededup.without_repeats(docs, min_near_chars=NEAR_LINE_CHARS, least_share=LEAST_NEW)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
