@@ -823,5 +823,4 @@ def structural_signals(spark, d):
 FROM (SELECT entity, kind, CASE WHEN entity % 5 <> 0 THEN rank END AS rank FROM gone)""")
 def exit_order(spark, d):
     gone = _exits(spark, d).withColumn("rank", F.when(F.col("entity") % 5 != 0, F.col("rank")))
-    placed = panel.exit_order(gone).select("entity", "kind", "rank").withColumn("place", F.monotonically_increasing_id())
-    return placed.withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))  # as many rows as leave in a month
\ No newline at end of file
+    return panel.exit_places(gone).select("entity", "kind", "rank", "place")

@@ -109,14 +109,6 @@ def share_links(spark, d):
     return made.select(F.col("c_nationkey").alias("entity"), "link", F.size(parsed).cast("long").alias("n"), F.array_join(F.transform(parsed, lambda p: F.concat_ws(" ", p["id"], p["day"])), ";").alias("parsed"))
 
 
-@query("""SELECT v AS entity, v / 4.0::DOUBLE AS quality, ((10000 - v * 25) // 3 + CASE WHEN (10000 - v * 25) % 3 > 0 THEN 1 ELSE 0 END) / 100.0::DOUBLE AS growth,
-  ((10000 - v * 25) // 3 + CASE WHEN (10000 - v * 25) % 3 > 1 THEN 1 ELSE 0 END) / 100.0::DOUBLE AS valuation, ((10000 - v * 25) // 3) / 100.0::DOUBLE AS health FROM range(401) t(v)""")
-def weight_rebalance(spark, d):
-    keys = ["quality", "growth", "valuation", "health"]
-    rows = [(v, *(sc.rebalance(dict.fromkeys(keys, 25.0), "quality", v / 4)[k] for k in keys)) for v in range(401)]  # a slider's steps
-    return spark.createDataFrame(rows, "entity long, " + ", ".join(f"{k} double" for k in keys))
-
-
 # -- sources and sinks
 
 
@@ -300,19 +292,15 @@ def _fwd(key: str, h: int) -> str:
   WHERE size >= 30 GROUP BY bucket"""
 
 
-@query(f"WITH {_PANEL} SELECT key, horizon, bucket, {_hu('mean_fwd', 6)} AS mean_fwd, n FROM (" + " UNION ALL ".join(_fwd(key, h) for key in ("composite", "growth") for h in (1, 6, 12)) + ")")
+@query(f"WITH {_PANEL} SELECT key, horizon, bucket, {_hu('mean_fwd', 6)} AS mean_fwd, n FROM (" + " UNION ALL ".join(_fwd(key, h) for key in ("composite", "growth") for h in (1, 3, 6, 12)) + ")")
 def decile_analysis(spark, d):
-    """Forward returns by decile of the composite and of a factor, one, six and twelve months on."""
+    """Forward returns by decile of the composite and of a factor, one, three, six and twelve months on, from one reading of the orders."""
     o = s.table(spark, d, "orders").where(F.col("o_orderdate") < "2001-08-01")
     rows = o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_custkey").alias("entity")).agg(
         (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / 100.0).alias("composite"), F.avg(F.round("o_totalprice")).alias("price_adj"), F.count("*").cast("double").alias("growth")
     )
-    parts = None
-    for key in ("composite", "growth"):
-        for h in (1, 6, 12):
-            means = panel.decile_means(panel.score_deciles(panel.forward_returns(rows, h), key)).select(F.lit(key).alias("key"), F.lit(h).alias("horizon"), "bucket", stats.half_up("mean_fwd", 6).alias("mean_fwd"), "n")
-            parts = means if parts is None else parts.unionByName(means)
-    return parts
+    means = panel.decile_means(panel.decile_grid(rows, ["composite", "growth"], [1, 3, 6, 12]), ["key", "horizon"])
+    return means.select("key", "horizon", "bucket", stats.half_up("mean_fwd", 6).alias("mean_fwd"), "n")
 
 
 _FAMILY = f.CANDIDATES

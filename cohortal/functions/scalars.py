@@ -202,6 +202,17 @@ def rebalance(weights: dict[str, float], key: str, value: float) -> dict[str, fl
     return {k: value if k == key else (whole + (others.index(k) < spare)) / 100 for k in weights}
 
 
+def rebalanced(keys: list[str], key: Column | str, value: Column | str) -> Column:
+    """``rebalance`` of equal weights as a column: a struct of ``keys``, the one named by ``key`` at ``value``."""
+    given = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), _col(value))), 2)
+    spread, n = F.round((100 - given) * 100).cast("long"), len(keys) - 1
+    mine = lambda k: _col(key) == k
+    at = F.array_position(F.array(*map(F.lit, keys)), _col(key)) - 1
+    place = lambda i: F.when(at < i, F.lit(i - 1)).otherwise(F.lit(i))  # noqa: E731  # among the others
+    share = lambda i: (F.floor(spread / n) + (place(i) < F.pmod(spread, F.lit(n))).cast("long")) / 100
+    return F.struct(*(F.when(mine(k), given).otherwise(share(i)).alias(k) for i, k in enumerate(keys)))
+
+
 def parse_csv(text: str) -> list[list[str]]:
     """RFC 4180 rows of a small text: quotes, doubled quotes, CRLF."""
     rows, row = [], []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortal.functions.scalars import contains_text
+from cohortal.plans.large import value_positions
 
 NO_SECTOR = "Unclassified"
 #: Named sorts: column, descending.
@@ -47,6 +48,23 @@ def sorted_by(rows: DataFrame, preset: str) -> DataFrame:
     return rows.orderBy(sort_order(*SORTS[preset]), F.asc("entity"))
 
 
+def placed(rows: DataFrame, by: list[str], column: str, descending: bool, text: bool = False) -> DataFrame:
+    """``rows`` with ``place``, from 1 inside ``by``, in the order of ``sort_order`` and then of entity.
+
+    Distinct values are counted by ranges, so no task holds a whole table; rows of one value are ordered in one.
+    """
+    value = F.lower(F.coalesce(F.col(column), F.lit(""))) if text else F.col(column)
+    keyed = rows.withColumn("_v", value)
+    known, none = keyed.where("_v is not null"), keyed.where("_v is null")
+    ends = value_positions(known, by, "_v")
+    tied = known.withColumn("_t", F.row_number().over(Window.partitionBy(*by, "_v").orderBy("entity"))).join(ends, [*by, "_v"])
+    first = tied.withColumn("place", (F.when(F.lit(descending), F.col("n") - F.col("below") - F.col("equal")).otherwise(F.col("below")) + F.col("_t")).cast("long"))
+    sizes = known.groupBy(*by).agg(F.count("*").alias("_known"))
+    rest = none.join(value_positions(none, by, "entity").select(*by, "entity", "below"), [*by, "entity"]).join(sizes, by, "left")
+    last = rest.withColumn("place", (F.coalesce("_known", F.lit(0)) + F.col("below") + 1).cast("long"))
+    return first.select(*rows.columns, "place").unionByName(last.select(*rows.columns, "place"))
+
+
 def cross_search(tables: DataFrame, unranked: DataFrame, query: str, current: str, limit: int = 8) -> DataFrame:
     """Matches in other tables and among the unranked: the exact id first, then ids with the prefix, then the rest."""
     q = query.strip().upper()

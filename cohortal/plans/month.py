@@ -34,7 +34,8 @@ def with_gap(rows: DataFrame) -> DataFrame:
 
 def graded(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(wide, grid): the measures of ``listings`` as of a day, and their percentiles inside segment and cohort."""
-    wide = materialised(with_gap(classified(m.measures(facts, listings, as_of, settings), listings)))  # read by the measures, their reasons and the rows that are scored
+    # Read by the gap, the measures, their reasons and the rows that are scored.
+    wide = with_gap(materialised(classified(m.measures(facts, listings, as_of, settings), listings)))
     long = m.long_measures(wide)
     rows = wide.select("entity", "segment", "peer", "market_cap")
     grid = materialised(score.percentile_grid(rows, long, Registry().table(facts.sparkSession), settings))

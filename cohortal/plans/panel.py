@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from cohortal.functions import stats
 from cohortal.functions.spec import Settings
-from cohortal.plans.large import by_cuts, ranked
+from cohortal.plans.large import by_cuts, ranked, value_positions
+from cohortal.plans.stage import materialised
 
 ECONOMIC = r"(?i)negative|non-?positive|zero"
 #: Why an entity left, in order of precedence.
@@ -58,6 +59,12 @@ def exit_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("kind", F.asc_nulls_last("rank"), "entity")
 
 
+def exit_places(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``place`` in the order of ``exit_order``, counted by ranges of that order instead of in one task."""
+    keyed = rows.withColumn("_o", F.struct("kind", F.col("rank").isNull().alias("late"), "rank", "entity"))
+    return keyed.join(value_positions(keyed, [], "_o").select("_o", "below"), "_o").withColumn("place", (F.col("below") + 1).cast("long")).select(*rows.columns, "place")
+
+
 def metrics_lost(now: DataFrame, before: DataFrame) -> DataFrame:
     """(entity, metric, reason, economic): measured before, in both months known, and missing now."""
     then = before.where("pct is not null").select("entity", "metric")
@@ -104,17 +111,18 @@ def chain_linked(panel: DataFrame, latest: DataFrame | None = None) -> DataFrame
 
     Going back, each price is multiplied by what the next month says this month's
     price was over what it was then. A missing month, or a link that is missing or
-    not positive, leaves everything older missing. ``latest`` (entity, price)
-    replaces the newest month's prices.
+    not positive, leaves everything older missing. ``latest`` (entity, price,
+    prior_price) replaces the newest month's rows.
     """
     idx = month_index(panel)
     rows = panel.join(F.broadcast(idx), "month").select("month", "idx", "entity", "price", "prior_price")
     last = F.max("idx").over(Window.partitionBy("entity"))
     if latest is not None:
-        fresh = latest.select("entity", F.col("price").alias("_new"))
+        fresh = latest.select("entity", F.lit(True).alias("_new"), F.col("price").alias("_p"), F.col("prior_price").alias("_q"))
         newest = idx.agg(F.max("idx").alias("_last"))
-        rows = rows.join(fresh, "entity", "left").crossJoin(F.broadcast(newest))
-        rows = rows.withColumn("price", F.when(F.col("idx") == F.col("_last"), F.coalesce("_new", "price")).otherwise(F.col("price"))).drop("_new", "_last")
+        rows = rows.join(fresh, "entity", "left").crossJoin(F.broadcast(newest))  # one row
+        given = F.col("_new") & (F.col("idx") == F.col("_last"))
+        rows = rows.withColumns({c: F.when(given, F.col(x)).otherwise(F.col(c)) for c, x in (("price", "_p"), ("prior_price", "_q"))}).drop("_new", "_p", "_q", "_last")
     w = Window.partitionBy("entity").orderBy(F.desc("idx"))
     ahead_idx, ahead_prior = F.lag("idx").over(w), F.lag("prior_price").over(w)
     ok = (ahead_idx == F.col("idx") + 1) & (ahead_prior > 0) & (F.col("price") > 0)
@@ -148,9 +156,31 @@ def score_deciles(pairs: DataFrame, key: str = "composite", least: int = NO_DECI
     return placed.withColumn("bucket", F.least(F.lit(9), F.floor((F.col("_p") - 1) / (F.col("_n") / 10))).cast("long") + 1).drop("_n", "_p", "_cuts")
 
 
-def decile_means(bucketed: DataFrame) -> DataFrame:
-    """(bucket, mean_fwd, n), ten rows."""
-    return bucketed.groupBy("bucket").agg(F.avg("fwd").alias("mean_fwd"), F.count("*").alias("n"))
+def decile_grid(panel: DataFrame, keys: list[str], horizons: list[int], price: str = "price_adj", least: int = NO_DECILE) -> DataFrame:
+    """(key, horizon, month, entity, fwd, bucket): ``score_deciles`` of every key over every horizon, from one reading of the panel.
+
+    Each row looks ahead along its entity's months once, as far as the longest horizon; keys and horizons are rows from then on,
+    and are ranked side by side.
+    """
+    rows = panel.join(F.broadcast(month_index(panel)), "month")  # as long as the record has months
+    ahead = F.collect_list(F.struct("idx", F.col(price).alias("p"))).over(Window.partitionBy("entity").orderBy("idx").rangeBetween(1, max(horizons)))
+    at = lambda h: F.filter("_ahead", lambda x: x["idx"] == F.col("idx") + h)
+    seen = rows.select("month", "entity", *keys, "idx", price, ahead.alias("_ahead"))
+    fwd = F.array(*(F.struct(F.lit(h).alias("horizon"), (F.try_element_at(at(h), F.lit(1))["p"] / F.col(price) - 1).alias("fwd")) for h in horizons))
+    # Written once, as quantiles, sizes and ranks read it: a row for each of the panel's.
+    seen = materialised(seen.where(F.col(price) > 0).select("month", "entity", *keys, fwd.alias("_fwd")))
+    long = seen.select("month", "entity", *keys, F.inline("_fwd")).where("fwd is not null")
+    long = long.unpivot(["month", "entity", "horizon", "fwd"], keys, "key", "value").where("value is not null")
+    by = ["key", "horizon", "month"]
+    cut, slice_of = by_cuts(long, by, "value")
+    placed = ranked(cut, by, slice_of, [F.desc("value"), F.asc("entity")], "_p", "_n").where(F.col("_n") >= least)
+    bucket = F.least(F.lit(9), F.floor((F.col("_p") - 1) / (F.col("_n") / 10))).cast("long") + 1
+    return placed.select(*by, "entity", "fwd", bucket.alias("bucket"))
+
+
+def decile_means(bucketed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, bucket, mean_fwd, n), ten rows each."""
+    return bucketed.groupBy(*(by or []), "bucket").agg(F.avg("fwd").alias("mean_fwd"), F.count("*").alias("n"))
 
 
 def decile_verdict(bucketed: DataFrame, observations_needed: int = 12) -> DataFrame:

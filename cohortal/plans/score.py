@@ -8,6 +8,8 @@ filled in: weights are renormalised over what is there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -185,10 +187,14 @@ def regression_gap(rows: DataFrame, by: list[str], x: str, y: str, lo: float = -
     rx = F.when(usable, F.least(F.greatest(F.col(x), F.lit(lo)), F.lit(hi)))
     ry = F.when(usable, -F.log(F.when(F.col(y) > 0, F.col(y))))
     fit = rows.withColumns({"_x": rx, "_y": ry})
-    w = Window.partitionBy(*by)
-    b, mx, my = F.regr_slope("_y", "_x").over(w), F.avg("_x").over(w), F.avg("_y").over(w)
-    ok = (F.count("_x").over(w) >= least) & (F.max("_x").over(w) > F.min("_x").over(w))
-    return fit.withColumn("gap", F.when(ok, my + b * (F.col("_x") - mx) - F.col("_y"))).drop("_x", "_y")
+    # Moments of a cohort are sums, so tasks combine theirs before the shuffle; one row a cohort comes back.
+    lines = fit.where("_x is not null").groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(
+        F.regr_slope("_y", "_x").alias("_b"), F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), F.count("*").alias("_n"), (F.max("_x") > F.min("_x")).alias("_wide")
+    )
+    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    gap = F.col("_my") + F.col("_b") * (F.col("_x") - F.col("_mx")) - F.col("_y")
+    met = fit.join(lines.where((F.col("_n") >= least) & F.col("_wide")), on, "left")
+    return met.select(*rows.columns, gap.alias("gap"))
 
 
 def drivers_text(grid: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions.scalars import finite, money, padded_id
 from cohortal.functions.spec import OFFICIAL_WEIGHTS, Settings
+from cohortal.sources.sinks import complete_months
 
 LISTING_KEYS = ["symbol", "name", "lastsale", "volume", "marketCap", "sector", "industry", "country"]
 LISTING_SCHEMA = "data struct<rows: array<struct<" + ", ".join(f"{k}: string" for k in LISTING_KEYS) + ">>>"
@@ -152,7 +153,10 @@ def load_weights(text: str) -> dict[str, float]:
     return given
 
 
-def read_months(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """The record of months; partitions before ``since`` are not read."""
-    rows = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
-    return rows.where(F.col("month") >= since) if since else rows
+def read_months(spark: SparkSession, path: str, since: str | None = None, only: str | None = None) -> DataFrame:
+    """The record of months that are whole; partitions before ``since``, or but for ``only``, are not read."""
+    months = [m for m in complete_months(spark, path) if (since is None or m >= since) and only in (None, m)]
+    if not months:
+        raise SourceError(f"no whole month is on record under {path}")
+    rows = spark.read.option("basePath", path).parquet(*(f"{path}/month={m}" for m in months))
+    return rows.withColumn("month", F.col("month").cast("string"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortal.functions.scalars import quote_csv
 
@@ -14,26 +16,59 @@ PUBLIC = ["entity", "name", "sector", "segment", "rank", "composite", "decile",
 SLIM_UNIVERSE = ["entity", "name", "sector", "industry", "market_cap"]
 
 
+#: The file that says a month is whole.
+COMPLETE = "_COMPLETE"
+
+
 def append_months(rows: DataFrame, path: str, force: bool = False, keep_history: bool = True) -> list[str]:
     """Write months that are not on record yet; with ``force`` those that are, too. Returns the months written.
 
-    A month is a partition, written as a whole and never changed otherwise.
+    A month is a partition. All are written beside the record first; each then gets its completion mark and moves in by one
+    rename, so a run that dies leaves either a whole month or none. What lacks a mark is no month: readers skip it, and the
+    next run replaces it. Of two runs that write one month at once the second fails at the rename.
     """
     if not keep_history:
         return []
     spark = rows.sparkSession
     months = {r[0] for r in rows.select("month").distinct().collect()}  # a run writes one or a few
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    known = {m for m in months if fs.exists(jvm.org.apache.hadoop.fs.Path(where, f"month={m}"))}
+    known = months & set(complete_months(spark, path))
     wanted = sorted(months if force else months - known)
-    if wanted:
-        out = rows.where(F.col("month").isin(wanted)).repartition("month").write.partitionBy("month")
-        out.option("partitionOverwriteMode", "dynamic").mode("overwrite" if force else "append").parquet(path)
+    if not wanted:
+        return []
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staging, record = hadoop.Path(path, f"_staging-{uuid.uuid4()}"), hadoop.Path(path)
+    fs = record.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.where(F.col("month").isin(wanted)).repartition("month").write.partitionBy("month").parquet(staging.toString())
+    for m in wanted:
+        fs.create(hadoop.Path(staging, f"month={m}/{COMPLETE}")).close()
+    for m in wanted:
+        _move(spark, fs, hadoop.Path(staging, f"month={m}"), hadoop.Path(record, f"month={m}"))
+    fs.delete(staging, True)
     return wanted
 
 
+def _move(spark, fs, source, target) -> None:
+    """One rename; what stood at the target is put aside before and goes afterwards."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    aside = None
+    if fs.exists(target):
+        aside = hadoop.Path(target.getParent(), f"_old-{uuid.uuid4()}")
+        fs.rename(target, aside)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    hadoop.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, none)
+    if aside is not None:
+        fs.delete(aside, True)
+
+
+def complete_months(spark, path: str) -> list[str]:
+    """The months under ``path`` that carry a completion mark."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    record = hadoop.Path(path)
+    fs = record.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop.Path(record, f"month=*/{COMPLETE}")) or []
+    return sorted(x.getPath().getParent().getName().removeprefix("month=") for x in found)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -84,11 +119,28 @@ def company_text(scored: DataFrame, grid: DataFrame) -> DataFrame:
     return scored.join(lines, "entity", "left").select("entity", F.concat_ws("\n", head, "lines").alias("text"))
 
 
-def trend_text(panel: DataFrame) -> DataFrame:
-    """(entity, metric, trend): ``month value (pNN)`` of each month, joined by bars."""
+def _last(panel: DataFrame, by: list[str], months: int | None) -> DataFrame:
+    """The last ``months`` of each group, taken before anything is gathered."""
+    if months is None:
+        return panel
+    w = Window.partitionBy(*by).orderBy(F.desc("month"))
+    return panel.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= months).drop("_k")
+
+
+def history_text(panel: DataFrame, months: int | None = None) -> DataFrame:
+    """(entity, text): ``month | rank | composite | price`` of each company's last months, one a line, a dash where nothing is known."""
+    shown = lambda c, digits: F.coalesce(F.replace(F.format_number(c, digits), F.lit(","), F.lit("")), F.lit("-"))
+    one = F.concat_ws(" | ", "month", F.coalesce(F.col("rank").cast("string"), F.lit("-")), shown("composite", 2), shown("price_adj", 2))
+    parts = F.array_sort(F.collect_list(F.struct("month", one.alias("t"))))
+    return _last(panel, ["entity"], months).groupBy("entity").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
+
+
+def trend_text(panel: DataFrame, months: int | None = None) -> DataFrame:
+    """(entity, metric, trend): ``month value (pNN)`` of each month, or of the last ``months``, joined by bars."""
     one = F.concat(F.col("month"), F.lit(" "), F.format_number("raw", 2), F.coalesce(F.concat(F.lit(" (p"), F.round("pct").cast("int").cast("string"), F.lit(")")), F.lit("")))
     parts = F.array_sort(F.collect_list(F.struct("month", one.alias("t"))))
-    return panel.where("raw is not null").groupBy("entity", "metric").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " | ").alias("trend"))
+    known = _last(panel.where("raw is not null"), ["entity", "metric"], months)
+    return known.groupBy("entity", "metric").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " | ").alias("trend"))
 
 
 def report_markdown(title: str, sections: dict[str, DataFrame], cap: int = 100) -> str:
@@ -107,14 +159,31 @@ def back_fill(rows: DataFrame, extra: DataFrame, key: list[str], column: str) ->
     filled = rows.join(extra.select(*key, F.col(column).alias("_new")), key, "left").withColumn(column, F.coalesce(F.col(column), F.col("_new")))
     filled = filled.select(*rows.columns)
     if not same_but(rows, filled, [column]):
-        raise ValueError("a back-fill may change only its own column")
+        shown = [r["row"] for r in changed_rows(rows, filled, [column]).limit(3).collect()]
+        raise ValueError(f"a back-fill may change only its own column: {shown}")
     return filled
 
 
+def fingerprint(rows: DataFrame, columns: list[str]) -> tuple:
+    """(count, sum, sum, xor) over two hashes of each row: equal for equal record sets in any order, in one pass without a shuffle of rows."""
+    told = lambda seed: F.xxhash64(F.lit(seed), *(x for k, c in enumerate(columns) for x in (F.lit(k), F.col(f"`{c}`"))))  # noqa: E731  # a null is skipped, its place is not
+    hashed = rows.select(told(1).alias("a"), told(2).alias("b"))
+    wide = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    return tuple(hashed.agg(F.count("*"), wide("a"), wide("b"), F.bit_xor(F.col("a"))).first())
+
+
 def same_but(a: DataFrame, b: DataFrame, ignored: list[str]) -> bool:
-    """Whether two record sets are equal, row for row, but for some columns."""
-    x, y = a.drop(*ignored), b.drop(*ignored)
-    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
+    """Whether two record sets are equal, row for row, but for some columns; told by their fingerprints."""
+    columns = sorted(c for c in a.columns if c not in ignored)
+    return columns == sorted(c for c in b.columns if c not in ignored) and fingerprint(a, columns) == fingerprint(b, columns)
+
+
+def changed_rows(a: DataFrame, b: DataFrame, ignored: list[str]) -> DataFrame:
+    """(side, row): what either record set has and the other has not; for a report, as it shuffles both."""
+    columns = [c for c in a.columns if c not in ignored]
+    x, y = a.select(*columns), b.select(*columns)
+    only = lambda left, right, side: left.exceptAll(right).select(F.lit(side).alias("side"), F.to_json(F.struct(*columns)).alias("row"))
+    return only(x, y, "before").unionByName(only(y, x, "after"))
 
 
 def annotate(rows: DataFrame, stale: DataFrame, looked_up: DataFrame, key: str, column: str) -> DataFrame:
