@@ -18,7 +18,7 @@ from cohortal.functions.scalars import clamp, or_zero, positive_ratio, safe_div,
 from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LINE_ITEMS, METRICS, Settings, line_items
 from cohortal.operators import temporal as t
 from cohortal.operators.eligibility import ever_reported
-from cohortal.plans.stage import materialised
+from cohortal.plans.stage import by_entity, materialised
 
 TAXONOMIES = ["us-gaap", "ifrs-full", "dei"]
 PARTIAL_DEBT = 0.75
@@ -42,7 +42,7 @@ def tagged_facts(facts: DataFrame, as_of: str) -> DataFrame:
     """
     items = line_items(facts.sparkSession)  # as long as the registry
     wanted = facts.join(F.broadcast(items.select("concept").distinct()), "concept", "left_semi")
-    known = t.visible(t.first_taxonomy(wanted, TAXONOMIES), as_of, t.FORMS, t.UNITS)
+    known = t.visible(t.first_taxonomy(by_entity(wanted), TAXONOMIES), as_of, t.FORMS, t.UNITS)
     tagged = known.join(F.broadcast(items), "concept")
     named = F.when(F.col("item").isin(*BY_CONCEPT), F.concat_ws(":", "item", "concept")).otherwise(F.col("item"))
     one = t.latest_version(tagged.withColumn("item", named), ["entity", "item", "concept", "start", "end"])
@@ -82,11 +82,10 @@ def instants_at(items: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def instants_near(items: DataFrame, days: DataFrame, names: list[str], within: int = 45) -> DataFrame:
-    """(entity, item, val): the instants of items nearest to each entity's ``day``."""
-    own = items.where(F.col("item").isin(names) & F.col("start").isNull() & F.col("val").isNotNull())
-    probes = days.withColumn("item", F.explode(F.array(*map(F.lit, names))))
-    found = t.nearest(probes, own.select(*BY_ITEM, "end", "val"), BY_ITEM, "day", "end", within, ["val"])
-    return found.where("val is not null").select(*BY_ITEM, "val")
+    """(entity, item, val): the instants of items nearest to each entity's one ``day``, of equally near ones the earlier."""
+    own = items.where(F.col("item").isin(names) & F.col("start").isNull() & F.col("val").isNotNull()).select(*BY_ITEM, "end", "val")
+    gap = F.abs(F.datediff("end", "day"))
+    return own.join(days, "entity").where(gap <= within).groupBy(*BY_ITEM).agg(F.min_by("val", F.struct(gap, F.col("end"))).alias("val"))
 
 
 def total_debt(inst: str) -> tuple[Column, Column]:
@@ -160,13 +159,14 @@ def _net_one_offs(rows: DataFrame) -> DataFrame:
     return most.groupBy("entity", "end").agg(F.sum(F.when(F.col("kind") == "one_off_charge", F.col("val")).otherwise(-F.col("val"))).alias("off"))
 
 
-def shown_moves(q: DataFrame, item: str) -> DataFrame:
-    """(entity, moves): year-on-year moves (move, val) of the last four quarters, where there are eight quarters."""
-    own = q.where(F.col("item") == item)
-    enough = own.groupBy("entity").agg(F.count("*").alias("_n")).where("_n >= 8").select("entity")
-    last = _last(_yearly_move(own), 4).where("val_year_ago is not null").join(enough, "entity", "left_semi")
+def shown_moves(q: DataFrame, items: dict[str, str]) -> DataFrame:
+    """(entity, a column for each item): year-on-year moves (move, val) of the last four quarters, where there are eight quarters."""
+    w = Window.partitionBy(*BY_ITEM)
+    own = q.where(F.col("item").isin(*items)).withColumn("_n", F.count("*").over(w))
+    last = _last(_yearly_move(own), 4).where("_n >= 8 and val_year_ago is not null")
     pair = F.struct((F.col("val") - F.col("val_year_ago")).alias("move"), F.col("val").alias("val"))
-    return last.groupBy("entity").agg(F.collect_list(pair).alias("moves"))
+    of = lambda item: F.collect_list(F.when(F.col("item") == item, pair))
+    return last.groupBy("entity").agg(*(F.when(F.size(of(item)) > 0, of(item)).alias(name) for item, name in items.items()))
 
 
 def without_one_offs(value: Column, gain: Column, charge: Column, moves: Column, base: Column, tax: Column, gain_in_line: bool) -> Column:
@@ -208,16 +208,23 @@ def qualifying(periods: DataFrame, tax: DataFrame) -> DataFrame:
     return p.select(*BY_ITEM, "end", F.when(F.col("_q") & ~F.col("_many"), F.col("val") + F.col("_a")).otherwise(F.col("val")).alias("val"))
 
 
+def _nearest(among: Column, day: Column, within: int) -> Column:
+    """Of structs (day, val) the one nearest to a day, of equally near ones the earlier; as (gap, day, val)."""
+    near = F.filter(among, lambda x: F.abs(F.datediff(x["day"], day)) <= within)
+    return F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.datediff(x["day"], day)).alias("gap"), x["day"].alias("day"), x["val"].alias("val"))))
+
+
 def _assets_near(points: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """Points (entity, end, ...) with the total assets nearest to their end."""
-    a = items.where("item = 'assets' and start is null and val is not null").select("entity", F.col("end").alias("day"), F.col("val").alias("assets"))
-    return t.nearest(points, a, ["entity"], "end", "day", within, ["assets"]).drop("nearest_day")
+    """Points (entity, end, ...) with the total assets nearest to their end. An entity has some eighty balance sheets, which are gathered."""
+    own = items.where("item = 'assets' and start is null and val is not null")
+    days = own.groupBy("entity").agg(F.collect_list(F.struct(F.col("end").alias("day"), "val")).alias("_days"))
+    return points.join(days, "entity", "left").withColumn("assets", _nearest(F.col("_days"), F.col("end"), within)["val"]).drop("_days")
 
 
 def _current(points: DataFrame, anchor: DataFrame) -> DataFrame:
     """Series with their last end, where that is current."""
-    last = points.groupBy("entity").agg(F.max("end").alias("last")).join(anchor, "entity")
-    return points.join(last.where(F.datediff("anchor", "last") <= CURRENT_DAYS).select("entity", "last"), "entity")
+    last = F.max("end").over(Window.partitionBy("entity"))
+    return points.withColumn("last", last).join(anchor, "entity").where(F.datediff("anchor", "last") <= CURRENT_DAYS).drop("anchor")
 
 
 def _ttm_points(q: DataFrame, item: str) -> DataFrame:
@@ -305,9 +312,9 @@ def earnings_variability(q: DataFrame, items: DataFrame, anchor: DataFrame, tax:
     adjusted = qualifying(_last(ni, 21).drop("_k").join(_net_one_offs(q), ["entity", "end"], "left"), tax)
     older = ni.join(adjusted.select(*BY_ITEM, "end"), [*BY_ITEM, "end"], "left_anti").select(*BY_ITEM, "end", "val")
     points = _current(_ttm_points(adjusted.unionByName(older), "net_income"), anchor)
-    probes = t.anniversaries(points.select("entity", F.col("last").alias("at")).distinct(), ["entity"], "at")
-    near = t.nearest(probes.select("entity", "k", "target"), points.select("entity", "end", "ttm"), ["entity"], "target", "end", 20, ["ttm"])
-    near = near.where("ttm is not null").select("entity", "k", F.col("nearest_end").alias("end"), "ttm")
+    series = points.groupBy("entity").agg(F.max("last").alias("at"), F.collect_list(F.struct(F.col("end").alias("day"), F.col("ttm").alias("val"))).alias("_days"))
+    near = t.anniversaries(series, ["entity", "_days"], "at").withColumn("_x", _nearest(F.col("_days"), F.col("target"), 20))
+    near = near.where("_x is not null").select("entity", "k", F.col("_x.day").alias("end"), F.col("_x.val").alias("ttm"))
     roa = _assets_near(near, items, 10).where("assets > 0")
     five = roa.groupBy("entity").agg(stats.trend_dispersion(F.col("ttm") / F.col("assets"), -F.col("k")).alias("v"), F.count("*").alias("n")).where("n = 5").select("entity", "v")
     years = _years(items, "net_income", 5).withColumn("item", F.lit("net_income"))
@@ -335,8 +342,8 @@ def annual_gpoa(items: DataFrame) -> DataFrame:
     return both.select("entity", "k", gpoa.alias("gpoa"), safe_div(F.col("revenue") - F.col("near_cost"), "revenue").alias("margin"), "revenue")
 
 
-def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: bool = False) -> DataFrame:
-    """One row an entity with all that the measures need: maps of instants, earlier instants, trailing and fiscal years, and trends.
+def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row an entity with all that the measures need, maps of instants, earlier instants, trailing and fiscal years, and trends; and (entity, earn_var).
 
     ``facts``: entity, taxonomy, concept, unit, start, end, val, filed, accn, form, seq. ``listings``: entity, market_cap.
     ``strict_pit`` keeps later filings out of the never-borrowed rule as well.
@@ -345,13 +352,13 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
     made by a few joins on one key.
     """
     tagged = materialised(tagged_facts(facts, as_of))
-    anchor = materialised(anchors(facts, as_of))
-    items = materialised(resolve_items(tagged).join(anchor, "entity", "left"))  # read by every branch below
+    anchor = materialised(by_entity(anchors(facts, as_of)))
+    items = materialised(by_entity(resolve_items(tagged).join(anchor, "entity", "left")))  # read by every branch below
     flows = items.where("start is not null and val is not null")
     now = _newest_instants(items, as_of)
     fresh = t.fresh(F.col("end"), F.col("anchor"))
-    back = materialised(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day")))
-    q = materialised(t.quarterly_series(flows, BY_ITEM))
+    back = materialised(by_entity(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day"))))
+    q = materialised(by_entity(t.quarterly_series(flows, BY_ITEM)))
     trailing = t.ttm(flows, BY_ITEM, F.col("anchor"), SOURCE, stale=True)
     years = t.annual_series(flows, BY_ITEM, F.col("anchor"), carry=("concept",))
     # One shape for all: where a figure is too old, its tag and date go to the audit instead.
@@ -395,14 +402,13 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
         anchor,
         maps,
         calc,
-        shown_moves(q, "operating_income").withColumnRenamed("moves", "op_moves"),
-        shown_moves(q, "net_income").withColumnRenamed("moves", "ni_moves"),
+        shown_moves(q, {"operating_income": "op_moves", "net_income": "ni_moves"}),
         debt_history(tagged, facts, as_of, back, strict_pit),
     ):
         wide = wide.join(part, "entity", "left")
-    wide = materialised(wide)
+    wide = materialised(by_entity(wide))
     tax = wide.select("entity", effective_tax().alias("tax"))
-    return wide.join(earnings_variability(q, items, anchor, tax), "entity", "left")
+    return wide, earnings_variability(q, items, anchor, tax)
 
 
 def _i(k: str) -> Column:
@@ -534,9 +540,11 @@ HELPERS = [
 
 def measures(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings = Settings(), symmetric: bool = False, strict_pit: bool = False) -> DataFrame:  # noqa: B008
     """One wide row an entity: every measure but ``ptbv_gap``, which a peer group gives, helpers and where the figures came from."""
-    rows = entity_rows(facts, listings, as_of, strict_pit).withColumn("revenue_ttm", _t("revenue"))
+    wide, scatter = entity_rows(facts, listings, as_of, strict_pit)
+    rows = wide.withColumn("revenue_ttm", _t("revenue"))  # over a table as it is, so that each step is analysed in no time
     for name, value in measure_columns(settings, symmetric):
         rows = rows.withColumn(name, value)
+    rows = rows.join(scatter, "entity", "left")
     return rows.select("entity", "market_cap", *(m.key for m in METRICS if m.key in rows.columns), *HELPERS)
 
 

@@ -22,3 +22,8 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut: for tables that many branches read."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def by_entity(df: DataFrame) -> DataFrame:
+    """``df`` dealt by entity. What is written so keeps that partitioning: joins, windows and groups by entity read it without another exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
