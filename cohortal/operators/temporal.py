@@ -230,17 +230,27 @@ def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tu
     stays as well, told by a column of that name.
     """
     day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
-    cols = ["start", "end", "val", "filed"]
-    real = flows.select(*by, *cols, F.lit(0).alias("tail"), src.alias("src"), day.alias("_anchor"))
-    tails = stub_synthesis(flows, by, carry=carry).select(*by, *cols, F.lit(1).alias("tail"), src.alias("src"), F.lit(None).cast("date").alias("_anchor"))
-    rows = F.collect_list(F.struct("end", "start", "val", "filed", "tail", "src"))
-    got = real.unionByName(tails).groupBy(*by).agg(rows.alias("_f"), F.max("end").alias("end"), F.max("_anchor").alias("_anchor"))
-    got = got.withColumn("_t", tiled(F.col("_f")))
-    years = annual_series(flows, by, anchor, 1, carry).select(*by, F.try_element_at("years", F.lit(1)).alias("_fresh"), F.col("newest").alias("_y"))
-    out = got.join(years, by, "left")
+    # Flows of one start give each other's tails; then all of a group is one array, from which tiles and years are taken.
+    starts = flows.groupBy(*by, "start").agg(F.collect_list(F.struct("end", "val", "filed", src.alias("src"))).alias("_s"), F.max(day).alias("_anchor"), F.max("end").alias("_e"))
+    real = F.transform("_s", lambda a: F.struct(a["end"].alias("end"), F.col("start").alias("start"), a["val"].alias("val"), a["filed"].alias("filed"), F.lit(0).alias("tail"), a["src"].alias("src")))
+
+    def tails_of(a: Column) -> Column:
+        shorter = F.filter("_s", lambda b: F.datediff(a["end"], b["end"]).between(80, 400))
+        return F.transform(shorter, lambda b: F.struct(a["end"].alias("end"), F.date_add(b["end"], 1).alias("start"), (a["val"] - b["val"]).alias("val"), F.greatest(a["filed"], b["filed"]).alias("filed"), F.lit(1).alias("tail"), a["src"].alias("src")))
+
+    every = F.flatten(F.collect_list(F.concat(real, F.flatten(F.transform("_s", tails_of)))))
+    out = starts.groupBy(*by).agg(every.alias("_f"), F.max("_anchor").alias("_anchor"), F.max("_e").alias("end"))
+    years = F.filter("_f", lambda x: (x["tail"] == 0) & duration(x["start"], x["end"]).between(330, 400))
+    years = F.transform(years, lambda x: F.struct(x["end"].alias("end"), x["filed"].alias("filed"), (-F.unix_date(x["start"])).alias("o"), x["val"].alias("val"), x["src"].alias("src")))
+    # No tile ends further back: before the last one under 350 days are covered, with gaps of 4 days at most between six.
+    recent = F.filter("_f", lambda x: x["end"] >= F.date_sub("end", 420))
+    out = out.select(*by, "_anchor", "end", recent.alias("_g"), F.array_max(years).alias("_y"))
+    # Made by a generator, so that no filter behind it walks the tiles once more.
+    out = out.select(*by, "_anchor", "end", "_y", F.inline(F.array(F.struct(tiled(F.col("_g")).alias("_t")))))
+    out = out.withColumn("_fresh", F.when(fresh(F.col("_y.end"), F.col("_anchor")), F.col("_y")))
     whole, alone = F.col("_t").isNotNull(), F.col("_t.n") == 1
     good = F.when(alone, fresh(F.col("end"), F.col("_anchor"))).otherwise(fresh(F.col("end"), F.col("_anchor"), STITCHED_AGE))
-    told = lambda c: F.when(whole, F.col("_t.first.concept" if c == "concept" else f"_t.newest.src.{c}")).otherwise(F.col(f"_y.{c}")).alias(c)
+    told = lambda c: F.when(whole, F.col("_t.first.concept" if c == "concept" else f"_t.newest.src.{c}")).otherwise(F.col(f"_y.src.{c}")).alias(c)
     good = F.when(whole, good).otherwise(F.col("_fresh").isNotNull())
     return out.where(whole | F.col("_y").isNotNull() if stale else good).select(
         *by,
