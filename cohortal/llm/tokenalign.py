@@ -36,7 +36,7 @@ from cohortal.llm.spm import MODEL, Codec, model_bytes
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: New words are merged in lots of texts of about so many characters; a block ends at so many distinct words, or characters of these.
-LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 1_000_000, 250_000, 16_000_000
+LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 1_000_000, 150_000, 16_000_000
 #: What Unicode calls white space; Python's own class has four control characters more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From a space behind a visible character, or at the start, to the next such.
@@ -66,6 +66,8 @@ class ByteCodec:
         for piece, i in vocabulary.items():
             self.out[i] = piece.encode() if piece in added else bytes(chars[c] for c in piece)
         split = spec.get("pre_tokenizer") or {}
+        #: Every byte is a token by itself, and nothing is rewritten.
+        self.lossless = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer") and all(c in vocabulary for c in chars)
         #: The library splits before a word before it merges, so that words are encoded by themselves.
         self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
 
@@ -93,7 +95,9 @@ class Merger:
         counts, shown = np.zeros((len(words), 4), np.int64), [""] * len(words)
         data = [w.encode(errors="replace") for w in words]
         ids = [self.a.encode(words), self.b.lib.encode(words, num_threads=1)]
-        whole = [k for k, d in enumerate(data) if all(b"".join(map(x.out.__getitem__, i[k])) == d for x, i in zip((self.a, self.b), ids, strict=True))]
+        # A's bytes always come back, and so do B's of visible ASCII; of other words they are compared.
+        plain = self.a.lossless
+        whole = [k for k, d in enumerate(data) if ids[1][k] and (plain or self._back(self.a, ids[0][k], d)) and (words[k].isascii() and words[k].isprintable() or self._back(self.b, ids[1][k], d))]
         if not whole:
             return counts, shown, np.zeros(0, np.int64)
         # Both sides of each word have the same bytes, so that the words can be laid end to end.
@@ -110,6 +114,10 @@ class Merger:
             shown[k] = x
         return counts, shown, toks[0][np.searchsorted(ends[0], links)] << 32 | toks[1][np.searchsorted(ends[1], links)]
 
+    @staticmethod
+    def _back(codec: ByteCodec | Codec, ids: list[int], data: bytes) -> bool:
+        return b"".join(map(codec.out.__getitem__, ids)) == data
+
     def _groups(self, toks: list[np.ndarray], lens: list[np.ndarray], ends: list[np.ndarray], common: np.ndarray) -> list[str]:
         group = [np.searchsorted(common, e) for e in ends]
         last = [common[g] == e for g, e in zip(group, ends, strict=True)]
@@ -154,8 +162,11 @@ class _Block:
         flat = np.concatenate(docs)
         times = np.repeat(np.bincount(flat, minlength=len(counts)), counts[:, 3])
         total = np.bincount(place, times, len(pairs)).astype(np.int64)
-        sums = np.vstack([np.zeros((1, 4), np.int64), np.cumsum(counts[flat], 0)])
-        sums = (sums[ends[1:]] - sums[ends[:-1]]).tolist()
+        sums = np.empty((len(docs), 4), np.int64)
+        for c in range(4):
+            running = np.r_[0, np.cumsum(counts[flat, c])]
+            sums[:, c] = running[ends[1:]] - running[ends[:-1]]
+        sums = sums.tolist()
         digests = [hashlib.sha256(";".join(map(shown.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in docs]
         key = uuid.uuid4().int >> 65
         made = [(key, i, *c, d, x, None, None, None) for i, c, d, x in zip(self.ids, sums, digests, docs, strict=True)]
