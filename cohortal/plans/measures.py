@@ -88,6 +88,10 @@ def instants_near(items: DataFrame, days: DataFrame, names: list[str], within: i
     return own.join(days, "entity").where(gap <= within).groupBy(*BY_ITEM).agg(F.min_by("val", F.struct(gap, F.col("end"))).alias("val"))
 
 
+#: How debt, EBIT and gross profit are said to have been found (the names in ``total_debt`` and ``measure_columns``).
+#:   combined-tag, noncurrent+current+short, longtermdebt+short, current+short-only, last-reported-zero, no debt tag ever filed, unresolved
+
+
 def total_debt(inst: str) -> tuple[Column, Column]:
     """(value, path) from a map of instants: the newest complete path; a part of debt far below an older total does not count.
 
@@ -558,34 +562,38 @@ def ignored_tags(wide: DataFrame) -> DataFrame:
     return note_rows(wide).where("kind = 'ignored_tag'").select("entity", F.col("tag").alias("concept"), F.col("end").alias("last_reported"))
 
 
+#: What a measure is made of, where nothing more is known of why it is missing.
+MADE_OF = {
+    "ebit_ev": "EBIT", "ebitda_ev": "EBIT and depreciation", "fcf_ev": "operating cash flow and capital expenditure", "gpoa": "gross profit and assets", "roe": "earnings and equity above nil",
+    "roa": "earnings and assets", "earn_yield": "earnings and market value", "book_yield": "equity above nil and market value", "equity_assets": "equity and assets",
+    "ffo_assets": "earnings, depreciation and assets", "ffo_yield": "funds from operations and market value", "debt_assets": "debt and assets", "net_debt_ffo": "debt and funds from operations above nil",
+    "profit_growth": "four years of earnings, and assets", "ffo_growth": "four years of earnings, and assets", "ptbv_gap": "a peer group of banks with tangible book and returns",
+}
+
+
 def missing_reason(metric: Column) -> Column:
-    """Why a measure is missing, from a wide row; an economic reason names a negative or zero base."""
-    c, of = F.col, lambda *keys: metric.isin(*keys)
-    cause = F.when(F.nullif("market_cap", F.lit(0.0)).isNull() & c("debt").isNull(), "market cap and total debt both unavailable").when(c("debt").isNull(), "total debt unresolved").otherwise("market cap unavailable")
+    """Why a measure is missing, from a wide row. An economic reason says ``negative`` or ``zero`` of its base, and no other does."""
+    c, of, needs = F.col, lambda *keys: metric.isin(*keys), lambda what: F.lit(f"needs {what}")
+    no_cap, no_debt = F.nullif("market_cap", F.lit(0.0)).isNull(), c("debt").isNull()
+    cause = F.when(no_cap & no_debt, "market value and debt").when(no_debt, "debt").otherwise("market value")
+    priced = of("ebit_ev", "ebitda_ev", "fcf_ev")
     reasons = [
-        (of("debt_equity", "net_debt_ebitda") & c("debt").isNull(), F.lit("total debt unresolved")),
-        (of("debt_equity") & c("equity").isNull(), F.lit("shareholders' equity unavailable")),
-        (of("debt_equity"), F.lit("negative shareholders' equity")),
-        (of("net_debt_ebitda") & c("ebitda").isNull(), F.lit("EBITDA unavailable")),
-        (of("net_debt_ebitda"), F.lit("EBITDA zero or negative")),
-        (of("ebit_ev", "ebitda_ev", "fcf_ev") & c("ev").isNull(), F.concat(F.lit("enterprise value unavailable ("), cause, F.lit(")"))),
-        (of("ebit_ev", "ebitda_ev", "fcf_ev") & (c("ev") <= 0), F.lit("negative enterprise value")),
-        (of("ebit_ev"), F.lit("EBIT unavailable")), (of("ebitda_ev"), F.lit("EBIT or D&A unavailable")), (of("fcf_ev"), F.lit("operating cash flow or capital expenditure unavailable")),
-        (of("roic") & (c("ebit").isNull() | c("debt").isNull() | c("equity").isNull()), F.lit("EBIT, debt or equity unavailable")),
-        (of("roic"), F.lit("invested capital zero or negative")),
-        (of("gpoa"), F.lit("gross profit or total assets unavailable")), (of("altman_z") & (c("liabilities") == 0), F.lit("total liabilities zero")),
-        (of("roe"), F.lit("net income or positive equity unavailable")), (of("roa"), F.lit("net income or total assets unavailable")),
-        (of("earn_yield"), F.lit("net income or market cap unavailable")), (of("book_yield"), F.lit("positive equity or market cap unavailable")),
-        (of("equity_assets"), F.lit("equity or total assets unavailable")), (of("ffo_assets"), F.lit("net income, depreciation or total assets unavailable")),
-        (of("ffo_yield"), F.lit("funds from operations or market cap unavailable")), (of("debt_assets"), F.lit("total debt or total assets unavailable")),
-        (of("net_debt_ffo"), F.lit("total debt unavailable or funds from operations not positive")),
-        (of("profit_growth", "ffo_growth"), F.lit("fewer than 4 fiscal years of earnings, or no total assets")),
-        (of("ptbv_gap"), F.lit("worked out within the bank's peer group, from tangible book and return")),
-    ]
+        (of("debt_equity", "net_debt_ebitda") & no_debt, needs("debt")),
+        (of("debt_equity") & c("equity").isNull(), needs("equity")),
+        (of("debt_equity"), F.lit("equity is negative or zero")),
+        (of("net_debt_ebitda") & c("ebitda").isNull(), needs("EBITDA")),
+        (of("net_debt_ebitda"), F.lit("EBITDA is negative or zero")),
+        (priced & c("ev").isNull(), F.concat(F.lit("needs an enterprise value, and there is no "), cause)),
+        (priced & (c("ev") <= 0), F.lit("enterprise value is negative or zero")),
+        (of("roic") & (c("ebit").isNull() | no_debt | c("equity").isNull()), needs("EBIT, debt and equity")),
+        (of("roic"), F.lit("capital employed is negative or zero")),
+        (of("altman_z") & (c("liabilities") == 0), F.lit("liabilities are zero")),
+        *((of(k), needs(what)) for k, what in MADE_OF.items()),
+    ]
     out = F.when(*reasons[0])
     for when, why in reasons[1:]:
         out = out.when(when, why)
-    return out.otherwise("a figure this measure needs is not tagged in the company's filings")
+    return out.otherwise("needs a figure that no filing tags")
 
 
 def long_measures(wide: DataFrame) -> DataFrame:

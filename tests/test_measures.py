@@ -122,7 +122,7 @@ def test_company_without_facts(rows):
 
 
 def test_long_form_has_reasons(rows, long):
-    assert long["NEG", "debt_equity"] == "negative shareholders' equity" and long["NEG", "gpoa"] is None and long["NOTHING", "roic"] == "EBIT, debt or equity unavailable"
+    assert long["NEG", "debt_equity"] == "equity is negative or zero" and long["NEG", "gpoa"] is None and long["NOTHING", "roic"] == "needs EBIT, debt and equity"
 
 
 def test_provenance(rows):
