@@ -120,8 +120,8 @@ def facts_scan(spark, d):
     pack = lambda df, by, key, value, name: df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
     units = pack(rows, ["entity", "taxonomy", "concept"], "unit", "x", "units").select("entity", "taxonomy", "concept", F.struct("units").alias("u"))
     filers = pack(pack(units, ["entity", "taxonomy"], "concept", "u", "c"), ["entity"], "taxonomy", "c", "facts")
-    path = _documents(filers.select(F.to_json(F.struct(F.col("entity").alias("cik"), F.concat(F.lit("Filer "), F.col("entity").cast("string")).alias("entityName"), "facts")).alias("value"), "entity"), "facts", "entity")
-    got = readers.explode_facts(spark.read.schema(readers.FACT_SCHEMA).json(path, recursiveFileLookup=True))
+    path = _documents(filers.select(F.to_json(F.struct(F.col("entity").alias("cik"), F.concat(F.lit("Filer "), F.col("entity").cast("string")).alias("entityName"), "facts")).alias("value")), "facts")
+    got = readers.explode_facts(spark.read.schema(readers.FACT_SCHEMA).json(path))
     return got.select("entity", "taxonomy", "concept", "unit", F.col("start").alias("st"), F.col("end").alias("en"), "val", "filed", "form")
 
 

@@ -37,6 +37,8 @@ class Settings:
     drift_block: float = 5.0
     drift_horizon: int = 450
     price_review: float = 0.50
+    #: Where rows of thin groups are ranked: "pool", among each other, or "segment", among all.
+    thin_fallback: str = "pool"
     #: Rows of a cohort up to which a window, in one task, ranks it.
     window_rows: int = 2_000_000
 

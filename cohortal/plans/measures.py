@@ -471,7 +471,7 @@ def measure_columns(settings: Settings = Settings(), symmetric: bool = False) ->
     prior_never = c("prior_zero").isNull() & clear & p("equity").isNotNull() & p("assets").isNotNull()
     step = lambda item: (_y(item, 0) - _y(item, 3)) / c("assets") / 3
     cagr = lambda item: F.when((_y(item, 3) > 0) & (_y(item, 0) > 0), F.pow(_y(item, 0) / _y(item, 3), F.lit(1 / 3)) - 1)
-    fallen = (c("latest") < c("_growth")) & (F.lit(True) if symmetric else c("latest") < 0)
+    fallen = c("latest").isNotNull() if symmetric else (c("latest") < c("_growth")) & (c("latest") < 0)
     swing = (F.abs(c("0_margin") - c("3_margin")) > MARGIN_SWING) & (c("0_revenue") >= TREND_BASE) & (c("3_revenue") >= TREND_BASE)
     tangible = c("equity") - or_zero(_i("preferred")) - _i("goodwill") - or_zero(_i("intangibles"))
     ev_ok = lambda x: F.when(c("ev") > 0, x / c("ev"))

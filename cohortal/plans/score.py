@@ -8,6 +8,7 @@ filled in: weights are renormalised over what is there.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,13 @@ def percentiles(grid: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The grid with winsorized values and tie-averaged percentiles (win, pct) inside (segment, cohort, metric).
 
     A window where every cohort has at most ``settings.window_rows`` rows, else by ranges
-    of values: both exact and equal.
+    of values: both exact and equal. With ``thin_fallback="segment"`` the rows of thin groups
+    are placed among all of their segment, and not among each other alone.
     """
+    if settings.thin_fallback == "segment":
+        inner, thin = replace(settings, thin_fallback="pool"), F.col("basis") == "universe"
+        among_all = percentiles(grid.withColumn("cohort", F.lit(POOLED)), inner).where(thin)
+        return percentiles(grid.where(~thin), inner).unionByName(among_all)
     by = ["segment", "cohort", "metric"]
     largest = grid.groupBy(*by).agg(F.count("raw").alias("n")).agg(F.max("n")).first()[0]
     if (largest or 0) > settings.window_rows:

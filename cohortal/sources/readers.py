@@ -14,7 +14,6 @@ from cohortal.functions.spec import OFFICIAL_WEIGHTS, Settings
 from cohortal.sources.sinks import complete_months
 
 LISTING_KEYS = ["symbol", "name", "lastsale", "volume", "marketCap", "sector", "industry", "country"]
-LISTING_SCHEMA = "data struct<rows: array<struct<" + ", ".join(f"{k}: string" for k in LISTING_KEYS) + ">>>"
 FACT_SCHEMA = (
     "cik bigint, entityName string, facts map<string, map<string, struct<units: map<string, array<struct<"
     "start: string, `end`: string, val: double, filed: string, accn: string, form: string>>>>>>"
@@ -38,12 +37,13 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """Listings from JSON documents {data: {rows: [...]}}; refuses an empty one or one without the keys."""
-    found = spark.read.option("multiLine", True).json(path).selectExpr("inline(data.rows)") if path else None
-    if found is None or not set(LISTING_KEYS) <= set(found.columns):
-        raise SourceError(f"listings lack {sorted(set(LISTING_KEYS) - set(found.columns if found is not None else []))}")
-    rows = _json(spark, path, LISTING_SCHEMA).select(F.inline("data.rows"))
-    if rows.isEmpty():
+    rows = _json(spark, path, "data struct<rows: array<map<string, string>>>").select(F.explode("data.rows").alias("r"))
+    first = rows.first()  # the keys are looked at in one document, none is read twice
+    if first is None:
         raise SourceError("no listings")
+    if lacking := sorted(set(LISTING_KEYS) - set(first.r)):
+        raise SourceError(f"listings lack {lacking}")
+    rows = rows.select(*(F.col("r")[k].alias(k) for k in LISTING_KEYS))
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     return rows.select(
         F.upper(blank("symbol")).alias("entity"), blank("name").alias("name"), blank("sector").alias("sector"), blank("industry").alias("industry"),

@@ -159,3 +159,11 @@ def test_a_quarter_of_a_hundred_days_counts(rows):
 def test_research_measures(rows):
     r = rows["R"]
     assert r.net_payout_yield == pytest.approx(50 / 5000) and r.accruals == pytest.approx((140 - 180) / ((2000 + 1900) / 2)) and r.sue is None
+
+
+def test_growth_is_averaged_in_both_directions_only_if_asked(spark):
+    from pyspark.sql import functions as F
+
+    cases = spark.createDataFrame([(0.10, -0.20), (0.10, 0.05), (0.10, 0.30), (0.10, None), (None, 0.2)], "_growth double, latest double")
+    of = lambda symmetric: [r[0] for r in cases.select(F.round(dict(m.measure_columns(symmetric=symmetric))["rev_growth"], 6)).collect()]
+    assert of(False) == [-0.05, 0.1, 0.1, 0.1, None] and of(True) == [-0.05, 0.075, 0.2, 0.1, None]

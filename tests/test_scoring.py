@@ -52,6 +52,17 @@ def test_hurdle(spark):
     assert got["T29"] == (50.0, "sector|below-hurdle") and got["T5"][0] is None and got["T28"][0] > 90
 
 
+def test_thin_groups_among_all_of_their_segment(spark):
+    rows = [("T", "op", "m", float(k), True, "thin" if k % 5 == 0 else "big", "universe" if k % 5 == 0 else "sector", f"e{k}") for k in range(20)]
+    grid = spark.createDataFrame(rows, "x string, segment string, metric string, raw double, higher_better boolean, cohort string, basis string, entity string")
+    plain = score.Settings(winsor=(0.0, 100.0))
+    pct = lambda settings: {r.entity: r.pct for r in score.percentiles(grid, settings).collect()}
+    pool, segment = pct(plain), pct(score.Settings(winsor=(0.0, 100.0), thin_fallback="segment"))
+    assert [pool[f"e{k}"] for k in (0, 5, 10, 15)] == [0.0, 33.3, 66.7, 100.0] and [segment[f"e{k}"] for k in (0, 5, 10, 15)] == [0.0, 26.3, 52.6, 78.9]
+    assert {e: p for e, p in pool.items() if int(e[1:]) % 5} == {e: p for e, p in segment.items() if int(e[1:]) % 5}
+    assert score.percentiles(grid, plain).columns == score.percentiles(grid, score.Settings(thin_fallback="segment")).columns
+
+
 def test_thin_groups_are_pooled_with_each_other(spark):
     rows, _, _ = inputs(spark, sector=lambda i: "Tiny" if i < 3 else "Small" if i < 6 else "Tech")
     got = {r.entity: (r.cohort, r.basis) for r in score.with_cohort(rows, 8).collect()}
