@@ -36,7 +36,7 @@ from cohortal.llm.spm import MODEL, Codec, model_bytes
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: New words are merged in lots of texts of about so many characters; a block ends at so many distinct words, or characters of these.
-LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 1_000_000, 150_000, 16_000_000
+LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 250_000, 150_000, 16_000_000
 #: What Unicode calls white space; Python's own class has four control characters more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From a space behind a visible character, or at the start, to the next such.
@@ -57,19 +57,20 @@ class ByteCodec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        spec, chars = json.loads(model), byte_of_char()
-        self.lib = Tokenizer.from_str(model.decode())
+        chars = byte_of_char()
+        self.lib = Tokenizer.from_buffer(model)
         self.lib.encode_special_tokens = True
         vocabulary = self.lib.get_vocab(with_added_tokens=True)
-        added = {x["content"] for x in spec.get("added_tokens", [])}
+        added = {x.content for x in self.lib.get_added_tokens_decoder().values()}
         self.out = [b""] * (1 + max(vocabulary.values()))
         for piece, i in vocabulary.items():
             self.out[i] = piece.encode() if piece in added else bytes(chars[c] for c in piece)
-        split = spec.get("pre_tokenizer") or {}
+        split = {} if self.lib.pre_tokenizer is None else json.loads(self.lib.pre_tokenizer.__getstate__())
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and self.lib.normalizer is None
         #: Every byte is a token by itself, and nothing is rewritten.
-        self.lossless = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer") and all(c in vocabulary for c in chars)
+        self.lossless = plain and all(c in vocabulary for c in chars)
         #: The library splits before a word before it merges, so that words are encoded by themselves.
-        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+        self.by_word = plain and split.get("use_regex", True)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
