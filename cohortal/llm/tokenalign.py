@@ -36,7 +36,7 @@ from cohortal.llm.spm import MODEL, Codec, model_bytes
 
 BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: New words are merged in lots of texts of about so many characters; a block ends at so many distinct words, or characters of these.
-LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 250_000, 150_000, 16_000_000
+LOT_CHARS, BLOCK_WORDS, BLOCK_CHARS = 500_000, 250_000, 16_000_000
 #: What Unicode calls white space; Python's own class has four control characters more.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From a space behind a visible character, or at the start, to the next such.

@@ -121,19 +121,16 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
-def test_the_model_is_a_distribution(spark):
-    """The scores of all one-word texts over the known words and an unknown one, less their ends, give the chances of a first word, which add up to one."""
-    docs = corpus(200, 3)
-    alone, pairs, before = counts(docs, (lm.COUNTED, lm.DELETED_PART))
+def test_the_chances_of_distinct_texts_add_up_to_less_than_one(spark):
+    """Of no word, of each known word and of an unknown one: a proper model leaves the rest to longer texts, and gives most of the mass to what it has seen."""
+    docs = [(k, w) for k, w in corpus(400, 3)] + [(5000 + k, f"only{k % 7}") for k in range(400)]
+    alone, _, _ = counts(docs, (lm.COUNTED, lm.DELETED_PART))
     tested = (k for k in range(10_000, 30_000) if role(k) == lm.TESTED)
     known = sorted(w for w in alone if w != "$end ")
     ask = dict(zip(["", "never-seen", *known], tested, strict=False))
     got = {r.doc_id: 10**r.score for r in lm.score(spark.createDataFrame(docs + [(k, w) for w, k in ask.items()], "doc_id long, text string")).collect()}
-    # P(start w end) = P(w | start) P(end | w): the second factor is known where nothing ever ended behind w and w was seen 1 time only.
-    same = {w for w in known if not pairs[w, "$end "] and bucket(before[w]) == 1}
-    end = {w: got[ask[w]] for w in same if not pairs["$start ", w] and alone[w] == 1}
-    assert len({round(math.log10(x), 6) for x in end.values()}) == 1 and len(end) > 3
-    assert got[ask[""]] + sum(got[ask[w]] for w in known) + got[ask["never-seen"]] < 1
+    mass = sum(got[k] for k in ask.values())
+    assert 0.3 < mass < 1 and got[ask["only3"]] > 100 * got[ask["never-seen"]]
 
 
 def test_tables_without_training_and_without_rows(spark):
