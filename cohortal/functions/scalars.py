@@ -185,11 +185,14 @@ def parse_share_link(c: Column | str, default_day: str) -> Column:
     entries = F.filter(F.transform(F.split(_col(c), ","), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^[A-Z][A-Z0-9.\-]{0,9}(:\d{4}-\d{2}-\d{2})?$"))
     parsed = F.transform(
         entries,
-        lambda x: F.struct(
-            F.substring_index(x, ":", 1).alias("id"), F.coalesce(F.try_element_at(F.split(x, ":"), F.lit(2)), F.lit(default_day)).alias("day")
+        lambda x, i: F.struct(
+            F.substring_index(x, ":", 1).alias("id"), i.alias("at"), F.coalesce(F.try_element_at(F.split(x, ":"), F.lit(2)), F.lit(default_day)).alias("day")
         ),
     )
-    return F.filter(parsed, lambda x, i: ~F.exists(F.slice(parsed, F.lit(1), i), lambda y: y["id"] == x["id"]))
+    # Equal ids stand side by side once sorted, so each is compared to one other; the array is a lambda's variable, which is made once.
+    firsts = F.transform(F.array(F.array_sort(parsed)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["id"] != x["id"])))
+    inorder = F.array_sort(F.transform(F.get(firsts, F.lit(0)), lambda x: F.struct(x["at"], x["id"], x["day"])))
+    return F.transform(inorder, lambda x: F.struct(x["id"].alias("id"), x["day"].alias("day")))
 
 
 def rebalance(weights: dict[str, float], key: str, value: float) -> dict[str, float]:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from hypothesis import given
@@ -47,6 +48,17 @@ def test_share_links(spark):
     assert one(spark, sc.share_link(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("d1"), F.lit("d2"))))[0] == "A:d1,B:d2"
 
 
+def test_a_long_share_link_is_read_in_one_pass(spark):
+    n = 30_000
+    link = ",".join(x for i in range(n) for x in (f"C{i % 7}:2024-01-02", "!broken", f"c{i}"))
+    rows = spark.createDataFrame([(link,)], "x string")
+    began = time.monotonic()
+    got = rows.select(sc.parse_share_link("x", "2024-09-09").alias("x")).first().x
+    assert time.monotonic() - began < 60
+    assert [p.id for p in got] == [f"C{i}" for i in range(n)]
+    assert {p.day for p in got[:7]} == {"2024-01-02"} and {p.day for p in got[7:]} == {"2024-09-09"}
+
+
 @given(st.floats(-50, 150, allow_nan=False), st.sampled_from("abcd"))
 def test_rebalance_always_sums_to_100(value, key):
     out = sc.rebalance(dict.fromkeys("abcd", 25.0), key, value)
