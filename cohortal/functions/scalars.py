@@ -133,9 +133,10 @@ def money_text(c: Column | str, digits: int = 2) -> Column:
 
 
 def cap_text(c: Column | str) -> Column:
-    """Money in trillions, billions, millions or plain, with fewer digits the smaller the unit."""
+    """Money in trillions, billions, millions or plain, with fewer digits the smaller the unit; trillions and billions are taken to six digits before."""
     c = _col(c)
-    in_unit = lambda size, digits, unit: F.format_string(f"$%.{digits}f{unit}", c / size)
+    shown = lambda x, digits: F.round(F.round(x * 1e6) / 1e6, digits) if digits else x
+    in_unit = lambda size, digits, unit: F.format_string(f"$%.{digits}f{unit}", shown(c / size, digits))
     return _shown(c, F.when(c >= 1e12, in_unit(1e12, 2, "T")).when(c >= 1e9, in_unit(1e9, 1, "B")).when(c >= 1e6, in_unit(1e6, 0, "M")).otherwise(in_unit(1, 0, "")))
 
 

@@ -59,6 +59,11 @@ def test_a_long_share_link_is_read_in_one_pass(spark):
     assert {p.day for p in got[:7]} == {"2024-01-02"} and {p.day for p in got[7:]} == {"2024-09-09"}
 
 
+def test_caps_are_taken_to_six_digits_before_they_are_shown(spark):
+    got = one(spark, sc.cap_text(F.lit(1.3499996e9)), sc.cap_text(F.lit(1.3499994e9)), sc.cap_text(F.lit(12.345e12)), sc.cap_text(F.lit(12.3449994e12)), sc.cap_text(F.lit(1.4999996e6)))
+    assert list(got) == ["$1.4B", "$1.3B", "$12.35T", "$12.34T", "$1M"]
+
+
 @given(st.floats(-50, 150, allow_nan=False), st.sampled_from("abcd"))
 def test_rebalance_always_sums_to_100(value, key):
     out = sc.rebalance(dict.fromkeys("abcd", 25.0), key, value)
