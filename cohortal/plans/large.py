@@ -38,7 +38,8 @@ def ranked(rows: DataFrame, by: list[str], slice_of: Column, order: list[Column]
 def by_cuts(rows: DataFrame, by: list[str], value: str, cuts: int = 64) -> tuple[DataFrame, Column]:
     """``rows`` with the approximate quantiles of each group, and the slice of each row: higher values in higher slices, nulls lowest."""
     at = F.percentile_approx(value, [k / cuts for k in range(1, cuts)], 20 * cuts).alias("_cuts")
-    known = rows.groupBy(*by).agg(at)
+    # Written once: an approximate quantile depends on the order of the merges, and sizes and places must be told by the same slices.
+    known = materialised(rows.groupBy(*by).agg(at))
     return rows.join(known, by), F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(value))), F.lit(-1))
 
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,23 @@ def test_forward_deciles(spark):
     assert panel.score_deciles(panel.forward_returns(history(spark, n=20), 3)).isEmpty()
 
 
+def test_deciles_of_rows_that_come_in_another_order_each_time(spark):
+    def mixed(batches):
+        whole = pa.Table.from_batches(batches)
+        yield from whole.take(pa.array(np.random.default_rng().permutation(len(whole)))).combine_chunks().to_batches()
+
+    n = 300_000
+    value = (F.col("id") * 48271 % 2147483647).cast("double").alias("composite")
+    rows = spark.range(n, numPartitions=2).select(F.lit("2024-01").alias("month"), F.col("id").alias("entity"), value, F.lit(0.0).alias("fwd"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # as on a cluster, where blocks arrive in another order at each reading
+    try:
+        got = panel.score_deciles(rows.mapInArrow(mixed, rows.schema)).select("entity", "bucket").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    best = sorted(range(n), key=lambda i: (-(i * 48271 % 2147483647), i))
+    assert len(got) == n and dict(zip(got.entity, got.bucket)) == {e: k * 10 // n + 1 for k, e in enumerate(best)}
+
+
 def test_exits_and_drift(spark):
     cols = "entity string, name string, sector string, segment string, rank long"
     prior = spark.createDataFrame([(e, e, "s", "t", k + 1) for k, e in enumerate("abcdefg")], cols)
