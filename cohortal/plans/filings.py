@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortal.functions.spec import CANDIDATE_FAMILIES, CANDIDATE_NOISE
+from cohortal.plans.stage import by_entity, materialised
 from cohortal.plans.standin import table
 
 AS_OF, PRIOR_AS_OF = "2000-11-30", "2000-08-31"
@@ -84,13 +85,13 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
 
 
-#: CTEs that end in ``filed_facts`` (entity, taxonomy, concept, unit, st, en, val, filed, form).
-SQL = f"""base AS (
+#: The sales of each supplier and quarter: the one step over the large tables. Spark writes it once, as the text behind it reads it eight times.
+BASE = """base AS (
   SELECT l_suppkey AS entity, CAST(date_trunc('quarter', CAST(o_orderdate AS DATE)) AS DATE) AS qs,
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS r,
     CAST(sum(CAST(round(l_extendedprice * l_discount * 100) AS BIGINT)) AS BIGINT) AS d
-  FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) < DATE '2000-10-01' GROUP BY 1, 2),
-hit AS (
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE CAST(o_orderdate AS DATE) < DATE '2000-10-01' GROUP BY 1, 2)"""
+REST = f"""hit AS (
   SELECT *, CAST(CASE WHEN entity % 8 = 1 AND year(qs) = 2000 AND month(qs) = 4 THEN floor(r * 3e-1)
     WHEN entity % 8 = 3 AND year(qs) = 1998 AND month(qs) = 4 THEN floor(r * 4e-1)
     WHEN entity % 8 = 5 AND year(qs) = 2000 AND month(qs) = 1 THEN -floor(r * 5e-1) ELSE 0 END AS BIGINT) AS h FROM base),
@@ -123,11 +124,20 @@ filed_facts AS (
   UNION ALL SELECT entity, 'ifrs-full', concept, 'USD', CAST(NULL AS DATE), en, val * 2, filed, '20-F' FROM stocks WHERE concept = 'Assets' AND entity % 4 = 1
   UNION ALL SELECT entity, 'us-gaap', concept, 'EUR', st, en, val * 3, CAST(filed + INTERVAL 9 DAYS AS DATE), form FROM flows WHERE concept = 'Revenues'
   UNION ALL SELECT entity, 'us-gaap', concept, 'USD', CAST(NULL AS DATE), DATE '2000-12-31', val * 9, DATE '2000-11-01', '10-Q' FROM stocks WHERE en = DATE '2000-06-30')"""
+#: CTEs that end in ``filed_facts`` (entity, taxonomy, concept, unit, st, en, val, filed, form).
+SQL = f"""{BASE},
+{REST}"""
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    """(entity, qs, r, d), dealt by entity: some thirty rows a supplier."""
+    sums = spark.sql(f"WITH {BASE} SELECT * FROM base", lineitem=table(spark, d, "lineitem"), orders=table(spark, d, "orders"))
+    return materialised(by_entity(sums))
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
     """entity, taxonomy, concept, unit, start, end, val, filed, accn, form, seq."""
-    rows = spark.sql(f"WITH {SQL} SELECT * FROM filed_facts", lineitem=table(spark, d, "lineitem"), orders=table(spark, d, "orders"))
+    rows = spark.sql(f"WITH base AS (SELECT * FROM {{base}}), {REST} SELECT * FROM filed_facts", base=_base(spark, d))
     accn = F.concat_ws("-", F.col("entity").cast("string"), F.col("filed").cast("string"))
     return rows.select("entity", "taxonomy", "concept", "unit", F.col("st").alias("start"), F.col("en").alias("end"), "val", "filed", accn.alias("accn"), "form", F.lit(0).alias("seq"))
 
@@ -164,8 +174,8 @@ indexed AS (
 
 def month_inputs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The stand-in inputs of a monthly run: facts, listings (with k, by which they get a sector), ids, prices and newer filings."""
-    args = {n: table(spark, d, n) for n in ("lineitem", "orders", "supplier")}
-    ask = lambda sql: spark.sql(f"WITH {SQL}, {MONTH_SQL} {sql}", **args)
+    args = {n: table(spark, d, n) for n in ("lineitem", "supplier")} | {"base": _base(spark, d)}
+    ask = lambda sql: spark.sql(f"WITH base AS (SELECT * FROM {{base}}), {REST}, {MONTH_SQL} {sql}", **args)
     accn = F.concat_ws("-", F.col("entity").cast("string"), F.col("filed").cast("string"))
     rows = ask("SELECT * FROM month_facts")
     facts = rows.select("entity", "taxonomy", "concept", "unit", F.col("st").alias("start"), F.col("en").alias("end"), "val", "filed", accn.alias("accn"), "form", F.lit(0).alias("seq"))

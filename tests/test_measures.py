@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 
@@ -167,3 +168,12 @@ def test_growth_is_averaged_in_both_directions_only_if_asked(spark):
     cases = spark.createDataFrame([(0.10, -0.20), (0.10, 0.05), (0.10, 0.30), (0.10, None), (None, 0.2)], "_growth double, latest double")
     of = lambda symmetric: [r[0] for r in cases.select(F.round(dict(m.measure_columns(symmetric=symmetric))["rev_growth"], 6)).collect()]
     assert of(False) == [-0.05, 0.1, 0.1, 0.1, None] and of(True) == [-0.05, 0.075, 0.2, 0.1, None]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the generated tables")
+def test_filings_read_the_large_tables_once(spark):
+    from cohortal.plans import filings
+
+    d = "/root/testdata/sf0.001"
+    for rows in (filings.filings(spark, d), filings.month_inputs(spark, d)["facts"]):
+        assert "parquet" not in rows._jdf.queryExecution().optimizedPlan().toString()  # the sales by quarter are written by then
