@@ -16,7 +16,7 @@ from cohortal.operators import temporal as t
 from cohortal.plans import filings as f
 from cohortal.plans import intake, month, score
 from cohortal.plans import measures as m
-from cohortal.plans.stage import materialised
+from cohortal.plans.stage import by_entity, materialised
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 
@@ -223,7 +223,7 @@ def _items(spark, d):
 
 
 def _flows(spark, d):
-    return m.materialised(_items(spark, d).where("start is not null and val is not null"))
+    return materialised(by_entity(_items(spark, d).where("start is not null and val is not null")))
 
 
 def _rounded(rows, *cols, digits=6):

@@ -205,7 +205,12 @@ def tiled(facts: Column, picks: int = 6) -> Column:
             fits, lambda x: F.struct(days(x).alias("days"), (-F.unix_date(x["end"])).alias("o"), (-x["tail"]).alias("p"), x["start"].alias("start"), x["val"].alias("val"), x["filed"].alias("filed"), x["src"].alias("src"))
         )
         best = F.array_max(ordered)
-        stop = s["over"] | (s["covered"] >= 350) | best.isNull()
+        stop = s["over"] | (s["covered"] >= 350)
+        # A lambda's variable, so that the tiles are looked through once a step and not once a field.
+        return F.get(F.transform(F.array(F.when(~stop, best)), lambda b: laid(s, b)), F.lit(0))
+
+    def laid(s: Column, best: Column) -> Column:
+        stop = best.isNull()
         later = F.coalesce(best["filed"] > s["newest"]["filed"], F.lit(True))
         return F.struct(
             F.when(stop, s["cursor"]).otherwise(F.date_sub(best["start"], 1)).alias("cursor"),
@@ -218,7 +223,7 @@ def tiled(facts: Column, picks: int = 6) -> Column:
         )
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(picks)), state, step)
-    return F.when(done["covered"].between(350, 380), done)
+    return F.get(F.transform(F.array(done), lambda x: F.when(x["covered"].between(350, 380), x)), F.lit(0))
 
 
 def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tuple[str, ...] = (), stale: bool = False) -> DataFrame:
@@ -232,18 +237,21 @@ def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tu
     day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
     # Flows of one start give each other's tails; then all of a group is one array, from which tiles and years are taken.
     starts = flows.groupBy(*by, "start").agg(F.collect_list(F.struct("end", "val", "filed", src.alias("src"))).alias("_s"), F.max(day).alias("_anchor"), F.max("end").alias("_e"))
-    real = F.transform("_s", lambda a: F.struct(a["end"].alias("end"), F.col("start").alias("start"), a["val"].alias("val"), a["filed"].alias("filed"), F.lit(0).alias("tail"), a["src"].alias("src")))
-
-    def tails_of(a: Column) -> Column:
-        shorter = F.filter("_s", lambda b: F.datediff(a["end"], b["end"]).between(80, 400))
-        return F.transform(shorter, lambda b: F.struct(a["end"].alias("end"), F.date_add(b["end"], 1).alias("start"), (a["val"] - b["val"]).alias("val"), F.greatest(a["filed"], b["filed"]).alias("filed"), F.lit(1).alias("tail"), a["src"].alias("src")))
-
-    every = F.flatten(F.collect_list(F.concat(real, F.flatten(F.transform("_s", tails_of)))))
-    out = starts.groupBy(*by).agg(every.alias("_f"), F.max("_anchor").alias("_anchor"), F.max("_e").alias("end"))
-    years = F.filter("_f", lambda x: (x["tail"] == 0) & duration(x["start"], x["end"]).between(330, 400))
-    years = F.transform(years, lambda x: F.struct(x["end"].alias("end"), x["filed"].alias("filed"), (-F.unix_date(x["start"])).alias("o"), x["val"].alias("val"), x["src"].alias("src")))
-    # No tile ends further back: before the last one under 350 days are covered, with gaps of 4 days at most between six.
-    recent = F.filter("_f", lambda x: x["end"] >= F.date_sub("end", 420))
+    out = starts.groupBy(*by).agg(F.collect_list(F.struct("start", "_s")).alias("_f"), F.max("_anchor").alias("_anchor"), F.max("_e").alias("end"))
+    tile = lambda a, start, val, filed, tail: F.struct(a["end"].alias("end"), start.alias("start"), val.alias("val"), filed.alias("filed"), F.lit(tail).alias("tail"), a["src"].alias("src"))
+
+    def tiles_of(g: Column) -> Column:
+        # No tile ends further back: before the last one under 350 days are covered, with gaps of 4 days at most between six.
+        late = F.filter(g["_s"], lambda a: a["end"] >= F.date_sub("end", 420))
+        shorter = lambda a: F.filter(g["_s"], lambda b: F.datediff(a["end"], b["end"]).between(80, 400))
+        tails = F.transform(late, lambda a: F.transform(shorter(a), lambda b: tile(a, F.date_add(b["end"], 1), a["val"] - b["val"], F.greatest(a["filed"], b["filed"]), 1)))
+        return F.concat(F.transform(late, lambda a: tile(a, g["start"], a["val"], a["filed"], 0)), F.flatten(tails))
+
+    def years_of(g: Column) -> Column:
+        whole = F.filter(g["_s"], lambda a: duration(g["start"], a["end"]).between(330, 400))
+        return F.transform(whole, lambda a: F.struct(a["end"].alias("end"), a["filed"].alias("filed"), (-F.unix_date(g["start"])).alias("o"), a["val"].alias("val"), a["src"].alias("src")))
+
+    recent, years = F.flatten(F.transform("_f", tiles_of)), F.flatten(F.transform("_f", years_of))
     out = out.select(*by, "_anchor", "end", recent.alias("_g"), F.array_max(years).alias("_y"))
     # Made by a generator, so that no filter behind it walks the tiles once more.
     out = out.select(*by, "_anchor", "end", "_y", F.inline(F.array(F.struct(tiled(F.col("_g")).alias("_t")))))

@@ -122,3 +122,11 @@ def test_momentum_and_volume(spark):
     p = spark.createDataFrame(rows, "entity string, d date, close double, volume double")
     assert {r.entity: r.momentum for r in t.momentum(p, "2024-08-31", 12).collect()} == {"A": 0.5, "B": None}
     assert {r.entity: r.adv for r in t.average_dollar_volume(p, "2024-08-31", 2).collect()}["A"] == pytest.approx(1500.0)
+
+
+def test_tiles_are_looked_through_once_a_step(spark):
+    rows = spark.createDataFrame([(1, "2023-01-01", "2023-12-31", 4.0, "2024-02-01")], "entity int, start string, end string, val double, filed string")
+    flows = rows.select("entity", F.to_date("start").alias("start"), F.to_date("end").alias("end"), "val", F.to_date("filed").alias("filed"))
+    out = t.ttm(flows, ["entity"])
+    assert [(r.val, r.basis) for r in out.collect()] == [(4.0, "fy")]
+    assert str(t.tiled(F.col("facts"))).count("array_max") <= 2  # the last end, and the best tile of a step
