@@ -16,7 +16,7 @@ from cohortal.operators import temporal as t
 from cohortal.plans import filings as f
 from cohortal.plans import intake, month, score
 from cohortal.plans import measures as m
-from cohortal.plans.stage import by_entity, materialised
+from cohortal.plans.stage import dealt, materialised
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 
@@ -222,8 +222,8 @@ def _items(spark, d):
     return m.resolve_items(m.tagged_facts(facts, f.AS_OF)).join(m.anchors(facts, f.AS_OF), "entity", "left")
 
 
-def _flows(spark, d):
-    return materialised(by_entity(_items(spark, d).where("start is not null and val is not null")))
+def _groups(spark, d):
+    return dealt(m.gathered_items(_items(spark, d).where("start is not null")))
 
 
 def _rounded(rows, *cols, digits=6):
@@ -247,18 +247,18 @@ def balance_instants(spark, d):
 
 @query(f"WITH RECURSIVE {_FACTS} SELECT entity, item, en, val FROM q")
 def quarters_of_facts(spark, d):
-    return t.quarterly_series(_flows(spark, d), m.BY_ITEM).select("entity", "item", F.col("end").alias("en"), "val")
+    return t.quarters_of(_groups(spark, d), m.BY_ITEM).select("entity", "item", F.inline("quarters")).select("entity", "item", F.col("end").alias("en"), "val")
 
 
 @query(f"WITH RECURSIVE {_FACTS} SELECT entity, item, k::BIGINT AS k, en, val FROM years")
 def years_of_facts(spark, d):
-    years = t.annual_series(_flows(spark, d), m.BY_ITEM, F.col("anchor")).select("entity", "item", F.posexplode("years").alias("k", "y"))
+    years = t.years_of(_groups(spark, d), m.BY_ITEM).select("entity", "item", F.posexplode("years").alias("k", "y"))
     return years.select("entity", "item", F.col("k").cast("long").alias("k"), F.col("y.end").alias("en"), "y.val")
 
 
 @query(f"WITH RECURSIVE {_FACTS} SELECT entity, item, en, val, basis FROM ttm")
 def trailing_year_of_facts(spark, d):
-    return t.ttm(_flows(spark, d), m.BY_ITEM, F.col("anchor"), m.SOURCE).select("entity", "item", F.col("end").alias("en"), "val", "basis")
+    return t.trailing_of(_groups(spark, d), m.BY_ITEM, m.SOURCE).select("entity", "item", F.col("end").alias("en"), "val", "basis")
 
 
 def _measures(spark, d):

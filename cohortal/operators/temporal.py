@@ -7,6 +7,8 @@ one shuffle by entity serves a chain of these operators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,19 +146,59 @@ def duration(start: Column | str = "start", end: Column | str = "end") -> Column
     return F.datediff(end, start)
 
 
+def gathered(rows: DataFrame, by: list[str], anchor: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(by, _f, _anchor): all of a group in one row, ``_f`` an array of (start, _s) and ``_s`` one of (end, val, filed, src); instants stand under a null start.
+
+    ``src`` are the columns that are carried. Quarters, years and trailing years are read off such rows without another grouping.
+    """
+    day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
+    starts = rows.groupBy(*by, "start").agg(F.collect_list(F.struct("end", "val", "filed", src.alias("src"))).alias("_s"), F.max(day).alias("_anchor"))
+    return starts.groupBy(*by).agg(F.collect_list(F.struct("start", "_s")).alias("_f"), F.max("_anchor").alias("_anchor"))
+
+
+def _first_of_each_end(rows: Column) -> Column:
+    """Of structs whose first field is ``end`` the least of each end, sorted."""
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["end"] != x["end"]))
+    # A lambda's variable, so that the rows are sorted once and not for each of them.
+    return F.get(F.transform(F.array(F.array_sort(rows)), firsts), F.lit(0))
+
+
+def _of_flows(of: Callable[[Column], Column]) -> Column:
+    """The array that ``of`` makes of each start, put together."""
+    return F.flatten(F.transform(F.filter("_f", lambda g: g["start"].isNotNull()), of))
+
+
+def _newest_first(filed: Column) -> Column:
+    return F.coalesce(-F.unix_date(filed), F.lit(2**31 - 1))
+
+
+def quarters_of(groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, quarters): what ``quarterly_series`` gives, an array of (end, val) a group."""
+
+    def quarter(a: Column, val: Column, filed: Column, tail: bool, since: Column, start: Column) -> Column:
+        made = {"end": a["end"], "synthetic": F.lit(tail), "o": _newest_first(filed), "since": since, "start": start, "val": val}
+        return F.struct(*(v.alias(k) for k, v in made.items()))
+
+    def told(g: Column) -> Column:
+        whole = F.filter(g["_s"], lambda a: duration(g["start"], a["end"]).between(80, 100))
+        # A tail begins a day after the shorter flow ends, so that it lasts a day less than lies between both ends.
+        shorter = lambda a: F.filter(g["_s"], lambda b: F.datediff(a["end"], b["end"]).between(81, 101))
+        tails = F.transform(g["_s"], lambda a: F.transform(shorter(a), lambda b: quarter(a, a["val"] - b["val"], F.greatest(a["filed"], b["filed"]), True, g["start"], F.date_add(b["end"], 1))))
+        return F.concat(F.transform(whole, lambda a: quarter(a, a["val"], a["filed"], False, g["start"], g["start"])), F.flatten(tails))
+
+    years = _of_flows(lambda g: F.filter(g["_s"], lambda a: duration(g["start"], a["end"]).between(330, 400)))
+    rows = groups.select(*by, _of_flows(told).alias("_q"), years.alias("_y"))
+    repeats = lambda q: F.exists("_y", lambda y: (y["end"] == q["end"]) & y["val"].isNotNull() & (F.abs(q["val"] - y["val"]) <= 0.01 * F.abs(y["val"])))
+    kept = _first_of_each_end(F.filter("_q", lambda q: q["synthetic"] | ~repeats(q)))
+    return rows.select(*by, F.transform(kept, lambda q: F.struct(q["end"].alias("end"), q["val"].alias("val"))).alias("quarters"))
+
+
 def quarterly_series(flows: DataFrame, by: list[str]) -> DataFrame:
     """(by, end, val) of single quarters: reported ones and tails, without quarters that repeat the year's value.
 
     ``flows`` are the latest versions. A reported quarter beats a tail, then the newest filing counts, then the first start.
     """
-    shaped = flows.select(*by, "start", "end", "val", "filed", F.lit(False).alias("synthetic"), F.col("start").alias("since"))
-    every = shaped.unionByName(stub_synthesis(flows, by)).where(duration().between(80, 100))
-    years = flows.where(duration().between(330, 400)).groupBy(*by, "end").agg(F.collect_set("val").alias("_years"))
-    kept = every.join(years, [*by, "end"], "left").where(
-        F.col("synthetic") | F.col("_years").isNull() | ~F.exists("_years", lambda y: F.abs(F.col("val") - y) <= 0.01 * F.abs(y))
-    )
-    w = Window.partitionBy(*by, "end").orderBy(F.col("synthetic").asc(), F.col("filed").desc(), F.col("since").asc(), F.col("start").asc())
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*by, "end", "val")
+    return quarters_of(gathered(flows, by), by).select(*by, F.inline("quarters"))
 
 
 def far_from_last_kept(rows: Column, gap: int = 200) -> Column:
@@ -175,13 +217,24 @@ def annual_series(flows: DataFrame, by: list[str], anchor: Column | None = None,
 
     ``newest`` is the newest year, stale or not. ``anchor`` is a column of ``flows``, one date for each group. Of years of one end the latest filed counts, then the first start.
     """
-    w = Window.partitionBy(*by, "end").orderBy(F.col("filed").desc(), F.col("start").asc())
-    year = flows.where(duration().between(330, 400)).withColumn("_anchor", F.lit(None).cast("date") if anchor is None else anchor)
-    newest = year.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    rows = F.sort_array(F.collect_list(F.struct("end", "val", "filed", *carry)), asc=False)
-    out = newest.groupBy(*by).agg(far_from_last_kept(rows).alias("_all"), F.max("_anchor").alias("_anchor"))
-    years = F.when(fresh(F.col("_all")[0]["end"], F.col("_anchor")), F.slice("_all", 1, count)).otherwise(F.slice("_all", 1, 0))
-    return out.select(*by, years.alias("years"), F.col("_all")[0].alias("newest"))
+    return years_of(gathered(flows, by, anchor, carry), by, count, carry)
+
+
+def years_of(groups: DataFrame, by: list[str], count: int = 6, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What ``annual_series`` gives, of gathered rows."""
+
+    whole = lambda g: lambda a: duration(g["start"], a["end"]).between(330, 400)
+
+    def told(g: Column) -> Column:
+        made = lambda a: {"end": a["end"], "o": _newest_first(a["filed"]), "start": g["start"], "val": a["val"], "filed": a["filed"], **{c: a["src"][c] for c in carry}}
+        return F.transform(F.filter(g["_s"], whole(g)), lambda a: F.struct(*(v.alias(k) for k, v in made(a).items())))
+
+    one = F.transform(_first_of_each_end(_of_flows(told)), lambda y: F.struct(*(y[c].alias(c) for c in ("end", "val", "filed", *carry))))
+    rows = groups.where(F.exists("_f", lambda g: F.exists(g["_s"], whole(g)))).select(*by, "_anchor", F.reverse(one).alias("_y"))
+    out = rows.select(*by, "_anchor", far_from_last_kept(F.col("_y")).alias("_all"))
+    newest = F.get("_all", F.lit(0))
+    years = F.when(fresh(newest["end"], F.col("_anchor")), F.slice("_all", 1, count)).otherwise(F.slice("_all", 1, 0))
+    return out.select(*by, years.alias("years"), newest.alias("newest"))
 
 
 def tiled(facts: Column, picks: int = 6) -> Column:
@@ -234,10 +287,14 @@ def ttm(flows: DataFrame, by: list[str], anchor: Column | None = None, carry: tu
     filing is that of the newest tile; a ``concept`` that is carried is that of the first. With ``stale`` what was too old
     stays as well, told by a column of that name.
     """
-    day, src = F.lit(None).cast("date") if anchor is None else anchor, F.struct(*(carry or ["filed"]))
-    # Flows of one start give each other's tails; then all of a group is one array, from which tiles and years are taken.
-    starts = flows.groupBy(*by, "start").agg(F.collect_list(F.struct("end", "val", "filed", src.alias("src"))).alias("_s"), F.max(day).alias("_anchor"), F.max("end").alias("_e"))
-    out = starts.groupBy(*by).agg(F.collect_list(F.struct("start", "_s")).alias("_f"), F.max("_anchor").alias("_anchor"), F.max("_e").alias("end"))
+    return trailing_of(gathered(flows, by, anchor, carry), by, carry, stale)
+
+
+def trailing_of(groups: DataFrame, by: list[str], carry: tuple[str, ...] = (), stale: bool = False) -> DataFrame:
+    """What ``ttm`` gives, of gathered rows."""
+    own = F.filter("_f", lambda g: g["start"].isNotNull())
+    out = groups.select(*by, own.alias("_f"), "_anchor", F.array_max(F.flatten(F.transform(own, lambda g: g["_s"]["end"]))).alias("end")).where("end is not null")
+    # Flows of one start give each other's tails; tiles and years are taken from the one array.
     tile = lambda a, start, val, filed, tail: F.struct(a["end"].alias("end"), start.alias("start"), val.alias("val"), filed.alias("filed"), F.lit(tail).alias("tail"), a["src"].alias("src"))
 
     def tiles_of(g: Column) -> Column:

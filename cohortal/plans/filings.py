@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortal.functions.spec import CANDIDATE_FAMILIES, CANDIDATE_NOISE
-from cohortal.plans.stage import by_entity, materialised
+from cohortal.plans.stage import dealt
 from cohortal.plans.standin import table
 
 AS_OF, PRIOR_AS_OF = "2000-11-30", "2000-08-31"
@@ -132,7 +132,7 @@ SQL = f"""{BASE},
 def _base(spark: SparkSession, d: str) -> DataFrame:
     """(entity, qs, r, d), dealt by entity: some thirty rows a supplier."""
     sums = spark.sql(f"WITH {BASE} SELECT * FROM base", lineitem=table(spark, d, "lineitem"), orders=table(spark, d, "orders"))
-    return materialised(by_entity(sums))
+    return dealt(sums)
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ from cohortal.functions.scalars import clamp, or_zero, positive_ratio, safe_div,
 from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LINE_ITEMS, METRICS, Settings, line_items
 from cohortal.operators import temporal as t
 from cohortal.operators.eligibility import ever_reported
-from cohortal.plans.stage import by_entity, materialised
+from cohortal.plans.stage import by_entity, dealt, materialised
 
 TAXONOMIES = ["us-gaap", "ifrs-full", "dei"]
 PARTIAL_DEBT = 0.75
@@ -31,6 +31,8 @@ BY_ITEM = ["entity", "item"]
 SOURCE = ("concept", "accn", "form")
 #: Items whose fiscal years are looked at by themselves, beside the one-offs.
 ANNUAL_ITEMS = ["revenue", "cost", "gross_profit", "operating_income", "net_income", "da", "nii", "premiums"]
+#: Items of which single quarters are looked at, beside the one-offs.
+QUARTERLY_ITEMS = ["revenue", "cost", "gross_profit", "operating_income", "net_income"]
 #: What a note tells beside a measure.
 NOTE = "struct<metric: string, kind: string, tag: string, end: date, amount: double>"
 
@@ -51,10 +53,24 @@ def tagged_facts(facts: DataFrame, as_of: str) -> DataFrame:
 
 def resolve_items(tagged: DataFrame) -> DataFrame:
     """(entity, item, concept, start, end, val, filed, accn, form): one value for each item and period."""
-    key, nested = [*BY_ITEM, "start", "end"], F.col("largest_wins") & F.col("start").isNotNull()
-    largest = t.largest_in_newest(tagged.where(nested & F.col("val").isNotNull()), key)
-    merged = t.priority_merge(tagged.where(~nested), key).unionByName(largest)
-    return merged.select("entity", "item", "concept", "start", "end", "val", "filed", "accn", "form")
+    nested = F.col("largest_wins") & F.col("start").isNotNull()
+    # What ``t.priority_merge`` and, for nested items, ``t.largest_in_newest`` keep, in one pass: whether an item nests is the same for all rows of a key.
+    order = [F.when(~nested, F.col("priority")).asc(), F.desc("filed"), F.when(nested, F.col("val")).desc_nulls_last(), F.col("priority").asc(), F.col("seq").asc()]
+    w = Window.partitionBy(*BY_ITEM, "start", "end").orderBy(*order)
+    one = tagged.where(~nested | F.col("val").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    return one.select("entity", "item", "concept", "start", "end", "val", "filed", "accn", "form")
+
+
+def gathered_items(items: DataFrame) -> DataFrame:
+    """Items (with ``anchor``) gathered: one row for each entity and item, some fifty an entity."""
+    return t.gathered(items.where("val is not null"), BY_ITEM, F.col("anchor"), SOURCE)
+
+
+def spread_items(groups: DataFrame) -> DataFrame:
+    """(entity, item, anchor, start, end, val, filed, concept, accn, form): the items of gathered rows. Who filters by item reads no other's."""
+    starts = groups.select(*BY_ITEM, F.col("_anchor").alias("anchor"), F.inline("_f"))
+    rows = starts.select(*BY_ITEM, "anchor", "start", F.inline("_s"))
+    return rows.select(*BY_ITEM, "anchor", "start", "end", "val", "filed", "src.*")
 
 
 def anchors(facts: DataFrame, as_of: str) -> DataFrame:
@@ -117,12 +133,14 @@ def total_debt(inst: str) -> tuple[Column, Column]:
     return F.coalesce(best["value"], partial), F.coalesce(best["how"], F.when(partial.isNotNull(), "current+short-only"))
 
 
-def debt_history(tagged: DataFrame, facts: DataFrame, as_of: str, back: DataFrame, strict_pit: bool = False) -> DataFrame:
+def debt_history(facts: DataFrame, as_of: str, back: DataFrame, strict_pit: bool = False) -> DataFrame:
     """(entity, last_zero, prior_zero, any_debt): whether the last debt reported by ``as_of``, or by each entity's earlier ``day``, was zero, and whether any ever was.
 
     The last of each concept counts. The third looks at the whole record, filed later or not; with ``strict_pit`` only at
     what was filed by ``as_of``.
     """
+    named = [c for item in DEBT_ITEMS for c in LINE_ITEMS[item]]
+    tagged = tagged_facts(facts.where(F.col("concept").isin(named)), as_of)
     own = tagged.where(F.col("item").isin(DEBT_ITEMS) & F.col("start").isNull() & F.col("val").isNotNull())
     own = own.where(F.col("end") <= F.to_date(F.lit(as_of))).join(back, "entity", "left")
     zero_on = lambda ok: F.max_by("zero", F.when(ok, F.col("end")))
@@ -218,10 +236,14 @@ def _nearest(among: Column, day: Column, within: int) -> Column:
     return F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.datediff(x["day"], day)).alias("gap"), x["day"].alias("day"), x["val"].alias("val"))))
 
 
-def _assets_near(points: DataFrame, items: DataFrame, within: int) -> DataFrame:
-    """Points (entity, end, ...) with the total assets nearest to their end. An entity has some eighty balance sheets, which are gathered."""
+def asset_days(items: DataFrame) -> DataFrame:
+    """(entity, _days): total assets as (day, val). An entity has some eighty balance sheets, which are gathered."""
     own = items.where("item = 'assets' and start is null and val is not null")
-    days = own.groupBy("entity").agg(F.collect_list(F.struct(F.col("end").alias("day"), "val")).alias("_days"))
+    return own.groupBy("entity").agg(F.collect_list(F.struct(F.col("end").alias("day"), "val")).alias("_days"))
+
+
+def _assets_near(points: DataFrame, days: DataFrame, within: int) -> DataFrame:
+    """Points (entity, end, ...) with the total assets nearest to their end."""
     return points.join(days, "entity", "left").withColumn("assets", _nearest(F.col("_days"), F.col("end"), within)["val"]).drop("_days")
 
 
@@ -235,16 +257,16 @@ def _ttm_points(q: DataFrame, item: str) -> DataFrame:
     return t.rolling_sum4(q.where(F.col("item") == item), BY_ITEM, "end", "val").where("val_ttm is not null").select("entity", "end", F.col("val_ttm").alias("ttm"))
 
 
-def _years(items: DataFrame, item: str, count: int) -> DataFrame:
-    """(entity, k, end, val): an item's fiscal years, the newest first."""
-    flows = items.where((F.col("item") == item) & F.col("start").isNotNull() & F.col("val").isNotNull())
-    return t.annual_series(flows, ["entity"], F.col("anchor"), count).select("entity", F.posexplode("years").alias("k", "y")).select("entity", "k", "y.end", "y.val")
+def _years(years: DataFrame, item: str, count: int) -> DataFrame:
+    """(entity, k, end, val): an item's fiscal years (entity, item, years), the newest first."""
+    rows = years.where(F.col("item") == item).select("entity", F.posexplode(F.slice("years", 1, count)).alias("k", "y"))
+    return rows.select("entity", "k", "y.end", "y.val")
 
 
-def _disagree(q: DataFrame, items: DataFrame, item: str, since: DataFrame) -> DataFrame:
+def _disagree(q: DataFrame, years: DataFrame, item: str, since: DataFrame) -> DataFrame:
     """Entities whose quarters disagree with a fiscal year that ends at or after ``since``."""
-    years = _years(items, item, 5).join(since, "entity").where("end >= since and val <> 0")
-    return t.quarters_match_years(q.where(F.col("item") == item).select("entity", "end", "val"), years, ["entity"], AGREE).where("not matches").select("entity")
+    ends = _years(years, item, 5).join(since, "entity").where("end >= since and val <> 0")
+    return t.quarters_match_years(q.where(F.col("item") == item).select("entity", "end", "val"), ends, ["entity"], AGREE).where("not matches").select("entity")
 
 
 def _slope(points: DataFrame, y: Column) -> DataFrame:
@@ -252,13 +274,13 @@ def _slope(points: DataFrame, y: Column) -> DataFrame:
     return points.groupBy("entity").agg(stats.slope(y, x).alias("slope"), F.count("*").alias("n"), F.min("end").alias("from"), F.min_by("ttm", "end").alias("base"), F.min("ttm").alias("least"))
 
 
-def revenue_growth(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFrame:
+def revenue_growth(q: DataFrame, years: DataFrame, anchor: DataFrame) -> DataFrame:
     """(entity, trend, latest): yearly growth along the line of log trailing revenue, and the latest year's change."""
     points = _current(_ttm_points(q, "revenue"), anchor)
     near = points.where(F.datediff("last", "end") <= 365 * TREND_YEARS + 30)
     fit = _slope(near, F.log(F.when(F.col("ttm") > 0, F.col("ttm"))))
     fit = fit.where((F.col("n") >= TREND_POINTS) & (F.col("least") > 0) & (F.col("base") >= TREND_BASE))
-    bad = _disagree(q, items, "revenue", fit.select("entity", F.date_sub("from", 280).alias("since")))
+    bad = _disagree(q, years, "revenue", fit.select("entity", F.date_sub("from", 280).alias("since")))
     trend = fit.join(bad, "entity", "left_anti").select("entity", (F.exp("slope") - 1).alias("trend"))
     moved = t.year_ago(points, ["entity"], "end", "ttm").where("end = last")
     enough = points.groupBy("entity").agg(F.count("*").alias("_c")).where("_c >= 5").select("entity")
@@ -266,7 +288,7 @@ def revenue_growth(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFra
     return trend.join(latest, "entity", "full_outer")
 
 
-def operating_income_change(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFrame:
+def operating_income_change(q: DataFrame, years: DataFrame, days: DataFrame, anchor: DataFrame) -> DataFrame:
     """(entity, op_inc_change): four times the median yearly change of the last four quarters, over mean assets."""
     own = _current(q.where("item = 'operating_income'"), anchor)
     last = _last(_yearly_move(own, 355, 375), 8)
@@ -274,13 +296,13 @@ def operating_income_change(q: DataFrame, items: DataFrame, anchor: DataFrame) -
     got = last.groupBy("entity").agg(
         F.count(F.when(four, F.col("val_year_ago"))).alias("n"), F.median(F.when(four, F.col("val") - F.col("val_year_ago"))).alias("m"), F.max("end").alias("end"), F.min("end").alias("since")
     ).where("n = 4")
-    got = got.join(_disagree(q, items, "operating_income", got.select("entity", "since")), "entity", "left_anti")
-    now = _assets_near(got, items, 10).withColumnRenamed("assets", "a1")
-    then = _assets_near(now.withColumn("end", F.date_sub("end", 365)), items, 10).where("a1 <> 0 and assets <> 0 and a1 + assets > 0")
+    got = got.join(_disagree(q, years, "operating_income", got.select("entity", "since")), "entity", "left_anti")
+    now = _assets_near(got, days, 10).withColumnRenamed("assets", "a1")
+    then = _assets_near(now.withColumn("end", F.date_sub("end", 365)), days, 10).where("a1 <> 0 and assets <> 0 and a1 + assets > 0")
     return then.select("entity", safe_div(4 * F.col("m"), (F.col("a1") + F.col("assets")) / 2).alias("op_inc_change"))
 
 
-def gross_profit_trend(q: DataFrame, items: DataFrame, anchor: DataFrame) -> DataFrame:
+def gross_profit_trend(q: DataFrame, years: DataFrame, days: DataFrame, anchor: DataFrame) -> DataFrame:
     """(entity, gp_trend): the three-year change along the line of trailing gross profit over assets of the same date.
 
     Gross profit is revenue less cost where there are enough quarters of both, else as reported. The quarters must agree with
@@ -292,25 +314,25 @@ def gross_profit_trend(q: DataFrame, items: DataFrame, anchor: DataFrame) -> Dat
     tagged = q.where("item = 'gross_profit'").select("entity", "end", "val").join(enough, "entity", "left_anti")
     gross = made.join(enough, "entity", "left_semi").unionByName(tagged)
     points = _current(t.rolling_sum4(gross, ["entity"], "end", "val").where("val_ttm is not null").select("entity", "end", F.col("val_ttm").alias("ttm")), anchor)
-    near = _assets_near(points.where(F.datediff("last", "end") <= 365 * TREND_YEARS + 30), items, 10).where("assets > 0")
+    near = _assets_near(points.where(F.datediff("last", "end") <= 365 * TREND_YEARS + 30), days, 10).where("assets > 0")
     fit = _slope(near.withColumn("ttm", F.col("ttm") / F.col("assets")), F.col("ttm"))
     most = near.groupBy("entity").agg(F.max(F.abs(F.col("ttm") / F.col("assets"))).alias("_m"))
     fit = fit.join(most, "entity").where((F.col("n") >= TREND_POINTS) & (F.col("_m") <= 3))
     since = fit.select("entity", F.date_sub("from", 280).alias("since"))
-    bad = _disagree(q, items, "revenue", since).unionByName(_disagree(q, items, "cost", since.join(enough, "entity", "left_semi")))
+    bad = _disagree(q, years, "revenue", since).unionByName(_disagree(q, years, "cost", since.join(enough, "entity", "left_semi")))
 
-    year = lambda item, name: _years(items, item, 5).select("entity", "end", F.col("val").alias(name))
-    years = year("revenue", "revenue").join(since, "entity").where("end >= since and revenue <> 0")
-    years = years.join(year("cost", "cost"), ["entity", "end"], "left").join(year("gross_profit", "gross"), ["entity", "end"], "left")
-    years = years.join(enough.withColumn("_made", F.lit(True)), "entity", "left")
+    year = lambda item, name: _years(years, item, 5).select("entity", "end", F.col("val").alias(name))
+    ends = year("revenue", "revenue").join(since, "entity").where("end >= since and revenue <> 0")
+    ends = ends.join(year("cost", "cost"), ["entity", "end"], "left").join(year("gross_profit", "gross"), ["entity", "end"], "left")
+    ends = ends.join(enough.withColumn("_made", F.lit(True)), "entity", "left")
     expected = F.when(F.col("_made") & F.col("cost").isNotNull(), F.col("revenue") - F.col("cost")).otherwise(F.col("gross"))
-    at = years.select("entity", F.col("end").alias("year_end"), "revenue", expected.alias("expected")).where("expected is not null").join(points.select("entity", "end", "ttm"), "entity")
+    at = ends.select("entity", F.col("end").alias("year_end"), "revenue", expected.alias("expected")).where("expected is not null").join(points.select("entity", "end", "ttm"), "entity")
     at = at.where(F.abs(F.datediff("end", "year_end")) <= 10).groupBy("entity", "year_end", "revenue", "expected").agg(F.min_by("ttm", "end").alias("ttm"))
     off = at.where(F.abs(F.col("ttm") - F.col("expected")) > AGREE * F.abs("revenue")).select("entity")
     return fit.join(bad.unionByName(off), "entity", "left_anti").select("entity", (F.col("slope") * TREND_YEARS).alias("gp_trend"))
 
 
-def earnings_variability(q: DataFrame, items: DataFrame, anchor: DataFrame, tax: DataFrame) -> DataFrame:
+def earnings_variability(q: DataFrame, years: DataFrame, days: DataFrame, anchor: DataFrame, tax: DataFrame) -> DataFrame:
     """(entity, earn_var): scatter of five twelve-month returns on assets, else of five fiscal years'."""
     ni = q.where("item = 'net_income'")
     adjusted = qualifying(_last(ni, 21).drop("_k").join(_net_one_offs(q), ["entity", "end"], "left"), tax)
@@ -319,29 +341,28 @@ def earnings_variability(q: DataFrame, items: DataFrame, anchor: DataFrame, tax:
     series = points.groupBy("entity").agg(F.max("last").alias("at"), F.collect_list(F.struct(F.col("end").alias("day"), F.col("ttm").alias("val"))).alias("_days"))
     near = t.anniversaries(series, ["entity", "_days"], "at").withColumn("_x", _nearest(F.col("_days"), F.col("target"), 20))
     near = near.where("_x is not null").select("entity", "k", F.col("_x.day").alias("end"), F.col("_x.val").alias("ttm"))
-    roa = _assets_near(near, items, 10).where("assets > 0")
+    roa = _assets_near(near, days, 10).where("assets > 0")
     five = roa.groupBy("entity").agg(stats.trend_dispersion(F.col("ttm") / F.col("assets"), -F.col("k")).alias("v"), F.count("*").alias("n")).where("n = 5").select("entity", "v")
-    years = _years(items, "net_income", 5).withColumn("item", F.lit("net_income"))
-    single = items.where(_family().isin(*BY_CONCEPT) & F.col("start").isNotNull() & F.col("val").isNotNull())
-    offs = _net_one_offs(t.annual_series(single, BY_ITEM, F.col("anchor")).select(*BY_ITEM, F.inline("years")))
-    yearly = qualifying(years.select(*BY_ITEM, "end", "val").join(offs, ["entity", "end"], "left"), tax).join(years.select("entity", "end", "k"), ["entity", "end"])
-    fy = _assets_near(yearly.select("entity", "end", "k", "val"), items, 45).where("assets <> 0").groupBy("entity")
+    five_years = _years(years, "net_income", 5).withColumn("item", F.lit("net_income"))
+    offs = _net_one_offs(years.where(_family().isin(*BY_CONCEPT)).select(*BY_ITEM, F.inline("years")))
+    yearly = qualifying(five_years.select(*BY_ITEM, "end", "val").join(offs, ["entity", "end"], "left"), tax).join(five_years.select("entity", "end", "k"), ["entity", "end"])
+    fy = _assets_near(yearly.select("entity", "end", "k", "val"), days, 45).where("assets <> 0").groupBy("entity")
     fy = fy.agg(stats.trend_dispersion(F.col("val") / F.col("assets"), -F.col("k")).alias("fy"), F.count("*").alias("n")).where("n >= 5").select("entity", "fy")
     return five.join(fy, "entity", "full_outer").select("entity", F.coalesce("v", "fy").alias("earn_var"))
 
 
-def annual_gpoa(items: DataFrame) -> DataFrame:
+def annual_gpoa(years: DataFrame, days: DataFrame) -> DataFrame:
     """(entity, k, gpoa, margin, revenue) of fiscal years 0 and 3: gross profit over assets near the year's end.
 
     The cost of the same end counts, else the newest year's within 20 days.
     """
-    r = _years(items, "revenue", 6).where("k in (0, 3)").select("entity", "k", "end", F.col("val").alias("revenue"))
-    c = _years(items, "cost", 6).select("entity", F.col("end").alias("day"), F.col("val").alias("cost"))
+    r = _years(years, "revenue", 6).where("k in (0, 3)").select("entity", "k", "end", F.col("val").alias("revenue"))
+    c = _years(years, "cost", 6).select("entity", F.col("end").alias("day"), F.col("val").alias("cost"))
     close = r.join(c, "entity").where(F.abs(F.datediff("day", "end")) <= 20)
     met = close.groupBy("entity", "k", "end", "revenue").agg(
         F.coalesce(F.max_by("cost", F.when(F.col("day") == F.col("end"), F.col("day"))), F.max_by("cost", "day")).alias("cost"), F.max_by("cost", "day").alias("near_cost")
     )
-    both = _assets_near(met, items, 45)
+    both = _assets_near(met, days, 45)
     gpoa = safe_div(F.col("revenue") - F.col("cost"), "assets")
     return both.select("entity", "k", gpoa.alias("gpoa"), safe_div(F.col("revenue") - F.col("near_cost"), "revenue").alias("margin"), "revenue")
 
@@ -355,16 +376,17 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
     Every part is a long table by entity; those of one shape are united and gathered by one aggregation, so that the row is
     made by a few joins on one key.
     """
-    tagged = materialised(tagged_facts(facts, as_of))
-    anchor = materialised(by_entity(anchors(facts, as_of)))
-    items = materialised(by_entity(resolve_items(tagged).join(anchor, "entity", "left")))  # read by every branch below
-    flows = items.where("start is not null and val is not null")
+    anchor = dealt(anchors(facts, as_of))
+    groups = dealt(gathered_items(resolve_items(tagged_facts(facts, as_of)).join(anchor, "entity", "left")))  # read by every branch below
+    items = spread_items(groups)
     now = _newest_instants(items, as_of)
     fresh = t.fresh(F.col("end"), F.col("anchor"))
-    back = materialised(by_entity(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day"))))
-    q = materialised(by_entity(t.quarterly_series(flows, BY_ITEM)))
-    trailing = t.ttm(flows, BY_ITEM, F.col("anchor"), SOURCE, stale=True)
-    years = t.annual_series(flows, BY_ITEM, F.col("anchor"), carry=("concept",))
+    back = dealt(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day")))
+    in_quarters = F.col("item").isin(QUARTERLY_ITEMS) | _family().isin(*BY_CONCEPT)
+    q = materialised(t.quarters_of(groups.where(in_quarters), BY_ITEM)).select(*BY_ITEM, F.inline("quarters"))
+    trailing = t.trailing_of(groups, BY_ITEM, SOURCE, stale=True)
+    years = dealt(t.years_of(groups, BY_ITEM, carry=("concept",)))
+    days = dealt(asset_days(items))
     # One shape for all: where a figure is too old, its tag and date go to the audit instead.
     shape = {"end": "date", "concept": "string", "val": "double", "basis": "string", "filed": "date", "accn": "string", "form": "string"}
 
@@ -392,8 +414,8 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
     )
     maps = maps.withColumn("ttm", F.transform_values("last", lambda _, x: x["val"]))
 
-    ends = annual_gpoa(items).groupBy("entity").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}") for k in (0, 3) for c in ("gpoa", "margin", "revenue")))
-    scalars = [revenue_growth(q, items, anchor), operating_income_change(q, items, anchor), gross_profit_trend(q, items, anchor), ends, unexpected_earnings(flows)]
+    ends = annual_gpoa(years, days).groupBy("entity").agg(*(F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{k}_{c}") for k in (0, 3) for c in ("gpoa", "margin", "revenue")))
+    scalars = [revenue_growth(q, years, anchor), operating_income_change(q, years, days, anchor), gross_profit_trend(q, years, days, anchor), ends, unexpected_earnings(items.where("start is not null"))]
     named = [c for part in scalars for c in part.columns if c != "entity"]
     lines = None
     for part in scalars:
@@ -407,12 +429,12 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
         maps,
         calc,
         shown_moves(q, {"operating_income": "op_moves", "net_income": "ni_moves"}),
-        debt_history(tagged, facts, as_of, back, strict_pit),
+        debt_history(facts, as_of, back, strict_pit),
     ):
         wide = wide.join(part, "entity", "left")
     wide = materialised(by_entity(wide))
     tax = wide.select("entity", effective_tax().alias("tax"))
-    return wide, earnings_variability(q, items, anchor, tax)
+    return wide, earnings_variability(q, years, days, anchor, tax)
 
 
 def _i(k: str) -> Column:

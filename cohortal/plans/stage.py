@@ -25,5 +25,19 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def by_entity(df: DataFrame) -> DataFrame:
-    """``df`` dealt by entity. What is written so keeps that partitioning: joins, windows and groups by entity read it without another exchange."""
+    """``df`` dealt by entity."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt by entity and written: joins, windows and groups by entity read it without another exchange.
+
+    An adaptive plan does not tell how its rows are dealt, so what it writes is shuffled again by every reader. This one step is planned without.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return materialised(by_entity(df))
+    finally:
+        conf.set(key, was)

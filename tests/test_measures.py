@@ -177,3 +177,36 @@ def test_filings_read_the_large_tables_once(spark):
     d = "/root/testdata/sf0.001"
     for rows in (filings.filings(spark, d), filings.month_inputs(spark, d)["facts"]):
         assert "parquet" not in rows._jdf.queryExecution().optimizedPlan().toString()  # the sales by quarter are written by then
+
+
+def test_what_is_dealt_is_read_without_another_exchange(spark):
+    from pyspark.sql import functions as F
+
+    from cohortal.plans.stage import dealt
+
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    rows = dealt(spark.range(50).selectExpr("id % 5 AS entity", "id AS item", "id AS v"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == was
+    counted = rows.groupBy("entity", "item").agg(F.max("v").alias("v"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert counted.count() == 50
+
+
+def test_items_gathered_and_spread_again_are_the_same(spark):
+    schema = "entity int, item string, concept string, start date, end date, val double, filed date, accn string, form string, anchor date"
+    day = D
+    rows = [
+        (1, "revenue", "Revenues", day(2000, 1, 1), day(2000, 3, 31), 1.0, day(2000, 5, 1), "a", "10-Q", None),
+        (1, "revenue", "Revenues", day(2000, 1, 1), day(2000, 6, 30), 3.0, day(2000, 8, 1), "b", "10-Q", None),
+        (1, "assets", "Assets", None, day(2000, 6, 30), 9.0, day(2000, 8, 1), "b", "10-Q", day(2000, 6, 30)),
+        (1, "assets", "Assets", None, day(2000, 3, 31), None, day(2000, 8, 1), "b", "10-Q", day(2000, 6, 30)),
+    ]
+    items = spark.createDataFrame(rows, schema)
+    groups = m.gathered_items(items)
+    assert groups.count() == 2
+    back = m.spread_items(groups).select(*items.columns).collect()
+    assert {tuple(r) for r in back} == set(rows[:3])
+    from cohortal.operators import temporal as t
+
+    quarters = t.quarters_of(groups.where("item = 'revenue'"), m.BY_ITEM).selectExpr("inline(quarters)").collect()
+    assert [tuple(r) for r in quarters] == [(day(2000, 3, 31), 1.0), (day(2000, 6, 30), 2.0)]
