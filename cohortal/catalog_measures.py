@@ -223,7 +223,9 @@ def _items(spark, d):
 
 
 def _groups(spark, d):
-    return dealt(m.gathered_items(_items(spark, d).where("start is not null")))
+    facts = f.filings(spark, d)
+    flows = m.resolve_items(m.tagged_facts(facts, f.AS_OF)).where("start is not null")
+    return dealt(m.gathered_items(flows, dealt(m.anchors(facts, f.AS_OF))))
 
 
 def _rounded(rows, *cols, digits=6):

@@ -188,8 +188,10 @@ def quarters_of(groups: DataFrame, by: list[str]) -> DataFrame:
 
     years = _of_flows(lambda g: F.filter(g["_s"], lambda a: duration(g["start"], a["end"]).between(330, 400)))
     rows = groups.select(*by, _of_flows(told).alias("_q"), years.alias("_y"))
-    repeats = lambda q: F.exists("_y", lambda y: (y["end"] == q["end"]) & y["val"].isNotNull() & (F.abs(q["val"] - y["val"]) <= 0.01 * F.abs(y["val"])))
-    kept = _first_of_each_end(F.filter("_q", lambda q: q["synthetic"] | ~repeats(q)))
+    # The years are a lambda's variable: named once, inside a lambda, the column would be replaced by what makes it, and all years looked for anew at each quarter.
+    repeats = lambda q, among: F.exists(among, lambda y: (y["end"] == q["end"]) & y["val"].isNotNull() & (F.abs(q["val"] - y["val"]) <= 0.01 * F.abs(y["val"])))
+    both = F.array(F.struct(F.col("_q").alias("q"), F.col("_y").alias("y")))
+    kept = _first_of_each_end(F.get(F.transform(both, lambda x: F.filter(x["q"], lambda q: q["synthetic"] | ~repeats(q, x["y"]))), F.lit(0)))
     return rows.select(*by, F.transform(kept, lambda q: F.struct(q["end"].alias("end"), q["val"].alias("val"))).alias("quarters"))
 
 

@@ -33,11 +33,15 @@ def dealt(df: DataFrame) -> DataFrame:
     """``df`` dealt by entity and written: joins, windows and groups by entity read it without another exchange.
 
     An adaptive plan does not tell how its rows are dealt, so what it writes is shuffled again by every reader. This one step is planned without.
+    Lists are gathered from sorted rows in it: a task has more groups than a hash map of lists may hold, which would sort all of them anew at each grouping,
+    although the windows before have sorted them by entity and item.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    was = conf.get(key)
-    conf.set(key, "false")
+    conf, off = df.sparkSession.conf, ("spark.sql.adaptive.enabled", "spark.sql.execution.useObjectHashAggregateExec")
+    was = {key: conf.get(key) for key in off}
+    for key in off:
+        conf.set(key, "false")
     try:
         return materialised(by_entity(df))
     finally:
-        conf.set(key, was)
+        for key in off:
+            conf.set(key, was[key])

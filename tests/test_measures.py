@@ -210,3 +210,29 @@ def test_items_gathered_and_spread_again_are_the_same(spark):
 
     quarters = t.quarters_of(groups.where("item = 'revenue'"), m.BY_ITEM).selectExpr("inline(quarters)").collect()
     assert [tuple(r) for r in quarters] == [(day(2000, 3, 31), 1.0), (day(2000, 6, 30), 2.0)]
+
+
+def test_years_are_not_looked_for_anew_at_each_quarter(spark):
+    from cohortal.operators import temporal as t
+
+    flows = spark.createDataFrame([(1, "revenue", D(2000, 1, 1), D(2000, 3, 31), 1.0, D(2000, 5, 1))], "entity int, item string, start date, end date, val double, filed date")
+    plan = t.quarters_of(t.gathered(flows, m.BY_ITEM), m.BY_ITEM)._jdf.queryExecution().optimizedPlan().toString()
+    # The column of years is made of ``_f``; beside the read for the quarters there is one for the years, and it stands before the lambda over the quarters.
+    head = plan.split("synthetic")[0]
+    assert "exists(flatten" not in plan and head
+
+
+def test_gathering_sorts_no_more_than_the_windows_before(spark, monkeypatch):
+    from cohortal.plans import stage
+
+    seen = []
+    monkeypatch.setattr(stage, "materialised", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    schema = "entity long, taxonomy string, concept string, unit string, start date, end date, val double, filed date, accn string, form string, seq int"
+    facts = spark.createDataFrame([(1, "us-gaap", "Revenues", "USD", D(2000, 1, 1), D(2000, 3, 31), 1.0, D(2000, 5, 1), "a", "10-Q", 0)], schema)
+    groups = m.gathered_items(m.resolve_items(m.tagged_facts(facts, "2000-11-30")), m.anchors(facts, "2000-11-30"))
+    stage.dealt(groups)
+    plan = seen[0].split("SortMergeJoin")[-1] if "SortMergeJoin" in seen[0] else seen[0]
+    assert "ObjectHashAggregate" not in plan and plan.count("Window [") == 2 + 1
+    assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
+    placed = plan[plan.index("Window ["):].split("Exchange hashpartitioning(entity")[0]
+    assert placed.count(" Sort [") == 2  # one for taxonomy and version, one for the items
