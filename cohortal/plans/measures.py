@@ -37,16 +37,16 @@ QUARTERLY_ITEMS = ["revenue", "cost", "gross_profit", "operating_income", "net_i
 NOTE = "struct<metric: string, kind: string, tag: string, end: date, amount: double>"
 
 
-def tagged_facts(facts: DataFrame, as_of: str, deal: bool = True) -> DataFrame:
+def tagged_facts(facts: DataFrame, as_of: str) -> DataFrame:
     """(entity, item, concept, start, end, val, filed, accn, form, seq, priority, largest_wins): the latest version of each concept and period.
 
-    Concepts of no item go before anything is shuffled; ``deal`` is false of facts that lie dealt by entity (``stage.dealt``). Items that are looked at concept by concept are named ``item:concept``.
+    Concepts of no item go before anything is shuffled. Items that are looked at concept by concept are named ``item:concept``.
     """
     items = line_items(facts.sparkSession)  # as long as the registry
     wanted = facts.join(F.broadcast(items.select("concept").distinct()), "concept", "left_semi")
     # One sort serves both windows: the taxonomy of a concept and the latest version of its periods, which does not depend on the items that a concept serves.
     period = ["entity", "concept", "start", "end"]
-    placed = (by_entity(wanted) if deal else wanted).sortWithinPartitions(*period, F.desc("filed"), "seq")
+    placed = by_entity(wanted).sortWithinPartitions(*period, F.desc("filed"), "seq")
     one = t.latest_version(t.visible(t.first_taxonomy(placed, TAXONOMIES), as_of, t.FORMS, t.UNITS), period)
     named = F.when(F.col("item").isin(*BY_CONCEPT), F.concat_ws(":", "item", "concept")).otherwise(F.col("item"))
     one = one.join(F.broadcast(items), "concept").withColumn("item", named)
@@ -138,14 +138,14 @@ def total_debt(inst: str) -> tuple[Column, Column]:
     return F.coalesce(best["value"], partial), F.coalesce(best["how"], F.when(partial.isNotNull(), "current+short-only"))
 
 
-def debt_history(facts: DataFrame, as_of: str, back: DataFrame, strict_pit: bool = False, deal: bool = True) -> DataFrame:
+def debt_history(facts: DataFrame, as_of: str, back: DataFrame, strict_pit: bool = False) -> DataFrame:
     """(entity, last_zero, prior_zero, any_debt): whether the last debt reported by ``as_of``, or by each entity's earlier ``day``, was zero, and whether any ever was.
 
     The last of each concept counts. The third looks at the whole record, filed later or not; with ``strict_pit`` only at
     what was filed by ``as_of``.
     """
     named = [c for item in DEBT_ITEMS for c in LINE_ITEMS[item]]
-    tagged = tagged_facts(facts.where(F.col("concept").isin(named)), as_of, deal)
+    tagged = tagged_facts(facts.where(F.col("concept").isin(named)), as_of)
     own = tagged.where(F.col("item").isin(DEBT_ITEMS) & F.col("start").isNull() & F.col("val").isNotNull())
     own = own.where(F.col("end") <= F.to_date(F.lit(as_of))).join(back, "entity", "left")
     zero_on = lambda ok: F.max_by("zero", F.when(ok, F.col("end")))
@@ -372,17 +372,17 @@ def annual_gpoa(years: DataFrame, days: DataFrame) -> DataFrame:
     return both.select("entity", "k", gpoa.alias("gpoa"), safe_div(F.col("revenue") - F.col("near_cost"), "revenue").alias("margin"), "revenue")
 
 
-def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: bool = False, deal: bool = True) -> tuple[DataFrame, DataFrame]:
+def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: bool = False) -> tuple[DataFrame, DataFrame]:
     """One row an entity with all that the measures need, maps of instants, earlier instants, trailing and fiscal years, and trends; and (entity, earn_var).
 
     ``facts``: entity, taxonomy, concept, unit, start, end, val, filed, accn, form, seq. ``listings``: entity, market_cap.
-    ``strict_pit`` keeps later filings out of the never-borrowed rule as well. ``deal`` is false of facts that lie dealt by entity.
+    ``strict_pit`` keeps later filings out of the never-borrowed rule as well.
 
     Every part is a long table by entity; those of one shape are united and gathered by one aggregation, so that the row is
     made by a few joins on one key.
     """
     anchor = dealt(anchors(facts, as_of))
-    groups = dealt(gathered_items(resolve_items(tagged_facts(facts, as_of, deal)), anchor))  # read by every branch below
+    groups = dealt(gathered_items(resolve_items(tagged_facts(facts, as_of)), anchor))  # read by every branch below
     items = spread_items(groups)
     now = _newest_instants(items, as_of)
     fresh = t.fresh(F.col("end"), F.col("anchor"))
@@ -434,7 +434,7 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
         maps,
         calc,
         shown_moves(q, {"operating_income": "op_moves", "net_income": "ni_moves"}),
-        debt_history(facts, as_of, back, strict_pit, deal),
+        debt_history(facts, as_of, back, strict_pit),
     ):
         wide = wide.join(part, "entity", "left")
     wide = materialised(by_entity(wide))
@@ -569,9 +569,9 @@ HELPERS = [
 ]
 
 
-def measures(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings = Settings(), symmetric: bool = False, strict_pit: bool = False, deal: bool = True) -> DataFrame:  # noqa: B008
+def measures(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings = Settings(), symmetric: bool = False, strict_pit: bool = False) -> DataFrame:  # noqa: B008
     """One wide row an entity: every measure but ``ptbv_gap``, which a peer group gives, helpers and where the figures came from."""
-    wide, scatter = entity_rows(facts, listings, as_of, strict_pit, deal)
+    wide, scatter = entity_rows(facts, listings, as_of, strict_pit)
     rows = wide.withColumn("revenue_ttm", _t("revenue"))  # over a table as it is, so that each step is analysed in no time
     for name, value in measure_columns(settings, symmetric):
         rows = rows.withColumn(name, value)
