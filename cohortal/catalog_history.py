@@ -12,6 +12,7 @@ from cohortal.functions import stats
 from cohortal.operators import screen
 from cohortal.plans import chain, pack, panel
 from cohortal.plans import standin as s
+from cohortal.plans.stage import written
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 from cohortal.sources import readers, sinks
@@ -33,7 +34,8 @@ SELECT month, entity, CASE WHEN broken = 0 THEN {_hu(_hu("price * factor", 4), 2
 
 def _chain_record(spark, d) -> str:
     """A record begun with all months but the last two, which follow one by one."""
-    rows, path = c._part_panel(spark, d), _path(spark, "chain")
+    # Written once: each of three appends asks for its months and then for its rows.
+    rows, path = written(c._part_panel(spark, d).select("month", "entity", "price", "prior_price")), _path(spark, "chain")
     sinks.append_months(chain.linked_history(rows.where(F.col("month") < _BEFORE)), path)
     for month in (_BEFORE, _NEWEST):
         chain.chain_month(spark, path, rows.where(F.col("month") == month), month)

@@ -63,8 +63,8 @@ def before(spark: SparkSession, path: str, month: str) -> DataFrame | None:
 
 def on_newest_basis(record: DataFrame) -> DataFrame:
     """(month, entity, price_adj): every price of a record on the basis of its entity's newest month; null before a break, 4 digits."""
-    newest = record.groupBy("entity").agg(F.max_by(F.struct("chain", "factor"), "month").alias("_n"))
-    both = record.join(newest, "entity")
+    # A window, so that the record is read and dealt by entity once.
+    both = record.withColumn("_n", F.max_by(F.struct("chain", "factor"), "month").over(Window.partitionBy("entity")))
     same = (F.col("chain") == F.col("_n.chain")) & (F.col("price") > 0)
     return both.select("month", "entity", F.when(same, half_up(F.col("price") * (F.col("_n.factor") / F.col("factor")), 4)).alias("price_adj"))
 

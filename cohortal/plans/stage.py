@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """What ``materialised`` gives, as files of columns: for large tables of which a branch reads some columns or rows. A checkpoint gives every reader whole rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_entity(df: DataFrame) -> DataFrame:
     """``df`` dealt by entity."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")

@@ -147,3 +147,18 @@ def test_a_regression_gap_needs_no_window(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.where("gap is not null").count() == 30 and abs(out.agg(F.sum("gap")).first()[0]) < 1e-9
     assert score.regression_gap(rows.limit(7), ["peer"], "x", "y").where("gap is not null").count() == 0
+
+
+def test_a_record_is_begun_from_a_panel_written_once(spark, monkeypatch):
+    from cohortal import catalog_history
+
+    seen = []
+    plain = sinks.append_months
+    monkeypatch.setattr(sinks, "append_months", lambda rows, *more, **named: seen.append(rows.inputFiles()) or plain(rows, *more, **named))
+    catalog_history._chain_record(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("lineitem" in f or "orders" in f for files in seen for f in files)
+
+
+def test_a_record_is_put_on_the_newest_basis_without_a_join(spark, record):
+    made = chain.on_newest_basis(readers.read_months(spark, record[0]))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
