@@ -264,9 +264,14 @@ def line_items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "item string, concept string, priority int, largest_wins boolean")
 
 
-def weight_vectors(spark: SparkSession, sweep: tuple[int, ...] = Settings.sweep) -> DataFrame:
+def weight_tuples(sweep: tuple[int, ...] = Settings.sweep) -> list[tuple[float, ...]]:
     """Every combination of factor weights from the sweep that sums to 100."""
     from itertools import product
 
-    rows = [(k, *map(float, w)) for k, w in enumerate(x for x in product(sweep, repeat=len(FACTORS)) if sum(x) == 100)]
+    return [tuple(map(float, w)) for w in product(sweep, repeat=len(FACTORS)) if sum(w) == 100]
+
+
+def weight_vectors(spark: SparkSession, sweep: tuple[int, ...] = Settings.sweep) -> DataFrame:
+    """``weight_tuples`` as a table."""
+    rows = [(k, *w) for k, w in enumerate(weight_tuples(sweep))]
     return spark.createDataFrame(rows, "vector int, " + ", ".join(f"w_{f} double" for f in FACTORS))

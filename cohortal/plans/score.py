@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortal.functions import stats
-from cohortal.functions.spec import FACTORS, OFFICIAL_WEIGHTS, RETURN_METRIC, Settings, weight_vectors
+from cohortal.functions.spec import FACTORS, OFFICIAL_WEIGHTS, RETURN_METRIC, Settings, weight_tuples
 from cohortal.plans.large import percentiles_at_scale, ranked
-from cohortal.plans.stage import materialised
+from cohortal.plans.stage import materialised, written
+from cohortal.plans.sweep import rank_ranges
 
 POOLED = "pooled_thin"
 FINANCIAL = ["banks", "insurers", "capital_markets"]
@@ -135,7 +136,7 @@ def percentile_grid(rows: DataFrame, measures: DataFrame, spec: DataFrame, setti
     The grid is read twice, for the resolution of metrics and for their percentiles, so it is
     written once: the facts behind the measures are far larger than it.
     """
-    grid = materialised(measure_grid(with_cohort(rows, settings.min_cohort), measures, spec))
+    grid = written(measure_grid(with_cohort(rows, settings.min_cohort), measures, spec))
     return hurdle_gate(percentiles(applicable(grid, settings.applicability), settings), settings.hurdle, returns)
 
 
@@ -156,20 +157,12 @@ def score_segments(rows: DataFrame, measures: DataFrame, spec: DataFrame, weight
 def rank_stability(scored: DataFrame, sweep: tuple[int, ...] = Settings.sweep) -> DataFrame:
     """(entity, segment, rank_min, rank_max, rank_median, stability) over every weighting of the sweep.
 
-    A composite of 0 ranks like a missing one; ties keep the official order. The
-    vectors are a fixed small table; each is ranked by itself, in slices of a point.
+    A composite of 0 ranks like a missing one; ties keep the official order. The vectors are a fixed small table.
     """
-    vectors = F.broadcast(weight_vectors(scored.sparkSession, sweep))
-    tried = scored.select("entity", "segment", "rank", *FACTORS).crossJoin(vectors)
-    value = stats.weighted_composite({f: f for f in FACTORS}, {f: F.col(f"w_{f}") for f in FACTORS})
-    tried = tried.select("entity", "segment", "rank", "vector", F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(-1.0)).alias("_c"))
-    placed = ranked(tried, ["segment", "vector"], F.coalesce(F.floor("_c"), F.lit(-1)), [F.col("_c").desc(), F.col("rank").asc()], "_r", "_n")
-    return placed.groupBy("entity", "segment").agg(
-        F.min("_r").alias("rank_min"),
-        F.max("_r").alias("rank_max"),
-        F.floor(F.median("_r")).cast("long").alias("rank_median"),
-        stats.half_up(1 - (F.max("_r") - F.min("_r")) / F.greatest(F.first("_n") - 1, F.lit(1)), 3).alias("stability"),
-    )
+    vectors = weight_tuples(sweep)
+    ranges = rank_ranges(written(scored.select("entity", "segment", "rank", *FACTORS)), FACTORS, vectors)
+    spread = (F.col("rank_max") - F.col("rank_min")) / F.greatest(F.col("size") - 1, F.lit(1))
+    return ranges.select("entity", "segment", "rank_min", "rank_max", "rank_median", stats.half_up(1 - spread, 3).alias("stability"))
 
 
 def what_if(scored: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -254,3 +254,31 @@ def test_screen_and_search(spark):
 
 def test_metric_record():
     assert Metric("k", "quality").segments == ()
+
+
+def test_stability_in_blocks_equals_a_window_over_every_weighting(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cohortal.functions import stats
+    from cohortal.functions.spec import weight_vectors
+    from cohortal.plans import sweep
+
+    monkeypatch.setattr(sweep, "BLOCK", 7)
+    rnd, rows = random.Random(3), []
+    for segment, n in (("s", 40), ("t", 15), ("u", 1)):
+        for k in range(n):
+            few = rnd.random() < 0.4
+            values = [None if rnd.random() < 0.15 else float(rnd.choice([0, 50, 50.1, 100])) if few else rnd.randrange(1001) / 10 for _ in FACTORS]
+            rows.append((f"{segment}{k}", segment, k + 1, *([None] * 4 if k == 3 else [0.0] * 4 if k in (4, 5) else values)))
+    scored = spark.createDataFrame(rows, "entity string, segment string, rank long, " + ", ".join(f"{f} double" for f in FACTORS))
+    made = score.rank_stability(scored)
+    value = stats.weighted_composite({f: f for f in FACTORS}, {f: F.col(f"w_{f}") for f in FACTORS})
+    tried = scored.crossJoin(weight_vectors(spark)).withColumn("c", F.coalesce(F.nullif(value, F.lit(0.0)), F.lit(-1.0)))
+    placed = tried.withColumn("r", F.row_number().over(Window.partitionBy("segment", "vector").orderBy(F.desc("c"), "rank")))
+    want = placed.groupBy("entity", "segment").agg(F.min("r"), F.max("r"), F.floor(F.median("r")))
+    told = lambda df: sorted(tuple(r)[:5] for r in df.collect())
+    assert told(made) == told(want)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()  # no row for each entity and weighting
