@@ -16,7 +16,7 @@ from cohortal.operators import temporal as t
 from cohortal.plans import filings as f
 from cohortal.plans import intake, month, score
 from cohortal.plans import measures as m
-from cohortal.plans.stage import dealt, materialised
+from cohortal.plans.stage import dealt, materialised, written
 from cohortal.registry import half_up_sql as _hu
 from cohortal.registry import query
 
@@ -401,7 +401,7 @@ def _month_inputs(spark, d):
 def month_of(spark, d, drift: bool = False):
     """The run over the stand-in listings, with a made record of the month before; with ``drift`` against the grid of that month as well."""
     x = _month_inputs(spark, d)
-    facts = materialised(x["facts"])  # made, not read: the run reads facts several times
+    facts = written(x["facts"])  # made, not read: the run reads facts several times
     grid = month.graded(facts, x["prior"], f.PRIOR_AS_OF, _SETTINGS)[1].select("entity", "metric", "pct") if drift else None
     return month.run_from_listings(facts, x["listings"], x["ids"], x["prices"], f.AS_OF, x["prior"], x["newer"], grid, settings=_SETTINGS)
 

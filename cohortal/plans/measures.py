@@ -18,7 +18,7 @@ from cohortal.functions.scalars import clamp, or_zero, positive_ratio, safe_div,
 from cohortal.functions.spec import BY_CONCEPT, DEBT_ITEMS, DEBT_LIKE, DEBT_NOISE, DEBT_PARTS, DEBT_SLICES, LINE_ITEMS, METRICS, Settings, line_items
 from cohortal.operators import temporal as t
 from cohortal.operators.eligibility import ever_reported
-from cohortal.plans.stage import by_entity, dealt, materialised
+from cohortal.plans.stage import by_entity, dealt, materialised, written
 
 TAXONOMIES = ["us-gaap", "ifrs-full", "dei"]
 PARTIAL_DEBT = 0.75
@@ -388,7 +388,7 @@ def entity_rows(facts: DataFrame, listings: DataFrame, as_of: str, strict_pit: b
     fresh = t.fresh(F.col("end"), F.col("anchor"))
     back = dealt(now.where(fresh & (F.col("item") == "assets")).select("entity", F.date_sub("end", 365).alias("day")))
     in_quarters = F.col("item").isin(QUARTERLY_ITEMS) | _family().isin(*BY_CONCEPT)
-    q = materialised(t.quarters_of(groups.where(in_quarters), BY_ITEM)).select(*BY_ITEM, F.inline("quarters"))
+    q = written(t.quarters_of(groups.where(in_quarters), BY_ITEM)).select(*BY_ITEM, F.inline("quarters"))
     trailing = t.trailing_of(groups, BY_ITEM, SOURCE, stale=True)
     years = dealt(t.years_of(groups, BY_ITEM, carry=("concept",)))
     days = dealt(asset_days(items))

@@ -14,7 +14,7 @@ from cohortal.functions.spec import OFFICIAL_WEIGHTS, Registry, Settings
 from cohortal.operators import classify, eligibility
 from cohortal.plans import intake, panel, score
 from cohortal.plans import measures as m
-from cohortal.plans.stage import materialised
+from cohortal.plans.stage import materialised, written
 
 
 def classified(wide: DataFrame, listings: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def graded(facts: DataFrame, listings: DataFrame, as_of: str, settings: Settings
     wide = with_gap(materialised(classified(m.measures(facts, listings, as_of, settings), listings)))
     long = m.long_measures(wide)
     rows = wide.select("entity", "segment", "peer", "market_cap")
-    grid = materialised(score.percentile_grid(rows, long, Registry().table(facts.sparkSession), settings))
+    grid = written(score.percentile_grid(rows, long, Registry().table(facts.sparkSession), settings))
     return wide, grid
 
 

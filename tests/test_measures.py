@@ -236,3 +236,12 @@ def test_gathering_sorts_no_more_than_the_windows_before(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.useObjectHashAggregateExec") == "true"
     placed = plan[plan.index("Window ["):].split("Exchange hashpartitioning(entity")[0]
     assert placed.count(" Sort [") == 2  # one for taxonomy and version, one for the items
+
+
+def test_a_written_table_gives_a_branch_its_own_columns_and_rows(spark):
+    from cohortal.plans import stage
+
+    made = stage.written(spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0)], "entity long, concept string, val double"))
+    plan = made.where("concept = 'a'").select("val")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<concept:string,val:double>" in plan and "EqualTo(concept,a)" in plan
+    assert sorted(map(tuple, made.collect())) == [(1, "a", 2.0), (2, None, 3.0)]
